@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, mixing, near_dups, quality_rules
+from . import decontaminate, language_id, mixing, near_dups, quality_rules, token_counts
 
-_MODULES = (decontaminate, quality_rules, mixing, near_dups)
+_MODULES = (decontaminate, quality_rules, language_id, mixing, near_dups, token_counts)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
