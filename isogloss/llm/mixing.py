@@ -91,6 +91,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: tuple[int,
     return done.groupBy("row", "doc_id", "text_hash", "source", "size", "source_size", "target").agg(F.sum("taken").alias("taken")).drop("row")
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs that the mix takes, with mix_size, mix_target (of the source) and mix_taken.
+
+    Rows alike in id, text and source are one here: mix_taken is their sum.
+    """
+    names = docs.columns
+    took = mix(docs, **how).filter("taken > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash"), F.col("source").alias("mix_source"))
+    took = took.agg(F.sum("size").alias("mix_size"), F.first("target").alias("mix_target"), F.sum("taken").alias("mix_taken"))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text, source = (f"c{names.index(n)}" for n in ("doc_id", "text", "source"))
+    plain = plain.withColumn("h", F.xxhash64(text)).dropDuplicates([doc_id, "h", source])
+    joined = plain.join(took, plain[doc_id].eqNullSafe(took["mix_id"]) & (plain["h"] == took["mix_hash"]) & plain[source].eqNullSafe(took["mix_source"]))
+    return joined.select(*plain.columns[: len(names)], "mix_size", "mix_target", "mix_taken").toDF(*names, "mix_size", "mix_target", "mix_taken")
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
