@@ -29,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import pick, table
+from .common import cut, pick, saved, table
 
 U64 = np.uint64
 LENGTH, WIDTH = 400, 48
@@ -151,10 +152,23 @@ def equal_windows(before: list[bytes], after: list[bytes], reach: list[tuple[int
     return out
 
 
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """texts with text compressed (z), as it goes through shuffles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            z = pa.array([press.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), z], [*rest, "z"])
+
+    rest, types = [c for c in texts.columns if c != "text"], dict(texts.dtypes)
+    return texts.select(*rest, "text").mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in rest), "z binary"]))
+
+
 def _carried(texts: DataFrame, reps: DataFrame) -> DataFrame:
     """A row of a text and its phrases to compare, of which there is one for each text."""
     listed = reps.groupBy("th", "tl").agg(F.sort_array(F.collect_list(F.struct("k", "e", "many", "hot", "place"))).alias("phrases"))
-    return texts.join(listed, ["th", "tl"])
+    return packed_texts(texts.select("th", "tl", "text")).join(listed, ["th", "tl"])
 
 
 def _bodies(carried: DataFrame, length: int) -> DataFrame:
@@ -167,11 +181,11 @@ def _bodies(carried: DataFrame, length: int) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             held = 0
-            for th, tl, text, phrases in zip(*(b.column(c).to_pylist() for c in ("th", "tl", "text", "phrases"))):
+            for th, tl, z, phrases in zip(*(b.column(c).to_pylist() for c in ("th", "tl", "z", "phrases"))):
                 if (th, tl) == seen:
                     continue
                 seen = th, tl
-                raw = text.encode()
+                raw = zstandard.decompress(z)
                 for p in phrases:
                     first, last, _ = unpacked(p["place"])
                     body = raw[first : last + length]
@@ -189,7 +203,7 @@ def _bodies(carried: DataFrame, length: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return carried.select("th", "tl", "text", "phrases").mapInArrow(run, "k long, e long, many boolean, hot boolean, th long, tl long, place long, body binary")
+    return carried.select("th", "tl", "z", "phrases").mapInArrow(run, "k long, e long, many boolean, hot boolean, th long, tl long, place long, body binary")
 
 
 def _settled(bodies: DataFrame, length: int) -> DataFrame:
@@ -228,17 +242,17 @@ def _settled(bodies: DataFrame, length: int) -> DataFrame:
 def repeated(texts: DataFrame, length: int = LENGTH, width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """th, tl and runs (first and last window starts, in bytes) of the texts (th, tl, text) with repeated windows."""
     rows = parse(texts, length, width)
-    phrases = rows.groupBy("k", "e").agg(F.count("*").alias("n"), F.min(F.struct("th", "tl", "place")).alias("at"))
+    phrases = saved(rows.groupBy("k", "e").agg(F.count("*").alias("n"), F.min(F.struct("th", "tl", "place")).alias("at")))
     shared = phrases.groupBy("k").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    reps = phrases.join(shared, "k").select("k", "e", (F.col("n") > 1).alias("many"), (F.col("kinds") > hot).alias("hot"), "at.*")
+    reps = cut(phrases.join(shared, "k").select("k", "e", (F.col("n") > 1).alias("many"), (F.col("kinds") > hot).alias("hot"), "at.*"))
     first, last = F.shiftright("place", 20), F.shiftright("place", 20) + F.shiftright("place", 10).bitwiseAND(F.lit(1023))
     whole = rows.join(phrases.filter("n > 1").select("k", "e"), ["k", "e"]).select("th", "tl", first.alias("a"), last.alias("b"))
-    bodies = _bodies(_carried(texts, reps), length)
-    cold = _settled(bodies.filter("not hot"), length)
-    each = bodies.filter("hot").select(F.col("k").alias("w"), "e", "many", "th", "tl", "place").distinct()
-    again = each.groupBy("w").agg(F.count("*").alias("n"), F.max("many").alias("any")).filter("n > 1 or any").select("w")
-    warm = each.filter("not many").join(again, "w").select("th", "tl", first.alias("a"), first.alias("b"))
-    runs = whole.union(cold).union(warm).distinct()
+    runs = whole.union(_settled(_bodies(_carried(texts, reps.filter("not hot")), length), length))
+    if not reps.filter("hot").isEmpty():
+        each = _bodies(_carried(texts, reps.filter("hot")), length).select(F.col("k").alias("w"), "e", "many", "th", "tl", "place").distinct()
+        again = each.groupBy("w").agg(F.count("*").alias("n"), F.max("many").alias("any")).filter("n > 1 or any").select("w")
+        runs = runs.union(each.filter("not many").join(again, "w").select("th", "tl", first.alias("a"), first.alias("b")))
+    runs = runs.distinct()
     return runs.groupBy("th", "tl").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
 
 
@@ -253,14 +267,14 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, hot:
     size = F.shiftleft(F.octet_length("text").cast("long"), 32)
     texts = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("th"), (size + F.crc32("text")).alias("tl"))
     runs = repeated(texts.select("th", "tl", "text").filter(F.octet_length("text") >= length), length, width, hot)
-    joined = texts.join(runs, ["th", "tl"], "left").select("doc_id", "text", "runs")
+    joined = packed_texts(texts).join(runs, ["th", "tl"], "left").select("doc_id", "z", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
         for b in batches:
             cols: list[list] = [[] for _ in names[1:]]
-            for text, runs in zip(b.column("text").to_pylist(), b.column("runs").to_pylist()):
-                raw, spans = text.encode(), []
+            for z, runs in zip(b.column("z").to_pylist(), b.column("runs").to_pylist()):
+                raw, spans = zstandard.decompress(z), []
                 for r in runs or ():
                     a, z = r["a"], r["b"] + length
                     if spans and a <= spans[-1][1]:
