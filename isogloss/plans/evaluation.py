@@ -1 +1,109 @@
-"""Queries."""
+"""Queries of evaluation: sentences stand for inputs, edited sentences for hypotheses and references."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import predicates as P
+from ..operators import evaluate as E
+from .pairs import _ED, edited
+from .registry import query
+
+
+def rows(spark, sf_dir):
+    """id, input, hypothesis (articles changed only; none for some), reference."""
+    e = edited(spark, sf_dir)
+    hyp = F.array_join(F.transform("ta", lambda w: F.when(w == "the", "le").otherwise(w)), " ")
+    return e.select("id", F.array_join("ta", " ").alias("input"), F.when(F.col("id") % 11 != 0, hyp).alias("hypothesis"), F.array_join("tb", " ").alias("reference"))
+
+
+def scored(spark, sf_dir):
+    r = rows(spark, sf_dir)
+    return E.evaluated(r.select("id", "input", "reference"), r.select("id", "hypothesis"))
+
+
+_RW = f"""{_ED}, rw AS (SELECT id, doc_id, ta, tb, id % 11 = 0 AS failed, CASE WHEN id % 11 = 0 THEN ta ELSE [CASE WHEN w = 'the' THEN 'le' ELSE w END FOR w IN ta] END AS h FROM ed),
+ev AS (SELECT id, doc_id, failed, array_to_string(h, ' ') = array_to_string(tb, ' ') AS exact, len([1 FOR i IN range(1, len(h) + 1) IF h[i] <> tb[i]]) AS edits, len(tb) AS ref_words FROM rw)"""
+
+
+@query("met_01_exact", f"WITH {_RW} SELECT id, exact FROM ev")
+def exact(spark, sf_dir):
+    return scored(spark, sf_dir).select("id", "exact")
+
+
+@query("met_02_word_edits")
+def word_edits(spark, sf_dir):
+    return scored(spark, sf_dir).select("id", "edits", "ref_words")
+
+
+@query("met_03_bleu")
+def bleu(spark, sf_dir):
+    return E.bleu(scored(spark, sf_dir), "id", "hypothesis", "reference").withColumn("bleu", F.round("bleu", 6))
+
+
+@query("met_04_chrf")
+def chrf(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    plus = E.chrf(s, "id", "hypothesis", "reference", 2).withColumnRenamed("chrf", "chrf_pp")
+    return E.chrf(s, "id", "hypothesis", "reference").join(plus, "id").select("id", F.round("chrf", 6).alias("chrf"), F.round("chrf_pp", 6).alias("chrf_pp"))
+
+
+@query("met_05_evaluated", f"WITH {_RW} SELECT id, failed, exact FROM ev")
+def evaluated(spark, sf_dir):
+    return scored(spark, sf_dir).select("id", "failed", "exact")
+
+
+@query("agg_34_summary", f"WITH {_RW} SELECT count(*) AS n, count_if(failed) AS failed, count_if(exact) AS exact FROM ev")
+def summary(spark, sf_dir):
+    return E.summary(scored(spark, sf_dir)).drop("wer")
+
+
+@query("agg_35_by_group", f"WITH {_RW} SELECT doc_id % 4 AS category, ref_words // 10 AS difficulty, count(*) AS n, count_if(exact) AS exact FROM ev GROUP BY GROUPING SETS ((category), (difficulty), ())")
+def by_group(spark, sf_dir):
+    s = scored(spark, sf_dir).select((F.floor(F.col("id") / 100_000) % 4).alias("category"), F.expr("ref_words div 10").alias("difficulty"), "exact")
+    return s.groupingSets([["category"], ["difficulty"], []], "category", "difficulty").agg(F.count("*").alias("n"), F.count_if("exact").alias("exact"))
+
+
+@query("agg_36_leaderboard", f"WITH {_RW}, b AS (SELECT 'changed' AS system, exact FROM ev UNION ALL SELECT 'input', array_to_string(ta, ' ') = array_to_string(tb, ' ') FROM rw UNION ALL SELECT 'reference', true FROM rw) SELECT system, count(*) AS n, count_if(exact) AS exact, row_number() OVER (ORDER BY count_if(exact) DESC, system) AS place FROM b GROUP BY system")
+def leaderboard(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    systems = s.select(F.lit("changed").alias("system"), "exact").union(s.select(F.lit("input"), E.exact(F.col("input"), F.col("reference")))).union(s.select(F.lit("reference"), F.lit(True)))
+    g = systems.groupBy("system").agg(F.count("*").alias("n"), F.count_if("exact").alias("exact"))
+    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("exact"), "system")))
+
+
+@query("agg_37_judge_scores", f"WITH {_RW} SELECT id, greatest(0.0, 100.0 - 10.0 * edits - CASE WHEN failed THEN 2.5 ELSE 0.0 END)::DOUBLE AS score FROM ev")
+def judge_scores(spark, sf_dir):
+    r = rows(spark, sf_dir)
+    s = E.evaluated(r.select("id", "input", "reference"), r.select("id", "hypothesis"))
+    spans = F.concat(F.array_repeat(F.lit("major"), F.col("edits")), F.when(F.col("failed"), F.array(F.lit("minor"))).otherwise(F.expr("cast(array() as array<string>)")))
+    return s.select("id", E.judge_score(spans).alias("score"))
+
+
+_CLS = "CASE WHEN y = x THEN 'needless' WHEN h = x THEN 'untranslated' ELSE 'wrong' END"
+
+
+@query("agg_38_error_classes", f"WITH {_RW}, o AS (SELECT unnest(ta) AS x, unnest(tb) AS y, unnest(h) AS h FROM rw) SELECT CASE WHEN h = y THEN 'hit' ELSE {_CLS} END AS cls, count(*) AS n FROM o WHERE x IN ('the', 'of', 'and') GROUP BY cls")
+def error_classes(spark, sf_dir):
+    e = edited(spark, sf_dir).select(F.when(F.col("id") % 11 == 0, F.col("ta")).otherwise(F.transform("ta", lambda w: F.when(w == "the", "le").otherwise(w))).alias("h"), "ta", "tb")
+    o = e.select(F.explode(F.arrays_zip("ta", "tb", "h")).alias("p")).select("p.*").filter(F.col("ta").isin("the", "of", "and"))
+    return o.groupBy(P.error_class(F.col("ta"), F.col("tb"), F.col("h")).alias("cls")).agg(F.count("*").alias("n"))
+
+
+@query("jon_18_contrast", f"WITH {_RW}, s AS (SELECT id, -edits AS x, -len([1 FOR i IN range(1, len(ta) + 1) IF ta[i] <> tb[i]]) AS y FROM ev JOIN rw USING (id)) SELECT count_if(x > y) AS wins, count_if(x = y) AS ties, count_if(x < y) AS losses, round(avg(x - y), 6) AS gap FROM s")
+def contrast(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    base = s.select("id", (-E.word_edits(F.col("input"), F.col("reference"))).alias("score"))
+    return E.contrast(s.select("id", (-F.col("edits")).alias("score")), base, "id", "score")
+
+
+@query("agg_44_base_and_final", f"WITH {_RW} SELECT count_if(array_to_string(ta, ' ') = array_to_string(tb, ' ')) AS base_exact, count_if(exact) AS final_exact, count_if(array_to_string(ta, ' ') = array_to_string(tb, ' ') AND NOT exact) AS regressions FROM ev JOIN rw USING (id)")
+def base_and_final(spark, sf_dir):
+    s = scored(spark, sf_dir).withColumn("base", E.exact(F.col("input"), F.col("reference")))
+    return s.agg(F.count_if("base").alias("base_exact"), F.count_if("exact").alias("final_exact"), F.count_if(F.col("base") & ~F.col("exact")).alias("regressions"))
+
+
+@query("dif_04_failed_items", f"WITH {_RW} SELECT id, edits FROM ev WHERE NOT exact AND edits <= 2")
+def failed_items(spark, sf_dir):
+    return scored(spark, sf_dir).filter("not exact and edits <= 2").select("id", "edits")

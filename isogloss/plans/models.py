@@ -1 +1,154 @@
-"""Queries."""
+"""Queries of language models, decisions and classifiers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import language_model as M
+from . import sql
+from .common import sentences
+from .registry import query
+
+
+def lm_sentences(spark, sf_dir):
+    s = sentences(spark, sf_dir).filter("lang = 'en'")
+    return s.select((F.col("doc_id") * 100_000 + F.col("sent_no")).alias("id"), "doc_id", T.lm_text(F.col("text")).alias("text"))
+
+
+_LM = f"""{sql.SENT}, lm AS (SELECT doc_id * 100000 + sent_no AS id, doc_id, [CASE WHEN regexp_matches(x, '^[0-9]') THEN '0' ELSE x END FOR x IN {sql.find('lower(' + sql.fold('text') + ')', T.LM_UNITS)}] AS t FROM sent WHERE lang = 'en'),
+mk AS (SELECT id, doc_id, list_concat(['<s>'], t, ['</s>']) AS w FROM lm), nn AS (SELECT id, w, unnest([1, 2, 3]) AS n FROM mk), gg AS (SELECT n, unnest([array_to_string(w[i:i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS gram FROM nn),
+ct AS (SELECT n, gram, count(*) AS count FROM gg GROUP BY n, gram HAVING n = 1 OR count(*) > 1)"""
+
+
+@query("lmd_01_ngram_counts", f"WITH {_LM} SELECT * FROM ct")
+def ngram_counts(spark, sf_dir):
+    return M.ngram_counts(lm_sentences(spark, sf_dir), "text", 3).withColumn("n", F.col("n").cast("int"))
+
+
+@query(
+    "lmd_02_log_probability",
+    f"""WITH {_LM}, tt AS (SELECT sum(count) AS total FROM ct WHERE n = 1 AND gram <> '<s>'),
+ps AS (SELECT id, w, unnest(range(2, len(w) + 1)) AS i FROM mk WHERE doc_id % 5 = 0), hs AS (SELECT id, i, n, array_to_string(w[i - n + 1:i], ' ') AS gram, CASE WHEN n > 1 THEN array_to_string(w[i - n + 1:i - 1], ' ') END AS history FROM ps, (SELECT unnest([1, 2, 3]) AS n) WHERE n <= i),
+jn AS (SELECT hs.*, a.count AS c, b.count AS ch FROM hs LEFT JOIN ct a ON hs.gram = a.gram LEFT JOIN ct b ON hs.history = b.gram),
+bs AS (SELECT id, i, max(n) AS longest, max(CASE WHEN c IS NOT NULL AND (n = 1 OR ch IS NOT NULL) THEN n END) AS bn, arg_max(c, CASE WHEN c IS NOT NULL AND (n = 1 OR ch IS NOT NULL) THEN n END) AS c, arg_max(ch, CASE WHEN c IS NOT NULL AND n > 1 AND ch IS NOT NULL THEN n END) AS ch FROM jn GROUP BY id, i)
+SELECT id, count(*) AS words, round(sum(ln(CASE WHEN bn IS NULL THEN 0.5 / total WHEN bn = 1 THEN c / total ELSE c / ch END) + (longest - coalesce(bn, 1)) * ln(0.4)), 6) AS logprob FROM bs, tt GROUP BY id""",
+)
+def log_probability(spark, sf_dir):
+    s = lm_sentences(spark, sf_dir)
+    return M.log_probability(s.filter("doc_id % 5 = 0"), "id", "text", M.ngram_counts(s, "text", 3), 3).withColumn("logprob", F.round("logprob", 6))
+
+
+@query("lmd_03_prior", f"WITH {_LM}, t AS (SELECT sum(count) AS total FROM ct WHERE n = 1) SELECT gram AS form, round(ln((count + 1) / total), 6) AS prior FROM ct, t WHERE n = 1 AND gram IN ('the', 'of', 'and')")
+def prior(spark, sf_dir):
+    u = M.ngram_counts(lm_sentences(spark, sf_dir), "text", 1)
+    total = u.agg(F.sum("count").alias("total"))
+    return u.filter(F.col("gram").isin("the", "of", "and")).crossJoin(total).select(F.col("gram").alias("form"), F.round(M.prior(F.col("count"), F.col("total")), 6).alias("prior"))
+
+
+@query("lmd_04_lm_export", f"WITH {_LM} SELECT id, array_to_string(t, ' ') AS line FROM lm WHERE len(t) >= 3")
+def lm_export(spark, sf_dir):
+    return lm_sentences(spark, sf_dir).filter(F.size(F.split("text", " ")) >= 3).select("id", F.col("text").alias("line"))
+
+
+POINTS = [("the", "the"), ("the", "thee"), ("of", "of"), ("of", "off")]
+
+
+def token_arrays(spark, sf_dir):
+    return lm_sentences(spark, sf_dir).filter("doc_id % 20 = 0").select("id", F.split("text", " ").alias("w"))
+
+
+@query("lmd_08_detected", f"WITH {_LM}, x AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) - 1 AS i FROM lm WHERE doc_id % 20 = 0) SELECT id, i, form FROM x WHERE form IN ('the', 'of')")
+def detected(spark, sf_dir):
+    points = spark.createDataFrame(POINTS, "form string, candidate string").select("form").distinct()
+    return token_arrays(spark, sf_dir).select("id", F.posexplode("w").alias("i", "form")).join(points, "form").select("id", "i", "form")
+
+
+@query("lmd_09_candidate_texts", f"WITH {_LM}, x AS (SELECT id, t, unnest(t) AS form, generate_subscripts(t, 1) AS i FROM lm WHERE doc_id % 20 = 0), p(form, candidate) AS (VALUES ('the', 'the'), ('the', 'thee'), ('of', 'of'), ('of', 'off')) SELECT id, i - 1 AS i, candidate, array_to_string(list_concat(t[1:i - 1], [candidate], t[i + 1:]), ' ') AS text FROM x JOIN p USING (form)")
+def candidate_texts(spark, sf_dir):
+    points = spark.createDataFrame(POINTS, "form string, candidate string")
+    return M.candidate_texts(token_arrays(spark, sf_dir), points, "id").select("id", "i", "candidate", "text")
+
+
+def scored_candidates(spark, sf_dir):
+    """Scores that any engine can repeat stand for a model's."""
+    points = spark.createDataFrame(POINTS, "form string, candidate string")
+    c = M.candidate_texts(token_arrays(spark, sf_dir), points, "id")
+    score = -(F.col("id") + 7 * F.col("i") + 13 * F.length("candidate")) % 101 / 10
+    return c.select("id", "i", "candidate", score.alias("logprob"), (-F.length("candidate")).cast("double").alias("prior"), (F.col("candidate") == F.col("form")).alias("is_default"))
+
+
+_DEC = f"""{_LM}, x AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) - 1 AS i FROM lm WHERE doc_id % 20 = 0), p(form, candidate) AS (VALUES ('the', 'the'), ('the', 'thee'), ('of', 'of'), ('of', 'off')),
+sc AS (SELECT id, i, candidate, -(id + 7 * i + 13 * length(candidate)) % 101 / 10 + 0.5 * length(candidate) AS score, candidate = form AS d FROM x JOIN p USING (form)),
+dg AS (SELECT id, i, arg_max(candidate, (score, candidate)) AS best, max(score) AS top, max(CASE WHEN d THEN candidate END) AS "default", max(CASE WHEN d THEN score END) AS base FROM sc GROUP BY id, i)"""
+
+
+@query("lmd_06_decided", f'WITH {_DEC} SELECT id, i, "default", best, round(top - base, 6) AS gap, CASE WHEN top - base > 2 THEN best ELSE "default" END AS chosen FROM dg')
+def decided(spark, sf_dir):
+    return M.decided(scored_candidates(spark, sf_dir), ["id", "i"], 0.5, 2.0).withColumn("gap", F.round("gap", 6))
+
+
+@query("lmd_10_applied", f"""WITH {_DEC}, ch AS (SELECT id, i, CASE WHEN top - base > 2 THEN best ELSE "default" END AS chosen FROM dg), y AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) - 1 AS i FROM lm WHERE doc_id % 20 = 0) SELECT id, string_agg(coalesce(chosen, form), ' ' ORDER BY i) AS text FROM y LEFT JOIN ch USING (id, i) GROUP BY id""")
+def applied(spark, sf_dir):
+    return M.applied(token_arrays(spark, sf_dir), "id", M.decided(scored_candidates(spark, sf_dir), ["id", "i"], 0.5, 2.0))
+
+
+@query("lmd_11_grid", f"""WITH {_DEC}, g AS (SELECT m AS margin, l AS lam FROM (SELECT unnest([0.0, 1.0, 2.0, 4.0]) AS m), (SELECT unnest([0.0, 0.5]) AS l)), r AS (SELECT margin, lam, CASE WHEN top - base - lam > margin THEN best ELSE "default" END AS chosen, "default", CASE WHEN id % 2 = 0 THEN best ELSE "default" END AS expected FROM dg, g) SELECT margin, lam, count_if(chosen = expected) AS hits, count_if(chosen <> expected AND expected = "default") AS serious FROM r GROUP BY margin, lam""")
+def grid(spark, sf_dir):
+    d = M.decided(scored_candidates(spark, sf_dir), ["id", "i"], 0.5, 2.0)
+    d = d.select("default", "best", F.col("gap").alias("gap0"), F.lit(1.0).alias("dprior"), F.when(F.col("id") % 2 == 0, F.col("best")).otherwise(F.col("default")).alias("expected"))
+    parameters = spark.createDataFrame([(m, l) for m in (0.0, 1.0, 2.0, 4.0) for l in (0.0, 0.5)], "margin double, lam double")  # noqa: E741
+    return M.grid(d, parameters)
+
+
+def examples(spark, sf_dir):
+    """Slots of `the` (class 0) and `of` (class 1) as examples of one group."""
+    w = lm_sentences(spark, sf_dir).select("id", F.split("text", " ").alias("w"))
+    # Features are made inside the array, so no slot carries its sentence along.
+    slots = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("form"), F.when(x.isin("the", "of"), M.slot_features(F.col("w"), i)).alias("features"))), lambda s: s["features"].isNotNull())
+    s = w.select("id", F.explode(slots).alias("s")).select("id", "s.*")
+    return s.select(F.lit("the_of").alias("group"), "id", "i", F.when(F.col("form") == "the", 0).otherwise(1).alias("cls"), "features")
+
+
+_EX = f"""{_LM}, sl AS (SELECT id, t, unnest(t) AS form, generate_subscripts(t, 1) AS i FROM lm),
+ft AS (SELECT id, i, CASE WHEN form = 'the' THEN 0 ELSE 1 END AS cls, list_concat(['L1=' || coalesce(CASE WHEN i > 1 THEN t[i - 1] END, '_'), 'L2=' || coalesce(CASE WHEN i > 2 THEN t[i - 2] END, '_'), 'R1=' || coalesce(t[i + 1], '_'), 'R2=' || coalesce(t[i + 2], '_'),
+ 'LL=' || coalesce(CASE WHEN i > 2 THEN t[i - 2] END, '_') || ' ' || coalesce(CASE WHEN i > 1 THEN t[i - 1] END, '_'), 'RR=' || coalesce(t[i + 1], '_') || ' ' || coalesce(t[i + 2], '_')], ['B=' || x FOR x IN list_distinct(list_concat(t[greatest(1, i - 8):i - 1], t[i + 1:i + 8]))]) AS f FROM sl WHERE form IN ('the', 'of')),
+fe AS (SELECT cls, unnest(f) AS feature FROM ft), md AS (SELECT feature, count_if(cls = 0) AS n0, count_if(cls = 1) AS n1 FROM fe GROUP BY feature HAVING count(*) >= 2), mt AS (SELECT sum(n0) AS t0, sum(n1) AS t1, count(*) AS v FROM md)"""
+
+
+@query("nbc_01_slot_features", f"WITH {_EX} SELECT id, i - 1 AS i, cls, len(f) AS n FROM ft")
+def slot_features(spark, sf_dir):
+    return examples(spark, sf_dir).select("id", "i", "cls", F.size("features").alias("n"))
+
+
+@query("nbc_03_train", f"WITH {_EX} SELECT feature, n0, n1, t0::BIGINT AS t0, t1::BIGINT AS t1, v FROM md, mt")
+def train(spark, sf_dir):
+    return M.bayes_train(examples(spark, sf_dir)).drop("group")
+
+
+@query("nbc_04_logodds", f"WITH {_EX}, fl AS (SELECT id, i - 1 AS i, unnest(f) AS feature FROM ft WHERE id % 10 = 0) SELECT id, i, round(sum(ln((n0 + 0.5) / (t0 + 0.5 * v)) - ln((n1 + 0.5) / (t1 + 0.5 * v))), 6) AS logodds FROM fl JOIN md USING (feature), mt GROUP BY id, i")
+def logodds(spark, sf_dir):
+    e = examples(spark, sf_dir)
+    return M.bayes_logodds(e.filter("id % 10 = 0"), ["id", "i"], M.bayes_train(e))
+
+
+@query("nbc_05_balanced_accuracy", f"WITH {_EX}, fl AS (SELECT id, i, cls, unnest(f) AS feature FROM ft WHERE id % 10 = 0), lo AS (SELECT id, i, cls, sum(ln((n0 + 0.5) / (t0 + 0.5 * v)) - ln((n1 + 0.5) / (t1 + 0.5 * v))) AS o FROM fl JOIN md USING (feature), mt GROUP BY id, i, cls), rc AS (SELECT cls, avg(CASE WHEN (CASE WHEN round(o, 6) > 0 THEN 0 ELSE 1 END) = cls THEN 1 ELSE 0 END) AS r FROM lo GROUP BY cls) SELECT round(avg(r), 6) AS accuracy FROM rc")
+def balanced_accuracy(spark, sf_dir):
+    e = examples(spark, sf_dir)
+    s = M.bayes_logodds(e.filter("id % 10 = 0"), ["id", "i", "cls"], M.bayes_train(e))
+    return M.balanced_accuracy(s)
+
+
+@query("nbc_06_informative", f"WITH {_EX}, o AS (SELECT feature, round(ln((n0 + 0.5) / (t0 + 0.5 * v)) - ln((n1 + 0.5) / (t1 + 0.5 * v)), 6) AS odds FROM md, mt WHERE n0 + n1 >= 20) SELECT feature, odds FROM o QUALIFY row_number() OVER (ORDER BY odds DESC, feature) <= 10 OR row_number() OVER (ORDER BY odds, feature) <= 10")
+def informative(spark, sf_dir):
+    return M.informative(M.bayes_train(examples(spark, sf_dir))).drop("group")
+
+
+@query("agg_39_log_contrast", f"WITH t AS (SELECT lang = 'en' AS a, unnest({sql.tokens('text')}) AS form FROM documents), c AS (SELECT form, count_if(a) AS na, count_if(NOT a) AS nb FROM t GROUP BY form), s AS (SELECT sum(na) AS ta, sum(nb) AS tb FROM c) SELECT form, round(ln((na + 1) / ta) - ln((nb + 1) / tb), 6) AS contrast FROM c, s WHERE na + nb >= 50")
+def log_contrast(spark, sf_dir):
+    from .common import documents
+
+    t = documents(spark, sf_dir).select((F.col("lang") == "en").alias("a"), F.explode(T.tokens(F.col("text"))).alias("form"))
+    c = t.groupBy("form").agg(F.count_if("a").alias("na"), F.count_if(~F.col("a")).alias("nb"))
+    s = t.agg(F.count_if("a").alias("ta"), F.count_if(~F.col("a")).alias("tb"))
+    return c.filter("na + nb >= 50").crossJoin(s).select("form", F.round(F.log((F.col("na") + 1) / F.col("ta")) - F.log((F.col("nb") + 1) / F.col("tb")), 6).alias("contrast"))

@@ -1 +1,110 @@
-"""Queries."""
+"""Queries of rewriting: sentences of documents under a few lexical rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import rewrite as W
+from . import sql
+from .common import sentences
+from .registry import query
+
+LEXICON = [("the", "le"), ("of", "de"), ("and", "i")]
+SUFFIXES = [("tion", "cio"), ("ing", "ant")]
+
+
+def texts(spark, sf_dir):
+    s = sentences(spark, sf_dir)
+    return s.select((F.col("doc_id") * 100_000 + F.col("sent_no")).alias("id"), "text")
+
+
+def tokens(spark, sf_dir):
+    return W.token_table(texts(spark, sf_dir), "id")
+
+
+def lexicon(spark, entries=LEXICON):
+    return spark.createDataFrame(entries, "form string, put string")
+
+
+_TK = f"{sql.SENT}, tk AS (SELECT doc_id * 100000 + sent_no AS id, unnest(t) AS surface, generate_subscripts(t, 1) - 1 AS i FROM (SELECT doc_id, sent_no, {sql.find('text', T.LOSSLESS)} AS t FROM sent))"
+_CASE = "CASE WHEN length(surface) > 1 AND NOT regexp_matches(surface, '\\p{{Ll}}') AND regexp_matches(surface, '\\p{{Lu}}') THEN upper({p}) WHEN regexp_matches(surface, '^\\p{{Lu}}') THEN upper(substr({p}, 1, 1)) || substr({p}, 2) ELSE {p} END"
+_PUT = "CASE lower(surface) WHEN 'the' THEN 'le' WHEN 'of' THEN 'de' WHEN 'and' THEN 'i' END"
+_LOOK = f"CASE WHEN {_PUT} IS NOT NULL THEN {_CASE.format(p=chr(40) + _PUT + chr(41))} END"
+_SUF = "CASE WHEN regexp_matches(surface, '^[\\p{L}\\p{M}·]') AND upper(surface) <> surface THEN CASE WHEN ends_with(surface, 'tion') THEN regexp_replace(surface, 'tion$', 'cio') WHEN ends_with(surface, 'ing') THEN regexp_replace(surface, 'ing$', 'ant') END END"
+_RW = f"{_TK}, pr AS (SELECT id, i, surface, {_LOOK} AS lexicon, {_SUF} AS suffix FROM tk), rw AS (SELECT id, i, surface, coalesce(lexicon, suffix, surface) AS translated, CASE WHEN lexicon IS NOT NULL THEN 'lexicon' WHEN suffix IS NOT NULL THEN 'suffix' END AS rule FROM pr)"
+
+
+@query("rwt_01_lexicon", f"WITH {_TK} SELECT id, i, {_LOOK} AS put FROM tk WHERE {_LOOK} IS NOT NULL")
+def by_lexicon(spark, sf_dir):
+    return W.by_lookup(tokens(spark, sf_dir), lexicon(spark), "put").filter("put is not null").select("id", "i", "put")
+
+
+@query("rwt_02_phrases", f"WITH {sql.SENT} SELECT doc_id * 100000 + sent_no AS id, regexp_replace(regexp_replace(text, '(^|[^\\p{{L}}])of the([^\\p{{L}}]|$)', '\\1del\\2', 'g'), '(^|[^\\p{{L}}])in the([^\\p{{L}}]|$)', '\\1al\\2', 'g') AS text FROM sent")
+def phrases(spark, sf_dir):
+    return W.phrase_substitution(texts(spark, sf_dir), "id", [("of the", "del"), ("in the", "al")])
+
+
+@query("rwt_05_numerals", f"WITH {_TK} SELECT id, i, CASE lower(surface) WHEN 'on' THEN {_CASE.format(p=sql.lit('un'))} ELSE {_CASE.format(p=sql.lit('dos'))} END AS put FROM tk WHERE lower(surface) IN ('on', 'to')")
+def numerals(spark, sf_dir):
+    return W.by_lookup(tokens(spark, sf_dir), lexicon(spark, [("on", "un"), ("to", "dos")]), "put").filter("put is not null").select("id", "i", "put")
+
+
+@query("rwt_09_suffixes", f"WITH {_TK} SELECT id, i, {_SUF} AS put FROM tk WHERE {_SUF} IS NOT NULL")
+def suffixes(spark, sf_dir):
+    return W.by_suffix(tokens(spark, sf_dir), SUFFIXES, "put").filter("put is not null").select("id", "i", "put")
+
+
+@query("rwt_08_inchoative", f"WITH {_TK} SELECT id, i, regexp_replace(surface, 'ent$', 'ix') AS put FROM tk WHERE ends_with(surface, 'ent') AND upper(surface) <> surface AND lower(surface) NOT IN ('ment') AND regexp_matches(surface, '^[\\p{{L}}\\p{{M}}·]')")
+def inchoative(spark, sf_dir):
+    return W.by_suffix(tokens(spark, sf_dir), [("ent", "ix")], "put", ["ment"]).filter("put is not null").select("id", "i", "put")
+
+
+_NEI = _TK + ", nb AS (SELECT *, lead(surface) OVER w AS nx, lag(surface) OVER w AS pv FROM tk WHERE regexp_matches(surface, '^[\\p{{L}}\\p{{M}}·]') WINDOW w AS (PARTITION BY id ORDER BY i))".replace("{{", "{").replace("}}", "}")
+
+
+@query("rwt_10_next_word", f"WITH {_NEI} SELECT id, i, {_CASE.format(p=sql.lit('per a'))} AS put FROM nb WHERE lower(surface) = 'for' AND regexp_matches(lower(nx), '(?:e|ing)$')")
+def next_word(spark, sf_dir):
+    return W.by_neighbour(tokens(spark, sf_dir), "id", "for", "per a", "(?:e|ing)$", None, "put").filter("put is not null").select("id", "i", "put")
+
+
+@query("rwt_11_previous_word", f"WITH {_NEI} SELECT id, i, {_CASE.format(p=sql.lit('les'))} AS put FROM nb WHERE lower(surface) = 'the' AND regexp_matches(lower(pv), '^of$')")
+def previous_word(spark, sf_dir):
+    return W.by_neighbour(tokens(spark, sf_dir), "id", "the", "les", None, "^of$", "put").filter("put is not null").select("id", "i", "put")
+
+
+def job(spark, sf_dir):
+    t = W.by_suffix(W.by_lookup(tokens(spark, sf_dir), lexicon(spark), "lexicon"), SUFFIXES, "suffix")
+    return W.first_proposal(t, ["lexicon", "suffix"])
+
+
+@query("rwt_13_elision")
+def elision(spark, sf_dir):
+    t = W.repair_elision(job(spark, sf_dir), "id", {"le": "l'", "de": "d'"})
+    return W.rewritten(t, "id").select("id", "text")
+
+
+@query("rwt_14_rewritten", f"WITH {_RW} SELECT id, string_agg(translated, '' ORDER BY i) AS text, count(rule) AS n_changed FROM rw GROUP BY id")
+def rewritten(spark, sf_dir):
+    return W.rewritten(job(spark, sf_dir), "id").select("id", "text", "n_changed")
+
+
+@query("rwt_15_rules_fired", f"WITH {_RW} SELECT id, coalesce(string_agg(DISTINCT rule, ',' ORDER BY rule), '') AS rules FROM rw GROUP BY id")
+def rules_fired(spark, sf_dir):
+    return W.rewritten(job(spark, sf_dir), "id").select("id", "rules")
+
+
+@query("rwt_16_regex_pairs", f"WITH {sql.SENT} SELECT doc_id * 100000 + sent_no AS id, replace(replace(text, 'tion', 'cio'), 'the', 'le') AS text FROM sent")
+def regex_pairs(spark, sf_dir):
+    rules = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (("tion", "cio"), ("the", "le"))])
+    return texts(spark, sf_dir).select("id", F.aggregate(rules, F.col("text"), lambda acc, r: F.replace(acc, r["a"], r["b"])).alias("text"))
+
+
+@query("rwt_17_glossary", f"WITH {_TK}, f AS (SELECT id, surface, min(i) AS i FROM tk WHERE surface IN ('the', 'of') GROUP BY id, surface) SELECT id, string_agg(surface || '=' || CASE surface WHEN 'the' THEN 'le' ELSE 'de' END, ',' ORDER BY i) AS hints FROM f GROUP BY id")
+def glossary(spark, sf_dir):
+    return W.glossary(tokens(spark, sf_dir), "id", lexicon(spark), ["and"])
+
+
+@query("rwt_03_word_forms", f"WITH {_RW} SELECT rule, surface, translated, count(*) AS n FROM rw WHERE rule IS NOT NULL GROUP BY ALL")
+def rewritten_words(spark, sf_dir):
+    return job(spark, sf_dir).filter("rule is not null").groupBy("rule", "surface", "translated").agg(F.count("*").alias("n"))
