@@ -7,6 +7,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 
@@ -80,7 +81,7 @@ def chrf(df: DataFrame, key: str, hyp: str, ref: str, words: int = 0, beta: floa
     hundred times the text, so this one is scored in Arrow batches.
     """
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def score(h: pd.Series, r: pd.Series) -> pd.Series:
         def one(x: str, y: str) -> float:
             f = _f_scores(list("".join(x.split())), list("".join(y.split())), 6, beta) + _f_scores(x.split(), y.split(), words, beta)

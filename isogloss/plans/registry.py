@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from . import evaluation, index, lexicons, models, pairs, profiles, rewriting, selection, text  # noqa: F401
+    from . import evaluation, index, lexicons, models, pairs, profiles, rewriting, selection, sources, text  # noqa: F401
