@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII blanks, the separators of words in most operators.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +28,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"c{columns.index(n)}").alias(n) for n in names])
 
 
+def filtered(docs: DataFrame, run) -> DataFrame:
+    """docs through an Arrow function that only drops rows; its batches have the columns in order, without names."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in plain.schema])).toDF(*names)
+
+
 def hash_mod3(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(3))

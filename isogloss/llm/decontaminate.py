@@ -19,10 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import kernel
-from .common import cut, pick, table
+from .common import cut, filtered, pick, table
 
 WINDOW, BLOCK = 13, 3
 #: Bytes of benchmark text that are searched for, and sent to executors, at once.
@@ -229,7 +228,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pattern_b
             if keep:
                 yield b.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+    return filtered(docs, run)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,10 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import kernel
-from .common import hash_mod3, pick, table
+from .common import filtered, hash_mod3, pick, table
 
 GRAMS = 1 << 13
 ROUNDS, SMOOTH, OVERLAP = 15, 0.5, 3.0
@@ -224,7 +223,7 @@ def accepted(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> Dat
             if keep:
                 yield b.filter(pa.array(np.concatenate(keep).astype(bool)))
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+    return filtered(docs, run)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
