@@ -118,3 +118,53 @@ def balanced_accuracy(scored: DataFrame, *by: str) -> DataFrame:
     hit = F.when(F.col("logodds") > 0, 0).otherwise(1) == F.col("cls")
     recall = scored.groupBy(*by, "cls").agg(F.avg(hit.cast("int")).alias("recall"))
     return recall.groupBy(*by).agg(F.round(F.avg("recall"), 6).alias("accuracy"))
+
+
+def labelled_examples(slots: DataFrame, key: str, cap: int, seed: str) -> DataFrame:
+    """Slots (key, group, cls, ...) of texts that hold one class of a group only, at most cap of each class in a seeded order."""
+    one = slots.groupBy(key, "group").agg(F.count_distinct("cls").alias("k")).filter("k = 1").select(key, "group")
+    kept = slots.join(one, [key, "group"], "left_semi")
+    w = Window.partitionBy("group", "cls").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), F.col("i").cast("string"))), key, "i")
+    return kept.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cap).drop("_r")
+
+
+def bayes_choice(logodds: DataFrame, first: str, second: str) -> DataFrame:
+    """logodds with choice: the first candidate for a positive score."""
+    return logodds.withColumn("choice", F.when(F.col("logodds") > 0, first).otherwise(second))
+
+
+def gold_label(expected: Column, candidates: Column, reference_words: Column) -> Column:
+    """The expected candidate, else the only candidate that the reference has."""
+    inside = F.array_intersect(candidates, reference_words)
+    return F.coalesce(expected, F.when(F.size(inside) == 1, inside[0]))
+
+
+def pos_veto(pos: Column, gender: Column, noun: Column, verb: Column) -> Column:
+    """The reading that a part of speech decides for: the noun, the verb, or null."""
+    return F.when(pos.isin("VERB", "AUX"), verb).when(pos.isin("NOUN", "PROPN") | gender.isNotNull(), noun)
+
+
+def lemmatised(tokens: DataFrame, key: str, keep: DataFrame) -> DataFrame:
+    """key, text, n_changed of tokens (key, i, form, lemma, pos): lemmas, but for forms to keep, marks and numbers."""
+    j = tokens.join(keep.select("form", F.lit(True).alias("kept")).distinct(), "form", "left")
+    out = F.when(F.col("kept") | F.col("pos").isin("PUNCT", "NUM") | F.col("lemma").isNull(), F.col("form")).otherwise(F.col("lemma"))
+    j = j.withColumn("out", out)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "out"))), lambda x: x["out"])
+    return j.groupBy(key).agg(F.array_join(listed, " ").alias("text"), F.count_if(F.col("out") != F.col("form")).alias("n_changed"))
+
+
+def mixed_scores(scores: list[tuple[DataFrame, float]], key: list[str]) -> DataFrame:
+    """key, score: weighted sum of tables with a column logprob (a difference has a negative weight)."""
+    out = None
+    for k, (df, weight) in enumerate(scores):
+        part = df.select(*key, (weight * F.col("logprob")).alias(f"s{k}"))
+        out = part if out is None else out.join(part, key)
+    return out.select(*key, sum((F.col(f"s{k}") for k in range(len(scores))), F.lit(0.0)).alias("score"))
+
+
+def fusion(cases: DataFrame, weights: list[float], gaps: list[float]) -> DataFrame:
+    """rule, value, grp, accuracy of cases (grp, gap, logodds, first_right): gap + w * logodds, or the classifier where the gap is small."""
+    rules = [("sum", w, F.col("gap") + w * F.col("logodds") > 0) for w in weights] + [("below", g, F.when(F.abs("gap") < g, F.col("logodds") > 0).otherwise(F.col("gap") > 0)) for g in gaps]
+    tried = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(float(v)).alias("value"), says.alias("says")) for n, v, says in rules])
+    x = cases.select("grp", "first_right", F.explode(tried).alias("t")).select("grp", "first_right", "t.*")
+    return x.groupBy("rule", "value", "grp").agg(F.round(F.avg((F.col("says") == F.col("first_right")).cast("int")), 6).alias("accuracy"))

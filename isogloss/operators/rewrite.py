@@ -94,3 +94,20 @@ def glossary(tokens: DataFrame, key: str, lexicon: DataFrame, stop: list[str], m
     first = hit.groupBy(key, "form", "put").agg(F.min("i").alias("i"))
     listed = F.array_sort(F.collect_list(F.struct("i", F.concat_ws("=", "form", "put").alias("h"))))
     return first.groupBy(key).agg(F.array_join(F.transform(F.slice(listed, 1, most), lambda x: x["h"]), ",").alias("hints"))
+
+
+def agreeing(tokens: DataFrame, lexicon: DataFrame, name: str) -> DataFrame:
+    """As by_lookup(), but only where word and replacement agree in number (both end in -es or neither does)."""
+    t = by_lookup(tokens, lexicon, name)
+    same = F.lower(F.col("surface")).endswith("es") == F.lower(F.col(name)).endswith("es")
+    return t.withColumn(name, F.when(same, F.col(name)))
+
+
+def swapped(tokens: DataFrame, key: str, pairs: list[tuple[str, str]], name: str) -> DataFrame:
+    """Two words that stand together in one order change places: proposals of both, each in the other's place."""
+    words = Window.partitionBy(key, is_word(F.col("surface"))).orderBy("i")
+    here, nxt, prev = F.lower("surface"), F.lower(F.lead("surface").over(words)), F.lower(F.lag("surface").over(words))
+    out: Column = F.lit(None).cast("string")
+    for a, b in pairs:
+        out = F.when((here == a) & (nxt == b), F.lit(b)).when((here == b) & (prev == a), F.lit(a)).otherwise(out)
+    return tokens.withColumn(name, F.when(is_word(F.col("surface")), T.keep_case(F.col("surface"), out)))

@@ -107,3 +107,22 @@ def coverage(pool: DataFrame, key: str, labels: str, n: int, quota: int, rounds:
         fresh = best.groupBy(key).agg(F.first(labels).alias(labels), F.max("score").alias("score")).orderBy(F.desc("score"), key).limit(left)
         chosen = cut(chosen.union(fresh.select(key, labels)))
     return chosen
+
+
+def near_evaluation_exact(rows: DataFrame, evaluation: DataFrame, key: str, words: str, at_least: float = 0.6, letters: int = 3) -> DataFrame:
+    """key, item, jaccard of all pairs that near, over words of `letters` letters or more.
+
+    Two sets that reach the index share a word among the rarest n - ceil(at_least
+    * n) + 1 of an evaluation text of n words, so only these are joined and no
+    pair is lost.
+    """
+    long_ = lambda c: F.filter(c, lambda w: F.length(w) >= letters)
+    items = evaluation.select("item", long_(F.col(words)).alias("b")).filter(F.size("b") > 0)
+    w = items.select("item", F.size("b").alias("n"), F.explode("b").alias("word"))
+    freq = w.groupBy("word").agg(F.count("*").alias("f"))
+    ranked = w.join(freq, "word").withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("f", "word")))
+    prefix = ranked.filter(F.col("r") <= F.col("n") - F.ceil(at_least * F.col("n") - 1e-9) + 1).select("item", "word")
+    left = rows.select(key, long_(F.col(words)).alias("a"))
+    cand = left.select(key, F.explode("a").alias("word")).join(prefix, "word").select(key, "item").distinct()
+    both = cand.join(left, key).join(items, "item").withColumn("jaccard", F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")))
+    return both.filter(F.col("jaccard") >= at_least).select(key, "item", "jaccard")

@@ -107,3 +107,26 @@ def base_and_final(spark, sf_dir):
 @query("dif_04_failed_items", f"WITH {_RW} SELECT id, edits FROM ev WHERE NOT exact AND edits <= 2")
 def failed_items(spark, sf_dir):
     return scored(spark, sf_dir).filter("not exact and edits <= 2").select("id", "edits")
+
+
+@query("agg_42_pseudo_systems", f"WITH {_RW} SELECT 'reference' AS system, count(*) AS n, sum(len(tb))::BIGINT AS words FROM rw UNION ALL SELECT 'input', count(*), sum(len(ta))::BIGINT FROM rw UNION ALL SELECT 'changed', count(*), sum(len(h))::BIGINT FROM rw")
+def pseudo_systems(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    words = lambda c: F.size(F.split(c, " "))
+    systems = [s.select(F.lit(name).alias("system"), words(c).alias("w")) for name, c in (("reference", "reference"), ("input", "input"), ("changed", "hypothesis"))]
+    return systems[0].union(systems[1]).union(systems[2]).groupBy("system").agg(F.count("*").alias("n"), F.sum("w").alias("words"))
+
+
+@query("agg_43_points_by_type", f"WITH {_RW}, o AS (SELECT failed, unnest(ta) AS x, unnest(tb) AS y, unnest(h) AS h FROM rw) SELECT x AS type, CASE WHEN failed THEN 'default' ELSE 'rule' END AS decided_by, count(*) AS n, count_if(h = y) AS hits FROM o WHERE x IN ('the', 'of') GROUP BY ALL")
+def points_by_type(spark, sf_dir):
+    failed = F.col("id") % 11 == 0
+    e = edited(spark, sf_dir).select(failed.alias("failed"), F.when(failed, F.col("ta")).otherwise(F.transform("ta", lambda w: F.when(w == "the", "le").otherwise(w))).alias("h"), "ta", "tb")
+    o = e.select("failed", F.explode(F.arrays_zip("ta", "tb", "h")).alias("p")).select("failed", "p.*").filter(F.col("ta").isin("the", "of"))
+    return o.groupBy(F.col("ta").alias("type"), F.when(F.col("failed"), "default").otherwise("rule").alias("decided_by")).agg(F.count("*").alias("n"), F.count_if(F.col("h") == F.col("tb")).alias("hits"))
+
+
+@query("agg_40_layer_bookkeeping", f"WITH {_RW}, o AS (SELECT unnest(ta) AS x, unnest(tb) AS y, unnest(h) AS h FROM rw) SELECT count(*) AS points, count_if(h <> x) AS changed, count_if(x = y) AS default_hits, count_if(h = y) AS layer_hits FROM o WHERE x IN ('the', 'of', 'and')")
+def layer_bookkeeping(spark, sf_dir):
+    e = edited(spark, sf_dir).select(F.when(F.col("id") % 11 == 0, F.col("ta")).otherwise(F.transform("ta", lambda w: F.when(w == "the", "le").otherwise(w))).alias("h"), "ta", "tb")
+    o = e.select(F.explode(F.arrays_zip("ta", "tb", "h")).alias("p")).select("p.*").filter(F.col("ta").isin("the", "of", "and"))
+    return o.agg(F.count("*").alias("points"), F.count_if(F.col("h") != F.col("ta")).alias("changed"), F.count_if(F.col("ta") == F.col("tb")).alias("default_hits"), F.count_if(F.col("h") == F.col("tb")).alias("layer_hits"))

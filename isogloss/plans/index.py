@@ -340,3 +340,30 @@ def document_selection(spark, sf_dir):
 def net_share(spark, sf_dir):
     c = sentence_counts(spark, sf_dir).filter("words >= 8").withColumn("ix", M.index(F.col("occ"), F.col("other")))
     return c.agg(F.round(F.count_if((F.col("occ") >= 2) & (F.col("ix") > 0.6)) / F.count("*"), 6).alias("net"), F.round(F.count_if(F.col("occ") + F.col("other") == 1) / F.count("*"), 6).alias("single"))
+
+
+#: Rules with a normative and another variant, each a form before a word.
+RULES = [("article", "the", "a"), ("relative", "that", "which")]
+
+
+@query(
+    "agg_28_rule_compliance",
+    f"""WITH {DTOK}, r(rule, good, bad) AS (VALUES ('article', 'the', 'a'), ('relative', 'that', 'which')), h AS (SELECT rule, form = good AS ok FROM dt JOIN r ON form IN (good, bad)) SELECT rule, count(*) AS n, round(count_if(ok) / count(*), 6) AS share FROM h GROUP BY rule""",
+)
+def rule_compliance(spark, sf_dir):
+    r = spark.createDataFrame(RULES, "rule string, good string, bad string")
+    variants = r.select("rule", F.explode(F.array(F.struct(F.col("good").alias("form"), F.lit(True).alias("ok")), F.struct(F.col("bad").alias("form"), F.lit(False).alias("ok")))).alias("v")).select("rule", "v.*")
+    t = documents(spark, sf_dir).select(F.explode(T.tokens(F.col("text"))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
+    return t.join(variants, "form").groupBy("rule").agg(F.sum("n").alias("n"), F.round(F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("share"))
+
+
+@query("agg_13_specific_forms", f"WITH {DTOK}, {FORM_SQL} SELECT form, count_if(lang = 'en') AS own, count_if(lang <> 'en') AS other FROM dt JOIN forms USING (form) WHERE side = 'or' GROUP BY form")
+def specific_forms(spark, sf_dir):
+    t = documents(spark, sf_dir).select("lang", F.explode(T.tokens(F.col("text"))).alias("form")).join(forms(spark).filter("side = 'or'"), "form")
+    return t.groupBy("form").agg(F.count_if(F.col("lang") == "en").alias("own"), F.count_if(F.col("lang") != "en").alias("other"))
+
+
+@query("agg_16_phrase_usage", f"WITH {_GRAMS}, {PHRASE_SQL} SELECT phrase, round(100.0 * count_if(lang = 'en') / count(*), 6) AS fidelity, count(*) AS n FROM gr JOIN phrases USING (phrase) WHERE n >= 2 GROUP BY phrase")
+def phrase_usage(spark, sf_dir):
+    h = M.phrase_hits(documents(spark, sf_dir), ["doc_id", "lang"], phrases(spark), 3).filter("n >= 2")
+    return h.groupBy("phrase").agg(F.round(100.0 * F.count_if(F.col("lang") == "en") / F.count("*"), 6).alias("fidelity"), F.count("*").alias("n"))

@@ -92,9 +92,9 @@ def candidate_forms(spark, sf_dir):
     return L.candidate_forms(L.ambiguity_points(pairs(spark, sf_dir)))
 
 
-@query("lex_15_mood_pairs", f"WITH {P}, x AS (SELECT DISTINCT src, x.v AS dst FROM p, (SELECT unnest(['i', 'o']) AS s) y, LATERAL (SELECT dst || y.s AS v) x WHERE seq % 10 = 0), g AS (SELECT src, list_sort(list(dst)) AS l FROM x GROUP BY src HAVING count(*) = 2) SELECT src, l[1] AS in_i, l[2] AS in_o FROM g")
+@query("lex_15_mood_pairs", f"WITH {P}, x AS (SELECT DISTINCT src, x.v AS dst FROM p, (SELECT unnest(['i', 'o']) AS s) y, LATERAL (SELECT dst || y.s AS v) x), g AS (SELECT src, list_sort(list(dst)) AS l FROM x GROUP BY src HAVING count(*) = 2) SELECT src, l[1] AS in_i, l[2] AS in_o FROM g")
 def mood_pairs(spark, sf_dir):
-    p = pairs(spark, sf_dir).filter("seq % 10 = 0").select("src", F.explode(F.array(F.concat("dst", F.lit("i")), F.concat("dst", F.lit("o")))).alias("dst")).distinct()
+    p = pairs(spark, sf_dir).select("src", F.explode(F.array(F.concat("dst", F.lit("i")), F.concat("dst", F.lit("o")))).alias("dst")).distinct()
     return L.mood_pairs(p)
 
 
@@ -143,3 +143,14 @@ def clean_words(spark, sf_dir):
 def phrases(spark, sf_dir):
     p = pairs(spark, sf_dir)
     return L.phrases_by_length(p.select(F.concat_ws(" ", "src", "dst").alias("phrase")).union(p.select("src")))
+
+
+@query("lex_07_inverse_canonical", f"WITH {P}, q AS (SELECT dst, src, bool_or(canonical) AS c FROM p GROUP BY dst, src), k AS (SELECT *, bool_or(c) OVER (PARTITION BY dst) AS some_c FROM q) SELECT dst, string_agg(src, ',' ORDER BY src) AS partners FROM k WHERE c OR NOT some_c GROUP BY dst")
+def inverse_canonical(spark, sf_dir):
+    g = pairs(spark, sf_dir).groupBy("dst").agg(F.array_sort(F.collect_set("src")).alias("all"), F.array_sort(F.collect_set(F.when(F.col("canonical"), F.col("src")))).alias("canon"))
+    return g.select("dst", F.array_join(F.when(F.size("canon") > 0, F.array_intersect("all", "canon")).otherwise(F.col("all")), ",").alias("partners"))
+
+
+@query("lex_08_first_wins", f"WITH {P} SELECT src, arg_min(dst, seq) AS dst FROM p GROUP BY src")
+def first_wins(spark, sf_dir):
+    return pairs(spark, sf_dir).groupBy("src").agg(F.min_by("dst", "seq").alias("dst"))

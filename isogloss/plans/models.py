@@ -29,14 +29,14 @@ def ngram_counts(spark, sf_dir):
 @query(
     "lmd_02_log_probability",
     f"""WITH {_LM}, tt AS (SELECT sum(count) AS total FROM ct WHERE n = 1 AND gram <> '<s>'),
-ps AS (SELECT id, w, unnest(range(2, len(w) + 1)) AS i FROM mk WHERE doc_id % 5 = 0), hs AS (SELECT id, i, n, array_to_string(w[i - n + 1:i], ' ') AS gram, CASE WHEN n > 1 THEN array_to_string(w[i - n + 1:i - 1], ' ') END AS history FROM ps, (SELECT unnest([1, 2, 3]) AS n) WHERE n <= i),
+ps AS (SELECT id, w, unnest(range(2, len(w) + 1)) AS i FROM mk), hs AS (SELECT id, i, n, array_to_string(w[i - n + 1:i], ' ') AS gram, CASE WHEN n > 1 THEN array_to_string(w[i - n + 1:i - 1], ' ') END AS history FROM ps, (SELECT unnest([1, 2, 3]) AS n) WHERE n <= i),
 jn AS (SELECT hs.*, a.count AS c, b.count AS ch FROM hs LEFT JOIN ct a ON hs.gram = a.gram LEFT JOIN ct b ON hs.history = b.gram),
 bs AS (SELECT id, i, max(n) AS longest, max(CASE WHEN c IS NOT NULL AND (n = 1 OR ch IS NOT NULL) THEN n END) AS bn, arg_max(c, CASE WHEN c IS NOT NULL AND (n = 1 OR ch IS NOT NULL) THEN n END) AS c, arg_max(ch, CASE WHEN c IS NOT NULL AND n > 1 AND ch IS NOT NULL THEN n END) AS ch FROM jn GROUP BY id, i)
 SELECT id, count(*) AS words, round(sum(ln(CASE WHEN bn IS NULL THEN 0.5 / total WHEN bn = 1 THEN c / total ELSE c / ch END) + (longest - coalesce(bn, 1)) * ln(0.4)), 6) AS logprob FROM bs, tt GROUP BY id""",
 )
 def log_probability(spark, sf_dir):
     s = lm_sentences(spark, sf_dir)
-    return M.log_probability(s.filter("doc_id % 5 = 0"), "id", "text", M.ngram_counts(s, "text", 3), 3).withColumn("logprob", F.round("logprob", 6))
+    return M.log_probability(s, "id", "text", M.ngram_counts(s, "text", 3), 3).withColumn("logprob", F.round("logprob", 6))
 
 
 @query("lmd_03_prior", f"WITH {_LM}, t AS (SELECT sum(count) AS total FROM ct WHERE n = 1) SELECT gram AS form, round(ln((count + 1) / total), 6) AS prior FROM ct, t WHERE n = 1 AND gram IN ('the', 'of', 'and')")
@@ -55,16 +55,16 @@ POINTS = [("the", "the"), ("the", "thee"), ("of", "of"), ("of", "off")]
 
 
 def token_arrays(spark, sf_dir):
-    return lm_sentences(spark, sf_dir).filter("doc_id % 20 = 0").select("id", F.split("text", " ").alias("w"))
+    return lm_sentences(spark, sf_dir).select("id", F.split("text", " ").alias("w"))
 
 
-@query("lmd_08_detected", f"WITH {_LM}, x AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) - 1 AS i FROM lm WHERE doc_id % 20 = 0) SELECT id, i, form FROM x WHERE form IN ('the', 'of')")
+@query("lmd_08_detected", f"WITH {_LM}, x AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) - 1 AS i FROM lm) SELECT id, i, form FROM x WHERE form IN ('the', 'of')")
 def detected(spark, sf_dir):
     points = spark.createDataFrame(POINTS, "form string, candidate string").select("form").distinct()
     return token_arrays(spark, sf_dir).select("id", F.posexplode("w").alias("i", "form")).join(points, "form").select("id", "i", "form")
 
 
-@query("lmd_09_candidate_texts", f"WITH {_LM}, x AS (SELECT id, t, unnest(t) AS form, generate_subscripts(t, 1) AS i FROM lm WHERE doc_id % 20 = 0), p(form, candidate) AS (VALUES ('the', 'the'), ('the', 'thee'), ('of', 'of'), ('of', 'off')) SELECT id, i - 1 AS i, candidate, array_to_string(list_concat(t[1:i - 1], [candidate], t[i + 1:]), ' ') AS text FROM x JOIN p USING (form)")
+@query("lmd_09_candidate_texts", f"WITH {_LM}, x AS (SELECT id, t, unnest(t) AS form, generate_subscripts(t, 1) AS i FROM lm), p(form, candidate) AS (VALUES ('the', 'the'), ('the', 'thee'), ('of', 'of'), ('of', 'off')) SELECT id, i - 1 AS i, candidate, array_to_string(list_concat(t[1:i - 1], [candidate], t[i + 1:]), ' ') AS text FROM x JOIN p USING (form)")
 def candidate_texts(spark, sf_dir):
     points = spark.createDataFrame(POINTS, "form string, candidate string")
     return M.candidate_texts(token_arrays(spark, sf_dir), points, "id").select("id", "i", "candidate", "text")
@@ -78,7 +78,7 @@ def scored_candidates(spark, sf_dir):
     return c.select("id", "i", "candidate", score.alias("logprob"), (-F.length("candidate")).cast("double").alias("prior"), (F.col("candidate") == F.col("form")).alias("is_default"))
 
 
-_DEC = f"""{_LM}, x AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) - 1 AS i FROM lm WHERE doc_id % 20 = 0), p(form, candidate) AS (VALUES ('the', 'the'), ('the', 'thee'), ('of', 'of'), ('of', 'off')),
+_DEC = f"""{_LM}, x AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) - 1 AS i FROM lm), p(form, candidate) AS (VALUES ('the', 'the'), ('the', 'thee'), ('of', 'of'), ('of', 'off')),
 sc AS (SELECT id, i, candidate, -(id + 7 * i + 13 * length(candidate)) % 101 / 10 + 0.5 * length(candidate) AS score, candidate = form AS d FROM x JOIN p USING (form)),
 dg AS (SELECT id, i, arg_max(candidate, (score, candidate)) AS best, max(score) AS top, max(CASE WHEN d THEN candidate END) AS "default", max(CASE WHEN d THEN score END) AS base FROM sc GROUP BY id, i)"""
 
@@ -88,7 +88,7 @@ def decided(spark, sf_dir):
     return M.decided(scored_candidates(spark, sf_dir), ["id", "i"], 0.5, 2.0).withColumn("gap", F.round("gap", 6))
 
 
-@query("lmd_10_applied", f"""WITH {_DEC}, ch AS (SELECT id, i, CASE WHEN top - base > 2 THEN best ELSE "default" END AS chosen FROM dg), y AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) - 1 AS i FROM lm WHERE doc_id % 20 = 0) SELECT id, string_agg(coalesce(chosen, form), ' ' ORDER BY i) AS text FROM y LEFT JOIN ch USING (id, i) GROUP BY id""")
+@query("lmd_10_applied", f"""WITH {_DEC}, ch AS (SELECT id, i, CASE WHEN top - base > 2 THEN best ELSE "default" END AS chosen FROM dg), y AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) - 1 AS i FROM lm) SELECT id, string_agg(coalesce(chosen, form), ' ' ORDER BY i) AS text FROM y LEFT JOIN ch USING (id, i) GROUP BY id""")
 def applied(spark, sf_dir):
     return M.applied(token_arrays(spark, sf_dir), "id", M.decided(scored_candidates(spark, sf_dir), ["id", "i"], 0.5, 2.0))
 
@@ -126,16 +126,16 @@ def train(spark, sf_dir):
     return M.bayes_train(examples(spark, sf_dir)).drop("group")
 
 
-@query("nbc_04_logodds", f"WITH {_EX}, fl AS (SELECT id, i - 1 AS i, unnest(f) AS feature FROM ft WHERE id % 10 = 0) SELECT id, i, round(sum(ln((n0 + 0.5) / (t0 + 0.5 * v)) - ln((n1 + 0.5) / (t1 + 0.5 * v))), 6) AS logodds FROM fl JOIN md USING (feature), mt GROUP BY id, i")
+@query("nbc_04_logodds", f"WITH {_EX}, fl AS (SELECT id, i - 1 AS i, unnest(f) AS feature FROM ft) SELECT id, i, round(sum(ln((n0 + 0.5) / (t0 + 0.5 * v)) - ln((n1 + 0.5) / (t1 + 0.5 * v))), 6) AS logodds FROM fl JOIN md USING (feature), mt GROUP BY id, i")
 def logodds(spark, sf_dir):
     e = examples(spark, sf_dir)
-    return M.bayes_logodds(e.filter("id % 10 = 0"), ["id", "i"], M.bayes_train(e))
+    return M.bayes_logodds(e, ["id", "i"], M.bayes_train(e))
 
 
-@query("nbc_05_balanced_accuracy", f"WITH {_EX}, fl AS (SELECT id, i, cls, unnest(f) AS feature FROM ft WHERE id % 10 = 0), lo AS (SELECT id, i, cls, sum(ln((n0 + 0.5) / (t0 + 0.5 * v)) - ln((n1 + 0.5) / (t1 + 0.5 * v))) AS o FROM fl JOIN md USING (feature), mt GROUP BY id, i, cls), rc AS (SELECT cls, avg(CASE WHEN (CASE WHEN round(o, 6) > 0 THEN 0 ELSE 1 END) = cls THEN 1 ELSE 0 END) AS r FROM lo GROUP BY cls) SELECT round(avg(r), 6) AS accuracy FROM rc")
+@query("nbc_05_balanced_accuracy", f"WITH {_EX}, fl AS (SELECT id, i, cls, unnest(f) AS feature FROM ft), lo AS (SELECT id, i, cls, sum(ln((n0 + 0.5) / (t0 + 0.5 * v)) - ln((n1 + 0.5) / (t1 + 0.5 * v))) AS o FROM fl JOIN md USING (feature), mt GROUP BY id, i, cls), rc AS (SELECT cls, avg(CASE WHEN (CASE WHEN round(o, 6) > 0 THEN 0 ELSE 1 END) = cls THEN 1 ELSE 0 END) AS r FROM lo GROUP BY cls) SELECT round(avg(r), 6) AS accuracy FROM rc")
 def balanced_accuracy(spark, sf_dir):
     e = examples(spark, sf_dir)
-    s = M.bayes_logodds(e.filter("id % 10 = 0"), ["id", "i", "cls"], M.bayes_train(e))
+    s = M.bayes_logodds(e, ["id", "i", "cls"], M.bayes_train(e))
     return M.balanced_accuracy(s)
 
 
@@ -152,3 +152,58 @@ def log_contrast(spark, sf_dir):
     c = t.groupBy("form").agg(F.count_if("a").alias("na"), F.count_if(~F.col("a")).alias("nb"))
     s = t.agg(F.count_if("a").alias("ta"), F.count_if(~F.col("a")).alias("tb"))
     return c.filter("na + nb >= 50").crossJoin(s).select("form", F.round(F.log((F.col("na") + 1) / F.col("ta")) - F.log((F.col("nb") + 1) / F.col("tb")), 6).alias("contrast"))
+
+
+@query(
+    "nbc_02_labelled_examples",
+    f"WITH {_EX}, o AS (SELECT id FROM ft GROUP BY id HAVING count(DISTINCT cls) = 1) SELECT id, i - 1 AS i, cls FROM ft JOIN o USING (id) QUALIFY row_number() OVER (PARTITION BY cls ORDER BY md5('e:' || id || ':' || (i - 1)), id, i) <= 500",
+)
+def labelled_examples(spark, sf_dir):
+    return M.labelled_examples(examples(spark, sf_dir).drop("features"), "id", 500, "e").select("id", "i", "cls")
+
+
+@query("nbc_07_choices", f"WITH {_EX}, fl AS (SELECT id, i - 1 AS i, unnest(f) AS feature FROM ft), lo AS (SELECT id, i, round(sum(ln((n0 + 0.5) / (t0 + 0.5 * v)) - ln((n1 + 0.5) / (t1 + 0.5 * v))), 6) AS o FROM fl JOIN md USING (feature), mt GROUP BY id, i) SELECT id, i, CASE WHEN o > 0 THEN 'the' ELSE 'of' END AS choice FROM lo")
+def choices(spark, sf_dir):
+    e = examples(spark, sf_dir)
+    return M.bayes_choice(M.bayes_logodds(e, ["id", "i"], M.bayes_train(e)), F.lit("the"), F.lit("of")).select("id", "i", "choice")
+
+
+@query("nbc_08_gold_labels", f"WITH {_LM} SELECT id, CASE WHEN list_contains(t, 'the') AND NOT list_contains(t, 'thee') THEN 'the' WHEN list_contains(t, 'thee') AND NOT list_contains(t, 'the') THEN 'thee' END AS label FROM lm")
+def gold_labels(spark, sf_dir):
+    return lm_sentences(spark, sf_dir).select("id", M.gold_label(F.lit(None).cast("string"), F.array(F.lit("the"), F.lit("thee")), F.split("text", " ")).alias("label"))
+
+
+@query("lmd_13_lemmatised", f"WITH {_LM}, x AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) AS i FROM lm), l AS (SELECT id, i, form, CASE WHEN form IN ('the', 'of') OR NOT regexp_matches(form, '[a-z]') OR NOT ends_with(form, 's') THEN form ELSE substr(form, 1, length(form) - 1) END AS o FROM x) SELECT id, string_agg(o, ' ' ORDER BY i) AS text, count_if(o <> form) AS n_changed FROM l GROUP BY id")
+def lemmatised(spark, sf_dir):
+    t = lm_sentences(spark, sf_dir).filter("text <> ''").select("id", F.posexplode(F.split("text", " ")).alias("i", "form"))
+    lemma = F.when(F.col("form").endswith("s"), F.expr("substring(form, 1, length(form) - 1)"))
+    t = t.withColumn("lemma", lemma).withColumn("pos", F.when(F.col("form").rlike("[a-z]"), "WORD").otherwise("PUNCT"))
+    return M.lemmatised(t, "id", spark.createDataFrame([("the",), ("of",)], "form string"))
+
+
+@query("lmd_14_mixed_scores", f"WITH {_DEC} SELECT id, i, candidate, round(0.75 * (score - 0.5 * length(candidate)) + 0.25 * length(candidate), 6) AS score FROM sc")
+def mixed_scores(spark, sf_dir):
+    c = scored_candidates(spark, sf_dir)
+    other = c.select("id", "i", "candidate", F.length("candidate").cast("double").alias("logprob"))
+    return M.mixed_scores([(c, 0.75), (other, 0.25)], ["id", "i", "candidate"]).withColumn("score", F.round("score", 6))
+
+
+@query("lmd_15_fusion", f"""WITH {_DEC}, cs AS (SELECT id % 2 AS grp, top - base AS gap, (id % 7 - 3)::DOUBLE AS o, id % 3 = 0 AS r FROM dg),
+fu AS (SELECT 'sum' AS rule, w AS value, grp, gap + w * o > 0 AS says, r FROM cs, (SELECT unnest([0.5, 1.0]) AS w) UNION ALL SELECT 'below', 2.0, grp, CASE WHEN abs(gap) < 2.0 THEN o > 0 ELSE gap > 0 END, r FROM cs) SELECT rule, value::DOUBLE AS value, grp, round(avg(CASE WHEN says = r THEN 1 ELSE 0 END), 6) AS accuracy FROM fu GROUP BY ALL""")
+def fusion(spark, sf_dir):
+    d = M.decided(scored_candidates(spark, sf_dir), ["id", "i"], 0.5, 2.0)
+    cases = d.select((F.col("id") % 2).alias("grp"), "gap", (F.col("id") % 7 - 3).cast("double").alias("logodds"), (F.col("id") % 3 == 0).alias("first_right"))
+    return M.fusion(cases, [0.5, 1.0], [2.0])
+
+
+@query("lmd_16_labelled_benchmark", f"WITH {_LM}, x AS (SELECT id, t, unnest(t) AS form, generate_subscripts(t, 1) AS i FROM lm) SELECT id, i - 1 AS i, array_to_string(list_concat(t[1:i - 1], ['thee'], t[i + 1:]), ' ') AS text FROM x WHERE form = 'the'")
+def labelled_benchmark(spark, sf_dir):
+    points = spark.createDataFrame([("the", "thee")], "form string, candidate string")
+    return M.candidate_texts(token_arrays(spark, sf_dir), points, "id").select("id", "i", "text")
+
+
+@query("lmd_07_pos_veto", f"WITH {_LM}, x AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) - 1 AS i FROM lm) SELECT id, i, CASE WHEN ends_with(form, 'ing') THEN 'verb' WHEN ends_with(form, 'tion') THEN 'noun' END AS reading FROM x WHERE length(form) > 4")
+def pos_veto(spark, sf_dir):
+    t = lm_sentences(spark, sf_dir).select("id", F.posexplode(F.split("text", " ")).alias("i", "form")).filter(F.length("form") > 4)
+    pos = F.when(F.col("form").endswith("ing"), "VERB").when(F.col("form").endswith("tion"), "NOUN")
+    return t.select("id", "i", M.pos_veto(pos, F.lit(None).cast("string"), F.lit("noun"), F.lit("verb")).alias("reading"))

@@ -108,3 +108,23 @@ def glossary(spark, sf_dir):
 @query("rwt_03_word_forms", f"WITH {_RW} SELECT rule, surface, translated, count(*) AS n FROM rw WHERE rule IS NOT NULL GROUP BY ALL")
 def rewritten_words(spark, sf_dir):
     return job(spark, sf_dir).filter("rule is not null").groupBy("rule", "surface", "translated").agg(F.count("*").alias("n"))
+
+
+@query("rwt_04_agreeing", f"WITH {_TK} SELECT id, i, {_CASE.format(p=sql.lit('des'))} AS put FROM tk WHERE lower(surface) = 'les'")
+def agreeing(spark, sf_dir):
+    return W.agreeing(tokens(spark, sf_dir), lexicon(spark, [("les", "des"), ("the", "thes")]), "put").filter("put is not null").select("id", "i", "put")
+
+
+@query("rwt_06_demonstratives", f"WITH {_TK} SELECT id, i, {_CASE.format(p=sql.lit('aquest'))} AS put FROM tk WHERE lower(surface) = 'this'")
+def demonstratives(spark, sf_dir):
+    return W.by_lookup(tokens(spark, sf_dir), lexicon(spark, [("this", "aquest")]), "put").filter("put is not null").select("id", "i", "put")
+
+
+@query("rwt_07_gender_of_next", f"WITH {_NEI} SELECT id, i, {_CASE.format(p=sql.lit('dues'))} AS put FROM nb WHERE lower(surface) = 'to' AND regexp_matches(lower(nx), 'es$')")
+def gender_of_next(spark, sf_dir):
+    return W.by_neighbour(tokens(spark, sf_dir), "id", "to", "dues", "es$", None, "put").filter("put is not null").select("id", "i", "put")
+
+
+@query("rwt_12_swapped", f"WITH {_NEI} SELECT id, i, {_CASE.format(p=sql.lit('the'))} AS put FROM nb WHERE lower(surface) = 'of' AND lower(nx) = 'the' UNION ALL SELECT id, i, {_CASE.format(p=sql.lit('of'))} FROM nb WHERE lower(surface) = 'the' AND lower(pv) = 'of'")
+def swapped(spark, sf_dir):
+    return W.swapped(tokens(spark, sf_dir), "id", [("of", "the")], "put").filter("put is not null").select("id", "i", "put")

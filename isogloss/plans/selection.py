@@ -280,3 +280,14 @@ def integrity(spark, sf_dir):
     flags = r.agg(F.count_if(F.trim("text") != F.col("text")).alias("stray_blanks"), F.count_if(F.trim("text") == "").alias("blank"))
     rest = flags.select(F.explode(F.create_map(F.lit("stray_blanks"), "stray_blanks", F.lit("blank"), "blank")).alias("issue", "n"))
     return twice("id", "repeated_id").union(twice("text", "repeated_text")).union(rest)
+
+
+@query(
+    "jon_09_all_near",
+    f"""WITH {sql.SENT}, a AS (SELECT doc_id * 100000 + sent_no AS id, [x FOR x IN list_distinct({sql.bare('text')}) IF length(x) >= 3] AS w FROM sent),
+e AS (SELECT item_id * 1000 + generate_subscripts(p, 1) - 1 AS item, unnest(p) AS text FROM (SELECT item_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM benchmark)),
+b AS (SELECT item, [x FOR x IN list_distinct({sql.bare('text')}) IF length(x) >= 3] AS w FROM e), j AS (SELECT id, item, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS u FROM a JOIN b ON list_has_any(a.w, b.w))
+SELECT id, item, i / u AS jaccard FROM j WHERE i / u >= 0.6""",
+)
+def all_near(spark, sf_dir):
+    return S.near_evaluation_exact(_word_sets(spark, sf_dir), _items(spark, sf_dir), "id", "words")

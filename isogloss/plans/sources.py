@@ -165,3 +165,41 @@ def frequency_table(spark, sf_dir):
     # A map for each first letter, as a file of one map would not fit everywhere.
     n.groupBy(F.substring("form", 1, 1).alias("text")).agg(F.map_from_entries(F.collect_list(F.struct("form", "n"))).alias("freq")).write.json(path)
     return spark.read.schema("text string, freq map<string,long>").json(path).select(F.explode("freq").alias("form", "n"))
+
+
+@query("snk_01_json_lines", "SELECT item_id, text FROM benchmark UNION ALL SELECT doc_id, text FROM documents")
+def json_lines(spark, sf_dir):
+    path = scratch(spark) + "/json"
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text").union(table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    W.json_lines(d, path)
+    return spark.read.schema("item_id long, text string").json(path)
+
+
+@query("snk_02_csv_report", "SELECT source, count(*) AS n FROM documents GROUP BY source")
+def csv_report(spark, sf_dir):
+    path = scratch(spark) + "/csv"
+    W.csv_report(table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")), path)
+    return spark.read.schema("source string, n long").option("header", True).csv(path)
+
+
+@query("snk_10_routed", "SELECT doc_id, NOT regexp_matches(text, '[0-9]') AS final FROM documents")
+def routed(spark, sf_dir):
+    final, pending = W.routed(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text").rlike("[0-9]"))
+    return final.select("doc_id", F.lit(True).alias("final")).union(pending.select("doc_id", F.lit(False)))
+
+
+@query("src_12_cms_documents", r"SELECT url, 'T ' || page_id AS title, DATE '2020-01-02' AS date FROM pages")
+def cms_documents(spark, sf_dir):
+    path = scratch(spark) + "/cms"
+    p = table(spark, sf_dir, "pages")
+    rendered = lambda c: F.struct(c.alias("rendered"))
+    p.select(F.col("url").alias("link"), F.lit("2020-01-02T03:04:05").alias("date"), rendered(F.concat(F.lit("T "), F.col("page_id").cast("string"))).alias("title"), rendered(F.col("html")).alias("content")).write.json(path)
+    return R.cms_documents(spark, path).select("url", "title", "date")
+
+
+@query("str_04_stop_after", "SELECT count(*) >= 100 OR count(*) = (SELECT count(*) FROM documents WHERE length(text) > 500) AS enough FROM documents WHERE length(text) > 500")
+def stop_after(spark, sf_dir):
+    path, schema = _files(spark, sf_dir)
+    out = scratch(spark)
+    J.stop_after(J.new_documents(spark, path, schema, 1), F.length("text") > 500, 100, f"{out}/kept", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/kept").agg((F.count("*") >= 100).alias("enough"))
