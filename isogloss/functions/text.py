@@ -172,5 +172,10 @@ def tld(host: Column) -> Column:
 
 def ngrams(words: Column, most: int, least: int = 1) -> Column:
     """All n-grams of least to most words, joined by a blank."""
-    one = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.concat(*[one(n) for n in range(least, most + 1)])
+
+    def grams(w: Column) -> Column:
+        one = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.expr("cast(array() as array<string>)"))
+        return F.concat(*[one(n) for n in range(least, most + 1)])
+
+    # The words are bound to a variable, else they would be made anew for every n-gram.
+    return F.transform(F.array(words), grams)[0]

@@ -42,8 +42,11 @@ def _overlap(df: DataFrame, key: str, hyp: Column, ref: Column) -> DataFrame:
 
 
 def _grams(units: Column, orders: range, glue: str) -> Column:
-    one = lambda n: F.when(F.size(units) >= n, F.transform(F.sequence(F.lit(1), F.size(units) - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(units, i, n), glue).alias("g")))).otherwise(F.expr("cast(array() as array<struct<n:int,g:string>>)"))
-    return F.concat(*[one(n) for n in orders])
+    def grams(u: Column) -> Column:
+        one = lambda n: F.when(F.size(u) >= n, F.transform(F.sequence(F.lit(1), F.size(u) - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(u, i, n), glue).alias("g")))).otherwise(F.expr("cast(array() as array<struct<n:int,g:string>>)"))
+        return F.concat(*[one(n) for n in orders])
+
+    return F.transform(F.array(units), grams)[0]
 
 
 def bleu(df: DataFrame, key: str, hyp: str, ref: str) -> DataFrame:
