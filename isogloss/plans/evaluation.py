@@ -54,18 +54,18 @@ def evaluated(spark, sf_dir):
     return scored(spark, sf_dir).select("id", "failed", "exact")
 
 
-@query("agg_34_summary", f"WITH {_RW} SELECT count(*) AS n, count_if(failed) AS failed, count_if(exact) AS exact FROM ev")
+@query("agg_34_summary", f"WITH {_RW} SELECT count(*) AS n, count(*) FILTER (WHERE failed) AS failed, count(*) FILTER (WHERE exact) AS exact FROM ev")
 def summary(spark, sf_dir):
     return E.summary(scored(spark, sf_dir)).drop("wer")
 
 
-@query("agg_35_by_group", f"WITH {_RW} SELECT doc_id % 4 AS category, ref_words // 10 AS difficulty, count(*) AS n, count_if(exact) AS exact FROM ev GROUP BY GROUPING SETS ((category), (difficulty), ())")
+@query("agg_35_by_group", f"WITH {_RW} SELECT doc_id % 4 AS category, ref_words // 10 AS difficulty, count(*) AS n, count(*) FILTER (WHERE exact) AS exact FROM ev GROUP BY GROUPING SETS ((category), (difficulty), ())")
 def by_group(spark, sf_dir):
     s = scored(spark, sf_dir).select((F.floor(F.col("id") / 100_000) % 4).alias("category"), F.expr("ref_words div 10").alias("difficulty"), "exact")
     return s.groupingSets([["category"], ["difficulty"], []], "category", "difficulty").agg(F.count("*").alias("n"), F.count_if("exact").alias("exact"))
 
 
-@query("agg_36_leaderboard", f"WITH {_RW}, b AS (SELECT 'changed' AS system, exact FROM ev UNION ALL SELECT 'input', array_to_string(ta, ' ') = array_to_string(tb, ' ') FROM rw UNION ALL SELECT 'reference', true FROM rw) SELECT system, count(*) AS n, count_if(exact) AS exact, row_number() OVER (ORDER BY count_if(exact) DESC, system) AS place FROM b GROUP BY system")
+@query("agg_36_leaderboard", f"WITH {_RW}, b AS (SELECT 'changed' AS system, exact FROM ev UNION ALL SELECT 'input', array_to_string(ta, ' ') = array_to_string(tb, ' ') FROM rw UNION ALL SELECT 'reference', true FROM rw) SELECT system, count(*) AS n, count(*) FILTER (WHERE exact) AS exact, row_number() OVER (ORDER BY count(*) FILTER (WHERE exact) DESC, system) AS place FROM b GROUP BY system")
 def leaderboard(spark, sf_dir):
     s = scored(spark, sf_dir)
     systems = s.select(F.lit("changed").alias("system"), "exact").union(s.select(F.lit("input"), E.exact(F.col("input"), F.col("reference")))).union(s.select(F.lit("reference"), F.lit(True)))
@@ -91,14 +91,14 @@ def error_classes(spark, sf_dir):
     return o.groupBy(P.error_class(F.col("ta"), F.col("tb"), F.col("h")).alias("cls")).agg(F.count("*").alias("n"))
 
 
-@query("jon_18_contrast", f"WITH {_RW}, s AS (SELECT id, -edits AS x, -len([1 FOR i IN range(1, len(ta) + 1) IF ta[i] <> tb[i]]) AS y FROM ev JOIN rw USING (id)) SELECT count_if(x > y) AS wins, count_if(x = y) AS ties, count_if(x < y) AS losses, round(avg(x - y), 6) AS gap FROM s")
+@query("jon_18_contrast", f"WITH {_RW}, s AS (SELECT id, -edits AS x, -len([1 FOR i IN range(1, len(ta) + 1) IF ta[i] <> tb[i]]) AS y FROM ev JOIN rw USING (id)) SELECT count(*) FILTER (WHERE x > y) AS wins, count(*) FILTER (WHERE x = y) AS ties, count(*) FILTER (WHERE x < y) AS losses, round(avg(x - y), 6) AS gap FROM s")
 def contrast(spark, sf_dir):
     s = scored(spark, sf_dir)
     base = s.select("id", (-E.word_edits(F.col("input"), F.col("reference"))).alias("score"))
     return E.contrast(s.select("id", (-F.col("edits")).alias("score")), base, "id", "score")
 
 
-@query("agg_44_base_and_final", f"WITH {_RW} SELECT count_if(array_to_string(ta, ' ') = array_to_string(tb, ' ')) AS base_exact, count_if(exact) AS final_exact, count_if(array_to_string(ta, ' ') = array_to_string(tb, ' ') AND NOT exact) AS regressions FROM ev JOIN rw USING (id)")
+@query("agg_44_base_and_final", f"WITH {_RW} SELECT count(*) FILTER (WHERE array_to_string(ta, ' ') = array_to_string(tb, ' ')) AS base_exact, count(*) FILTER (WHERE exact) AS final_exact, count(*) FILTER (WHERE array_to_string(ta, ' ') = array_to_string(tb, ' ') AND NOT exact) AS regressions FROM ev JOIN rw USING (id)")
 def base_and_final(spark, sf_dir):
     s = scored(spark, sf_dir).withColumn("base", E.exact(F.col("input"), F.col("reference")))
     return s.agg(F.count_if("base").alias("base_exact"), F.count_if("exact").alias("final_exact"), F.count_if(F.col("base") & ~F.col("exact")).alias("regressions"))
@@ -117,7 +117,7 @@ def pseudo_systems(spark, sf_dir):
     return systems[0].union(systems[1]).union(systems[2]).groupBy("system").agg(F.count("*").alias("n"), F.sum("w").alias("words"))
 
 
-@query("agg_43_points_by_type", f"WITH {_RW}, o AS (SELECT failed, unnest(ta) AS x, unnest(tb) AS y, unnest(h) AS h FROM rw) SELECT x AS type, CASE WHEN failed THEN 'default' ELSE 'rule' END AS decided_by, count(*) AS n, count_if(h = y) AS hits FROM o WHERE x IN ('the', 'of') GROUP BY ALL")
+@query("agg_43_points_by_type", f"WITH {_RW}, o AS (SELECT failed, unnest(ta) AS x, unnest(tb) AS y, unnest(h) AS h FROM rw) SELECT x AS type, CASE WHEN failed THEN 'default' ELSE 'rule' END AS decided_by, count(*) AS n, count(*) FILTER (WHERE h = y) AS hits FROM o WHERE x IN ('the', 'of') GROUP BY ALL")
 def points_by_type(spark, sf_dir):
     failed = F.col("id") % 11 == 0
     e = edited(spark, sf_dir).select(failed.alias("failed"), F.when(failed, F.col("ta")).otherwise(F.transform("ta", lambda w: F.when(w == "the", "le").otherwise(w))).alias("h"), "ta", "tb")
@@ -125,7 +125,7 @@ def points_by_type(spark, sf_dir):
     return o.groupBy(F.col("ta").alias("type"), F.when(F.col("failed"), "default").otherwise("rule").alias("decided_by")).agg(F.count("*").alias("n"), F.count_if(F.col("h") == F.col("tb")).alias("hits"))
 
 
-@query("agg_40_layer_bookkeeping", f"WITH {_RW}, o AS (SELECT unnest(ta) AS x, unnest(tb) AS y, unnest(h) AS h FROM rw) SELECT count(*) AS points, count_if(h <> x) AS changed, count_if(x = y) AS default_hits, count_if(h = y) AS layer_hits FROM o WHERE x IN ('the', 'of', 'and')")
+@query("agg_40_layer_bookkeeping", f"WITH {_RW}, o AS (SELECT unnest(ta) AS x, unnest(tb) AS y, unnest(h) AS h FROM rw) SELECT count(*) AS points, count(*) FILTER (WHERE h <> x) AS changed, count(*) FILTER (WHERE x = y) AS default_hits, count(*) FILTER (WHERE h = y) AS layer_hits FROM o WHERE x IN ('the', 'of', 'and')")
 def layer_bookkeeping(spark, sf_dir):
     e = edited(spark, sf_dir).select(F.when(F.col("id") % 11 == 0, F.col("ta")).otherwise(F.transform("ta", lambda w: F.when(w == "the", "le").otherwise(w))).alias("h"), "ta", "tb")
     o = e.select(F.explode(F.arrays_zip("ta", "tb", "h")).alias("p")).select("p.*").filter(F.col("ta").isin("the", "of", "and"))

@@ -101,7 +101,7 @@ _BAND = "CASE WHEN ix IS NULL THEN 'none' WHEN ix = 0 THEN '0' WHEN ix < 0.25 TH
 @query(
     "agg_06_subsets",
     f"""WITH {SC}, x AS (SELECT *, {_INDEX} AS ix, unnest(CASE WHEN words >= 8 AND occ + other >= 2 THEN ['all', 'long', 'marked'] WHEN words >= 8 THEN ['all', 'long'] WHEN occ + other >= 2 THEN ['all', 'marked'] ELSE ['all'] END) AS subset FROM sc)
-SELECT subset, {_BAND} AS band, count(*) AS n, count_if(ix = 1 AND occ >= 2) AS pure FROM x GROUP BY subset, band""",
+SELECT subset, {_BAND} AS band, count(*) AS n, count(*) FILTER (WHERE ix = 1 AND occ >= 2) AS pure FROM x GROUP BY subset, band""",
 )
 def subsets(spark, sf_dir):
     c = sentence_counts(spark, sf_dir).withColumn("ix", M.index(F.col("occ"), F.col("other")))
@@ -144,7 +144,7 @@ def longest_hits(spark, sf_dir):
     return M.longest_hits(hits, ["doc_id"]).groupBy("doc_id", "phrase", "side").agg(F.count("*").alias("n"))
 
 
-@query("agg_09_lexicon_usage", f"WITH {_GRAMS}, {PHRASE_SQL} SELECT phrase, count(*) AS n_all, count_if(lang = 'en') AS n_good FROM gr JOIN phrases USING (phrase) GROUP BY phrase")
+@query("agg_09_lexicon_usage", f"WITH {_GRAMS}, {PHRASE_SQL} SELECT phrase, count(*) AS n_all, count(*) FILTER (WHERE lang = 'en') AS n_good FROM gr JOIN phrases USING (phrase) GROUP BY phrase")
 def lexicon_usage(spark, sf_dir):
     return M.phrase_hits(documents(spark, sf_dir), ["doc_id", "lang"], phrases(spark), 3).groupBy("phrase").agg(F.count("*").alias("n_all"), F.count_if(F.col("lang") == "en").alias("n_good"))
 
@@ -219,7 +219,7 @@ def suffix_usage(spark, sf_dir):
 
 @query(
     "agg_15_yearly_share",
-    f"WITH {DTOK}, y AS (SELECT 2000 + doc_id % 10 AS year, form FROM dt WHERE form IN ('the', 'of')) SELECT year, round(count_if(form = 'the') / count(*), 6) AS share, count(*) AS n FROM y GROUP BY year",
+    f"WITH {DTOK}, y AS (SELECT 2000 + doc_id % 10 AS year, form FROM dt WHERE form IN ('the', 'of')) SELECT year, round(count(*) FILTER (WHERE form = 'the') / count(*), 6) AS share, count(*) AS n FROM y GROUP BY year",
 )
 def yearly_share(spark, sf_dir):
     t = documents(spark, sf_dir).select((2000 + F.col("doc_id") % 10).alias("year"), F.explode(T.tokens(F.col("text"))).alias("form")).filter(F.col("form").isin("the", "of"))
@@ -269,7 +269,7 @@ def collocations(spark, sf_dir):
 
 @query(
     "agg_21_new_markers",
-    f"""WITH {DTOK}, n AS (SELECT form, count_if(lang = 'en') AS n_in, count(*) AS n_all FROM dt GROUP BY form), t AS (SELECT count_if(lang = 'en') AS t_in, count(*) AS t_all FROM dt)
+    f"""WITH {DTOK}, n AS (SELECT form, count(*) FILTER (WHERE lang = 'en') AS n_in, count(*) AS n_all FROM dt GROUP BY form), t AS (SELECT count(*) FILTER (WHERE lang = 'en') AS t_in, count(*) AS t_all FROM dt)
 SELECT form, n_in, n_all, (n_in * t_all) / (n_all * t_in) AS ratio FROM n, t WHERE n_in > 50 AND (n_in * t_all) / (n_all * t_in) > 1.5 ORDER BY ratio DESC, form LIMIT 100""",
 )
 def new_markers(spark, sf_dir):
@@ -299,7 +299,7 @@ def term_index(spark, sf_dir):
 @query(
     "agg_24_western_profile",
     f"""WITH {SC}, w AS (SELECT * FROM sc WHERE occ >= 1 AND {_INDEX} >= 0.5), r AS (SELECT words, row_number() OVER (ORDER BY words) AS r, count(*) OVER () AS n FROM w)
-SELECT count(*) AS sentences, count_if(occ = 1) AS single, count_if(other > 0) AS mixed, round(avg(words), 6) AS mean_words, (SELECT words FROM r WHERE r = floor(0.1 * n) + 1) AS p10, (SELECT words FROM r WHERE r = floor(0.5 * n) + 1) AS p50, count(DISTINCT source) AS sources FROM w""",
+SELECT count(*) AS sentences, count(*) FILTER (WHERE occ = 1) AS single, count(*) FILTER (WHERE other > 0) AS mixed, round(avg(words), 6) AS mean_words, (SELECT words FROM r WHERE r = floor(0.1 * n) + 1) AS p10, (SELECT words FROM r WHERE r = floor(0.5 * n) + 1) AS p50, count(DISTINCT source) AS sources FROM w""",
 )
 def western_profile(spark, sf_dir):
     w = sentence_counts(spark, sf_dir).filter((F.col("occ") >= 1) & (M.index(F.col("occ"), F.col("other")) >= 0.5))
@@ -336,7 +336,7 @@ def document_selection(spark, sf_dir):
     return c.join(keep, "doc_id", "left_semi").filter("occ >= other and words >= 5").select("doc_id", "sent_no")
 
 
-@query("agg_41_net_share", f"WITH {SC} SELECT round(count_if(occ >= 2 AND {_INDEX} > 0.6) / count(*), 6) AS net, round(count_if(occ + other = 1) / count(*), 6) AS single FROM sc WHERE words >= 8")
+@query("agg_41_net_share", f"WITH {SC} SELECT round(count(*) FILTER (WHERE occ >= 2 AND {_INDEX} > 0.6) / count(*), 6) AS net, round(count(*) FILTER (WHERE occ + other = 1) / count(*), 6) AS single FROM sc WHERE words >= 8")
 def net_share(spark, sf_dir):
     c = sentence_counts(spark, sf_dir).filter("words >= 8").withColumn("ix", M.index(F.col("occ"), F.col("other")))
     return c.agg(F.round(F.count_if((F.col("occ") >= 2) & (F.col("ix") > 0.6)) / F.count("*"), 6).alias("net"), F.round(F.count_if(F.col("occ") + F.col("other") == 1) / F.count("*"), 6).alias("single"))
@@ -348,7 +348,7 @@ RULES = [("article", "the", "a"), ("relative", "that", "which")]
 
 @query(
     "agg_28_rule_compliance",
-    f"""WITH {DTOK}, r(rule, good, bad) AS (VALUES ('article', 'the', 'a'), ('relative', 'that', 'which')), h AS (SELECT rule, form = good AS ok FROM dt JOIN r ON form IN (good, bad)) SELECT rule, count(*) AS n, round(count_if(ok) / count(*), 6) AS share FROM h GROUP BY rule""",
+    f"""WITH {DTOK}, r(rule, good, bad) AS (VALUES ('article', 'the', 'a'), ('relative', 'that', 'which')), h AS (SELECT rule, form = good AS ok FROM dt JOIN r ON form IN (good, bad)) SELECT rule, count(*) AS n, round(count(*) FILTER (WHERE ok) / count(*), 6) AS share FROM h GROUP BY rule""",
 )
 def rule_compliance(spark, sf_dir):
     r = spark.createDataFrame(RULES, "rule string, good string, bad string")
@@ -357,13 +357,13 @@ def rule_compliance(spark, sf_dir):
     return t.join(variants, "form").groupBy("rule").agg(F.sum("n").alias("n"), F.round(F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("share"))
 
 
-@query("agg_13_specific_forms", f"WITH {DTOK}, {FORM_SQL} SELECT form, count_if(lang = 'en') AS own, count_if(lang <> 'en') AS other FROM dt JOIN forms USING (form) WHERE side = 'or' GROUP BY form")
+@query("agg_13_specific_forms", f"WITH {DTOK}, {FORM_SQL} SELECT form, count(*) FILTER (WHERE lang = 'en') AS own, count(*) FILTER (WHERE lang <> 'en') AS other FROM dt JOIN forms USING (form) WHERE side = 'or' GROUP BY form")
 def specific_forms(spark, sf_dir):
     t = documents(spark, sf_dir).select("lang", F.explode(T.tokens(F.col("text"))).alias("form")).join(forms(spark).filter("side = 'or'"), "form")
     return t.groupBy("form").agg(F.count_if(F.col("lang") == "en").alias("own"), F.count_if(F.col("lang") != "en").alias("other"))
 
 
-@query("agg_16_phrase_usage", f"WITH {_GRAMS}, {PHRASE_SQL} SELECT phrase, round(100.0 * count_if(lang = 'en') / count(*), 6) AS fidelity, count(*) AS n FROM gr JOIN phrases USING (phrase) WHERE n >= 2 GROUP BY phrase")
+@query("agg_16_phrase_usage", f"WITH {_GRAMS}, {PHRASE_SQL} SELECT phrase, round(100.0 * count(*) FILTER (WHERE lang = 'en') / count(*), 6) AS fidelity, count(*) AS n FROM gr JOIN phrases USING (phrase) WHERE n >= 2 GROUP BY phrase")
 def phrase_usage(spark, sf_dir):
     h = M.phrase_hits(documents(spark, sf_dir), ["doc_id", "lang"], phrases(spark), 3).filter("n >= 2")
     return h.groupBy("phrase").agg(F.round(100.0 * F.count_if(F.col("lang") == "en") / F.count("*"), 6).alias("fidelity"), F.count("*").alias("n"))

@@ -74,7 +74,7 @@ def homographs(spark, sf_dir):
     return L.homographs(r)
 
 
-@query("lex_12_noun_only", f"WITH {P} SELECT src AS form FROM p GROUP BY src HAVING count(*) = count_if(category = 'n')")
+@query("lex_12_noun_only", f"WITH {P} SELECT src AS form FROM p GROUP BY src HAVING count(*) = count(*) FILTER (WHERE category = 'n')")
 def noun_only(spark, sf_dir):
     return L.noun_only(pairs(spark, sf_dir))
 

@@ -93,7 +93,7 @@ def applied(spark, sf_dir):
     return M.applied(token_arrays(spark, sf_dir), "id", M.decided(scored_candidates(spark, sf_dir), ["id", "i"], 0.5, 2.0))
 
 
-@query("lmd_11_grid", f"""WITH {_DEC}, g AS (SELECT m AS margin, l AS lam FROM (SELECT unnest([0.0, 1.0, 2.0, 4.0]) AS m), (SELECT unnest([0.0, 0.5]) AS l)), r AS (SELECT margin, lam, CASE WHEN top - base - lam > margin THEN best ELSE "default" END AS chosen, "default", CASE WHEN id % 2 = 0 THEN best ELSE "default" END AS expected FROM dg, g) SELECT margin, lam, count_if(chosen = expected) AS hits, count_if(chosen <> expected AND expected = "default") AS serious FROM r GROUP BY margin, lam""")
+@query("lmd_11_grid", f"""WITH {_DEC}, g AS (SELECT m AS margin, l AS lam FROM (SELECT unnest([0.0, 1.0, 2.0, 4.0]) AS m), (SELECT unnest([0.0, 0.5]) AS l)), r AS (SELECT margin, lam, CASE WHEN top - base - lam > margin THEN best ELSE "default" END AS chosen, "default", CASE WHEN id % 2 = 0 THEN best ELSE "default" END AS expected FROM dg, g) SELECT margin, lam, count(*) FILTER (WHERE chosen = expected) AS hits, count(*) FILTER (WHERE chosen <> expected AND expected = "default") AS serious FROM r GROUP BY margin, lam""")
 def grid(spark, sf_dir):
     d = M.decided(scored_candidates(spark, sf_dir), ["id", "i"], 0.5, 2.0)
     d = d.select("default", "best", F.col("gap").alias("gap0"), F.lit(1.0).alias("dprior"), F.when(F.col("id") % 2 == 0, F.col("best")).otherwise(F.col("default")).alias("expected"))
@@ -113,7 +113,7 @@ def examples(spark, sf_dir):
 _EX = f"""{_LM}, sl AS (SELECT id, t, unnest(t) AS form, generate_subscripts(t, 1) AS i FROM lm),
 ft AS (SELECT id, i, CASE WHEN form = 'the' THEN 0 ELSE 1 END AS cls, list_concat(['L1=' || coalesce(CASE WHEN i > 1 THEN t[i - 1] END, '_'), 'L2=' || coalesce(CASE WHEN i > 2 THEN t[i - 2] END, '_'), 'R1=' || coalesce(t[i + 1], '_'), 'R2=' || coalesce(t[i + 2], '_'),
  'LL=' || coalesce(CASE WHEN i > 2 THEN t[i - 2] END, '_') || ' ' || coalesce(CASE WHEN i > 1 THEN t[i - 1] END, '_'), 'RR=' || coalesce(t[i + 1], '_') || ' ' || coalesce(t[i + 2], '_')], ['B=' || x FOR x IN list_distinct(list_concat(t[greatest(1, i - 8):i - 1], t[i + 1:i + 8]))]) AS f FROM sl WHERE form IN ('the', 'of')),
-fe AS (SELECT cls, unnest(f) AS feature FROM ft), md AS (SELECT feature, count_if(cls = 0) AS n0, count_if(cls = 1) AS n1 FROM fe GROUP BY feature HAVING count(*) >= 2), mt AS (SELECT sum(n0) AS t0, sum(n1) AS t1, count(*) AS v FROM md)"""
+fe AS (SELECT cls, unnest(f) AS feature FROM ft), md AS (SELECT feature, count(*) FILTER (WHERE cls = 0) AS n0, count(*) FILTER (WHERE cls = 1) AS n1 FROM fe GROUP BY feature HAVING count(*) >= 2), mt AS (SELECT sum(n0) AS t0, sum(n1) AS t1, count(*) AS v FROM md)"""
 
 
 @query("nbc_01_slot_features", f"WITH {_EX} SELECT id, i - 1 AS i, cls, len(f) AS n FROM ft")
@@ -144,7 +144,7 @@ def informative(spark, sf_dir):
     return M.informative(M.bayes_train(examples(spark, sf_dir))).drop("group")
 
 
-@query("agg_39_log_contrast", f"WITH t AS (SELECT lang = 'en' AS a, unnest({sql.tokens('text')}) AS form FROM documents), c AS (SELECT form, count_if(a) AS na, count_if(NOT a) AS nb FROM t GROUP BY form), s AS (SELECT sum(na) AS ta, sum(nb) AS tb FROM c) SELECT form, round(ln((na + 1) / ta) - ln((nb + 1) / tb), 6) AS contrast FROM c, s WHERE na + nb >= 50")
+@query("agg_39_log_contrast", f"WITH t AS (SELECT lang = 'en' AS a, unnest({sql.tokens('text')}) AS form FROM documents), c AS (SELECT form, count(*) FILTER (WHERE a) AS na, count(*) FILTER (WHERE NOT a) AS nb FROM t GROUP BY form), s AS (SELECT sum(na) AS ta, sum(nb) AS tb FROM c) SELECT form, round(ln((na + 1) / ta) - ln((nb + 1) / tb), 6) AS contrast FROM c, s WHERE na + nb >= 50")
 def log_contrast(spark, sf_dir):
     from .common import documents
 
@@ -173,7 +173,7 @@ def gold_labels(spark, sf_dir):
     return lm_sentences(spark, sf_dir).select("id", M.gold_label(F.lit(None).cast("string"), F.array(F.lit("the"), F.lit("thee")), F.split("text", " ")).alias("label"))
 
 
-@query("lmd_13_lemmatised", f"WITH {_LM}, x AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) AS i FROM lm), l AS (SELECT id, i, form, CASE WHEN form IN ('the', 'of') OR NOT regexp_matches(form, '[a-z]') OR NOT ends_with(form, 's') THEN form ELSE substr(form, 1, length(form) - 1) END AS o FROM x) SELECT id, string_agg(o, ' ' ORDER BY i) AS text, count_if(o <> form) AS n_changed FROM l GROUP BY id")
+@query("lmd_13_lemmatised", f"WITH {_LM}, x AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) AS i FROM lm), l AS (SELECT id, i, form, CASE WHEN form IN ('the', 'of') OR NOT regexp_matches(form, '[a-z]') OR NOT ends_with(form, 's') THEN form ELSE substr(form, 1, length(form) - 1) END AS o FROM x) SELECT id, string_agg(o, ' ' ORDER BY i) AS text, count(*) FILTER (WHERE o <> form) AS n_changed FROM l GROUP BY id")
 def lemmatised(spark, sf_dir):
     t = lm_sentences(spark, sf_dir).filter("text <> ''").select("id", F.posexplode(F.split("text", " ")).alias("i", "form"))
     lemma = F.when(F.col("form").endswith("s"), F.expr("substring(form, 1, length(form) - 1)"))

@@ -232,7 +232,7 @@ def two_columns(spark, sf_dir):
     return c.groupBy("id").agg(F.max(F.when(F.col("side_col") == "a", F.col("occ"))).alias("occ_a"), F.max(F.when(F.col("side_col") == "b", F.col("occ"))).alias("occ_b"))
 
 
-@query("jon_20_review_merge", "SELECT source, count_if(l.quality = 1) AS valid, count_if(l.quality IS NULL) AS pending, count_if(l.quality = 0) AS rejected FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source")
+@query("jon_20_review_merge", "SELECT source, count(*) FILTER (WHERE l.quality = 1) AS valid, count(*) FILTER (WHERE l.quality IS NULL) AS pending, count(*) FILTER (WHERE l.quality = 0) AS rejected FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source")
 def review_merge(spark, sf_dir):
     q = F.col("quality")
     d = documents(spark, sf_dir).select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")

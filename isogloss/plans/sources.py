@@ -41,7 +41,7 @@ def json_records(spark, sf_dir):
     return good
 
 
-@query("src_05_repaired_json", "SELECT count_if(doc_id % 3 = 1) AS repaired, count_if(doc_id % 3 = 2) AS lost, count_if(doc_id % 3 < 2) AS kept FROM documents")
+@query("src_05_repaired_json", "SELECT count(*) FILTER (WHERE doc_id % 3 = 1) AS repaired, count(*) FILTER (WHERE doc_id % 3 = 2) AS lost, count(*) FILTER (WHERE doc_id % 3 < 2) AS kept FROM documents")
 def repaired_json(spark, sf_dir):
     path = scratch(spark) + "/junk"
     j = F.to_json(F.struct("doc_id", F.regexp_replace("text", "[{}]", " ").alias("text")))
@@ -188,13 +188,13 @@ def routed(spark, sf_dir):
     return final.select("doc_id", F.lit(True).alias("final")).union(pending.select("doc_id", F.lit(False)))
 
 
-@query("src_12_cms_documents", r"SELECT url, 'T ' || page_id AS title, DATE '2020-01-02' AS date FROM pages")
+@query("src_12_cms_documents", r"SELECT url, 'T ' || page_id AS title, '2020-01-02' AS date FROM pages")
 def cms_documents(spark, sf_dir):
     path = scratch(spark) + "/cms"
     p = table(spark, sf_dir, "pages")
     rendered = lambda c: F.struct(c.alias("rendered"))
     p.select(F.col("url").alias("link"), F.lit("2020-01-02T03:04:05").alias("date"), rendered(F.concat(F.lit("T "), F.col("page_id").cast("string"))).alias("title"), rendered(F.col("html")).alias("content")).write.json(path)
-    return R.cms_documents(spark, path).select("url", "title", "date")
+    return R.cms_documents(spark, path).select("url", "title", F.col("date").cast("string").alias("date"))
 
 
 @query("str_04_stop_after", "SELECT count(*) >= 100 OR count(*) = (SELECT count(*) FROM documents WHERE length(text) > 500) AS enough FROM documents WHERE length(text) > 500")

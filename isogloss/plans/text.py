@@ -220,7 +220,7 @@ def window(spark, sf_dir):
 
 @query(
     "prd_06_min_words",
-    f"WITH d AS (SELECT source, len({sql.tokens('text')}) >= CASE source WHEN 'src0' THEN 300 WHEN 'src1' THEN 100 ELSE 50 END AS ok FROM documents) SELECT source, count_if(ok) AS kept, count_if(NOT ok) AS dropped FROM d GROUP BY source",
+    f"WITH d AS (SELECT source, len({sql.tokens('text')}) >= CASE source WHEN 'src0' THEN 300 WHEN 'src1' THEN 100 ELSE 50 END AS ok FROM documents) SELECT source, count(*) FILTER (WHERE ok) AS kept, count(*) FILTER (WHERE NOT ok) AS dropped FROM d GROUP BY source",
 )
 def min_words(spark, sf_dir):
     from ..operators.cleaning import min_words_by_source
@@ -230,7 +230,7 @@ def min_words(spark, sf_dir):
     return marked.groupBy("source").agg(F.count_if("ok").alias("kept"), F.count_if(~F.col("ok")).alias("dropped"))
 
 
-@query("prd_07_lm_lines", f"WITH {sql.SENT}, t AS (SELECT len({sql.find('lower(' + sql.fold('text') + ')', T.LM_UNITS)}) AS n FROM sent) SELECT count_if(n >= 3) AS kept, count_if(n < 3) AS short FROM t")
+@query("prd_07_lm_lines", f"WITH {sql.SENT}, t AS (SELECT len({sql.find('lower(' + sql.fold('text') + ')', T.LM_UNITS)}) AS n FROM sent) SELECT count(*) FILTER (WHERE n >= 3) AS kept, count(*) FILTER (WHERE n < 3) AS short FROM t")
 def lm_lines(spark, sf_dir):
     n = F.size(T.matches(F.lower(T.fold_apostrophes(F.col("text"))), T.LM_UNITS))
     return sentences(spark, sf_dir).agg(F.count_if(n >= 3).alias("kept"), F.count_if(n < 3).alias("short"))
