@@ -119,3 +119,9 @@ def contrast(a: DataFrame, b: DataFrame, key: str, score: str) -> DataFrame:
     """wins, ties, losses of a over b, and the mean gap."""
     j = a.select(key, F.col(score).alias("x")).join(b.select(key, F.col(score).alias("y")), key)
     return j.agg(F.count_if(F.col("x") > F.col("y")).alias("wins"), F.count_if(F.col("x") == F.col("y")).alias("ties"), F.count_if(F.col("x") < F.col("y")).alias("losses"), F.round(F.avg(F.col("x") - F.col("y")), 6).alias("gap"))
+
+
+def metric_rows(summary: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metric, value: a row for each figure of a summary, to be written as a table or as JSON."""
+    figures = [c for c in summary.columns if c not in keys]
+    return summary.select(*keys, *[F.col(c).cast("double").alias(c) for c in figures]).unpivot(keys, figures, "metric", "value")

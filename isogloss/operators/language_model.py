@@ -54,6 +54,23 @@ def candidate_texts(tokens: DataFrame, points: DataFrame, key: str) -> DataFrame
     return at.join(tokens, key).select(key, "i", "form", "candidate", F.array_join(new, " ").alias("text"))
 
 
+def candidate_scores(candidates: DataFrame, lams: dict[str, float], otherwise: float, mean: bool = False) -> DataFrame:
+    """candidates (logprob, prior, type, words) with score: logprob - lam * prior, lam by the type of point; mean divides logprob by words."""
+    lam: Column = F.lit(otherwise)
+    for kind, x in lams.items():
+        lam = F.when(F.col("type") == kind, x).otherwise(lam)
+    lp = F.col("logprob") / F.col("words") if mean else F.col("logprob")
+    return candidates.withColumn("score", lp - lam * F.col("prior"))
+
+
+def prior_swapped(candidates: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """candidates with prior taken anew from a table of frequencies (form, n); a form that it lacks counts as zero."""
+    n = frequencies.groupBy(F.lower("form").alias("_form")).agg(F.sum("n").alias("_n"))
+    total = frequencies.agg(F.sum("n").alias("_total"))  # one row
+    j = candidates.withColumn("_form", F.lower("candidate")).join(n, "_form", "left").join(total)
+    return j.withColumn("prior", prior(F.coalesce("_n", F.lit(0)), F.col("_total"))).drop("_form", "_n", "_total")
+
+
 def decided(candidates: DataFrame, by: list[str], lam: float, margin: float) -> DataFrame:
     """by, default, best, gap, chosen of candidates (by, candidate, logprob, prior, is_default).
 

@@ -35,6 +35,49 @@ def by_lookup(tokens: DataFrame, lexicon: DataFrame, name: str) -> DataFrame:
     return j.withColumn(name, proposal).drop("_w", "_p", "_r", "_put", "_part")
 
 
+# Enclitics after a consonant or u, and after another vowel.
+FULL_TO_SHORT = {"-lo": "'l", "-los": "'ls", "-ne": "'n", "-me": "'m", "-te": "'t", "-se": "'s", "-nos": "'ns"}
+
+
+def fitted_enclitics(core: Column, tail: Column) -> Column:
+    """tail, whose first enclitic takes the form that the end of core asks for."""
+    first = F.regexp_extract(tail, "^(['’-][^'’-]+)", 1)
+    key, rest = F.lower(F.replace(first, F.lit("’"), F.lit("'"))), F.substring(tail, F.length(first) + 1, F.length(tail))
+    table = lambda m: F.try_element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), key)
+    vowel = F.lower(core).rlike("[aeioàèéíòó]$")
+    put = F.when(vowel, table(FULL_TO_SHORT)).otherwise(table({b: a for a, b in FULL_TO_SHORT.items()}))
+    return F.concat(F.coalesce(put, first), rest)
+
+
+def by_verb_form(tokens: DataFrame, lexicon: DataFrame, name: str, pos: str | None = None) -> DataFrame:
+    """tokens with proposal `name` from lexicon (form, put, gated) by the core of a word; prefix and enclitics are put back.
+
+    Cores are tried in this order: the word, without an elided prefix, without
+    enclitics, without both. Gated forms need a verb's part of speech (column
+    pos), where there is one. An elided prefix stays as it is.
+    """
+    by = ["surface", *([pos] if pos else [])]
+    w = F.col("surface")
+    prefix, rest = T.elided(w)
+    lead = F.substring(w, F.lit(1), F.length(prefix) + 1)
+    way = lambda front, core, tail: F.struct(front.alias("lead"), core.alias("core"), tail.alias("tail"))
+    none = F.lit("")
+    ways = F.array(way(none, w, none), way(lead, rest, none), way(none, *T.enclitic(w)), way(lead, *T.enclitic(rest)))
+    # A word's proposal depends on its surface and part of speech alone, so distinct ones are looked up.
+    words = tokens.filter(is_word(w)).select(*by).distinct()
+    tried = words.select(*by, F.posexplode(ways).alias("way", "x")).filter("x.core <> ''").withColumn("form", F.lower("x.core"))
+    hit = tried.join(lexicon.select("form", "put", "gated"), "form")
+    if pos is not None:
+        hit = hit.filter(~F.col("gated") | F.col(pos).isNull() | F.col(pos).isin("VERB", "AUX"))
+    tail = F.when(F.col("x.tail") != "", fitted_enclitics(F.col("put"), F.col("x.tail"))).otherwise("")
+    whole = F.concat("x.lead", T.keep_case(F.col("x.core"), F.col("put")), tail)
+    best = hit.groupBy(*by).agg(F.min_by(whole, "way").alias(name)).withColumnsRenamed({c: f"_{c}" for c in by})
+    same = tokens["surface"] == best["_surface"]
+    if pos is not None:
+        same &= tokens[pos].eqNullSafe(best[f"_{pos}"])
+    return tokens.join(best, same, "left").drop(*[f"_{c}" for c in by])
+
+
 def by_suffix(tokens: DataFrame, rules: list[tuple[str, str]], name: str, exceptions: list[str] = ()) -> DataFrame:
     """tokens with proposal `name`: the first rule (suffix, put) that a word ends in; capitals only and exceptions are left."""
     w = F.col("surface")
@@ -111,3 +154,25 @@ def swapped(tokens: DataFrame, key: str, pairs: list[tuple[str, str]], name: str
     for a, b in pairs:
         out = F.when((here == a) & (nxt == b), F.lit(b)).when((here == b) & (prev == a), F.lit(a)).otherwise(out)
     return tokens.withColumn(name, F.when(is_word(F.col("surface")), T.keep_case(F.col("surface"), out)))
+
+
+def contracted(tokens: DataFrame, key: str, pairs: list[tuple[str, str, str]]) -> DataFrame:
+    """Where a word was rewritten: two words before it (with blanks) that contract become one, as a and el become al."""
+    w = Window.partitionBy(key).orderBy("i")
+    t = lambda k: F.lead("translated", k).over(w)
+    put: Column = F.lit(None).cast("string")
+    for a, b, c in pairs:
+        put = F.when((F.lower("translated") == a) & (t(1) == " ") & (F.lower(t(2)) == b) & (t(3) == " ") & F.lead("rule", 4).over(w).isNotNull(), c).otherwise(put)
+    x = tokens.withColumn("_c", put)
+    gone = F.coalesce(F.lag("_c", 1).over(w), F.lag("_c", 2).over(w)).isNotNull()
+    return x.withColumn("translated", F.when(F.col("_c").isNotNull(), T.keep_case(F.col("translated"), F.col("_c"))).when(gone, "").otherwise(F.col("translated"))).drop("_c")
+
+
+def agreed(tokens: DataFrame, key: str, determiners: list[tuple[str, str]], gender: str) -> DataFrame:
+    """Where a word was rewritten: the determiner before it takes the word's gender ('m' or 'f' in column gender; null changes nothing)."""
+    w = Window.partitionBy(key).orderBy("i")
+    wanted = F.when((F.lead("translated").over(w) == " ") & F.lead("rule", 2).over(w).isNotNull(), F.lead(gender, 2).over(w))
+    put: Column = F.lit(None).cast("string")
+    for m, f in determiners:
+        put = F.when((F.lower("translated") == m) & (wanted == "f"), f).when((F.lower("translated") == f) & (wanted == "m"), m).otherwise(put)
+    return tokens.withColumn("translated", F.coalesce(T.keep_case(F.col("translated"), put), "translated"))

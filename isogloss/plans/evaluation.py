@@ -130,3 +130,8 @@ def layer_bookkeeping(spark, sf_dir):
     e = edited(spark, sf_dir).select(F.when(F.col("id") % 11 == 0, F.col("ta")).otherwise(F.transform("ta", lambda w: F.when(w == "the", "le").otherwise(w))).alias("h"), "ta", "tb")
     o = e.select(F.explode(F.arrays_zip("ta", "tb", "h")).alias("p")).select("p.*").filter(F.col("ta").isin("the", "of", "and"))
     return o.agg(F.count("*").alias("points"), F.count_if(F.col("h") != F.col("ta")).alias("changed"), F.count_if(F.col("ta") == F.col("tb")).alias("default_hits"), F.count_if(F.col("h") == F.col("tb")).alias("layer_hits"))
+
+
+@query("met_06_metric_rows", f"WITH {_RW}, s AS (SELECT count(*)::DOUBLE AS n, (count(*) FILTER (WHERE failed))::DOUBLE AS failed, (count(*) FILTER (WHERE exact))::DOUBLE AS exact FROM ev) SELECT 'changed' AS system, metric, value FROM (UNPIVOT s ON n, failed, exact INTO NAME metric VALUE value)")
+def metric_rows(spark, sf_dir):
+    return E.metric_rows(E.summary(scored(spark, sf_dir)).drop("wer").withColumn("system", F.lit("changed")), ["system"])

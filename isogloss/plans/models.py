@@ -207,3 +207,18 @@ def pos_veto(spark, sf_dir):
     t = lm_sentences(spark, sf_dir).select("id", F.posexplode(F.split("text", " ")).alias("i", "form")).filter(F.length("form") > 4)
     pos = F.when(F.col("form").endswith("ing"), "VERB").when(F.col("form").endswith("tion"), "NOUN")
     return t.select("id", "i", M.pos_veto(pos, F.lit(None).cast("string"), F.lit("noun"), F.lit("verb")).alias("reading"))
+
+
+@query("lmd_05_scores", f"WITH {_DEC} SELECT id, i, candidate, round((score - 0.5 * length(candidate)) / length(candidate) + CASE WHEN d THEN 0.25 ELSE 0.75 END * length(candidate), 6) AS score FROM sc")
+def candidate_scores(spark, sf_dir):
+    """Types of points and words are stood in for by columns of the candidates."""
+    c = scored_candidates(spark, sf_dir).withColumn("type", F.when(F.col("is_default"), "collision").otherwise("unresolvable")).withColumn("words", F.length("candidate"))
+    return M.candidate_scores(c, {"collision": 0.25, "unresolvable": 0.75}, 0.5, True).select("id", "i", "candidate", F.round("score", 6).alias("score"))
+
+
+@query("lmd_12_prior_swapped", f"WITH {_DEC}, fr AS (SELECT form, count(*) AS n FROM (SELECT unnest({sql.tokens('text')}) AS form FROM documents) GROUP BY form) SELECT id, i, candidate, round(ln((coalesce(n, 0) + 1) / (SELECT sum(n) FROM fr)), 6) AS prior FROM sc LEFT JOIN fr ON candidate = form")
+def prior_swapped(spark, sf_dir):
+    from .common import documents
+
+    n = documents(spark, sf_dir).select(F.explode(T.tokens(F.col("text"))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
+    return M.prior_swapped(scored_candidates(spark, sf_dir), n).select("id", "i", "candidate", F.round("prior", 6).alias("prior"))

@@ -128,3 +128,32 @@ def gender_of_next(spark, sf_dir):
 @query("rwt_12_swapped", f"WITH {_NEI} SELECT id, i, {_CASE.format(p=sql.lit('the'))} AS put FROM nb WHERE lower(surface) = 'of' AND lower(nx) = 'the' UNION ALL SELECT id, i, {_CASE.format(p=sql.lit('of'))} FROM nb WHERE lower(surface) = 'the' AND lower(pv) = 'of'")
 def swapped(spark, sf_dir):
     return W.swapped(tokens(spark, sf_dir), "id", [("of", "the")], "put").filter("put is not null").select("id", "i", "put")
+
+
+VERBS = [("is", "es"), ("has", "ha"), ("was", "era")]
+_VCASE = "CASE WHEN length({w}) > 1 AND NOT regexp_matches({w}, '\\p{{Ll}}') AND regexp_matches({w}, '\\p{{Lu}}') THEN upper({p}) WHEN regexp_matches({w}, '^\\p{{Lu}}') THEN upper(substr({p}, 1, 1)) || substr({p}, 2) ELSE {p} END"
+_VERB = f"v AS (SELECT id, i, surface, CASE lower(surface) WHEN 'is' THEN 'es' WHEN 'has' THEN 'ha' WHEN 'was' THEN 'era' END AS p FROM tk), f AS (SELECT id, i, surface, p, {_VCASE.format(w='surface', p='p')} AS c FROM v WHERE p IS NOT NULL)"
+
+
+@query("rwt_03_verb_forms", f"WITH {_TK}, {_VERB} SELECT id, i, surface || '-lo' AS surface, c || CASE WHEN regexp_matches(p, '[aeio]$') THEN chr(39) || 'l' ELSE '-lo' END AS put FROM f")
+def verb_forms(spark, sf_dir):
+    """The given tables have no enclitics, so each verb gets one."""
+    t = tokens(spark, sf_dir).filter(F.lower("surface").isin([v for v, _ in VERBS])).withColumn("surface", F.concat("surface", F.lit("-lo")))
+    return W.by_verb_form(t, lexicon(spark, VERBS).withColumn("gated", F.lit(False)), "put").filter("put is not null").select("id", "i", "surface", "put")
+
+
+_AT = ", near AS (SELECT *, lead(translated, 1) OVER w AS n1, lower(lead(translated, 2) OVER w) AS n2, lead(translated, 3) OVER w AS n3, lead(rule, 2) OVER w AS r2, lead(rule, 4) OVER w AS r4, lead(translated, 2) OVER w AS t2 FROM rw WINDOW w AS (PARTITION BY id ORDER BY i))"
+
+
+@query("rwt_13_contraction", f"WITH {_RW}{_AT}, c AS (SELECT *, CASE lower(translated) WHEN 'in' THEN 'al' ELSE 'as' END AS p FROM near WHERE lower(translated) IN ('in', 'to') AND n1 = ' ' AND n2 = 'le' AND n3 = ' ' AND r4 IS NOT NULL) SELECT id, i, {_VCASE.format(w='translated', p='p')} AS put FROM c")
+def contraction(spark, sf_dir):
+    t = W.contracted(job(spark, sf_dir), "id", [("in", "le", "al"), ("to", "le", "as")])
+    return t.filter(F.lower("surface").isin("in", "to") & F.lower("translated").isin("al", "as")).select("id", "i", F.col("translated").alias("put"))
+
+
+@query("rwt_13_agreement", f"WITH {_RW}{_AT}, g AS (SELECT *, CASE lower(translated) WHEN 'le' THEN 'la' ELSE 'una' END AS p FROM near WHERE n1 = ' ' AND r2 IS NOT NULL AND ends_with(t2, 'cio') AND lower(translated) IN ('le', 'a')) SELECT id, i, {_VCASE.format(w='translated', p='p')} AS put FROM g")
+def agreement(spark, sf_dir):
+    """The gender of rewritten words is stood in for by their end."""
+    t = job(spark, sf_dir).withColumn("gender", F.when(F.col("translated").endswith("cio"), "f"))
+    out = W.agreed(t, "id", [("le", "la"), ("a", "una")], "gender")
+    return out.filter(F.lower("translated").isin("la", "una") & F.lower("surface").isin("the", "le", "a")).select("id", "i", F.col("translated").alias("put"))

@@ -12,6 +12,7 @@ from ..sources import readers as R
 from ..sources import writers as W
 from ..streaming import jobs as J
 from . import sql
+from .common import sentences
 from .index import DC, SC, forms
 from .registry import query, table
 
@@ -203,3 +204,38 @@ def stop_after(spark, sf_dir):
     out = scratch(spark)
     J.stop_after(J.new_documents(spark, path, schema, 1), F.length("text") > 500, 100, f"{out}/kept", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/kept").agg((F.count("*") >= 100).alias("enough"))
+
+
+@query("src_02_compressed_lines", "WITH l AS (SELECT unnest(string_split(text, chr(10))) AS value FROM documents) SELECT value, count(*) AS n FROM l GROUP BY value")
+def compressed_lines(spark, sf_dir):
+    path = scratch(spark) + "/lines"
+    table(spark, sf_dir, "documents").select(F.col("text").alias("value")).write.option("compression", "gzip").text(path)
+    return R.corpus_lines(spark, path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("src_03_trial_read", "WITH d AS (SELECT doc_id, coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(strlen(text)) OVER () AS whole FROM documents) SELECT doc_id FROM d WHERE before < whole / 10")
+def trial_read(spark, sf_dir):
+    """The first tenth of the corpus, by bytes."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    whole = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return R.trial(d, ["doc_id"], F.lit(whole / 10)).select("doc_id")
+
+
+@query("snk_06_text_export", f"WITH {sql.SENT} SELECT text AS value, count(*) AS n FROM sent WHERE text <> '' GROUP BY text")
+def text_export(spark, sf_dir):
+    """Sentences, written all or nothing, and what a reader finds then."""
+    path = scratch(spark) + "/export"
+    sentences(spark, sf_dir).select(F.col("text").alias("value")).filter("value <> ''").write.option("lineSep", "\x1e").text(path)
+    return spark.read.option("lineSep", "\x1e").text(path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("snk_09_resumed", f"WITH {SC}, {DC} SELECT doc_id, words, occ, other FROM dc")
+def resumed(spark, sf_dir):
+    """A pass over half of the files, and then, from where it stopped, over the rest."""
+    out = scratch(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    for half in (0, 1):
+        d.filter(F.pmod("doc_id", F.lit(2)) == half).write.mode("append").parquet(f"{out}/files")
+        J.same_parameters(spark, f"{out}/parameters", {"key": "doc_id", "text": "text"})
+        J.score_new(J.new_documents(spark, f"{out}/files", "doc_id long, source string, text string"), ["doc_id"], forms(spark), f"{out}/scores", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/scores").select("doc_id", "words", "occ", "other")

@@ -293,3 +293,10 @@ def error_class(spark, sf_dir):
 def one_present(spark, sf_dir):
     d = documents(spark, sf_dir)
     return d.select("doc_id", P.one_present(T.bare_words(F.col("text")), F.lit("than"), F.lit("your")).alias("form"))
+
+
+@query("txt_21_lookup_words", f"""WITH t AS (SELECT DISTINCT unnest({sql.find('text', T.LOSSLESS)}) AS w FROM documents),
+e AS (SELECT w, CASE WHEN regexp_full_match(w, '{T.LETTERS}') THEN w ELSE nullif(regexp_extract(w, '^[dlsmtnDLSMTN][''’ʼ](.+)$', 1), '') END AS lookup FROM t) SELECT w, lookup FROM e WHERE lookup IS NOT NULL""")
+def lookup_words(spark, sf_dir):
+    w = documents(spark, sf_dir).select(F.explode(T.lossless(F.col("text"))).alias("w")).distinct()
+    return w.select("w", T.lookup_word(F.col("w")).alias("lookup")).filter("lookup is not null")

@@ -8,10 +8,12 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..operators.lineage import cut
+
 ATTRIBUTES = r'(\w+)="([^"]*)"'
 
 
@@ -66,6 +68,25 @@ def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, member string, line_no long, value string")
 
 
+def corpus_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value: the lines of plain or compressed text (gz, bz2, as Spark reads them), or of the members of zip files."""
+    return zipped_lines(spark, path).select("value") if path.endswith(".zip") else spark.read.text(path)
+
+
+def trial(rows: DataFrame, order: list[str], limit_bytes: Column, text: str = "text") -> DataFrame:
+    """The first rows in order, up to and with the one that reaches limit_bytes of text.
+
+    Bytes are summed by partition of a range sort, then inside each, so a trial
+    of any size takes no single task. A null text has no bytes.
+    """
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).withColumn("_n", size))
+    parts = ranged.groupBy("_p").agg(F.sum("_n").alias("_part"))
+    parts = parts.select("_p", F.coalesce(F.sum("_part").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(parts, "_p").withColumn("_at", F.col("_before") + inside).filter(F.col("_at") < limit_bytes).drop("_p", "_n", "_before", "_at")
+
+
 def json_records(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """Good records of JSON lines (or of one array a file), and the lines that aren't JSON."""
     raw = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("multiLine", multi_line).json(path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,6 +19,20 @@ def new_documents(spark: SparkSession, path: str, schema: str, files: int | None
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
+def same_parameters(spark: SparkSession, path: str, parameters: dict) -> None:
+    """Note the parameters of a resumable job at its first run; refuse others at a later one."""
+    now = json.dumps(parameters, sort_keys=True)
+    try:
+        then = spark.read.text(path).first()["value"]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        spark.createDataFrame([(now,)], "value string").write.text(path)
+        return
+    if then != now:
+        raise ValueError(f"the job was begun with {then}, not with {now}")
+
+
 def score_new(stream: DataFrame, keys: list[str], forms: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Score each text when it arrives. A batch writes a folder of its own number, so a retry overwrites what it left."""
 

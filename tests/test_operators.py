@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zipfile
+
+import pytest
 from pyspark.sql import functions as F
 
 from isogloss.functions import predicates as P
@@ -12,6 +15,8 @@ from isogloss.operators import markers as M
 from isogloss.operators import pairs as R
 from isogloss.operators import rewrite as W
 from isogloss.operators import selection as L
+from isogloss.sources import readers
+from isogloss.streaming import jobs
 
 
 def one(spark, make, **cols):
@@ -118,3 +123,51 @@ def test_coverage_fills_quotas(spark):
     got = L.coverage(pool, "id", "labels", 10, 5).collect()
     assert len({r.id for r in got}) == len(got) <= 10
     assert sum("b" in r.labels for r in got) >= 5
+
+
+def test_verb_forms_keep_prefix_and_enclitics(spark):
+    words = ["tenir-los", "Tenir", "d'eixir", "d'eixir-ne", "traure'n", "res", ",", "mana"]
+    t = spark.createDataFrame([(1, i, w, "NOUN" if w == "mana" else "VERB") for i, w in enumerate(words)], "id int, i int, surface string, pos string")
+    lex = spark.createDataFrame([("tenir", "tindre", False), ("eixir", "sortir", False), ("traure", "treur", False), ("mana", "ordena", True)], "form string, put string, gated boolean")
+    got = {r.surface: r.put for r in W.by_verb_form(t, lex, "put", "pos").collect()}
+    assert got == {"tenir-los": "tindre'ls", "Tenir": "Tindre", "d'eixir": "d'sortir", "d'eixir-ne": "d'sortir-ne", "traure'n": "treur-ne", "res": None, ",": None, "mana": None}
+
+
+def test_contraction_and_agreement(spark):
+    t = W.token_table(spark.createDataFrame([(1, "A el cotxe. El taula a el sol")], "id int, text string"), "id")
+    lex = spark.createDataFrame([("cotxe", "carro"), ("taula", "mesa")], "form string, put string")
+    t = W.first_proposal(W.by_lookup(t, lex, "lexicon"), ["lexicon"]).withColumn("gender", F.when(F.col("translated") == "mesa", "f"))
+    t = W.agreed(W.contracted(t, "id", [("a", "el", "al")]), "id", [("el", "la")], "gender")
+    assert W.rewritten(t, "id").first()["text"] == "Al carro. La mesa a el sol"
+
+
+def test_zipped_lines(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "corpus.zip", "w") as z:
+        z.writestr("a.txt", "one\n\nthree")
+        z.writestr("b.txt", "")
+    assert [r.value for r in readers.corpus_lines(spark, str(tmp_path / "corpus.zip")).collect()] == ["one", "", "three"]
+
+
+def test_trial_stops_with_the_row_that_reaches_the_limit(spark):
+    rows = spark.createDataFrame([(i, None if i == 2 else "abcé") for i in range(10)], "id int, text string")
+    take = lambda n: sorted(r.id for r in readers.trial(rows, ["id"], F.lit(n)).collect())
+    assert take(0) == [] and take(1) == [0] and take(10) == [0, 1] and take(11) == [0, 1, 2, 3]
+    assert readers.trial(rows.limit(0), ["id"], F.lit(5)).count() == 0
+
+
+def test_resumed_job_refuses_other_parameters(spark, tmp_path):
+    path = str(tmp_path / "parameters")
+    for _ in range(2):
+        jobs.same_parameters(spark, path, {"a": 1, "b": "x"})
+    with pytest.raises(ValueError):
+        jobs.same_parameters(spark, path, {"a": 2, "b": "x"})
+
+
+def test_prior_swap_counts_missing_forms_as_zero(spark):
+    from isogloss.operators import language_model as LM
+
+    c = spark.createDataFrame([("the", -1.0, 9.0, "x", 2), ("thee", -2.0, 9.0, "y", 2)], "candidate string, logprob double, prior double, type string, words int")
+    n = spark.createDataFrame([("The", 3), ("the", 4), ("of", 3)], "form string, n int")
+    got = {r.candidate: r for r in LM.candidate_scores(LM.prior_swapped(c, n), {"x": 0.5}, 1.0, True).collect()}
+    assert abs(got["the"].prior - -0.2231435513) < 1e-9 and abs(got["thee"].prior - -2.302585093) < 1e-9
+    assert abs(got["the"].score - (-0.5 - 0.5 * got["the"].prior)) < 1e-12 and abs(got["thee"].score - (-1 - got["thee"].prior)) < 1e-12
