@@ -5,7 +5,9 @@ it. The distinct pre-tokens of a chunk are inserted in a trie, level by level,
 and the best forward score of every prefix is computed once, whichever and
 however many words share it: a node's score is the best over the pieces that
 end there of the score of the node before the piece plus the piece's own. The
-token count at a word's terminal node is then added up for each document.
+token count at a word's terminal node is then added up for each document. The
+trie has LEVELS levels; past these hardly two words share a prefix, and a longer
+word goes on alone from the scores at its node, by the same recurrence.
 
 The pieces are those of a SentencePiece file (never trained here). The file
 ranks them, so a piece's log-probability is taken from Zipf's law, -ln(rank +
@@ -30,6 +32,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 #: Scores are in thousandths; a token costs one unit of the lower bits, so that fewer tokens win ties.
 _SCALE, _LOW = 1000, 1 << 20
+#: Levels of the trie, and positions of a longer word that are looked up at once.
+LEVELS, _BLOCK = 256, 1 << 16
 
 
 def read_pieces(path: str = MODEL) -> list[bytes]:
@@ -74,7 +78,42 @@ def _step(h: np.ndarray, byte: np.ndarray) -> np.ndarray:
     return h * _BASE + kernel._TABLE[byte]
 
 
-def trie_counts(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pieces: Pieces) -> np.ndarray:
+def _alone(word: np.ndarray, done: int, score: list[int], count: list[int], pieces: Pieces) -> int:
+    """Tokens of a word of which `done` bytes are scored; score and count are those of the last positions, up to the longest piece's length."""
+    longest = len(score)
+    for lo in range(done, len(word), _BLOCK):
+        hi = min(len(word), lo + _BLOCK)
+        base = lo - longest
+        part = word[base:hi]
+        up, down = kernel.powers(len(part) + 1)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(kernel._TABLE[part] * down[: len(part)])])
+        at = np.arange(longest + 1, len(part) + 1)
+        ends, backs, values = [], [], []
+        for back, (keys, worth) in pieces.by_length.items():
+            piece = kernel.mix((sums[at] - sums[at - back]) * up[at - 1])
+            i = np.minimum(np.searchsorted(keys, piece), len(keys) - 1)
+            hit = np.flatnonzero(keys[i] == piece)
+            ends.append(at[hit] + base)
+            backs.append(np.full(len(hit), back))
+            values.append(worth[i[hit]])
+        if ends:
+            e = np.concatenate(ends)
+            order = np.argsort(e, kind="stable")  # short pieces first, as in the trie
+            ends, backs, values = (np.concatenate(x)[order].tolist() for x in (ends, backs, values))
+        k, m = 0, len(ends)
+        for end in range(lo + 1, hi + 1):
+            best, n = score[-1] + pieces.unknown, count[-1] + 1
+            while k < m and ends[k] == end:
+                if (trial := score[-backs[k]] + values[k]) > best:
+                    best, n = trial, count[-backs[k]] + 1
+                k += 1
+            score.append(best)
+            count.append(n)
+        score, count = score[-longest:], count[-longest:]
+    return count[-1]
+
+
+def trie_counts(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pieces: Pieces, levels: int = LEVELS) -> np.ndarray:
     """Tokens of each distinct word (bytes of `words` from starts), by one pass over the trie's levels.
 
     Words must be sorted bytewise; words that share a prefix then lie side by
@@ -87,8 +126,8 @@ def trie_counts(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, piec
     # Of the last `longest` levels: prefix hash, score and tokens of each node, and each node's parent.
     hashes, scores, tokens, parents = [np.zeros(1, np.uint64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
     powers = np.array([pow(int(_BASE), n, 1 << 64) for n in range(longest + 1)], np.uint64)
-    level = 0
-    while len(alive):
+    level, levels = 0, max(levels, longest)
+    while len(alive) and level < levels:
         level += 1
         byte = words[starts[alive] + level - 1]
         new = np.ones(len(alive), bool)
@@ -119,6 +158,13 @@ def trie_counts(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, piec
         done = lengths[alive] == level
         out[alive[done]] = count[node[done]]
         alive, node = alive[~done], node[~done]
+    for i, at in zip(alive.tolist(), node.tolist()):
+        score, count = [], []
+        for back in range(1, min(longest, len(scores)) + 1):
+            score.append(int(scores[-back][at]))
+            count.append(int(tokens[-back][at]))
+            at = parents[-back][at]
+        out[i] = _alone(words[starts[i] : starts[i] + lengths[i]], level, score[::-1], count[::-1], pieces)
     return out
 
 

@@ -318,7 +318,7 @@ def test_token_counts(spark, docs, edge, empty):
             s.append(max(cand, key=lambda c: c[0]))
         return s[-1][1]
 
-    rows = [(r.doc_id, r.text) for r in docs.limit(60).collect()] + [(None, None), (7, ""), (8, "ðe " * 50)]
+    rows = [(r.doc_id, r.text) for r in docs.limit(60).collect()] + [(None, None), (7, ""), (8, "ðe " * 50), (9, "thering" * 900 + " " + "ðon" * 100), (10, "x" * 70_000)]
     got = token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), pieces)
     exp = sorted((str(d), len((t or "").encode().split()), sum(map(tokens, (t or "").encode().split()))) for d, t in rows)
     assert sorted((str(r.doc_id), r.n_words, r.n_tokens) for r in got.collect()) == exp
