@@ -5,21 +5,25 @@ pairs: src, dst, category, canonical, seq. All operators take and return tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _only(value):
+    """The value if all of a group's are the same. Least and greatest are two values a group, where a set grows with the text."""
+    return F.when(F.min(value) == F.max(value), F.min(value))
+
+
 def invert(pairs: DataFrame, key: str = "dst", value: str = "src") -> DataFrame:
     """key, value where there is one candidate, or else one that is canonical."""
-    g = pairs.groupBy(key).agg(F.collect_set(value).alias("all"), F.collect_set(F.when(F.col("canonical"), F.col(value))).alias("canon"))
-    one = F.when(F.size("all") == 1, F.col("all")[0]).when(F.size("canon") == 1, F.col("canon")[0])
-    return g.select(key, one.alias(value)).filter(F.col(value).isNotNull())
+    g = pairs.groupBy(key).agg(_only(F.col(value)).alias("all"), _only(F.when(F.col("canonical"), F.col(value))).alias("canon"))
+    return g.select(key, F.coalesce("all", "canon").alias(value)).filter(F.col(value).isNotNull())
 
 
 def forward(pairs: DataFrame, key: str = "src", value: str = "dst") -> DataFrame:
     """key, value: the canonical one if there is just one, else the first in file order."""
-    g = pairs.groupBy(key).agg(F.collect_set(F.when(F.col("canonical"), F.col(value))).alias("canon"), F.min_by(value, "seq").alias("first"))
-    return g.select(key, F.when(F.size("canon") == 1, F.col("canon")[0]).otherwise(F.col("first")).alias(value))
+    g = pairs.groupBy(key).agg(_only(F.when(F.col("canonical"), F.col(value))).alias("canon"), F.min_by(value, "seq").alias("first"))
+    return g.select(key, F.coalesce("canon", "first").alias(value))
 
 
 def lookup(pairs: DataFrame, categories: list[str], topics: list[str]) -> DataFrame:
@@ -30,14 +34,15 @@ def lookup(pairs: DataFrame, categories: list[str], topics: list[str]) -> DataFr
 
 def one_to_one(pairs: DataFrame) -> DataFrame:
     """Pairs whose sides have one partner each."""
-    n = lambda a, b: F.size(F.collect_set(b).over(Window.partitionBy(a)))
-    return pairs.withColumn("n_dst", n("src", "dst")).withColumn("n_src", n("dst", "src")).filter("n_dst = 1 and n_src = 1").drop("n_dst", "n_src")
+    single = lambda a, b: pairs.groupBy(a).agg(_only(F.col(b)).alias(b)).filter(F.col(b).isNotNull())
+    return pairs.join(single("src", "dst").join(single("dst", "src"), ["src", "dst"]), ["src", "dst"], "left_semi").select(pairs.columns)
 
 
 def collided(pairs: DataFrame) -> DataFrame:
     """Sides src of pairs whose dst has several partners."""
-    n = F.size(F.collect_set("src").over(Window.partitionBy("dst")))
-    return pairs.withColumn("n", n).filter("n > 1").select("src").distinct()
+    once = pairs.select("src", "dst").distinct()
+    several = once.groupBy("dst").agg(F.count("src").alias("n")).filter("n > 1").select("dst")
+    return once.join(several, "dst", "left_semi").select("src").distinct()
 
 
 def verb_collision(a, b):
@@ -59,12 +64,12 @@ def marker_index(western: DataFrame, eastern: DataFrame, excluded: DataFrame) ->
 def homographs(readings: DataFrame) -> DataFrame:
     """form, resolvable, reading of readings(form, lemma, reading_category, category): resolvable by just one reading of the entry's category."""
     fits = F.when(F.col("reading_category") == F.col("category"), F.col("lemma"))
-    g = readings.groupBy("form").agg(F.collect_set(fits).alias("fit"), F.count_distinct("lemma").alias("n")).filter("n > 1")
-    return g.select("form", (F.size("fit") == 1).alias("resolvable"), F.when(F.size("fit") == 1, F.col("fit")[0]).alias("reading"))
+    g = readings.groupBy("form").agg(_only(fits).alias("reading"), (F.min("lemma") < F.max("lemma")).alias("several")).filter("several")
+    return g.select("form", F.col("reading").isNotNull().alias("resolvable"), "reading")
 
 
 def noun_only(pairs: DataFrame, form: str = "src", noun: str = "n") -> DataFrame:
-    return pairs.groupBy(form).agg(F.collect_set("category").alias("c")).filter(F.col("c") == F.array(F.lit(noun))).select(F.col(form).alias("form"))
+    return pairs.groupBy(form).agg(F.every(F.col("category") == noun).alias("c")).filter("c").select(F.col(form).alias("form"))
 
 
 def ambiguity_points(pairs: DataFrame, key: str = "dst", value: str = "src") -> DataFrame:
@@ -80,14 +85,14 @@ def candidate_forms(points: DataFrame) -> DataFrame:
 
 def flag_within_file(entries: DataFrame) -> DataFrame:
     """entries (source, form, partner) with ambiguous: several partners in one source."""
-    n = F.size(F.collect_set("partner").over(Window.partitionBy("source", "form")))
-    return entries.withColumn("ambiguous", n > 1)
+    n = entries.groupBy("source", "form").agg(F.coalesce(F.min("partner") < F.max("partner"), F.lit(False)).alias("ambiguous"))
+    return entries.join(n, ["source", "form"]).select(*entries.columns, "ambiguous")
 
 
 def merge_sources(entries: DataFrame, key: list[str]) -> DataFrame:
     """The entry of each key from the source of least priority, then of least seq."""
-    w = Window.partitionBy(*key).orderBy("priority", "seq")
-    return entries.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    first = entries.groupBy(*key).agg(F.min_by(F.struct(*[c for c in entries.columns if c not in key]), F.struct("priority", "seq")).alias("_e"))
+    return first.select(*key, "_e.*").select(entries.columns)
 
 
 def difference(old: DataFrame, new: DataFrame) -> DataFrame:

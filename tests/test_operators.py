@@ -15,6 +15,7 @@ from isogloss.operators import markers as M
 from isogloss.operators import pairs as R
 from isogloss.operators import rewrite as W
 from isogloss.operators import selection as L
+from isogloss.plans import registry
 from isogloss.sources import readers
 from isogloss.streaming import jobs
 
@@ -171,3 +172,26 @@ def test_prior_swap_counts_missing_forms_as_zero(spark):
     got = {r.candidate: r for r in LM.candidate_scores(LM.prior_swapped(c, n), {"x": 0.5}, 1.0, True).collect()}
     assert abs(got["the"].prior - -0.2231435513) < 1e-9 and abs(got["thee"].prior - -2.302585093) < 1e-9
     assert abs(got["the"].score - (-0.5 - 0.5 * got["the"].prior)) < 1e-12 and abs(got["thee"].score - (-1 - got["thee"].prior)) < 1e-12
+
+
+@pytest.fixture
+def small(spark, tmp_path):
+    """A folder of tables made of a few rows: small(documents=[(doc_id, lang, source, text), ...])."""
+
+    def make(**tables):
+        schemas = {"documents": "doc_id long, lang string, source string, text string", "benchmark": "item_id long, text string"}
+        for name, rows in tables.items():
+            spark.createDataFrame(rows, schemas[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+        return str(tmp_path)
+
+    return make
+
+
+def test_entries_cover_the_whole_text(spark, small):
+    registry.load()
+    sf = small(documents=[(1, "en", "s1", "Red dog. Aa bb cc dd ee ff gg. Late word here."), (2, None, "s2", "Tiny dog.")])
+    got = {(r.src, r.dst) for r in registry.QUERIES["lex_04_one_to_one_whole"](spark, sf).collect()}
+    assert {("late", "word"), ("word", "here"), ("ff", "gg")} <= got
+    assert ("dog", "aa") not in got
+    # The second document has under six tokens, and makes `dog` collide.
+    assert {r.src for r in registry.QUERIES["lex_05_collided_whole"](spark, sf).collect()} == {"red", "tiny"}
