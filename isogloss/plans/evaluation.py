@@ -11,15 +11,15 @@ from .pairs import _ED, edited
 from .registry import query
 
 
-def rows(spark, sf_dir):
+def rows(spark, sf_dir, whole=False):
     """id, input, hypothesis (articles changed only; none for some), reference."""
-    e = edited(spark, sf_dir)
+    e = edited(spark, sf_dir, whole)
     hyp = F.array_join(F.transform("ta", lambda w: F.when(w == "the", "le").otherwise(w)), " ")
     return e.select("id", F.array_join("ta", " ").alias("input"), F.when(F.col("id") % 11 != 0, hyp).alias("hypothesis"), F.array_join("tb", " ").alias("reference"))
 
 
-def scored(spark, sf_dir):
-    r = rows(spark, sf_dir)
+def scored(spark, sf_dir, whole=False):
+    r = rows(spark, sf_dir, whole)
     return E.evaluated(r.select("id", "input", "reference"), r.select("id", "hypothesis"))
 
 
@@ -28,54 +28,54 @@ ev AS (SELECT id, doc_id, failed, array_to_string(h, ' ') = array_to_string(tb,
 
 
 @query("met_01_exact", f"WITH {_RW} SELECT id, exact FROM ev")
-def exact(spark, sf_dir):
-    return scored(spark, sf_dir).select("id", "exact")
+def exact(spark, sf_dir, whole=False):
+    return scored(spark, sf_dir, whole).select("id", "exact")
 
 
 @query("met_02_word_edits")
 def word_edits(spark, sf_dir):
-    return scored(spark, sf_dir).select("id", "edits", "ref_words")
+    return scored(spark, sf_dir, True).select("id", "edits", "ref_words")
 
 
 @query("met_03_bleu")
 def bleu(spark, sf_dir):
-    return E.bleu(scored(spark, sf_dir), "id", "hypothesis", "reference").withColumn("bleu", F.round("bleu", 6))
+    return E.bleu(scored(spark, sf_dir, True), "id", "hypothesis", "reference").withColumn("bleu", F.round("bleu", 6))
 
 
 @query("met_04_chrf")
 def chrf(spark, sf_dir):
-    s = scored(spark, sf_dir)
+    s = scored(spark, sf_dir, True)
     plus = E.chrf(s, "id", "hypothesis", "reference", 2).withColumnRenamed("chrf", "chrf_pp")
     return E.chrf(s, "id", "hypothesis", "reference").join(plus, "id").select("id", F.round("chrf", 6).alias("chrf"), F.round("chrf_pp", 6).alias("chrf_pp"))
 
 
 @query("met_05_evaluated", f"WITH {_RW} SELECT id, failed, exact FROM ev")
-def evaluated(spark, sf_dir):
-    return scored(spark, sf_dir).select("id", "failed", "exact")
+def evaluated(spark, sf_dir, whole=False):
+    return scored(spark, sf_dir, whole).select("id", "failed", "exact")
 
 
 @query("agg_34_summary", f"WITH {_RW} SELECT count(*) AS n, count(*) FILTER (WHERE failed) AS failed, count(*) FILTER (WHERE exact) AS exact FROM ev")
-def summary(spark, sf_dir):
-    return E.summary(scored(spark, sf_dir)).drop("wer")
+def summary(spark, sf_dir, whole=False):
+    return E.summary(scored(spark, sf_dir, whole)).drop("wer")
 
 
 @query("agg_35_by_group", f"WITH {_RW} SELECT doc_id % 4 AS category, ref_words // 10 AS difficulty, count(*) AS n, count(*) FILTER (WHERE exact) AS exact FROM ev GROUP BY GROUPING SETS ((category), (difficulty), ())")
-def by_group(spark, sf_dir):
-    s = scored(spark, sf_dir).select((F.floor(F.col("id") / 100_000) % 4).alias("category"), F.expr("ref_words div 10").alias("difficulty"), "exact")
+def by_group(spark, sf_dir, whole=False):
+    s = scored(spark, sf_dir, whole).select((F.floor(F.col("id") / 100_000) % 4).alias("category"), F.expr("ref_words div 10").alias("difficulty"), "exact")
     return s.groupingSets([["category"], ["difficulty"], []], "category", "difficulty").agg(F.count("*").alias("n"), F.count_if("exact").alias("exact"))
 
 
 @query("agg_36_leaderboard", f"WITH {_RW}, b AS (SELECT 'changed' AS system, exact FROM ev UNION ALL SELECT 'input', array_to_string(ta, ' ') = array_to_string(tb, ' ') FROM rw UNION ALL SELECT 'reference', true FROM rw) SELECT system, count(*) AS n, count(*) FILTER (WHERE exact) AS exact, row_number() OVER (ORDER BY count(*) FILTER (WHERE exact) DESC, system) AS place FROM b GROUP BY system")
-def leaderboard(spark, sf_dir):
-    s = scored(spark, sf_dir)
+def leaderboard(spark, sf_dir, whole=False):
+    s = scored(spark, sf_dir, whole)
     systems = s.select(F.lit("changed").alias("system"), "exact").union(s.select(F.lit("input"), E.exact(F.col("input"), F.col("reference")))).union(s.select(F.lit("reference"), F.lit(True)))
     g = systems.groupBy("system").agg(F.count("*").alias("n"), F.count_if("exact").alias("exact"))
     return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("exact"), "system")))
 
 
 @query("agg_37_judge_scores", f"WITH {_RW} SELECT id, greatest(0.0, 100.0 - 10.0 * edits - CASE WHEN failed THEN 2.5 ELSE 0.0 END)::DOUBLE AS score FROM ev")
-def judge_scores(spark, sf_dir):
-    r = rows(spark, sf_dir)
+def judge_scores(spark, sf_dir, whole=False):
+    r = rows(spark, sf_dir, whole)
     s = E.evaluated(r.select("id", "input", "reference"), r.select("id", "hypothesis"))
     spans = F.concat(F.array_repeat(F.lit("major"), F.col("edits")), F.when(F.col("failed"), F.array(F.lit("minor"))).otherwise(F.expr("cast(array() as array<string>)")))
     return s.select("id", E.judge_score(spans).alias("score"))
@@ -85,53 +85,53 @@ _CLS = "CASE WHEN y = x THEN 'needless' WHEN h = x THEN 'untranslated' ELSE 'wro
 
 
 @query("agg_38_error_classes", f"WITH {_RW}, o AS (SELECT unnest(ta) AS x, unnest(tb) AS y, unnest(h) AS h FROM rw) SELECT CASE WHEN h = y THEN 'hit' ELSE {_CLS} END AS cls, count(*) AS n FROM o WHERE x IN ('the', 'of', 'and') GROUP BY cls")
-def error_classes(spark, sf_dir):
-    e = edited(spark, sf_dir).select(F.when(F.col("id") % 11 == 0, F.col("ta")).otherwise(F.transform("ta", lambda w: F.when(w == "the", "le").otherwise(w))).alias("h"), "ta", "tb")
+def error_classes(spark, sf_dir, whole=False):
+    e = edited(spark, sf_dir, whole).select(F.when(F.col("id") % 11 == 0, F.col("ta")).otherwise(F.transform("ta", lambda w: F.when(w == "the", "le").otherwise(w))).alias("h"), "ta", "tb")
     o = e.select(F.explode(F.arrays_zip("ta", "tb", "h")).alias("p")).select("p.*").filter(F.col("ta").isin("the", "of", "and"))
     return o.groupBy(P.error_class(F.col("ta"), F.col("tb"), F.col("h")).alias("cls")).agg(F.count("*").alias("n"))
 
 
 @query("jon_18_contrast", f"WITH {_RW}, s AS (SELECT id, -edits AS x, -len([1 FOR i IN range(1, len(ta) + 1) IF ta[i] <> tb[i]]) AS y FROM ev JOIN rw USING (id)) SELECT count(*) FILTER (WHERE x > y) AS wins, count(*) FILTER (WHERE x = y) AS ties, count(*) FILTER (WHERE x < y) AS losses, round(avg(x - y), 6) AS gap FROM s")
-def contrast(spark, sf_dir):
-    s = scored(spark, sf_dir)
+def contrast(spark, sf_dir, whole=False):
+    s = scored(spark, sf_dir, whole)
     base = s.select("id", (-E.word_edits(F.col("input"), F.col("reference"))).alias("score"))
     return E.contrast(s.select("id", (-F.col("edits")).alias("score")), base, "id", "score")
 
 
 @query("agg_44_base_and_final", f"WITH {_RW} SELECT count(*) FILTER (WHERE array_to_string(ta, ' ') = array_to_string(tb, ' ')) AS base_exact, count(*) FILTER (WHERE exact) AS final_exact, count(*) FILTER (WHERE array_to_string(ta, ' ') = array_to_string(tb, ' ') AND NOT exact) AS regressions FROM ev JOIN rw USING (id)")
-def base_and_final(spark, sf_dir):
-    s = scored(spark, sf_dir).withColumn("base", E.exact(F.col("input"), F.col("reference")))
+def base_and_final(spark, sf_dir, whole=False):
+    s = scored(spark, sf_dir, whole).withColumn("base", E.exact(F.col("input"), F.col("reference")))
     return s.agg(F.count_if("base").alias("base_exact"), F.count_if("exact").alias("final_exact"), F.count_if(F.col("base") & ~F.col("exact")).alias("regressions"))
 
 
 @query("dif_04_failed_items", f"WITH {_RW} SELECT id, edits FROM ev WHERE NOT exact AND edits <= 2")
-def failed_items(spark, sf_dir):
-    return scored(spark, sf_dir).filter("not exact and edits <= 2").select("id", "edits")
+def failed_items(spark, sf_dir, whole=False):
+    return scored(spark, sf_dir, whole).filter("not exact and edits <= 2").select("id", "edits")
 
 
 @query("agg_42_pseudo_systems", f"WITH {_RW} SELECT 'reference' AS system, count(*) AS n, sum(len(tb))::BIGINT AS words FROM rw UNION ALL SELECT 'input', count(*), sum(len(ta))::BIGINT FROM rw UNION ALL SELECT 'changed', count(*), sum(len(h))::BIGINT FROM rw")
-def pseudo_systems(spark, sf_dir):
-    s = scored(spark, sf_dir)
+def pseudo_systems(spark, sf_dir, whole=False):
+    s = scored(spark, sf_dir, whole)
     words = lambda c: F.size(F.split(c, " "))
     systems = [s.select(F.lit(name).alias("system"), words(c).alias("w")) for name, c in (("reference", "reference"), ("input", "input"), ("changed", "hypothesis"))]
     return systems[0].union(systems[1]).union(systems[2]).groupBy("system").agg(F.count("*").alias("n"), F.sum("w").alias("words"))
 
 
 @query("agg_43_points_by_type", f"WITH {_RW}, o AS (SELECT failed, unnest(ta) AS x, unnest(tb) AS y, unnest(h) AS h FROM rw) SELECT x AS type, CASE WHEN failed THEN 'default' ELSE 'rule' END AS decided_by, count(*) AS n, count(*) FILTER (WHERE h = y) AS hits FROM o WHERE x IN ('the', 'of') GROUP BY ALL")
-def points_by_type(spark, sf_dir):
+def points_by_type(spark, sf_dir, whole=False):
     failed = F.col("id") % 11 == 0
-    e = edited(spark, sf_dir).select(failed.alias("failed"), F.when(failed, F.col("ta")).otherwise(F.transform("ta", lambda w: F.when(w == "the", "le").otherwise(w))).alias("h"), "ta", "tb")
+    e = edited(spark, sf_dir, whole).select(failed.alias("failed"), F.when(failed, F.col("ta")).otherwise(F.transform("ta", lambda w: F.when(w == "the", "le").otherwise(w))).alias("h"), "ta", "tb")
     o = e.select("failed", F.explode(F.arrays_zip("ta", "tb", "h")).alias("p")).select("failed", "p.*").filter(F.col("ta").isin("the", "of"))
     return o.groupBy(F.col("ta").alias("type"), F.when(F.col("failed"), "default").otherwise("rule").alias("decided_by")).agg(F.count("*").alias("n"), F.count_if(F.col("h") == F.col("tb")).alias("hits"))
 
 
 @query("agg_40_layer_bookkeeping", f"WITH {_RW}, o AS (SELECT unnest(ta) AS x, unnest(tb) AS y, unnest(h) AS h FROM rw) SELECT count(*) AS points, count(*) FILTER (WHERE h <> x) AS changed, count(*) FILTER (WHERE x = y) AS default_hits, count(*) FILTER (WHERE h = y) AS layer_hits FROM o WHERE x IN ('the', 'of', 'and')")
-def layer_bookkeeping(spark, sf_dir):
-    e = edited(spark, sf_dir).select(F.when(F.col("id") % 11 == 0, F.col("ta")).otherwise(F.transform("ta", lambda w: F.when(w == "the", "le").otherwise(w))).alias("h"), "ta", "tb")
+def layer_bookkeeping(spark, sf_dir, whole=False):
+    e = edited(spark, sf_dir, whole).select(F.when(F.col("id") % 11 == 0, F.col("ta")).otherwise(F.transform("ta", lambda w: F.when(w == "the", "le").otherwise(w))).alias("h"), "ta", "tb")
     o = e.select(F.explode(F.arrays_zip("ta", "tb", "h")).alias("p")).select("p.*").filter(F.col("ta").isin("the", "of", "and"))
     return o.agg(F.count("*").alias("points"), F.count_if(F.col("h") != F.col("ta")).alias("changed"), F.count_if(F.col("ta") == F.col("tb")).alias("default_hits"), F.count_if(F.col("h") == F.col("tb")).alias("layer_hits"))
 
 
 @query("met_06_metric_rows", f"WITH {_RW}, s AS (SELECT count(*)::DOUBLE AS n, (count(*) FILTER (WHERE failed))::DOUBLE AS failed, (count(*) FILTER (WHERE exact))::DOUBLE AS exact FROM ev) SELECT 'changed' AS system, metric, value FROM (UNPIVOT s ON n, failed, exact INTO NAME metric VALUE value)")
-def metric_rows(spark, sf_dir):
-    return E.metric_rows(E.summary(scored(spark, sf_dir)).drop("wer").withColumn("system", F.lit("changed")), ["system"])
+def metric_rows(spark, sf_dir, whole=False):
+    return E.metric_rows(E.summary(scored(spark, sf_dir, whole)).drop("wer").withColumn("system", F.lit("changed")), ["system"])

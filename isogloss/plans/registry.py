@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     from . import evaluation, index, lexicons, models, pairs, profiles, rewriting, selection, sources, text  # noqa: F401
+    # The SQL of some queries holds them to a part of the rows; these also run over all rows under a name of their own.
+    for name, f in list(QUERIES.items()):
+        if "whole" in inspect.signature(f).parameters and not isinstance(f, partial) and f"{name}_whole" not in QUERIES:
+            query(f"{name}_whole")(partial(f, whole=True))

@@ -195,3 +195,14 @@ def test_entries_cover_the_whole_text(spark, small):
     assert ("dog", "aa") not in got
     # The second document has under six tokens, and makes `dog` collide.
     assert {r.src for r in registry.QUERIES["lex_05_collided_whole"](spark, sf).collect()} == {"red", "tiny"}
+
+
+def test_long_and_short_sentences_are_edited(spark, small):
+    registry.load()
+    long_ = " ".join(["word"] * 80 + ["the"])
+    sf = small(documents=[(1, "en", "s1", long_), (2, "en", "s1", "The dog")])
+    q = lambda name: registry.QUERIES[name](spark, sf)
+    assert {(r["id"], r["i"]) for r in q("dif_01_positional_ops_whole").collect()} == {(100_000, 80), (200_000, 0)}
+    assert {(r["from"], r["to"], r["n"]) for r in q("dif_03_mined").collect()} == {("the", "le", 2)}
+    assert {(r["id"], r["ref_words"]) for r in q("met_02_word_edits").collect()} == {(100_000, 81), (200_000, 2)}
+    assert q("met_03_bleu").count() == q("met_04_chrf").count() == q("met_01_exact_whole").count() == 2
