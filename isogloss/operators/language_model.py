@@ -14,33 +14,33 @@ def marked_words(lm_text: Column) -> Column:
     return F.concat(F.array(F.lit(START)), F.filter(F.split(lm_text, " "), lambda w: w != ""), F.array(F.lit(END)))
 
 
-def ngram_counts(sentences: DataFrame, text: str, order: int) -> DataFrame:
-    """n, gram, count of n-grams with sentence marks; single ones of order two and more are pruned."""
+def ngram_counts(sentences: DataFrame, text: str, order: int, *by: str) -> DataFrame:
+    """by, n, gram, count of n-grams with sentence marks; single ones of order two and more are pruned."""
     w = marked_words(F.col(text))
-    grams = sentences.select(F.explode(T.ngrams(w, order)).alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count("*").alias("count"))
+    grams = sentences.select(*by, F.explode(T.ngrams(w, order)).alias("gram"))
+    counts = grams.groupBy(*by, "gram").agg(F.count("*").alias("count"))
     n = F.size(F.split("gram", " "))
-    return counts.withColumn("n", n).filter("n = 1 or count > 1").select("n", "gram", "count")
+    return counts.withColumn("n", n).filter("n = 1 or count > 1").select(*by, "n", "gram", "count")
 
 
-def log_probability(sentences: DataFrame, key: str, text: str, counts: DataFrame, order: int, backoff: float = 0.4) -> DataFrame:
-    """key, words, logprob under stupid backoff (natural log).
+def log_probability(sentences: DataFrame, key: str, text: str, counts: DataFrame, order: int, backoff: float = 0.4, by: tuple[str, ...] = ()) -> DataFrame:
+    """key, by, words, logprob under stupid backoff (natural log), by a model for each `by`, which may not be null.
 
     The score of a word is count(history word) / count(history) for the longest
     history whose n-gram was counted, times backoff for each word given up; a
     word never seen counts as half of a single one.
     """
-    total = counts.filter(f"n = 1 and gram <> '{START}'").agg(F.sum("count").alias("total"))
-    w = sentences.select(key, marked_words(F.col(text)).alias("w"))
+    total = counts.filter(f"n = 1 and gram <> '{START}'").groupBy(*by).agg(F.sum("count").alias("total"))
+    w = sentences.select(key, *by, marked_words(F.col(text)).alias("w"))
     # Each position with its histories; grams are joined here, so tokens carry no array on.
     at = lambda i, n: F.array_join(F.slice("w", i - n + 1, n), " ")
     spans = F.flatten(F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(order), i)), lambda n: F.struct(i.alias("i"), n.alias("n"), at(i, n).alias("gram"), F.when(n > 1, F.array_join(F.slice("w", i - n + 1, n - 1), " ")).alias("history")))))
-    rows = w.select(key, F.explode(spans).alias("s")).select(key, "s.*")
-    got = rows.join(counts.select("gram", F.col("count").alias("c")), "gram", "left").join(counts.select(F.col("gram").alias("history"), F.col("count").alias("ch")), "history", "left")
-    best = got.groupBy(key, "i").agg(F.max("n").alias("longest"), F.max(F.when(F.col("c").isNotNull() & ((F.col("n") == 1) | F.col("ch").isNotNull()), F.struct("n", "c", "ch"))).alias("b"))
+    rows = w.select(key, *by, F.explode(spans).alias("s")).select(key, *by, "s.*")
+    got = rows.join(counts.select(*by, "gram", F.col("count").alias("c")), [*by, "gram"], "left").join(counts.select(*by, F.col("gram").alias("history"), F.col("count").alias("ch")), [*by, "history"], "left")
+    best = got.groupBy(key, *by, "i").agg(F.max("n").alias("longest"), F.max(F.when(F.col("c").isNotNull() & ((F.col("n") == 1) | F.col("ch").isNotNull()), F.struct("n", "c", "ch"))).alias("b"))
     p = F.when(F.col("b").isNull(), 0.5 / F.col("total")).when(F.col("b.n") == 1, F.col("b.c") / F.col("total")).otherwise(F.col("b.c") / F.col("b.ch"))
     given_up = F.col("longest") - F.coalesce(F.col("b.n"), F.lit(1))
-    return best.crossJoin(total).groupBy(key).agg(F.count("*").alias("words"), F.sum(F.log(p) + given_up * F.log(F.lit(backoff))).alias("logprob"))
+    return (best.join(total, list(by)) if by else best.crossJoin(total)).groupBy(key, *by).agg(F.count("*").alias("words"), F.sum(F.log(p) + given_up * F.log(F.lit(backoff))).alias("logprob"))
 
 
 def prior(n: Column, tokens: Column) -> Column:
