@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
-from ..functions import predicates as P
 from ..functions import text as T
 
 _OPS = Y.ArrayType(Y.StructType([Y.StructField("op", Y.StringType()), *(Y.StructField(n, Y.IntegerType()) for n in ("i1", "i2", "j1", "j2"))]))
@@ -90,20 +89,41 @@ def align_by_position(a: DataFrame, b: DataFrame, doc: str = "doc") -> DataFrame
     return j.select(doc, "par_no", F.posexplode(units).alias("sent_no", "u")).select(doc, "par_no", "sent_no", "u.text_a", "u.text_b")
 
 
-def align_by_content(a: DataFrame, b: DataFrame, doc: str = "doc", band: int = 3, least: float = 0.2) -> DataFrame:
-    """doc, i, j, similarity: mutual best sentences (doc, no, text) near the diagonal.
+def align_by_content(a: DataFrame, b: DataFrame, doc: str = "doc", least: float = 0.2) -> DataFrame:
+    """doc, i, j, similarity: mutual best sentences (doc, no, text), wherever in the document they are.
 
-    Candidates lie within `band` places of where the other side's length puts
-    them; similarity is the Jaccard index of words. Ties go to the smaller number.
+    Similarity is the Jaccard index of words, `least` or more. Sentences of the
+    same words are one set; best partners are sought among sets, all that share a
+    word, and a set that the other side has too is its own best partner. The
+    k-th sentence of a set goes with the k-th of the other; of several sets that
+    are equally good, that nearest the diagonal is taken, then the smaller number.
     """
+
+    def sets(df: DataFrame, no: str, side: str) -> DataFrame:
+        s = df.select(doc, F.col("no").cast("long").alias(no), F.array_sort(F.array_distinct(T.pair_tokens(F.col("text")))).alias(side)).filter(F.size(side) > 0)
+        return s.withColumn("k", F.row_number().over(Window.partitionBy(doc, side).orderBy(no)))
+
+    left, right = sets(a, "i", "sa"), sets(b, "j", "sb")
+    ua, ub = left.filter("k = 1").select(doc, "sa"), right.filter("k = 1").select(doc, "sb")
+    same = ua.join(ub.withColumnRenamed("sb", "sa"), [doc, "sa"], "left_semi").select(doc, "sa", F.col("sa").alias("sb"), F.lit(1.0).alias("similarity"))
+    rest_a, rest_b = ua.join(same, [doc, "sa"], "left_anti"), ub.join(same, [doc, "sb"], "left_anti")
+
+    def shared(x: DataFrame, y: DataFrame) -> DataFrame:
+        w = x.select(doc, "sa", F.explode("sa").alias("w")).join(y.select(doc, "sb", F.explode("sb").alias("w")), [doc, "w"])
+        n = w.groupBy(doc, "sa", "sb").agg(F.count("*").alias("n"))
+        return n.withColumn("similarity", F.col("n") / (F.size("sa") + F.size("sb") - F.col("n"))).filter(F.col("similarity") >= least).drop("n")
+
+    # Sets that only one side has; one of theirs may be nearest to a set that both have, which is then no mutual pair.
+    near = shared(rest_a, ub).unionByName(shared(same.select(doc, "sa"), rest_b))
+    top = lambda side: F.max("similarity").over(Window.partitionBy(doc, side))
+    near = near.withColumn("ta", top("sa")).withColumn("tb", top("sb"))
+    both = near.filter("similarity = ta and similarity = tb").drop("ta", "tb")
+    both = both.join(same.select(doc, "sa"), [doc, "sa"], "left_anti").join(same.select(doc, "sb"), [doc, "sb"], "left_anti").select(doc, "sa", "sb", "similarity").unionByName(same)
     na, nb = (df.groupBy(doc).agg(F.count("*").alias(n)) for df, n in ((a, "n"), (b, "m")))
-    left = a.select(doc, F.col("no").alias("i"), T.pair_tokens(F.col("text")).alias("ta")).join(na, doc).join(nb, doc)
-    place = F.floor(F.col("i") * F.col("m") / F.col("n"))
-    left = left.select(doc, "i", "ta", F.explode(F.sequence(place - band, place + band)).alias("j"))
-    right = b.select(doc, F.col("no").cast("long").alias("j"), T.pair_tokens(F.col("text")).alias("tb"))
-    near = left.join(right, [doc, "j"]).withColumn("similarity", P.jaccard(F.col("ta"), F.col("tb"))).filter(F.col("similarity") >= least)
-    best = lambda by, other: F.row_number().over(Window.partitionBy(doc, by).orderBy(F.desc("similarity"), other))
-    return near.withColumn("ra", best("i", "j")).withColumn("rb", best("j", "i")).filter("ra = 1 and rb = 1").select(doc, "i", "j", "similarity")
+    rows = both.join(left, [doc, "sa"]).join(right, [doc, "sb", "k"]).select(doc, "i", "j", "similarity").join(na, doc).join(nb, doc)
+    off = F.abs(F.col("j") - F.floor(F.col("i") * F.col("m") / F.col("n")))
+    best = lambda by, other: F.row_number().over(Window.partitionBy(doc, by).orderBy(off, other))
+    return rows.withColumn("ra", best("i", "j")).withColumn("rb", best("j", "i")).filter("ra = 1 and rb = 1").select(doc, "i", "j", "similarity")
 
 
 def confirmed(proposals: DataFrame, source_grams: DataFrame, target_grams: DataFrame, key: str = "id") -> DataFrame:

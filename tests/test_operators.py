@@ -219,3 +219,17 @@ def test_each_language_has_its_model(spark, small):
     assert {(r.lang, r.n) for r in q("src_11_frequency_table_whole").filter("form = 'of'").collect()} == {("en", 1), ("es", 1), (None, 1)}
     assert {r.lang for r in q("nbc_03_train_whole").collect()} == {"en", "es", None}
     assert q("nbc_04_logodds_whole").count() == 7 and q("lmd_04_lm_export_whole").count() == 3
+
+
+def test_content_alignment_after_a_deleted_block(spark):
+    w = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    rows = lambda nos: spark.createDataFrame([(1, k, f"word{w(i)} other{w(i)} last{w(i)}" if i != 35 else "the same line") for k, i in enumerate(nos)], "doc int, no int, text string")
+    kept = [0, 1, *range(22, 60)]
+    got = sorted((r.i, r.j, r.similarity) for r in R.align_by_content(rows(range(60)), rows(kept)).collect())
+    assert got == [(i, k, 1.0) for k, i in enumerate(kept)]
+
+
+def test_content_alignment_of_repeated_lines(spark):
+    rows = lambda texts: spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "doc int, no int, text string")
+    got = sorted((r.i, r.j) for r in R.align_by_content(rows(["one line"] * 3 + ["red blue green"]), rows(["one line"] * 2 + ["red blue grey"])).collect())
+    assert got == [(0, 0), (1, 1), (3, 2)]
