@@ -154,9 +154,9 @@ def keep_first_new(spark, sf_dir):
 @query("str_03_running_counts", "SELECT source, count(*) AS n FROM documents GROUP BY source")
 def running_counts(spark, sf_dir):
     path, schema = _files(spark, sf_dir)
-    name = f"counts_{uuid.uuid4().hex}"
-    J.running_counts(J.new_documents(spark, path, schema, 2), ["source"], name, f"{scratch(spark)}/state").awaitTermination()
-    return spark.table(name).select("source", F.col("count").alias("n"))
+    out = f"{scratch(spark)}/counts"
+    J.running_counts(J.new_documents(spark, path, schema, 2), ["source"], out, f"{scratch(spark)}/state").awaitTermination()
+    return J.last_counts(spark, ["source"], out).select("source", F.col("count").alias("n"))
 
 
 @query("src_11_frequency_table", f"WITH t AS (SELECT unnest({sql.tokens('text')}) AS form FROM documents WHERE lang = 'es') SELECT form, count(*) AS n FROM t GROUP BY form")

@@ -49,9 +49,18 @@ def keep_first_new(stream: DataFrame, text: str, out: str, checkpoint: str, time
     return first.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def running_counts(stream: DataFrame, by: list[str], table: str, checkpoint: str) -> StreamingQuery:
-    """Counts by group so far, as an in-memory table."""
-    return stream.groupBy(*by).count().writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def running_counts(stream: DataFrame, by: list[str], out: str, checkpoint: str) -> StreamingQuery:
+    """Counts so far of the groups that a batch changed, in a folder of the batch's number, so a retry overwrites what it left."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.groupBy(*by).count().writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def last_counts(spark: SparkSession, by: list[str], out: str) -> DataFrame:
+    """by, count: the state of each group as running_counts() last wrote it."""
+    return spark.read.parquet(out).groupBy(*by).agg(F.max_by("count", "batch").alias("count"))
 
 
 def stop_after(stream: DataFrame, keep, limit: int, out: str, checkpoint: str) -> StreamingQuery:

@@ -233,3 +233,12 @@ def test_content_alignment_of_repeated_lines(spark):
     rows = lambda texts: spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "doc int, no int, text string")
     got = sorted((r.i, r.j) for r in R.align_by_content(rows(["one line"] * 3 + ["red blue green"]), rows(["one line"] * 2 + ["red blue grey"])).collect())
     assert got == [(0, 0), (1, 1), (3, 2)]
+
+
+def test_running_counts_are_kept_in_a_table(spark, tmp_path):
+    for rows in [["a", "a", None], ["a", "b"], [None]]:
+        spark.createDataFrame([(x,) for x in rows], "source string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.new_documents(spark, f"{tmp_path}/in", "source string", 1)
+    jobs.running_counts(stream, ["source"], f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").select("batch").distinct().count() == 3
+    assert {(r.source, r["count"]) for r in jobs.last_counts(spark, ["source"], f"{tmp_path}/out").collect()} == {("a", 3), ("b", 1), (None, 2)}
