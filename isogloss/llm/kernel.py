@@ -88,8 +88,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
-class Hasher:
-    """64-bit hashes of any byte ranges of a buffer, from one prefix sum of a rolling hash."""
+class Roller:
+    """Quick 64-bit hashes of byte ranges, by a polynomial modulo 2^64: for places and groups, not to tell texts apart.
+
+    Long texts of a recursive kind (of 1,024 bytes, say) can share a value whatever the base.
+    """
 
     def __init__(self, buf: np.ndarray):
         n = len(buf)
@@ -101,6 +104,43 @@ class Hasher:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
+#: A prime modulus, two bases below it and the values of bytes for each.
+_PRIME = U64(2**31 - 1)
+_BASES = (0x3C6EF372, 0x1B873593)
+_VALUES = np.random.default_rng(20240301).integers(1, 2**31 - 1, (2, 256), dtype=np.uint64)
+
+
+@lru_cache(maxsize=1)
+def _prime_powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def all_of(base: int) -> np.ndarray:
+        out, step = np.ones(1, np.uint64), base
+        while len(out) < n:  # twice as many at a time
+            out = np.concatenate([out, out * U64(step) % _PRIME])
+            step = step * step % int(_PRIME)
+        return out
+
+    return [(all_of(b), all_of(pow(b, -1, int(_PRIME)))) for b in _BASES]
+
+
+class Hasher:
+    """62-bit hashes of any byte ranges of a buffer, from prefix sums of two rolling hashes modulo a prime.
+
+    Two different texts of n bytes share a value with a chance of (n / 2^31)^2
+    at most over the bases, however they are made.
+    """
+
+    def __init__(self, buf: np.ndarray):
+        n = len(buf)
+        self.powers = _prime_powers(1 << max(CHUNK.bit_length(), (n + 1).bit_length()))
+        self.sums = np.zeros((2, n + 1), np.uint64)
+        for sums, values, (up, _) in zip(self.sums, _VALUES, self.powers):
+            np.cumsum(values[buf] * up[:n] % _PRIME, out=sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        high, low = ((sums[ends] - sums[starts]) % _PRIME * down[starts] % _PRIME for sums, (_, down) in zip(self.sums, self.powers))
+        return mix((high << U64(31)) | low)
+
+
 def join_hashes(*parts: np.ndarray) -> np.ndarray:
     """A hash of a sequence of hashes."""
     h = np.zeros(len(parts[0]), np.uint64)
