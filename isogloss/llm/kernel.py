@@ -9,7 +9,6 @@ once per word in Python.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,15 +70,26 @@ def per_doc(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-@lru_cache(maxsize=1)
+class Grown:
+    """A table that is made anew, twice as long or more, when it is too short."""
+
+    def __init__(self, make):
+        self.make, self.size, self.table = make, 0, None
+
+    def __call__(self, n: int):
+        if n > self.size:
+            self.size = 1 << max(16, (n - 1).bit_length())
+            self.table = self.make(self.size)
+        return self.table
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(CHUNK.bit_length(), n.bit_length()))
+powers = Grown(_powers)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -110,18 +120,20 @@ _BASES = (0x3C6EF372, 0x1B873593)
 _VALUES = np.random.default_rng(20240301).integers(1, 2**31 - 1, (2, 256), dtype=np.uint64)
 
 
-@lru_cache(maxsize=1)
 def _prime_powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     def all_of(base: int) -> np.ndarray:
         out, step = np.ones(1, np.uint64), base
         while len(out) < n:  # twice as many at a time
             out = np.concatenate([out, out * U64(step) % _PRIME])
             step = step * step % int(_PRIME)
-        return out
+        return out.astype(np.uint32)
 
     return [(all_of(b), all_of(pow(b, -1, int(_PRIME)))) for b in _BASES]
 
 
+prime_powers = Grown(_prime_powers)
+
+
 class Hasher:
     """62-bit hashes of any byte ranges of a buffer, from prefix sums of two rolling hashes modulo a prime.
 
@@ -131,7 +143,7 @@ class Hasher:
 
     def __init__(self, buf: np.ndarray):
         n = len(buf)
-        self.powers = _prime_powers(1 << max(CHUNK.bit_length(), (n + 1).bit_length()))
+        self.powers = prime_powers(n + 1)
         self.sums = np.zeros((2, n + 1), np.uint64)
         for sums, values, (up, _) in zip(self.sums, _VALUES, self.powers):
             np.cumsum(values[buf] * up[:n] % _PRIME, out=sums[1:])

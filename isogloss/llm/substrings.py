@@ -1,25 +1,35 @@
 """Removal of repeated substrings by prefix-free parsing of the corpus.
 
-A rolling hash of WIDTH bytes decides where phrases begin: a
-trigger is the (leftmost) least hash among the positions of some LENGTH-byte
-window, so every window holds a trigger and equal windows hold the same one at
-the same place. Consecutive windows with one trigger form a phrase: the bytes
-from the first of these windows to the end of the last. Each text is thereby
-parsed into few phrases, and repetitive text into few distinct ones.
-
-Step 1, the dictionary: phrases are counted by (trigger, phrase) hashes. All
-windows of a phrase that occurs twice are repeated; those of a phrase whose
-trigger occurs in no other phrase are not.
+A rolling hash of WIDTH bytes decides where phrases begin: each place whose hash
+is 0 at the MODULUS is a trigger, and a phrase reaches from one trigger through
+the next. No phrase's end (of over WIDTH bytes) begins another, so the corpus
+order of all places follows from two orders: that of the ends of phrases (the
+dictionary) and that of what follows them (the parse). A LENGTH-byte window
+belongs to the first trigger inside it; one that holds none belongs to its least
+hash, also a matter of its bytes only. Equal windows thus have one trigger at
+the same place, and the windows of one trigger in one text lie in a row.
+
+Step 1, the dictionary: windows of a trigger, as phrases with what follows them,
+are counted by (trigger, phrase) hashes. All windows of a phrase that occurs
+twice are repeated; those of a phrase whose trigger occurs in no other are not.
 
 Step 2, corpus order: the distinct phrases that share a trigger are the only
 ones left. Of these, the parts before the trigger (suffixes of the dictionary's
 phrases, sorted from their ends) and the parts from the trigger on (suffixes of
 the parse, sorted) get ranks and common-prefix lengths. A window is the pair of
 one rank of each order, cut at its own two lengths, and two windows are equal
-just if both ranks fall in the same classes. A trigger with very many distinct
-phrases is settled by counting its windows' hashes in a shuffle instead.
-
-Bytes covered by repeated windows are removed. Hashes have 64 bits.
+just if both ranks fall in the same classes.
+
+A trigger with more than GROUP distinct phrases is divided first: its windows go
+into eight runs by their place before the trigger, phrases that are equal
+over a run become one, and those that share the bytes common to all windows of
+the run form new groups. A text that differs from its copies in one place falls
+out of all runs but those around the difference, so rows stay in proportion
+to phrases however large a group of near copies is. Bodies go through the
+shuffle cut to the run.
+
+Bytes covered by repeated windows are removed. Trigger hashes only group;
+phrases are told apart by 62-bit hashes beside them.
 """
 
 from __future__ import annotations
@@ -37,10 +47,12 @@ from . import kernel
 from .common import cut, pick, saved, table
 
 U64 = np.uint64
-LENGTH, WIDTH = 400, 48
-#: Distinct phrases of a trigger up to which one task sorts them.
-HOT = 4096
-_POS = (kernel.CHUNK * 2).bit_length()
+LENGTH, WIDTH, MODULUS = 400, 48, 160
+#: Distinct phrases of a group that one task sorts; larger groups are divided.
+GROUP = 1024
+#: Bytes that a task parses at a time.
+CHUNK = 1 << 19
+_POS = (CHUNK * 2).bit_length()
 
 
 def windows(buf: np.ndarray, off: np.ndarray, length: int, width: int) -> tuple[np.ndarray, ...]:
@@ -49,16 +61,21 @@ def windows(buf: np.ndarray, off: np.ndarray, length: int, width: int) -> tuple[
     none = np.zeros(0, np.int64)
     if n < 1:
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none
-    h = kernel.Hasher(buf)
+    roll = kernel.Roller(buf)
     pos = np.arange(len(buf) - width + 1)
-    least = (h(pos, pos + width) & ~U64((1 << _POS) - 1)) | pos.astype(np.uint64)
+    hashes = roll(pos, pos + width)
+    triggers = np.append(np.flatnonzero(hashes < U64(2**64 // MODULUS)), len(buf))  # 0 in the top bits
+    trigger = triggers[np.searchsorted(triggers, np.arange(n))]
     span, size = length - width + 1, 1
-    while size * 2 <= span:  # minima of 1, 2, 4 ... positions, then of span
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    if rest := span - size:
-        least = np.minimum(least[:-rest], least[rest:])
-    trigger = (least & U64((1 << _POS) - 1)).astype(np.int64)
+    without = trigger >= np.arange(n) + span
+    if without.any():
+        least = (hashes & ~U64((1 << _POS) - 1)) | pos.astype(np.uint64)
+        while size * 2 <= span:  # minima of 1, 2, 4 ... positions, then of span
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        if rest := span - size:
+            least = np.minimum(least[:-rest], least[rest:])
+        trigger[without] = (least[without] & U64((1 << _POS) - 1)).astype(np.int64)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[:n]
     i = np.flatnonzero(np.arange(n) + length <= off[doc + 1])  # windows inside a document
     if not len(i):
@@ -69,18 +86,18 @@ def windows(buf: np.ndarray, off: np.ndarray, length: int, width: int) -> tuple[
     first = i[new]
     last = i[np.append(np.flatnonzero(new)[1:], len(i)) - 1]
     q = q[new]
-    phrase = kernel.join_hashes(h(first, last + length), (q - first).astype(np.uint64), (last - first).astype(np.uint64))
-    return h(q, q + width), phrase, doc[first], first, last, q
+    phrase = kernel.join_hashes(kernel.Hasher(buf)(first, last + length), (q - first).astype(np.uint64), (last - first).astype(np.uint64))
+    return roll(q, q + width), phrase, doc[first], first, last, q
 
 
 def pieces(col: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
     """First row, bytes, offsets and shift of chunks; a longer text comes in overlapping pieces."""
-    for lo, _, buf, off in kernel.chunks(col):
-        if len(buf) <= 2 * kernel.CHUNK:
+    for lo, _, buf, off in kernel.chunks(col, CHUNK):
+        if len(buf) <= 2 * CHUNK:
             yield lo, buf, off, 0
             continue
-        for s in range(0, len(buf) - length + 1, kernel.CHUNK):
-            part = buf[s : s + kernel.CHUNK + length - 1]
+        for s in range(0, len(buf) - length + 1, CHUNK):
+            part = buf[s : s + CHUNK + length - 1]
             yield lo, part, np.array([0, len(part)]), s
 
 
@@ -165,18 +182,24 @@ def packed_texts(texts: DataFrame) -> DataFrame:
     return texts.select(*rest, "text").mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in rest), "z binary"]))
 
 
-def _carried(texts: DataFrame, reps: DataFrame) -> DataFrame:
-    """A row of a text and its phrases to compare, of which there is one for each text."""
-    listed = reps.groupBy("th", "tl").agg(F.sort_array(F.collect_list(F.struct("k", "e", "many", "hot", "place"))).alias("phrases"))
-    return packed_texts(texts.select("th", "tl", "text")).join(listed, ["th", "tl"])
+#: A group's phrases: text, trigger position there, fewest and most bytes of windows before it, and the bytes of these windows.
+_PHRASES = "g long, e long, many boolean, th long, tl long, q long, lo long, hi long, body binary"
+_NAMES = ["g", "e", "many", "th", "tl", "q", "lo", "hi", "body"]
+_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+#: Parts of a run of windows, when a large group is divided.
+PARTS = 8
+
 
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(names), types)], names)
 
-def _bodies(carried: DataFrame, length: int) -> DataFrame:
-    """k, e, many, hot, th, tl, place and body; for a hot trigger a row per window, with k its hash and no body."""
+
+def _bodies(texts: DataFrame, reps: DataFrame, length: int) -> DataFrame:
+    """reps (k, e, many, th, tl, place) with their bytes, as _PHRASES; a text goes through the shuffle once for all of its phrases."""
+    listed = reps.groupBy("th", "tl").agg(F.sort_array(F.collect_list(F.struct("k", "e", "many", "place"))).alias("phrases"))
+    carried = packed_texts(texts.select("th", "tl", "text")).join(listed, ["th", "tl"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k", "e", "many", "hot", "th", "tl", "place", "body"]
-        types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         seen = None  # copies of a text lie side by side; one of them is enough
         for b in batches:
             out: list[tuple] = []
@@ -187,76 +210,105 @@ def _bodies(carried: DataFrame, length: int) -> DataFrame:
                 seen = th, tl
                 raw = zstandard.decompress(z)
                 for p in phrases:
-                    first, last, _ = unpacked(p["place"])
-                    body = raw[first : last + length]
-                    if not p["hot"]:
-                        out.append((p["k"], p["e"], p["many"], False, th, tl, p["place"], body))
-                        held += len(body)
-                    else:
-                        at = np.arange(last - first + 1)
-                        h = kernel.Hasher(np.frombuffer(body, np.uint8))(at, at + length).view(np.int64)
-                        out += [(int(x), p["e"], p["many"], True, th, tl, int(y), None) for x, y in zip(h, packed(first + at, first + at, first + at))]
-                        held += 64 * len(at)
-                if held > 4 * kernel.CHUNK:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-                    out, held = [], 0
+                    first, last, q = unpacked(p["place"])
+                    out.append((p["k"], p["e"], p["many"], th, tl, q, q - last, q - first, raw[first : last + length]))
+                    held += last + length - first
+                    if held > 8 * CHUNK:
+                        yield _batch(out, _NAMES, _TYPES)
+                        out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                yield _batch(out, _NAMES, _TYPES)
 
-    return carried.select("th", "tl", "z", "phrases").mapInArrow(run, "k long, e long, many boolean, hot boolean, th long, tl long, place long, body binary")
+    return carried.select("th", "tl", "z", "phrases").mapInArrow(run, _PHRASES)
+
+
+def _divided(phrases: DataFrame, length: int, size: int) -> DataFrame:
+    """Rows of phrases (_PHRASES) for each run of `size` places before the trigger that their windows reach into, cut to that run.
+
+    g is then a hash of the old g, the run, and the bytes that all windows of the
+    run share; same one of all bytes of the row's windows there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = [*_NAMES, "same"], [*_TYPES, pa.int64()]
+        for b in batches:
+            out: list[tuple] = []
+            for g, e, many, th, tl, q, lo, hi, body in zip(*(b.column(c).to_pylist() for c in _NAMES)):
+                for part in range(lo // size, hi // size + 1):
+                    a, z = max(lo, part * size), min(hi, part * size + size - 1)
+                    part_body = body[hi - z : hi + length - a]
+                    core = body[hi - part * size : hi + max(0, length - part * size - size + 1)]
+                    key = _key(b"%d %d " % (g, part * size), core)
+                    out.append((key, e, many, th, tl, q, a, z, part_body, _key(b"%d %d %d " % (key, a, z), part_body)))
+            yield _batch(out, names, types)
+
+    return phrases.select(*_NAMES).mapInArrow(run, f"{_PHRASES}, same long")
+
+
+def _key(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
 
 
 def _settled(bodies: DataFrame, length: int) -> DataFrame:
-    """th, tl, a, b: first and last repeated windows among the phrases of each trigger."""
+    """th, tl, a, b: first and last repeated windows among the phrases of each group."""
 
     def settle(group: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
         group = list({x[0]: x for x in group}.values())  # one of each phrase
         if len(group) < 2:
             return
-        places = [unpacked(x[4]) for x in group]
-        before = [x[5][: q - first] for x, (first, _, q) in zip(group, places)]
-        after = [x[5][q - first :] for x, (first, _, q) in zip(group, places)]
-        for r, least, most in equal_windows(before, after, [(q - last, q - first) for first, last, q in places], length):
-            if not group[r][1]:  # else all of its windows are known to be repeated
-                yield group[r][2], group[r][3], places[r][2] - most, places[r][2] - least
+        before, after = [x[7][: x[6]] for x in group], [x[7][x[6] :] for x in group]
+        for r, least, most in equal_windows(before, after, [(x[5], x[6]) for x in group], length):
+            _, many, th, tl, q, *_ = group[r]
+            if not many:  # else all of its windows are known to be repeated
+                yield th, tl, q - most, q - least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def record(rows: list[tuple]) -> pa.RecordBatch:
-            cols = zip(*rows) if rows else ([], [], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["th", "tl", "a", "b"])
-
+        names, types = ["th", "tl", "a", "b"], [pa.int64()] * 4
         trigger, group = None, []
         for b in batches:
             out: list[tuple] = []
-            for k, *rest in zip(*(b.column(c).to_pylist() for c in ("k", "e", "many", "th", "tl", "place", "body"))):
+            for k, *rest in zip(*(b.column(c).to_pylist() for c in _NAMES)):
                 if k != trigger:
                     out += settle(group)
                     trigger, group = k, []
                 group.append(rest)
-            yield record(out)
-        yield record(list(settle(group)))
+            yield _batch(out, names, types)
+        yield _batch(list(settle(group)), names, types)
 
-    return bodies.select("k", "e", "many", "th", "tl", "place", "body").repartition("k").sortWithinPartitions("k", "e").mapInArrow(run, "th long, tl long, a long, b long")
+    return bodies.select(*_NAMES).repartition("g").sortWithinPartitions("g", "e").mapInArrow(run, "th long, tl long, a long, b long")
 
 
-def repeated(texts: DataFrame, length: int = LENGTH, width: int = WIDTH, hot: int = HOT) -> DataFrame:
+def repeated(texts: DataFrame, length: int = LENGTH, width: int = WIDTH, group: int = GROUP) -> DataFrame:
     """th, tl and runs (first and last window starts, in bytes) of the texts (th, tl, text) with repeated windows."""
     rows = parse(texts, length, width)
     phrases = saved(rows.groupBy("k", "e").agg(F.count("*").alias("n"), F.min(F.struct("th", "tl", "place")).alias("at")))
     shared = phrases.groupBy("k").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    reps = cut(phrases.join(shared, "k").select("k", "e", (F.col("n") > 1).alias("many"), (F.col("kinds") > hot).alias("hot"), "at.*"))
+    reps = cut(phrases.join(shared, "k").select("k", "e", (F.col("n") > 1).alias("many"), (F.col("kinds") > group).alias("large"), "at.*"))
     first, last = F.shiftright("place", 20), F.shiftright("place", 20) + F.shiftright("place", 10).bitwiseAND(F.lit(1023))
     whole = rows.join(phrases.filter("n > 1").select("k", "e"), ["k", "e"]).select("th", "tl", first.alias("a"), last.alias("b"))
-    runs = whole.union(_settled(_bodies(_carried(texts, reps.filter("not hot")), length), length))
-    if not reps.filter("hot").isEmpty():
-        each = _bodies(_carried(texts, reps.filter("hot")), length).select(F.col("k").alias("w"), "e", "many", "th", "tl", "place").distinct()
-        again = each.groupBy("w").agg(F.count("*").alias("n"), F.max("many").alias("any")).filter("n > 1 or any").select("w")
-        runs = runs.union(each.filter("not many").join(again, "w").select("th", "tl", first.alias("a"), first.alias("b")))
+    runs = whole.union(_settled(_bodies(texts, reps.filter("not large"), length), length))
+    large, size = reps.filter("large"), 1
+    if not large.isEmpty():
+        left = _bodies(texts, large, length)
+        while size < length:
+            size *= PARTS
+        while size > 1:
+            size //= PARTS
+            parts = saved(_divided(left, length, size))
+            kinds = parts.groupBy("g", "same").agg(F.count("*").alias("n"), F.max("many").alias("any"), F.min("e").alias("e"))
+            kinds = cut(kinds.withColumn("any", F.expr("any or n > 1")))
+            runs = runs.union(parts.join(kinds.filter("any").select("g", "same"), ["g", "same"]).filter("not many").select("th", "tl", F.expr("q - hi").alias("a"), F.expr("q - lo").alias("b")))
+            sizes = kinds.groupBy("g").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+            one = parts.drop("many").join(kinds.select("g", "same", "e", F.col("any").alias("many")), ["g", "same", "e"]).join(sizes, "g")
+            runs = runs.union(_settled(one.filter(F.col("kinds") <= group), length))
+            left = one.filter(F.col("kinds") > group)
+            if left.isEmpty():
+                break
     runs = runs.distinct()
     return runs.groupBy("th", "tl").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, hot: int = HOT) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left) and spans, one row per row of docs (doc_id, text).
 
     A null text is empty. Copies of a text, repeated rows among them, are
@@ -266,7 +318,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, hot:
     """
     size = F.shiftleft(F.octet_length("text").cast("long"), 32)
     texts = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("th"), (size + F.crc32("text")).alias("tl"))
-    runs = repeated(texts.select("th", "tl", "text").filter(F.octet_length("text") >= length), length, width, hot)
+    runs = repeated(texts.select("th", "tl", "text").filter(F.octet_length("text") >= length), length, width, group)
     joined = packed_texts(texts).join(runs, ["th", "tl"], "left").select("doc_id", "z", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +345,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, hot:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("has_repeats"))
 
 
 QUERIES = {"op5_substrings": op5}

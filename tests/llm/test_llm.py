@@ -191,20 +191,25 @@ def test_mixing(spark, edge, empty):
 
 def without_repeats(docs, n):
     raws = [(d, (t or "").encode()) for d, t in docs]
-    c = Counter(b[i : i + n] for _, b in raws for i in range(len(b) - n + 1))
+    name = lambda x: hashlib.blake2b(x, digest_size=12).digest()
+    c = Counter(name(b[i : i + n]) for _, b in raws for i in range(len(b) - n + 1))
     out = []
     for d, b in raws:
         gone = bytearray(len(b))
         for i in range(len(b) - n + 1):
-            if c[b[i : i + n]] > 1:
+            if c[name(b[i : i + n])] > 1:
                 gone[i : i + n] = b"\1" * n
         kept = bytes(x for x, g in zip(b, gone) if not g)
         out.append((str(d), len(b), sum(gone), sum(bool(g) and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_substrings(spark, empty, hot):
+def removed(df):
+    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect())
+
+
+@pytest.mark.parametrize("group", [1024, 2])
+def test_substrings(spark, empty, group):
     rnd = random.Random(1)
     base = ["".join(rnd.choice("abé ") for _ in range(200)) for _ in range(6)]
     rows = []
@@ -214,11 +219,36 @@ def test_substrings(spark, empty, hot):
             t[rnd.randrange(len(t))] = rnd.choice("xyz")
         rows.append((i, "".join(t)))
     rows += [(200, None), (201, ""), (None, "a" * 500), (None, "ab" * 300), (202, rows[0][1]), (202, rows[0][1]), (203, "q" * 39)]
-    got = substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), 40, 8, hot)
-    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == without_repeats(rows, 40)
+    got = substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), 40, 8, group)
+    assert removed(got) == without_repeats(rows, 40)
     assert substrings.deduplicated(empty).count() == 0
 
 
+def test_substrings_of_documents(spark, docs, edge):
+    """Whole tables at the production length; a text beyond the size of a chunk."""
+    rnd = random.Random(7)
+    long = "".join(rnd.choice("abcd ") for _ in range(substrings.CHUNK * 2 + 5000))
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(r.doc_id, r.text) for r in edge.collect()] + [(9001, long[substrings.CHUNK - 900 : substrings.CHUNK + 900])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(substrings.deduplicated(df)) == without_repeats(rows, 400)
+    got = {r.doc_id: r.n_removed for r in substrings.deduplicated(spark.createDataFrame([(1, long), (2, long[substrings.CHUNK - 900 : substrings.CHUNK + 900])], "doc_id long, text string")).collect()}
+    assert got == {1: 1800, 2: 1800}
+
+
+def test_substrings_of_near_copies(spark):
+    """One trigger with thousands of distinct phrases."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9)))
+    base, rows = [word() for _ in range(130)], []
+    for i in range(5000):
+        t = list(base)
+        for _ in range(rnd.randint(1, 2)):
+            t[rnd.randrange(len(t))] = word()
+        rows.append((i, " ".join(t)))
+    got = substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert removed(got) == without_repeats(rows, 400)
+
+
 # --- op6, op8: held-out accuracy ---
 
 
