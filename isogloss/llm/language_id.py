@@ -5,7 +5,9 @@ is a mixture of languages: expectation-maximisation estimates their proportions
 from its trigram counts. Languages enter the set one by one, each only if the
 log-likelihood it adds exceeds a penalty (half the log of the trigram count per
 language, on counts divided by the overlap of trigrams). The prediction is the
-language of largest proportion in the set that was selected.
+language of largest proportion in the set that was selected. Each document is
+inferred from its own trigrams alone and stops by its own movement, so results
+don't depend on what else is in a partition.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from .common import filtered, hash_mod3, pick, table
 
 GRAMS = 1 << 13
 ROUNDS, SMOOTH, OVERLAP = 15, 0.5, 3.0
-#: Languages to start with are those of at least this proportion; documents at a time.
-LEAST, BATCH = 0.02, 128
+#: Languages enter only if their proportion among all is at least this; proportions that move by less than STILL are taken.
+LEAST, STILL = 0.02, 1e-3
 #: Languages whose counts a task holds before it hands them on.
 HELD = 256
 MIN_SCORE = 0.35
@@ -66,85 +68,60 @@ class Model:
     langs: list[str]
     probs: np.ndarray  # language, gram
 
-    def em(self, counts: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-        """Proportions among the allowed languages and log-likelihoods of each document."""
-        seen = np.flatnonzero(counts.any(axis=0))
-        c, p = counts[:, seen], self.probs[:, seen]
-        n = np.maximum(c.sum(axis=1, keepdims=True), 1)
-        pi = allowed / allowed.sum(axis=1, keepdims=True)
-        for _ in range(rounds):
-            new = pi * ((c / (pi @ p)) @ p.T) / n
-            new /= np.maximum(new.sum(axis=1, keepdims=True), 1e-30)
+    def __post_init__(self):
+        self.by_gram = np.ascontiguousarray(self.probs.T)
+
+    @staticmethod
+    def em(counts: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, float]:
+        """Proportions and log-likelihood of a document with these trigram counts; p has a row for each trigram, a column for each language."""
+        pi, n = np.full(p.shape[1], 1 / p.shape[1]), counts.sum()
+        for _ in range(ROUNDS):
+            new = pi * ((counts / (p @ pi)) @ p) / n
+            new /= new.sum()
             moved, pi = np.abs(new - pi).max(), new
-            if moved < 1e-3:
+            if moved < STILL:
+                break
+        return pi, float(counts @ np.log(p @ pi))
+
+    def select(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Proportions of the languages selected for a document, 0 for others. Without trigrams nothing speaks for any: equal shares."""
+        k = self.by_gram.shape[1]
+        out = np.zeros(k)
+        if not len(grams):
+            return out + 1 / k
+        p = self.by_gram[grams]
+        single = counts @ np.log(p)
+        chosen = [int(single.argmax())]
+        best, like = np.ones(1), float(single.max())
+        penalty = 0.5 * np.log(max(counts.sum(), 2))
+        full = self.em(counts, p)[0]
+        for lang in np.argsort(-full, kind="stable").tolist():
+            if lang in chosen:
+                continue
+            if full[lang] < LEAST:
                 break
-        return pi, (c * np.log(pi @ p)).sum(axis=1)
-
-    def worth_mixing(self, counts: np.ndarray, best: np.ndarray) -> np.ndarray:
-        """Documents in which some second language may pay its penalty, by a score test.
-
-        At the single language the likelihood's slope towards language j is the
-        mean of p_j / p_best less 1; half its squared z estimates the gain. Those
-        within a quarter of the penalty are mixed in full.
-        """
-        worth, n = np.zeros(len(best), bool), np.maximum(counts.sum(axis=1), 2)
-        for lang in np.unique(best):
-            at = np.flatnonzero(best == lang)
-            ratio = (self.probs / self.probs[lang]).T
-            c, m = counts[at], n[at][:, None]
-            slope = c @ ratio / m
-            spread = np.maximum(c @ ratio**2 / m - slope**2, 1e-9)
-            gain = np.where(slope > 1, m * (slope - 1) ** 2 / spread / 2, 0)
-            worth[at] = (gain / OVERLAP > 0.125 * np.log(m)).any(axis=1)
-        return worth
-
-    def select(self, counts: np.ndarray) -> np.ndarray:
-        """Proportions of the selected languages of each document."""
-        docs, k = counts.shape[0], len(self.langs)
-        n = counts.sum(axis=1)
-        single = counts @ np.log(self.probs).T
-        best = single.argmax(axis=1)
-        pi, like = np.zeros((docs, k)), single[np.arange(docs), best]
-        pi[np.arange(docs), best] = 1
-        if k == 1:
-            return pi
-        chosen = pi > 0
-        active = np.flatnonzero(self.worth_mixing(counts, best))
-        if not len(active):
-            return pi
-        full = np.zeros((docs, k))
-        full[active], _ = self.em(counts[active], np.ones((len(active), k)))
-        for _ in range(k - 1):
-            active = active[np.where(chosen[active], -1, full[active]).max(axis=1) >= LEAST]
-            if not len(active):
+            tried, got = self.em(counts, p[:, [*chosen, lang]])
+            if (got - like) / OVERLAP <= penalty:
                 break
-            trial = chosen[active].copy()
-            trial[np.arange(len(active)), np.where(chosen[active], -1, full[active]).argmax(axis=1)] = True
-            tried, got = self.em(counts[active], trial.astype(float))
-            better = (got - like[active]) / OVERLAP > 0.5 * np.log(np.maximum(n[active], 2))
-            active = active[better]
-            chosen[active], pi[active], like[active] = trial[better], tried[better], got[better]
-        return pi
+            chosen, best, like = [*chosen, lang], tried, got
+        out[chosen] = best
+        return out
 
     def predict(self, buf: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray, list[list[str]]]:
         """Language, its proportion, and the selected languages of each document of a chunk."""
         docs = len(off) - 1
         langs, scores, sets = ["und"] * docs, np.zeros(docs), [[] for _ in range(docs)]
-        letters = has_letter(buf, off)
         if not self.langs:
             return langs, scores, sets
         code, doc = gram_codes(buf, off)
         bound = np.searchsorted(doc, np.arange(docs + 1))
-        for lo in range(0, docs, BATCH):
-            hi = min(docs, lo + BATCH)
-            a, b = bound[lo], bound[hi]
-            counts = np.bincount((doc[a:b] - lo) * GRAMS + code[a:b], minlength=(hi - lo) * GRAMS).reshape(-1, GRAMS).astype(np.float64)
-            seen = np.flatnonzero(counts.any(axis=0))
-            pi = Model(self.langs, self.probs[:, seen]).select(counts[:, seen]) if len(seen) else np.full((hi - lo, len(self.langs)), 1 / len(self.langs))
-            for i in np.flatnonzero(letters[lo:hi]):
-                top = int(pi[i].argmax())
-                langs[lo + i], scores[lo + i] = self.langs[top], min(1.0, pi[i, top])
-                sets[lo + i] = [self.langs[j] for j in np.flatnonzero(pi[i] > 0)]
+        for i in np.flatnonzero(has_letter(buf, off)).tolist():
+            counts = np.bincount(code[bound[i] : bound[i + 1]], minlength=GRAMS)
+            grams = np.flatnonzero(counts)
+            pi = self.select(grams, counts[grams].astype(np.float64))
+            top = int(pi.argmax())
+            langs[i], scores[i] = self.langs[top], min(1.0, pi[top])
+            sets[i] = [self.langs[j] for j in np.flatnonzero(pi > 0)]
         return langs, scores, sets
 
 
@@ -192,8 +169,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score and langs (those selected), one row per row of docs (doc_id, text).
 
     A text that is null or has no letter is `und` with score 0; so is every text
-    if no language was learned. A null id counts as an empty one. Repeated rows
-    each get a row; extra columns are ignored.
+    if no language was learned. A text with letters but no trigram gets the first
+    language and 1 / languages, as has a tie. A null id counts as an empty one.
+    Repeated rows each get a row; extra columns are ignored; long texts are
+    counted whole. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -210,7 +189,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs with a language of at least min_score, with all their columns."""
+    """The rows of docs with a language of at least min_score, with all their columns.
+
+    Null, empty and letterless texts go. Repeated rows stay or go together;
+    an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -265,6 +265,67 @@ def test_language_id(spark, docs, edge, empty):
     assert language_id.accepted(edge, language_id.fit(language_id.learn_rows(edge))).count() == 6
 
 
+def test_language_repeatable(spark, docs):
+    """Neither partitions nor neighbours change a result, and few letters give a low score."""
+    model = language_id.fit(language_id.learn_rows(docs))
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, "a"), (-2, "\u65e5"), (-3, "de la")], "doc_id long, text string"))
+    key = lambda df: sorted((r.doc_id, r.lang_pred, r.score, tuple(r.langs)) for r in df.collect())
+    got = key(language_id.identify(more, model))
+    assert got == key(language_id.identify(more.repartition(13), model)) == key(language_id.identify(more.orderBy(F.desc("text")).coalesce(1), model))
+    few = {d: s for d, _, s, _ in got if d < 0}
+    assert few[-1] == 1 / len(model.langs)
+
+
+def test_language_brute_force(docs):
+    """Mixture inference written out gram by gram, for a few documents."""
+    import math
+
+    import numpy as np
+
+    model = language_id.fit(language_id.learn_rows(docs))
+    k = len(model.langs)
+
+    def em(grams, langs):
+        pi, n = {j: 1 / len(langs) for j in langs}, sum(grams.values())
+        for _ in range(language_id.ROUNDS):
+            new = dict.fromkeys(langs, 0.0)
+            for g, c in grams.items():
+                whole = sum(pi[j] * model.probs[j, g] for j in langs)
+                for j in langs:
+                    new[j] += c * pi[j] * model.probs[j, g] / whole / n
+            total = sum(new.values())
+            new = {j: x / total for j, x in new.items()}
+            moved, pi = max(abs(new[j] - pi[j]) for j in langs), new
+            if moved < language_id.STILL:
+                break
+        return pi, sum(c * math.log(sum(pi[j] * model.probs[j, g] for j in langs)) for g, c in grams.items())
+
+    texts = [r.text for r in docs.filter("text is not null").orderBy(F.length("text")).limit(40).collect()]
+    texts.append(texts[-1] + " " + docs.filter("lang = 'es'").agg(F.min_by("text", "doc_id")).first()[0][:2000] + docs.filter("lang = 'de'").agg(F.min_by("text", "doc_id")).first()[0][:2000])
+    for t in texts:
+        raw = t.encode()
+        code, _ = language_id.gram_codes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        grams = Counter(code.tolist())
+        langs, scores, sets = model.predict(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        if not grams or langs == ["und"]:
+            continue
+        single = [sum(c * math.log(model.probs[j, g]) for g, c in grams.items()) for j in range(k)]
+        chosen, like = [max(range(k), key=lambda j: (single[j], -j))], max(single)
+        pi, full = {chosen[0]: 1.0}, em(grams, list(range(k)))[0]
+        for j in sorted(range(k), key=lambda j: (-full[j], j)):
+            if j in chosen:
+                continue
+            if full[j] < language_id.LEAST:
+                break
+            tried, got = em(grams, [*chosen, j])
+            if (got - like) / language_id.OVERLAP <= 0.5 * math.log(max(sum(grams.values()), 2)):
+                break
+            chosen, like, pi = [*chosen, j], got, tried
+        top = max(chosen, key=lambda j: (pi[j], -j))
+        assert langs == [model.langs[top]] and abs(scores[0] - pi[top]) < 1e-9
+        assert sets == [[model.langs[j] for j in sorted(chosen)]]
+
+
 def test_language_mixture(docs):
     model = language_id.fit(language_id.learn_rows(docs))
     rows = {lang: docs.filter(F.col("lang") == lang).agg(F.max_by("text", F.length("text"))).first()[0] for lang in ("de", "es")}
