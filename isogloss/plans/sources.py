@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.lineage import shared_folder
 from ..sources import readers as R
 from ..sources import writers as W
 from ..streaming import jobs as J
@@ -19,8 +19,7 @@ from .registry import query, table
 
 def scratch(spark) -> str:
     """A new folder in the cluster's shared folder; on one machine, where none is set, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/io-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="isogloss-")
+    return f"{shared_folder(spark)}/io-{uuid.uuid4().hex}"
 
 
 @query("src_01_prevert", r"SELECT doc_id::VARCHAR AS doc, lang, trim(regexp_replace(replace(replace(text, '<', ' '), '>', ' '), '\s*\n\s*', ' ', 'g')) AS text FROM documents WHERE trim(replace(replace(text, '<', ' '), '>', ' ')) <> ''")
