@@ -2,24 +2,28 @@
 
 Responses come from WARC files or from a table of pages. Each gives a metadata
 record and a conversion record that refer to it, keep its target, date and
-digests, and carry digests of their own. Everything is column work; records are
-written as WARC text by Spark's own writer and read back by splitting at the
-version line.
+digests, and carry digests of their own. Derivatives are column work; records are
+written as WARC text by Spark's own writer. Reading, a file's bytes are parted
+at each "WARC/1." and joined again until a record has the length that it states,
+so a block may hold that line.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pick, table
 
-VERSION = "WARC/1.0"
+VERSION, MARK = "WARC/1.0", "WARC/1."
 #: Date of records whose source has none.
 NO_DATE = "1970-01-01T00:00:00Z"
 
-#: In this order: parts without text, breaks of blocks, other tags.
-_DROP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<nav\b.*?</nav\s*>|<noscript\b.*?</noscript\s*>"
+#: In this order: parts without text, breaks of blocks, other tags. A part that isn't closed goes on to the end.
+_DROP = r"(?is)<!--(?:.*?-->|.*)|<script\b(?:.*?</script\s*>|.*)|<style\b(?:.*?</style\s*>|.*)|<nav\b(?:.*?</nav\s*>|.*)|<noscript\b(?:.*?</noscript\s*>|.*)"
 _BREAK = r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|title|blockquote|pre)\b[^>]*>"
 _TAG = r"<[^>]*>"
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
@@ -37,8 +41,10 @@ def plain_text(html: Column) -> Column:
     """Visible text, a block to a line; runs of blanks folded, no blank lines."""
     c = F.regexp_replace(html, _DROP, " ")
     c = F.regexp_replace(c, r"[\t\r\n\f ]+", " ")
-    c = F.regexp_replace(c, _BREAK, "\n")
-    c = _unescape(F.regexp_replace(c, _TAG, ""))
+    # No tag ends after the last ">", where each "<" would be searched to the end.
+    rest = F.substring_index(c, ">", -1)
+    tagged = F.left(c, F.length(c) - F.length(rest))
+    c = _unescape(F.concat(F.regexp_replace(F.regexp_replace(tagged, _BREAK, "\n"), _TAG, ""), rest))
     c = F.regexp_replace(c, r"[\t\r\f ]+", " ")
     return F.regexp_replace(F.regexp_replace(c, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
@@ -58,7 +64,8 @@ def responses(pages: DataFrame) -> DataFrame:
     """page_id, record_id, target_uri, date, payload, payload_digest and headers of pages (page_id, url, html).
 
     A null url or page is an empty text. The id depends on page, url and content,
-    so repeated rows are the same record.
+    so repeated rows are the same record. Extra columns are ignored; pages are
+    taken whole; an empty table gives an empty result.
     """
     p = pick(pages, "page_id", "url", "html").select("page_id", F.coalesce("url", F.lit("")).alias("target_uri"), F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumn("payload_digest", digest(F.col("payload")))
@@ -71,7 +78,8 @@ def derivatives(found: DataFrame) -> DataFrame:
 
     Columns: page_id, record_type, record_id, refers_to, target_uri, date,
     content_type, source_headers, source_digest, block_digest, content_length
-    (bytes) and block.
+    (bytes) and block. Every response gives both, also one without text.
+    Repeated responses repeat their records; an empty table gives an empty result.
     """
     text = found.withColumn("text", plain_text(F.col("payload"))).withColumn("text_digest", digest(F.col("text")))
     ids = text.withColumn("conversion_id", record_id(F.lit("conversion"), F.col("record_id"))).withColumn("metadata_id", record_id(F.lit("metadata"), F.col("record_id")))
@@ -97,7 +105,7 @@ def as_warc(records: DataFrame) -> DataFrame:
     """One text column, value: each record without its closing blank lines."""
     head = F.concat_ws(
         "\r\n", F.lit(VERSION), F.concat(F.lit("WARC-Type: "), "record_type"), F.concat(F.lit("WARC-Record-ID: "), "record_id"), F.concat(F.lit("WARC-Refers-To: "), "refers_to"),
-        F.concat(F.lit("WARC-Target-URI: "), "target_uri"), F.concat(F.lit("WARC-Date: "), "date"), F.concat(F.lit("WARC-Block-Digest: "), "block_digest"), F.concat(F.lit("X-Source-Digest: "), "source_digest"),
+        F.concat(F.lit("WARC-Target-URI: "), F.replace(F.replace("target_uri", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))), F.concat(F.lit("WARC-Date: "), "date"), F.concat(F.lit("WARC-Block-Digest: "), "block_digest"), F.concat(F.lit("X-Source-Digest: "), "source_digest"),
         F.concat(F.lit("X-Source-Headers: "), F.regexp_replace("source_headers", r"\r?\n", "; ")), F.concat(F.lit("Content-Type: "), "content_type"), F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")),
     )
     return records.select(F.concat(head, F.lit("\r\n\r\n"), "block").alias("value"))
@@ -108,40 +116,80 @@ def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
     as_warc(records).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
+def _records(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """Headers (names in lower case, the first of a repeated one), block and wholeness of each record of files' pieces, in order."""
+    def parsed(raw: bytes) -> tuple[dict[str, str], int, int | None]:
+        """Headers, where the block begins, and its stated length."""
+        head, blank, _ = raw.partition(b"\r\n\r\n")
+        headers: dict[str, str] = {}
+        for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+            name, colon, value = line.partition(":")
+            if colon and name.strip():
+                headers.setdefault(name.strip().lower(), value.strip())
+        size = headers.get("content-length", "")
+        return headers, len(head) + len(blank), int(size) if blank and size.isascii() and size.isdigit() else None
+
+    def record() -> tuple[dict[str, str], bytes, bool]:
+        body = b"".join(parts)[start:]
+        whole = size is not None and len(body) >= size and not body[size:].strip(b"\r\n")
+        return headers, body[:size] if whole else body.removesuffix(b"\r\n\r\n"), whole
+
+    file, parts, have, headers, start, size = None, [], 0, {}, 0, None
+    for name, piece in pieces:
+        piece = MARK.encode() + piece
+        if parts and (name != file or size is None or have >= start + size):
+            yield record()
+            parts = []
+        if not parts:
+            file, have, (headers, start, size) = name, 0, parsed(piece)
+        parts.append(piece)
+        have += len(piece)
+    if parts:
+        yield record()
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """record_type, record_id, refers_to, target_uri, date, content_type, block_digest, headers (map), block and whole.
+    """record_type, record_id, refers_to, target_uri, date, content_type, block_digest, payload_digest, headers (map), block and whole.
 
-    Files are split at the version line. whole is false where the block's length
-    isn't the one that the headers state, as when a block holds that line.
+    A record has the bytes that its Content-Length states, whatever they hold.
+    whole is false where a file ends before that, something follows, or there is
+    no length; the block is then what there is. Bytes that aren't UTF-8 are
+    replaced in block. A file is read in one task.
     """
-    raw = spark.read.option("lineSep", f"{VERSION}\r\n").text(path).filter(F.length("value") > 0)
-    cut_at = F.instr("value", "\r\n\r\n")
-    # Names are case-insensitive, and the first of a repeated name counts.
-    head = F.filter(F.split(F.substring("value", F.lit(1), cut_at - 1), "\r\n"), lambda x: F.instr(x, ":") > 1)
-    name = lambda x: F.lower(F.trim(F.substring_index(x, ":", 1)))
-    first = F.aggregate(
-        head, F.expr("cast(map() as map<string,string>)"),
-        lambda m, x: F.when(F.map_contains_key(m, name(x)), m).otherwise(F.map_concat(m, F.create_map(name(x), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x)))))),
-    )
-    body = F.substring(F.col("value"), cut_at + 4, F.length("value"))
-    rows = raw.select(first.alias("headers"), body.alias("body"))
-    size = F.try_element_at("headers", F.lit("content-length")).try_cast("long")
-    block = F.regexp_replace("body", r"\r\n\r\n\z", "")
+    raw = spark.read.option("lineSep", MARK).text(path).select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("piece"))
+    # What stands before a file's first version line is no record.
+    pieces = raw.repartition("file_path").sortWithinPartitions("file_path", "file_block_start", "place").filter("length(piece) > 0").select("file_path", "piece")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((f, p) for b in batches for f, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for headers, block, whole in _records(rows):
+            yield pa.RecordBatch.from_arrays([pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([block.decode("utf-8", "replace")]), pa.array([whole])], ["headers", "block", "whole"])
+
+    rows = pieces.mapInArrow(run, "headers map<string,string>, block string, whole boolean")
     get = lambda k: F.try_element_at("headers", F.lit(k))
     return rows.select(
         get("warc-type").alias("record_type"), get("warc-record-id").alias("record_id"), get("warc-refers-to").alias("refers_to"), get("warc-target-uri").alias("target_uri"), get("warc-date").alias("date"),
-        get("content-type").alias("content_type"), get("warc-block-digest").alias("block_digest"), "headers", block.alias("block"), F.coalesce(F.octet_length(block) == size, F.lit(False)).alias("whole"),
+        get("content-type").alias("content_type"), get("warc-block-digest").alias("block_digest"), get("warc-payload-digest").alias("payload_digest"), "headers", "block", "whole",
     )
 
 
 def responses_of(records: DataFrame) -> DataFrame:
-    """The response records of read() as responses(): HTTP headers split from the payload."""
+    """The whole response records of read() as responses(): HTTP headers split from the payload.
+
+    The payload digest is the source's where it states one, else one of ours. Records that
+    aren't whole are left to broken().
+    """
     at = F.instr("block", "\r\n\r\n")
-    r = records.filter(F.lower("record_type") == "response")
+    r = records.filter((F.lower("record_type") == "response") & F.col("whole"))
     payload = F.when(at > 0, F.substring(F.col("block"), at + 4, F.length("block"))).otherwise(F.col("block"))
     headers = F.when(at > 0, F.substring(F.col("block"), F.lit(1), at - 1)).otherwise(F.lit(""))
-    r = r.select(F.lit(None).cast("long").alias("page_id"), "record_id", F.coalesce("target_uri", F.lit("")).alias("target_uri"), F.coalesce("date", F.lit(NO_DATE)).alias("date"), payload.alias("payload"), headers.alias("headers"))
-    return r.select("page_id", "record_id", "target_uri", "date", "payload", digest(F.col("payload")).alias("payload_digest"), "headers")
+    r = r.select(F.lit(None).cast("long").alias("page_id"), "record_id", F.coalesce("target_uri", F.lit("")).alias("target_uri"), F.coalesce("date", F.lit(NO_DATE)).alias("date"), payload.alias("payload"), headers.alias("headers"), "payload_digest")
+    return r.select("page_id", "record_id", "target_uri", "date", "payload", F.coalesce("payload_digest", digest(F.col("payload"))).alias("payload_digest"), "headers")
+
+
+def broken(records: DataFrame) -> DataFrame:
+    """The records of read() that aren't whole, to be counted or mended."""
+    return records.filter(~F.col("whole"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +211,9 @@ def _sql() -> str:
         return f"regexp_replace({e}, '{body.replace(chr(39), chr(39) * 2)}', {to}, 'g{flags}')"
 
     nl, crlf = "chr(10)", "chr(13) || chr(10)"
-    text = sub(sub(sub(unescape(sub(sub(sub(sub("payload", _DROP, "' '"), r"[\t\r\n\f ]+", "' '"), _BREAK, nl), _TAG, "''")), r"[\t\r\f ]+", "' '"), r" ?\n[ \n]*", nl), r"^[ \n]+|[ \n]+$", "''")
+    shown = sub(sub("payload", _DROP, "' '"), r"[\t\r\n\f ]+", "' '")
+    untagged = sub(sub("left(shown, length(shown) - length(rest))", _BREAK, nl), _TAG, "''") + " || rest"
+    text = sub(sub(sub(unescape(untagged), r"[\t\r\f ]+", "' '"), r" ?\n[ \n]*", nl), r"^[ \n]+|[ \n]+$", "''")
     title = f"trim(regexp_replace({unescape('regexp_extract(payload, ' + chr(39) + _TITLE + chr(39) + ', 1)')}, '[\\t\\r\\n\\f ]+', ' ', 'g'))"
     lang = "lower(regexp_extract(payload, '" + _LANG.replace("'", "''") + "', 1))"
     fields = f" || {crlf} || ".join([
@@ -172,7 +222,8 @@ def _sql() -> str:
     ])
     return f"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload, 'sha256:' || sha256(coalesce(html, '')) AS payload_digest FROM pages),
-r AS (SELECT *, {urn("'response' || chr(10) || page_id || chr(10) || target_uri || chr(10) || payload_digest")} AS refers_to, {text} AS text FROM p),
+s AS (SELECT *, string_split(shown, '>')[-1] AS rest FROM (SELECT *, {shown} AS shown FROM p)),
+r AS (SELECT *, {urn("'response' || chr(10) || page_id || chr(10) || target_uri || chr(10) || payload_digest")} AS refers_to, {text} AS text FROM s),
 d AS (SELECT *, 'sha256:' || sha256(text) AS text_digest, {urn("'conversion' || chr(10) || refers_to")} AS conversion_id, {urn("'metadata' || chr(10) || refers_to")} AS metadata_id FROM r),
 u AS (
   SELECT page_id, 'metadata' AS record_type, metadata_id AS record_id, refers_to, target_uri, payload_digest, 'application/warc-fields' AS content_type, {fields} AS block FROM d

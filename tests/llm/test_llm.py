@@ -111,6 +111,38 @@ def test_warc_edges(spark):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_read_by_length(spark, tmp_path):
+    """Blocks that hold version lines, both versions, kept digests, and files that are cut off."""
+    def rec(version, kind, name, block, more="", size=None):
+        return f"WARC/{version}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\nwarc-target-uri: http://x/{name}\r\n{more}Content-Length: {len(block.encode()) if size is None else size}\r\n\r\n{block}\r\n\r\n"
+
+    page = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>é WARC/1.0\r\nWARC-Type: response\r\n\r\n WARC/1.1 x</p>"
+    whole = rec("1.0", "warcinfo", "i", "software: x") + rec("1.1", "response", "a", page, "WARC-Payload-Digest: sha1:ABC\r\n") + rec("1.1", "response", "b", "WARC/1.") + rec("1.0", "response", "c", "")
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "one.warc").write_bytes(whole.encode())
+    (tmp_path / "w" / "two.warc").write_bytes((rec("1.0", "response", "d", "full") + rec("1.0", "response", "e", "cut", size=500)).encode())
+    r = warc.read(spark, str(tmp_path / "w"))
+    got = {x.record_id: (x.record_type, x.block, x.whole) for x in r.collect()}
+    assert got == {"<i>": ("warcinfo", "software: x", True), "<a>": ("response", page, True), "<b>": ("response", "WARC/1.", True), "<c>": ("response", "", True), "<d>": ("response", "full", True), "<e>": ("response", "cut", False)}
+    found = {x.record_id: x for x in warc.responses_of(r).collect()}
+    assert set(found) == {"<a>", "<b>", "<c>", "<d>"} and [x.record_id for x in warc.broken(r).collect()] == ["<e>"]
+    assert found["<a>"].payload_digest == "sha1:ABC" and found["<a>"].headers.startswith("HTTP/1.1 200 OK") and found["<a>"].payload.startswith("<p>é WARC/1.0")
+    assert found["<d>"].payload_digest == "sha256:" + hashlib.sha256(b"full").hexdigest()
+    d = warc.derivatives(warc.responses_of(r)).filter("refers_to = '<a>'").collect()
+    assert len(d) == 2 and all(x.source_digest == "sha1:ABC" and x.target_uri == "http://x/a" for x in d)
+
+
+def test_warc_hard_pages(spark, tmp_path):
+    """Pages that would take the square of their length, a broken address, and a clashing column."""
+    pages = [(1, "http://a/\r\nX: y", "<p>long</p> " * 20_000, ""), (2, "u", "<script " * 50_000, ""), (3, "u", "<" * 300_000, ""), (4, "u", "<!-- x" * 50_000 + "tail", ""), (5, "u", "<a title='x<y'>z</a>", "")]
+    d = warc.derivatives(warc.responses(spark.createDataFrame(pages, "page_id long, url string, html string, HTML string")))
+    text = {x.page_id: x.block for x in d.filter("record_type = 'conversion'").collect()}
+    assert text[1].count("long") == 20_000 and text[2] == "" and text[4] == "" and text[5] == "z"
+    warc.write(d, str(tmp_path / "w"))
+    r = warc.read(spark, str(tmp_path / "w"))
+    assert r.count() == 10 and warc.broken(r).isEmpty() and r.filter("target_uri = 'http://a/%0D%0AX: y'").count() == 2
+
+
 # --- op3 ---
 
 
@@ -147,6 +179,28 @@ def test_decontamination(spark, docs, edge, empty, sf):
     assert bad and decontaminate.clean(both, bench).count() == len(rows) - bad == decontaminate.clean(both, bench, pattern_bytes=3000).count()
     assert decontaminate.contamination(empty, bench).count() == 0
     assert decontaminate.contamination(both, bench.limit(0)).filter("contaminated").isEmpty()
+    assert decontaminate.clean(edge, bench.limit(0)).count() == 11 and decontaminate.clean(empty, bench).count() == 0
+
+
+def test_decontamination_of_frequent_words(spark):
+    """One-word items, long texts, and words whose hashes agree by their bytes only."""
+    rnd = random.Random(5)
+    words = ["it", "is", "une", "été", "x1", "zz"]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 60)))) for i in range(200)] + [(900, "it is " * 300_000)]
+    items = [(1, "it"), (2, "is it"), (3, "IS"), (4, "été x1 zz"), (5, " ".join(["it", "is"] * 7)), (6, "it"), (7, " ".join(rnd.choice(words) for _ in range(40)))]
+    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((str(r.doc_id), *r[1:]) for r in got.collect()) == contaminated(rows, items)
+
+
+def test_search_is_bounded():
+    """What is sent to executors grows with the benchmark's bytes at a known rate."""
+    import pickle
+
+    rnd = random.Random(6)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    items = [(str(i), text(100)) for i in range(1000)]
+    size = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(decontaminate.Search(items))) < 12 * size + (8 << 20)
 
 
 # --- op4 and op7 have SQL; their edge cases are here ---
@@ -345,6 +399,25 @@ def test_quality_model(spark, edge, empty):
     assert quality_model.scored(empty, quality_model.learn(empty, labels.limit(0))).count() == 0
 
 
+def test_quality_model_written_out():
+    """Scores are sums of table entries, looked up one by one; pairs that only interact are found, also among features of few values."""
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    x = np.round(rnd.random((4000, len(quality_model.FEATURES))), 3)
+    x[:, 2] = rnd.integers(0, 3, 4000)  # few values
+    y = ((x[:, 2] >= 1) ^ (x[:, 5] > 0.5)).astype(float)
+    m = quality_model.fit(x, y)
+    assert (2, 5) in m.pairs and ((m.scores(x) >= 0.5) == y).mean() > 0.97
+    for row, s in zip(x[:50], m.scores(x[:50])):
+        b = [sum(v >= e for e in edges) for v, edges in zip(row, m.edges)]
+        z = m.base + sum(t[k] for t, k in zip(m.tables, b))
+        for (i, j), t in zip(m.pairs, m.pair_tables):
+            ci, cj = (b[f] * quality_model.COARSE // max(quality_model.COARSE, len(m.edges[f]) + 1) for f in (i, j))
+            z += t[ci * quality_model.COARSE + cj]
+        assert abs(s - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 # --- op9 ---
 
 
@@ -372,8 +445,36 @@ def test_near_duplicates(spark, docs, empty):
     exp = sorted((str(d), format(f, "016x"), least[x]) for (d, _), f, x in zip(rows, fps, label))
     got = near_dups.near_duplicates(df).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("f"), "component_id")
     assert sorted((str(r.doc_id), r.f, r.component_id) for r in got.collect()) == exp
-    assert near_dups.keep_one(df).count() == len(set(label))
     assert near_dups.near_duplicates(empty).count() == 0
+    again = near_dups.near_duplicates(df, blocks=8).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("f"), "component_id")
+    assert sorted((str(r.doc_id), r.f, r.component_id) for r in again.collect()) == exp
+
+
+def test_keep_one(spark, docs, edge, empty):
+    """The stage's rule, pair by pair: six bits of three-word shingles, two blocks of six in common."""
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(r.doc_id, r.text) for r in edge.collect()]
+    fps = [near_dups.fingerprint((t or "").encode(), 3) for _, t in rows]
+    cuts = [round(i * 64 / 6) for i in range(7)]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            x = fps[i] ^ fps[j]
+            if x.bit_count() <= 6 and sum((x >> a) & ((1 << (b - a)) - 1) == 0 for a, b in zip(cuts, cuts[1:])) >= 2:
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_dups.keep_one(df).collect()
+    assert len(kept) == len(set(label))
+    one = {}
+    for (d, t), x in zip(rows, label):
+        one.setdefault(x, set()).add((d is None, d or 0))
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in kept) == Counter(min(v) for v in one.values())
+    assert near_dups.keep_one(edge).columns == edge.columns and near_dups.keep_one(empty).count() == 0
+    assert ids(near_dups.near_duplicates(edge)) == ids(edge)
+
+
+def test_blocks_follow_the_size():
+    assert near_dups.blocks_for(50_000) == 6 and near_dups.blocks_for(10**9) > 6 and near_dups.blocks_for(4 * 10**10) <= 10
 
 
 def test_split_buckets(spark):
