@@ -3,8 +3,9 @@
 Features are counts and rates of the whole text, binned by quantiles. Cyclic
 boosting visits the features in turn and adds a small piecewise-constant tree
 on one feature's bins to the residual fit; the trees of a feature add up to one
-lookup table. The pairs whose quadrant fits explain most of what is left get
-tables over two features' coarse bins, boosted the same way. A score is the sum
+lookup table. The pairs whose quadrants explain most of what is left get tables
+over two features' coarse bins, boosted the same way by trees of one cut in each
+feature. Coarse bins are ranges of the bins that a feature has. A score is the sum
 of one entry of each table, added up for all documents of a chunk at once.
 """
 
@@ -58,12 +59,13 @@ class Model:
         for j, t in enumerate(self.tables):
             z += t[b[:, j]]
         for (i, j), t in zip(self.pairs, self.pair_tables):
-            z += t[_coarse(b[:, i]) * COARSE + _coarse(b[:, j])]
+            z += t[self.cells(b, i, j)]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-
-def _coarse(b: np.ndarray) -> np.ndarray:
-    return b * COARSE // BINS
+    def cells(self, b: np.ndarray, i: int, j: int) -> np.ndarray:
+        """Cells of two features' coarse bins, cut from the bins that each has."""
+        ci, cj = (b[:, f] * COARSE // max(COARSE, len(self.edges[f]) + 1) for f in (i, j))
+        return ci * COARSE + cj
 
 
 def _tree(grad: np.ndarray, hess: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -91,6 +93,25 @@ def _tree(grad: np.ndarray, hess: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _quadrants(grad: np.ndarray, hess: np.ndarray, rows: np.ndarray) -> tuple[float, np.ndarray]:
+    """Gain and cell values of the best tree that cuts both of two features once; a leaf of too few rows has value 0."""
+
+    def below(v: np.ndarray) -> np.ndarray:
+        return np.cumsum(np.cumsum(v.reshape(COARSE, COARSE), axis=0), axis=1)
+
+    def leaves(v: np.ndarray) -> np.ndarray:  # leaf, cut of one, cut of the other
+        t = below(v)
+        low, left, up, all_ = t[:-1, :-1], t[:-1, -1:], t[-1:, :-1], t[-1, -1]
+        return np.stack([low, left - low, up - low, all_ - left - up + low])
+
+    g, h, n = leaves(grad), leaves(hess), leaves(rows)
+    value = np.where(n >= LEAF_ROWS, g / (h + RIDGE), 0)
+    gain = (value * g).sum(axis=0)
+    a, b = np.unravel_index(int(gain.argmax()), gain.shape)
+    high_i, high_j = np.arange(COARSE)[:, None] > a, np.arange(COARSE)[None] > b
+    return float(gain[a, b]), value[2 * high_i + high_j, a, b].ravel()
+
+
 def fit(x: np.ndarray, y: np.ndarray) -> Model:
     """Fit on feature rows and labels 0 or 1; without rows, or with one class, the score is the smoothed rate."""
     share = (y.sum() + 1) / (len(y) + 2)
@@ -114,14 +135,13 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     p = 1 / (1 + np.exp(-z))
     gains = []
     for i, j in combinations(range(len(FEATURES)), 2):
-        code = _coarse(b[:, i]) * COARSE + _coarse(b[:, j])
-        g, h = np.bincount(code, y - p, COARSE * COARSE), np.bincount(code, p * (1 - p), COARSE * COARSE)
-        gains.append((float((g**2 / (h + RIDGE)).sum()), (i, j)))
+        code, size = model.cells(b, i, j), COARSE * COARSE
+        gains.append((_quadrants(np.bincount(code, y - p, size), np.bincount(code, p * (1 - p), size), np.bincount(code, minlength=size))[0], (i, j)))
     model.pairs = [ij for _, ij in sorted(gains, reverse=True)[:PAIRS]]
     model.pair_tables = np.zeros((len(model.pairs), COARSE * COARSE))
     for _ in range(PAIR_ROUNDS):
         for (i, j), t in zip(model.pairs, model.pair_tables):
-            boost(_coarse(b[:, i]) * COARSE + _coarse(b[:, j]), t, lambda g, h, n: np.where(n >= LEAF_ROWS, g / (h + RIDGE), 0))
+            boost(model.cells(b, i, j), t, lambda g, h, n: _quadrants(g, h, n)[1])
     return model
 
 
@@ -143,13 +163,15 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
 
     labels has doc_id and quality; rows with a null in either, or with another
     quality than 0 or 1, teach nothing, and of an id with several rows the
-    largest quality counts.
+    largest quality counts. Of several documents of an id the one whose text has
+    the smallest hash is learned from, so fit_rows bounds what the driver gets.
     """
     known = pick(labels, "doc_id", "quality").dropna().filter(F.col("quality").isin(0, 1) & (hash_mod3(F.col("doc_id")) != 1))
     known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     known = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(fit_rows)
     rows = pick(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text")  # of fit_rows at most
-    got = featured(rows).orderBy("doc_id", "quality", "x").limit(2 * fit_rows).collect()  # ids may repeat, so bounded again
+    one = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = featured(one).orderBy("doc_id").collect()
     return fit(np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["quality"] for r in got], float))
 
 
