@@ -58,9 +58,13 @@ def counted(texts: DataFrame, keys: list[str], forms: DataFrame, text: str = "te
 
 
 def corpus_index(counts: DataFrame, *by: str) -> DataFrame:
-    """Of counted(): texts, sums, the index of the sums, and the mean of the texts' indices (those that have one)."""
-    each = index(F.col("occ"), F.col("other"))
-    out = counts.groupBy(*by).agg(F.count("*").alias("texts"), F.sum("words").alias("words"), F.sum("occ").alias("occ"), F.sum("other").alias("other"), F.round(F.avg(each), 6).alias("mean_index"))
+    """Of counted(): texts, sums, the index of the sums, and the mean of the texts' indices (those that have one).
+
+    Each text's index counts in whole billionths, so that the mean doesn't depend on the order of summing.
+    """
+    each = F.when(F.col("occ") + F.col("other") > 0, F.expr("occ * 1000000000L div (occ + other)"))
+    mean = F.round(F.sum(each) / F.count(each) / 1e9, 6)
+    out = counts.groupBy(*by).agg(F.count("*").alias("texts"), F.sum("words").alias("words"), F.sum("occ").alias("occ"), F.sum("other").alias("other"), mean.alias("mean_index"))
     return out.withColumn("index", index(F.col("occ"), F.col("other"))).withColumn("gdv", share(F.col("other"), F.col("words"), None)).withColumn("gdc", share(F.col("occ"), F.col("words"), None))
 
 

@@ -68,7 +68,7 @@ def shares(spark, sf_dir):
 
 @query(
     "agg_03_corpus_index",
-    f"""WITH {SC} SELECT lang, source, count(*) AS texts, sum(words)::BIGINT AS words, sum(occ)::BIGINT AS occ, sum(other)::BIGINT AS other, round(avg({_INDEX}), 6) AS mean_index,
+    f"""WITH {SC} SELECT lang, source, count(*) AS texts, sum(words)::BIGINT AS words, sum(occ)::BIGINT AS occ, sum(other)::BIGINT AS other, round(sum(CASE WHEN occ + other > 0 THEN occ * 1000000000 // (occ + other) END)::DOUBLE / count(CASE WHEN occ + other > 0 THEN 1 END) / 1e9, 6) AS mean_index,
   CASE WHEN sum(occ) + sum(other) > 0 THEN sum(occ) / (sum(occ) + sum(other)) END AS index, CASE WHEN sum(words) > 0 THEN 1 - sum(other) / sum(words) END AS gdv, CASE WHEN sum(words) > 0 THEN 1 - sum(occ) / sum(words) END AS gdc
   FROM sc WHERE words >= 3 GROUP BY lang, source""",
 )

@@ -11,77 +11,75 @@ from .common import sentences
 from .registry import query
 
 
-def lm_sentences(spark, sf_dir, whole=False):
-    """Sentences in English, as the SQL states, or all; model is the struct of lang, which unlike a null lang joins with itself."""
-    s = sentences(spark, sf_dir)
-    s = s if whole else s.filter("lang = 'en'")
-    return s.select((F.col("doc_id") * 100_000 + F.col("sent_no")).alias("id"), "doc_id", F.struct("lang").alias("model"), T.lm_text(F.col("text")).alias("text"))
+def lm_sentences(spark, sf_dir):
+    """Sentences of all languages; model is the struct of lang, which unlike a null lang joins with itself."""
+    return sentences(spark, sf_dir).select((F.col("doc_id") * 100_000 + F.col("sent_no")).alias("id"), "doc_id", F.struct("lang").alias("model"), T.lm_text(F.col("text")).alias("text"))
 
 
-def named(df, whole, model="model"):
-    """The lang of each model as a column, where there is more than one model."""
-    return df.withColumn("lang", F.col(f"{model}.lang")).drop(model) if whole else df.drop(model)
+def named(df, model="model"):
+    """The lang of each model as a column."""
+    return df.withColumn("lang", F.col(f"{model}.lang")).drop(model)
 
 
-_LM = f"""{sql.SENT}, lm AS (SELECT doc_id * 100000 + sent_no AS id, doc_id, [CASE WHEN regexp_matches(x, '^[0-9]') THEN '0' ELSE x END FOR x IN {sql.find('lower(' + sql.fold('text') + ')', T.LM_UNITS)}] AS t FROM sent WHERE lang = 'en'),
-mk AS (SELECT id, doc_id, list_concat(['<s>'], t, ['</s>']) AS w FROM lm), nn AS (SELECT id, w, unnest([1, 2, 3]) AS n FROM mk), gg AS (SELECT n, unnest([array_to_string(w[i:i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS gram FROM nn),
-ct AS (SELECT n, gram, count(*) AS count FROM gg GROUP BY n, gram HAVING n = 1 OR count(*) > 1)"""
+_LM = f"""{sql.SENT}, lm AS (SELECT doc_id * 100000 + sent_no AS id, doc_id, {{'lang': lang}} AS model, [CASE WHEN regexp_matches(x, '^[0-9]') THEN '0' ELSE x END FOR x IN {sql.find('lower(' + sql.fold('text') + ')', T.LM_UNITS)}] AS t FROM sent),
+mk AS (SELECT id, doc_id, model, list_concat(['<s>'], t, ['</s>']) AS w FROM lm), nn AS (SELECT model, w, unnest([1, 2, 3]) AS n FROM mk), gg AS (SELECT model, n, unnest([array_to_string(w[i:i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS gram FROM nn),
+ct AS (SELECT model, n, gram, count(*) AS count FROM gg GROUP BY model, n, gram HAVING n = 1 OR count(*) > 1)"""
 
 
-@query("lmd_01_ngram_counts", f"WITH {_LM} SELECT * FROM ct")
-def ngram_counts(spark, sf_dir, whole=False):
-    return named(M.ngram_counts(lm_sentences(spark, sf_dir, whole), "text", 3, "model").withColumn("n", F.col("n").cast("int")), whole)
+@query("lmd_01_ngram_counts", f"WITH {_LM} SELECT model.lang AS lang, n, gram, count FROM ct")
+def ngram_counts(spark, sf_dir):
+    return named(M.ngram_counts(lm_sentences(spark, sf_dir), "text", 3, "model").withColumn("n", F.col("n").cast("int")))
 
 
 @query(
     "lmd_02_log_probability",
-    f"""WITH {_LM}, tt AS (SELECT sum(count) AS total FROM ct WHERE n = 1 AND gram <> '<s>'),
-ps AS (SELECT id, w, unnest(range(2, len(w) + 1)) AS i FROM mk), hs AS (SELECT id, i, n, array_to_string(w[i - n + 1:i], ' ') AS gram, CASE WHEN n > 1 THEN array_to_string(w[i - n + 1:i - 1], ' ') END AS history FROM ps, (SELECT unnest([1, 2, 3]) AS n) WHERE n <= i),
-jn AS (SELECT hs.*, a.count AS c, b.count AS ch FROM hs LEFT JOIN ct a ON hs.gram = a.gram LEFT JOIN ct b ON hs.history = b.gram),
-bs AS (SELECT id, i, max(n) AS longest, max(CASE WHEN c IS NOT NULL AND (n = 1 OR ch IS NOT NULL) THEN n END) AS bn, arg_max(c, CASE WHEN c IS NOT NULL AND (n = 1 OR ch IS NOT NULL) THEN n END) AS c, arg_max(ch, CASE WHEN c IS NOT NULL AND n > 1 AND ch IS NOT NULL THEN n END) AS ch FROM jn GROUP BY id, i)
-SELECT id, count(*) AS words, round(sum(ln(CASE WHEN bn IS NULL THEN 0.5 / total WHEN bn = 1 THEN c / total ELSE c / ch END) + (longest - coalesce(bn, 1)) * ln(0.4)), 6) AS logprob FROM bs, tt GROUP BY id""",
+    f"""WITH {_LM}, tt AS (SELECT model, sum(count) AS total FROM ct WHERE n = 1 AND gram <> '<s>' GROUP BY model),
+ps AS (SELECT id, model, w, unnest(range(2, len(w) + 1)) AS i FROM mk), hs AS (SELECT id, model, i, n, array_to_string(w[i - n + 1:i], ' ') AS gram, CASE WHEN n > 1 THEN array_to_string(w[i - n + 1:i - 1], ' ') END AS history FROM ps, (SELECT unnest([1, 2, 3]) AS n) WHERE n <= i),
+jn AS (SELECT hs.*, a.count AS c, b.count AS ch FROM hs LEFT JOIN ct a ON hs.gram = a.gram AND hs.model = a.model LEFT JOIN ct b ON hs.history = b.gram AND hs.model = b.model),
+bs AS (SELECT id, model, i, max(n) AS longest, max(CASE WHEN c IS NOT NULL AND (n = 1 OR ch IS NOT NULL) THEN n END) AS bn, arg_max(c, CASE WHEN c IS NOT NULL AND (n = 1 OR ch IS NOT NULL) THEN n END) AS c, arg_max(ch, CASE WHEN c IS NOT NULL AND n > 1 AND ch IS NOT NULL THEN n END) AS ch FROM jn GROUP BY id, model, i)
+SELECT id, model.lang AS lang, count(*) AS words, round(sum(ln(CASE WHEN bn IS NULL THEN 0.5 / total WHEN bn = 1 THEN c / total ELSE c / ch END) + (longest - coalesce(bn, 1)) * ln(0.4)), 6) AS logprob FROM bs JOIN tt USING (model) GROUP BY id, model""",
 )
-def log_probability(spark, sf_dir, whole=False):
-    s = lm_sentences(spark, sf_dir, whole)
-    return named(M.log_probability(s, "id", "text", M.ngram_counts(s, "text", 3, "model"), 3, by=("model",)).withColumn("logprob", F.round("logprob", 6)), whole)
+def log_probability(spark, sf_dir):
+    s = lm_sentences(spark, sf_dir)
+    return named(M.log_probability(s, "id", "text", M.ngram_counts(s, "text", 3, "model"), 3, by=("model",)).withColumn("logprob", F.round("logprob", 6)))
 
 
-@query("lmd_03_prior", f"WITH {_LM}, t AS (SELECT sum(count) AS total FROM ct WHERE n = 1) SELECT gram AS form, round(ln((count + 1) / total), 6) AS prior FROM ct, t WHERE n = 1 AND gram IN ('the', 'of', 'and')")
-def prior(spark, sf_dir, whole=False):
-    u = M.ngram_counts(lm_sentences(spark, sf_dir, whole), "text", 1, "model")
+@query("lmd_03_prior", f"WITH {_LM}, t AS (SELECT model, sum(count) AS total FROM ct WHERE n = 1 GROUP BY model) SELECT model.lang AS lang, gram AS form, round(ln((count + 1) / total), 6) AS prior FROM ct JOIN t USING (model) WHERE n = 1 AND gram IN ('the', 'of', 'and')")
+def prior(spark, sf_dir):
+    u = M.ngram_counts(lm_sentences(spark, sf_dir), "text", 1, "model")
     total = u.groupBy("model").agg(F.sum("count").alias("total"))
     p = u.filter(F.col("gram").isin("the", "of", "and")).join(total, "model")
-    return named(p.select("model", F.col("gram").alias("form"), F.round(M.prior(F.col("count"), F.col("total")), 6).alias("prior")), whole)
+    return named(p.select("model", F.col("gram").alias("form"), F.round(M.prior(F.col("count"), F.col("total")), 6).alias("prior")))
 
 
 @query("lmd_04_lm_export", f"WITH {_LM} SELECT id, array_to_string(t, ' ') AS line FROM lm WHERE len(t) >= 3")
-def lm_export(spark, sf_dir, whole=False):
-    return lm_sentences(spark, sf_dir, whole).filter(F.size(F.split("text", " ")) >= 3).select("id", F.col("text").alias("line"))
+def lm_export(spark, sf_dir):
+    return lm_sentences(spark, sf_dir).filter(F.size(F.split("text", " ")) >= 3).select("id", F.col("text").alias("line"))
 
 
 POINTS = [("the", "the"), ("the", "thee"), ("of", "of"), ("of", "off")]
 
 
-def token_arrays(spark, sf_dir, whole=False):
-    return lm_sentences(spark, sf_dir, whole).select("id", F.split("text", " ").alias("w"))
+def token_arrays(spark, sf_dir):
+    return lm_sentences(spark, sf_dir).select("id", F.split("text", " ").alias("w"))
 
 
 @query("lmd_08_detected", f"WITH {_LM}, x AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) - 1 AS i FROM lm) SELECT id, i, form FROM x WHERE form IN ('the', 'of')")
-def detected(spark, sf_dir, whole=False):
+def detected(spark, sf_dir):
     points = spark.createDataFrame(POINTS, "form string, candidate string").select("form").distinct()
-    return token_arrays(spark, sf_dir, whole).select("id", F.posexplode("w").alias("i", "form")).join(points, "form").select("id", "i", "form")
+    return token_arrays(spark, sf_dir).select("id", F.posexplode("w").alias("i", "form")).join(points, "form").select("id", "i", "form")
 
 
 @query("lmd_09_candidate_texts", f"WITH {_LM}, x AS (SELECT id, t, unnest(t) AS form, generate_subscripts(t, 1) AS i FROM lm), p(form, candidate) AS (VALUES ('the', 'the'), ('the', 'thee'), ('of', 'of'), ('of', 'off')) SELECT id, i - 1 AS i, candidate, array_to_string(list_concat(t[1:i - 1], [candidate], t[i + 1:]), ' ') AS text FROM x JOIN p USING (form)")
-def candidate_texts(spark, sf_dir, whole=False):
+def candidate_texts(spark, sf_dir):
     points = spark.createDataFrame(POINTS, "form string, candidate string")
-    return M.candidate_texts(token_arrays(spark, sf_dir, whole), points, "id").select("id", "i", "candidate", "text")
+    return M.candidate_texts(token_arrays(spark, sf_dir), points, "id").select("id", "i", "candidate", "text")
 
 
-def scored_candidates(spark, sf_dir, whole=False):
+def scored_candidates(spark, sf_dir):
     """Scores that any engine can repeat stand for a model's."""
     points = spark.createDataFrame(POINTS, "form string, candidate string")
-    c = M.candidate_texts(token_arrays(spark, sf_dir, whole), points, "id")
+    c = M.candidate_texts(token_arrays(spark, sf_dir), points, "id")
     score = -(F.col("id") + 7 * F.col("i") + 13 * F.length("candidate")) % 101 / 10
     return c.select("id", "i", "candidate", score.alias("logprob"), (-F.length("candidate")).cast("double").alias("prior"), (F.col("candidate") == F.col("form")).alias("is_default"))
 
@@ -92,64 +90,64 @@ dg AS (SELECT id, i, arg_max(candidate, (score, candidate)) AS best, max(score)
 
 
 @query("lmd_06_decided", f'WITH {_DEC} SELECT id, i, "default", best, round(top - base, 6) AS gap, CASE WHEN top - base > 2 THEN best ELSE "default" END AS chosen FROM dg')
-def decided(spark, sf_dir, whole=False):
-    return M.decided(scored_candidates(spark, sf_dir, whole), ["id", "i"], 0.5, 2.0).withColumn("gap", F.round("gap", 6))
+def decided(spark, sf_dir):
+    return M.decided(scored_candidates(spark, sf_dir), ["id", "i"], 0.5, 2.0).withColumn("gap", F.round("gap", 6))
 
 
 @query("lmd_10_applied", f"""WITH {_DEC}, ch AS (SELECT id, i, CASE WHEN top - base > 2 THEN best ELSE "default" END AS chosen FROM dg), y AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) - 1 AS i FROM lm) SELECT id, string_agg(coalesce(chosen, form), ' ' ORDER BY i) AS text FROM y LEFT JOIN ch USING (id, i) GROUP BY id""")
-def applied(spark, sf_dir, whole=False):
-    return M.applied(token_arrays(spark, sf_dir, whole), "id", M.decided(scored_candidates(spark, sf_dir, whole), ["id", "i"], 0.5, 2.0))
+def applied(spark, sf_dir):
+    return M.applied(token_arrays(spark, sf_dir), "id", M.decided(scored_candidates(spark, sf_dir), ["id", "i"], 0.5, 2.0))
 
 
 @query("lmd_11_grid", f"""WITH {_DEC}, g AS (SELECT m AS margin, l AS lam FROM (SELECT unnest([0.0, 1.0, 2.0, 4.0]) AS m), (SELECT unnest([0.0, 0.5]) AS l)), r AS (SELECT margin, lam, CASE WHEN top - base - lam > margin THEN best ELSE "default" END AS chosen, "default", CASE WHEN id % 2 = 0 THEN best ELSE "default" END AS expected FROM dg, g) SELECT margin, lam, count(*) FILTER (WHERE chosen = expected) AS hits, count(*) FILTER (WHERE chosen <> expected AND expected = "default") AS serious FROM r GROUP BY margin, lam""")
-def grid(spark, sf_dir, whole=False):
-    d = M.decided(scored_candidates(spark, sf_dir, whole), ["id", "i"], 0.5, 2.0)
+def grid(spark, sf_dir):
+    d = M.decided(scored_candidates(spark, sf_dir), ["id", "i"], 0.5, 2.0)
     d = d.select("default", "best", F.col("gap").alias("gap0"), F.lit(1.0).alias("dprior"), F.when(F.col("id") % 2 == 0, F.col("best")).otherwise(F.col("default")).alias("expected"))
     parameters = spark.createDataFrame([(m, l) for m in (0.0, 1.0, 2.0, 4.0) for l in (0.0, 0.5)], "margin double, lam double")  # noqa: E741
     return M.grid(d, parameters)
 
 
-def examples(spark, sf_dir, whole=False):
+def examples(spark, sf_dir):
     """Slots of `the` (class 0) and `of` (class 1) as examples of a group for each language."""
-    w = lm_sentences(spark, sf_dir, whole).select("id", "model", F.split("text", " ").alias("w"))
+    w = lm_sentences(spark, sf_dir).select("id", "model", F.split("text", " ").alias("w"))
     # Features are made inside the array, so no slot carries its sentence along.
     slots = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("form"), F.when(x.isin("the", "of"), M.slot_features(F.col("w"), i)).alias("features"))), lambda s: s["features"].isNotNull())
     s = w.select("id", "model", F.explode(slots).alias("s")).select("id", "model", "s.*")
     return s.select(F.col("model").alias("group"), "id", "i", F.when(F.col("form") == "the", 0).otherwise(1).alias("cls"), "features")
 
 
-_EX = f"""{_LM}, sl AS (SELECT id, t, unnest(t) AS form, generate_subscripts(t, 1) AS i FROM lm),
-ft AS (SELECT id, i, CASE WHEN form = 'the' THEN 0 ELSE 1 END AS cls, list_concat(['L1=' || coalesce(CASE WHEN i > 1 THEN t[i - 1] END, '_'), 'L2=' || coalesce(CASE WHEN i > 2 THEN t[i - 2] END, '_'), 'R1=' || coalesce(t[i + 1], '_'), 'R2=' || coalesce(t[i + 2], '_'),
+_EX = f"""{_LM}, sl AS (SELECT id, model, t, unnest(t) AS form, generate_subscripts(t, 1) AS i FROM lm),
+ft AS (SELECT id, model, i, CASE WHEN form = 'the' THEN 0 ELSE 1 END AS cls, list_concat(['L1=' || coalesce(CASE WHEN i > 1 THEN t[i - 1] END, '_'), 'L2=' || coalesce(CASE WHEN i > 2 THEN t[i - 2] END, '_'), 'R1=' || coalesce(t[i + 1], '_'), 'R2=' || coalesce(t[i + 2], '_'),
  'LL=' || coalesce(CASE WHEN i > 2 THEN t[i - 2] END, '_') || ' ' || coalesce(CASE WHEN i > 1 THEN t[i - 1] END, '_'), 'RR=' || coalesce(t[i + 1], '_') || ' ' || coalesce(t[i + 2], '_')], ['B=' || x FOR x IN list_distinct(list_concat(t[greatest(1, i - 8):i - 1], t[i + 1:i + 8]))]) AS f FROM sl WHERE form IN ('the', 'of')),
-fe AS (SELECT cls, unnest(f) AS feature FROM ft), md AS (SELECT feature, count(*) FILTER (WHERE cls = 0) AS n0, count(*) FILTER (WHERE cls = 1) AS n1 FROM fe GROUP BY feature HAVING count(*) >= 2), mt AS (SELECT sum(n0) AS t0, sum(n1) AS t1, count(*) AS v FROM md)"""
+fe AS (SELECT model, cls, unnest(f) AS feature FROM ft), md AS (SELECT model, feature, count(*) FILTER (WHERE cls = 0) AS n0, count(*) FILTER (WHERE cls = 1) AS n1 FROM fe GROUP BY model, feature HAVING count(*) >= 2), mt AS (SELECT model, sum(n0) AS t0, sum(n1) AS t1, count(*) AS v FROM md GROUP BY model)"""
 
 
 @query("nbc_01_slot_features", f"WITH {_EX} SELECT id, i - 1 AS i, cls, len(f) AS n FROM ft")
-def slot_features(spark, sf_dir, whole=False):
-    return examples(spark, sf_dir, whole).select("id", "i", "cls", F.size("features").alias("n"))
+def slot_features(spark, sf_dir):
+    return examples(spark, sf_dir).select("id", "i", "cls", F.size("features").alias("n"))
 
 
-@query("nbc_03_train", f"WITH {_EX} SELECT feature, n0, n1, t0::BIGINT AS t0, t1::BIGINT AS t1, v FROM md, mt")
-def train(spark, sf_dir, whole=False):
-    return named(M.bayes_train(examples(spark, sf_dir, whole)), whole, "group")
+@query("nbc_03_train", f"WITH {_EX} SELECT model.lang AS lang, feature, n0, n1, t0::BIGINT AS t0, t1::BIGINT AS t1, v FROM md JOIN mt USING (model)")
+def train(spark, sf_dir):
+    return named(M.bayes_train(examples(spark, sf_dir)), "group")
 
 
-@query("nbc_04_logodds", f"WITH {_EX}, fl AS (SELECT id, i - 1 AS i, unnest(f) AS feature FROM ft) SELECT id, i, round(sum(ln((n0 + 0.5) / (t0 + 0.5 * v)) - ln((n1 + 0.5) / (t1 + 0.5 * v))), 6) AS logodds FROM fl JOIN md USING (feature), mt GROUP BY id, i")
-def logodds(spark, sf_dir, whole=False):
-    e = examples(spark, sf_dir, whole)
+@query("nbc_04_logodds", f"WITH {_EX}, fl AS (SELECT id, model, i - 1 AS i, unnest(f) AS feature FROM ft) SELECT id, i, round(sum(ln((n0 + 0.5) / (t0 + 0.5 * v)) - ln((n1 + 0.5) / (t1 + 0.5 * v))), 6) AS logodds FROM fl JOIN md USING (model, feature) JOIN mt USING (model) GROUP BY id, i")
+def logodds(spark, sf_dir):
+    e = examples(spark, sf_dir)
     return M.bayes_logodds(e, ["id", "i"], M.bayes_train(e))
 
 
-@query("nbc_05_balanced_accuracy", f"WITH {_EX}, fl AS (SELECT id, i, cls, unnest(f) AS feature FROM ft), lo AS (SELECT id, i, cls, sum(ln((n0 + 0.5) / (t0 + 0.5 * v)) - ln((n1 + 0.5) / (t1 + 0.5 * v))) AS o FROM fl JOIN md USING (feature), mt GROUP BY id, i, cls), rc AS (SELECT cls, avg(CASE WHEN (CASE WHEN round(o, 6) > 0 THEN 0 ELSE 1 END) = cls THEN 1 ELSE 0 END) AS r FROM lo GROUP BY cls) SELECT round(avg(r), 6) AS accuracy FROM rc")
-def balanced_accuracy(spark, sf_dir, whole=False):
-    e = examples(spark, sf_dir, whole)
+@query("nbc_05_balanced_accuracy", f"WITH {_EX}, fl AS (SELECT id, model, i, cls, unnest(f) AS feature FROM ft), lo AS (SELECT id, model, i, cls, sum(ln((n0 + 0.5) / (t0 + 0.5 * v)) - ln((n1 + 0.5) / (t1 + 0.5 * v))) AS o FROM fl JOIN md USING (model, feature) JOIN mt USING (model) GROUP BY id, model, i, cls), rc AS (SELECT model, cls, avg(CASE WHEN (CASE WHEN round(o, 6) > 0 THEN 0 ELSE 1 END) = cls THEN 1 ELSE 0 END) AS r FROM lo GROUP BY model, cls) SELECT model.lang AS lang, round(avg(r), 6) AS accuracy FROM rc GROUP BY model")
+def balanced_accuracy(spark, sf_dir):
+    e = examples(spark, sf_dir)
     s = M.bayes_logodds(e.withColumn("model", F.col("group")), ["id", "i", "cls", "model"], M.bayes_train(e))
-    return named(M.balanced_accuracy(s, "model"), whole)
+    return named(M.balanced_accuracy(s, "model"))
 
 
-@query("nbc_06_informative", f"WITH {_EX}, o AS (SELECT feature, round(ln((n0 + 0.5) / (t0 + 0.5 * v)) - ln((n1 + 0.5) / (t1 + 0.5 * v)), 6) AS odds FROM md, mt WHERE n0 + n1 >= 20) SELECT feature, odds FROM o QUALIFY row_number() OVER (ORDER BY odds DESC, feature) <= 10 OR row_number() OVER (ORDER BY odds, feature) <= 10")
-def informative(spark, sf_dir, whole=False):
-    return named(M.informative(M.bayes_train(examples(spark, sf_dir, whole))), whole, "group")
+@query("nbc_06_informative", f"WITH {_EX}, o AS (SELECT model, feature, round(ln((n0 + 0.5) / (t0 + 0.5 * v)) - ln((n1 + 0.5) / (t1 + 0.5 * v)), 6) AS odds FROM md JOIN mt USING (model) WHERE n0 + n1 >= 20) SELECT model.lang AS lang, feature, odds FROM o QUALIFY row_number() OVER (PARTITION BY model ORDER BY odds DESC, feature) <= 10 OR row_number() OVER (PARTITION BY model ORDER BY odds, feature) <= 10")
+def informative(spark, sf_dir):
+    return named(M.informative(M.bayes_train(examples(spark, sf_dir))), "group")
 
 
 @query("agg_39_log_contrast", f"WITH t AS (SELECT lang = 'en' AS a, unnest({sql.tokens('text')}) AS form FROM documents), c AS (SELECT form, count(*) FILTER (WHERE a) AS na, count(*) FILTER (WHERE NOT a) AS nb FROM t GROUP BY form), s AS (SELECT sum(na) AS ta, sum(nb) AS tb FROM c) SELECT form, round(ln((na + 1) / ta) - ln((nb + 1) / tb), 6) AS contrast FROM c, s WHERE na + nb >= 50")
@@ -164,69 +162,69 @@ def log_contrast(spark, sf_dir):
 
 @query(
     "nbc_02_labelled_examples",
-    f"WITH {_EX}, o AS (SELECT id FROM ft GROUP BY id HAVING count(DISTINCT cls) = 1) SELECT id, i - 1 AS i, cls FROM ft JOIN o USING (id) QUALIFY row_number() OVER (PARTITION BY cls ORDER BY md5('e:' || id || ':' || (i - 1)), id, i) <= 500",
+    f"WITH {_EX}, o AS (SELECT id, model FROM ft GROUP BY id, model HAVING count(DISTINCT cls) = 1) SELECT id, i - 1 AS i, cls FROM ft JOIN o USING (id, model) QUALIFY row_number() OVER (PARTITION BY model, cls ORDER BY md5('e:' || id || ':' || (i - 1)), id, i) <= 500",
 )
-def labelled_examples(spark, sf_dir, whole=False):
-    return M.labelled_examples(examples(spark, sf_dir, whole).drop("features"), "id", 500, "e").select("id", "i", "cls")
+def labelled_examples(spark, sf_dir):
+    return M.labelled_examples(examples(spark, sf_dir).drop("features"), "id", 500, "e").select("id", "i", "cls")
 
 
-@query("nbc_07_choices", f"WITH {_EX}, fl AS (SELECT id, i - 1 AS i, unnest(f) AS feature FROM ft), lo AS (SELECT id, i, round(sum(ln((n0 + 0.5) / (t0 + 0.5 * v)) - ln((n1 + 0.5) / (t1 + 0.5 * v))), 6) AS o FROM fl JOIN md USING (feature), mt GROUP BY id, i) SELECT id, i, CASE WHEN o > 0 THEN 'the' ELSE 'of' END AS choice FROM lo")
-def choices(spark, sf_dir, whole=False):
-    e = examples(spark, sf_dir, whole)
+@query("nbc_07_choices", f"WITH {_EX}, fl AS (SELECT id, model, i - 1 AS i, unnest(f) AS feature FROM ft), lo AS (SELECT id, i, round(sum(ln((n0 + 0.5) / (t0 + 0.5 * v)) - ln((n1 + 0.5) / (t1 + 0.5 * v))), 6) AS o FROM fl JOIN md USING (model, feature) JOIN mt USING (model) GROUP BY id, i) SELECT id, i, CASE WHEN o > 0 THEN 'the' ELSE 'of' END AS choice FROM lo")
+def choices(spark, sf_dir):
+    e = examples(spark, sf_dir)
     return M.bayes_choice(M.bayes_logodds(e, ["id", "i"], M.bayes_train(e)), F.lit("the"), F.lit("of")).select("id", "i", "choice")
 
 
 @query("nbc_08_gold_labels", f"WITH {_LM} SELECT id, CASE WHEN list_contains(t, 'the') AND NOT list_contains(t, 'thee') THEN 'the' WHEN list_contains(t, 'thee') AND NOT list_contains(t, 'the') THEN 'thee' END AS label FROM lm")
-def gold_labels(spark, sf_dir, whole=False):
-    return lm_sentences(spark, sf_dir, whole).select("id", M.gold_label(F.lit(None).cast("string"), F.array(F.lit("the"), F.lit("thee")), F.split("text", " ")).alias("label"))
+def gold_labels(spark, sf_dir):
+    return lm_sentences(spark, sf_dir).select("id", M.gold_label(F.lit(None).cast("string"), F.array(F.lit("the"), F.lit("thee")), F.split("text", " ")).alias("label"))
 
 
 @query("lmd_13_lemmatised", f"WITH {_LM}, x AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) AS i FROM lm), l AS (SELECT id, i, form, CASE WHEN form IN ('the', 'of') OR NOT regexp_matches(form, '[a-z]') OR NOT ends_with(form, 's') THEN form ELSE substr(form, 1, length(form) - 1) END AS o FROM x) SELECT id, string_agg(o, ' ' ORDER BY i) AS text, count(*) FILTER (WHERE o <> form) AS n_changed FROM l GROUP BY id")
-def lemmatised(spark, sf_dir, whole=False):
-    t = lm_sentences(spark, sf_dir, whole).filter("text <> ''").select("id", F.posexplode(F.split("text", " ")).alias("i", "form"))
+def lemmatised(spark, sf_dir):
+    t = lm_sentences(spark, sf_dir).filter("text <> ''").select("id", F.posexplode(F.split("text", " ")).alias("i", "form"))
     lemma = F.when(F.col("form").endswith("s"), F.expr("substring(form, 1, length(form) - 1)"))
     t = t.withColumn("lemma", lemma).withColumn("pos", F.when(F.col("form").rlike("[a-z]"), "WORD").otherwise("PUNCT"))
     return M.lemmatised(t, "id", spark.createDataFrame([("the",), ("of",)], "form string"))
 
 
 @query("lmd_14_mixed_scores", f"WITH {_DEC} SELECT id, i, candidate, round(0.75 * (score - 0.5 * length(candidate)) + 0.25 * length(candidate), 6) AS score FROM sc")
-def mixed_scores(spark, sf_dir, whole=False):
-    c = scored_candidates(spark, sf_dir, whole)
+def mixed_scores(spark, sf_dir):
+    c = scored_candidates(spark, sf_dir)
     other = c.select("id", "i", "candidate", F.length("candidate").cast("double").alias("logprob"))
     return M.mixed_scores([(c, 0.75), (other, 0.25)], ["id", "i", "candidate"]).withColumn("score", F.round("score", 6))
 
 
 @query("lmd_15_fusion", f"""WITH {_DEC}, cs AS (SELECT id % 2 AS grp, top - base AS gap, (id % 7 - 3)::DOUBLE AS o, id % 3 = 0 AS r FROM dg),
 fu AS (SELECT 'sum' AS rule, w AS value, grp, gap + w * o > 0 AS says, r FROM cs, (SELECT unnest([0.5, 1.0]) AS w) UNION ALL SELECT 'below', 2.0, grp, CASE WHEN abs(gap) < 2.0 THEN o > 0 ELSE gap > 0 END, r FROM cs) SELECT rule, value::DOUBLE AS value, grp, round(avg(CASE WHEN says = r THEN 1 ELSE 0 END), 6) AS accuracy FROM fu GROUP BY ALL""")
-def fusion(spark, sf_dir, whole=False):
-    d = M.decided(scored_candidates(spark, sf_dir, whole), ["id", "i"], 0.5, 2.0)
+def fusion(spark, sf_dir):
+    d = M.decided(scored_candidates(spark, sf_dir), ["id", "i"], 0.5, 2.0)
     cases = d.select((F.col("id") % 2).alias("grp"), "gap", (F.col("id") % 7 - 3).cast("double").alias("logodds"), (F.col("id") % 3 == 0).alias("first_right"))
     return M.fusion(cases, [0.5, 1.0], [2.0])
 
 
 @query("lmd_16_labelled_benchmark", f"WITH {_LM}, x AS (SELECT id, t, unnest(t) AS form, generate_subscripts(t, 1) AS i FROM lm) SELECT id, i - 1 AS i, array_to_string(list_concat(t[1:i - 1], ['thee'], t[i + 1:]), ' ') AS text FROM x WHERE form = 'the'")
-def labelled_benchmark(spark, sf_dir, whole=False):
+def labelled_benchmark(spark, sf_dir):
     points = spark.createDataFrame([("the", "thee")], "form string, candidate string")
-    return M.candidate_texts(token_arrays(spark, sf_dir, whole), points, "id").select("id", "i", "text")
+    return M.candidate_texts(token_arrays(spark, sf_dir), points, "id").select("id", "i", "text")
 
 
 @query("lmd_07_pos_veto", f"WITH {_LM}, x AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) - 1 AS i FROM lm) SELECT id, i, CASE WHEN ends_with(form, 'ing') THEN 'verb' WHEN ends_with(form, 'tion') THEN 'noun' END AS reading FROM x WHERE length(form) > 4")
-def pos_veto(spark, sf_dir, whole=False):
-    t = lm_sentences(spark, sf_dir, whole).select("id", F.posexplode(F.split("text", " ")).alias("i", "form")).filter(F.length("form") > 4)
+def pos_veto(spark, sf_dir):
+    t = lm_sentences(spark, sf_dir).select("id", F.posexplode(F.split("text", " ")).alias("i", "form")).filter(F.length("form") > 4)
     pos = F.when(F.col("form").endswith("ing"), "VERB").when(F.col("form").endswith("tion"), "NOUN")
     return t.select("id", "i", M.pos_veto(pos, F.lit(None).cast("string"), F.lit("noun"), F.lit("verb")).alias("reading"))
 
 
 @query("lmd_05_scores", f"WITH {_DEC} SELECT id, i, candidate, round((score - 0.5 * length(candidate)) / length(candidate) + CASE WHEN d THEN 0.25 ELSE 0.75 END * length(candidate), 6) AS score FROM sc")
-def candidate_scores(spark, sf_dir, whole=False):
+def candidate_scores(spark, sf_dir):
     """Types of points and words are stood in for by columns of the candidates."""
-    c = scored_candidates(spark, sf_dir, whole).withColumn("type", F.when(F.col("is_default"), "collision").otherwise("unresolvable")).withColumn("words", F.length("candidate"))
+    c = scored_candidates(spark, sf_dir).withColumn("type", F.when(F.col("is_default"), "collision").otherwise("unresolvable")).withColumn("words", F.length("candidate"))
     return M.candidate_scores(c, {"collision": 0.25, "unresolvable": 0.75}, 0.5, True).select("id", "i", "candidate", F.round("score", 6).alias("score"))
 
 
 @query("lmd_12_prior_swapped", f"WITH {_DEC}, fr AS (SELECT form, count(*) AS n FROM (SELECT unnest({sql.tokens('text')}) AS form FROM documents) GROUP BY form) SELECT id, i, candidate, round(ln((coalesce(n, 0) + 1) / (SELECT sum(n) FROM fr)), 6) AS prior FROM sc LEFT JOIN fr ON candidate = form")
-def prior_swapped(spark, sf_dir, whole=False):
+def prior_swapped(spark, sf_dir):
     from .common import documents
 
     n = documents(spark, sf_dir).select(F.explode(T.tokens(F.col("text"))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
-    return M.prior_swapped(scored_candidates(spark, sf_dir, whole), n).select("id", "i", "candidate", F.round("prior", 6).alias("prior"))
+    return M.prior_swapped(scored_candidates(spark, sf_dir), n).select("id", "i", "candidate", F.round("prior", 6).alias("prior"))

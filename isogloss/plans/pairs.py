@@ -18,16 +18,15 @@ def tokens(spark, sf_dir):
     return turn_pairs(spark, sf_dir).select("id", T.pair_tokens(F.col("a")).alias("ta"), T.pair_tokens(F.col("b")).alias("tb"))
 
 
-def edited(spark, sf_dir, whole=False):
-    """Sentences of documents and a version of each in which some words are changed; those of 3 to 60 tokens, as the SQL states, or all."""
+def edited(spark, sf_dir):
+    """All sentences of documents that have a word, and a version of each in which some words are changed."""
     s = segment.explode_sentences(documents(spark, sf_dir).select("doc_id", "text")).withColumn("id", F.col("doc_id") * 100_000 + F.col("sent_no"))
-    t = s.select("id", "doc_id", T.tokens(F.col("text")).alias("ta"))
-    t = t if whole else t.filter(F.size("ta").between(3, 60))
+    t = s.select("id", "doc_id", T.tokens(F.col("text")).alias("ta")).filter(F.size("ta") > 0)
     return t.withColumn("tb", F.transform("ta", lambda w: F.when(w == "the", "le").when(w.endswith("tion"), F.regexp_replace(w, "tion$", "cio")).when(w == "of", "de").otherwise(w)))
 
 
 _TK = f"tk AS (SELECT id, {sql.pair_tokens('a')} AS ta, {sql.pair_tokens('b')} AS tb FROM pair)"
-_ED = f"""{sql.SENT}, ed0 AS (SELECT doc_id * 100000 + sent_no AS id, doc_id, {sql.tokens('text')} AS ta FROM sent), ed AS (SELECT id, doc_id, ta, [CASE WHEN w = 'the' THEN 'le' WHEN ends_with(w, 'tion') THEN regexp_replace(w, 'tion$', 'cio') WHEN w = 'of' THEN 'de' ELSE w END FOR w IN ta] AS tb FROM ed0 WHERE len(ta) BETWEEN 3 AND 60),
+_ED = f"""{sql.SENT}, ed0 AS (SELECT doc_id * 100000 + sent_no AS id, doc_id, {sql.tokens('text')} AS ta FROM sent), ed AS (SELECT id, doc_id, ta, [CASE WHEN w = 'the' THEN 'le' WHEN ends_with(w, 'tion') THEN regexp_replace(w, 'tion$', 'cio') WHEN w = 'of' THEN 'de' ELSE w END FOR w IN ta] AS tb FROM ed0 WHERE len(ta) > 0),
 po AS (SELECT id, doc_id, generate_subscripts(ta, 1) - 1 AS i, unnest(ta) AS x, unnest(tb) AS y FROM ed), df AS (SELECT id, doc_id, i, x AS "from", y AS "to" FROM po WHERE x <> y)"""
 
 
@@ -65,8 +64,8 @@ def content_alignment(spark, sf_dir):
 
 
 @query("dif_01_positional_ops", f'WITH {_ED} SELECT id, i, "from", "to" FROM df')
-def positional_ops(spark, sf_dir, whole=False):
-    return R.positional_ops(edited(spark, sf_dir, whole)).select("id", "i", "from", "to")
+def positional_ops(spark, sf_dir):
+    return R.positional_ops(edited(spark, sf_dir)).select("id", "i", "from", "to")
 
 
 @query("dif_01_diff_ops")
@@ -76,62 +75,62 @@ def diff_ops(spark, sf_dir):
 
 
 @query("dif_02_substitutions", f'WITH {_ED} SELECT "from", "to", count(*) AS n, min(id) AS example FROM df GROUP BY "from", "to"')
-def substitutions(spark, sf_dir, whole=False):
-    return R.positional_ops(edited(spark, sf_dir, whole)).groupBy("from", "to").agg(F.count("*").alias("n"), F.min("id").alias("example"))
+def substitutions(spark, sf_dir):
+    return R.positional_ops(edited(spark, sf_dir)).groupBy("from", "to").agg(F.count("*").alias("n"), F.min("id").alias("example"))
 
 
 @query("dif_03_mined")
 def mined(spark, sf_dir):
-    subs = R.substitutions(R.diff_ops(edited(spark, sf_dir, True)))
+    subs = R.substitutions(R.diff_ops(edited(spark, sf_dir)))
     known = spark.createDataFrame([("the", "le")], "src string, dst string")
     rules = spark.createDataFrame([("tion", "cio", 1), ("ion", "io", 2)], "cut string, put string, number int")
     return R.mined(subs, known, rules)
 
 
 @query("dif_05_context", f"WITH {_ED} SELECT id, i, array_to_string(ed.ta[greatest(1, i - 1):i + 3], ' ') AS context FROM df JOIN ed USING (id)")
-def context(spark, sf_dir, whole=False):
-    e = edited(spark, sf_dir, whole)
+def context(spark, sf_dir):
+    e = edited(spark, sf_dir)
     d = e.withColumn("p", F.explode(F.filter(F.transform(F.arrays_zip("ta", "tb"), lambda x, i: F.struct(i.alias("i"), (x["ta"] != x["tb"]).alias("d"))), lambda x: x["d"])))
     i = F.col("p.i")
     return d.select("id", i.alias("i"), F.array_join(F.slice("ta", F.greatest(F.lit(1), i - 1), F.least(i, F.lit(2)) + F.when(i == 0, 3).when(i == 1, 3).otherwise(3)), " ").alias("context"))
 
 
 @query("jon_15_explained", f"""WITH {_ED}, g AS (SELECT "from" AS f, "to" AS t, count(*) AS n FROM df GROUP BY ALL) SELECT f AS "from", t AS "to", n, CASE WHEN f = 'the' THEN 'known' WHEN ends_with(f, 'tion') THEN 'rule' ELSE 'new' END AS kind FROM g""")
-def explained(spark, sf_dir, whole=False):
-    s = R.positional_ops(edited(spark, sf_dir, whole)).withColumn("ratio", F.lit(1.0)).withColumn("ops", F.array(F.lit(1)))
+def explained(spark, sf_dir):
+    s = R.positional_ops(edited(spark, sf_dir)).withColumn("ratio", F.lit(1.0)).withColumn("ops", F.array(F.lit(1)))
     known = spark.createDataFrame([("the", "le")], "src string, dst string")
     rules = spark.createDataFrame([("tion", "cio", 1)], "cut string, put string, number int")
     return R.mined(s, known, rules).select("from", "to", "n", "kind")
 
 
 @query("prd_13_structural", f"WITH {_ED}, g AS (SELECT id, i, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM df), h AS (SELECT id, i - r AS k, count(*) AS n FROM g GROUP BY id, k) SELECT id, max(n) <= 2 AS structural FROM h GROUP BY id")
-def structural(spark, sf_dir, whole=False):
-    d = R.diff_ops(edited(spark, sf_dir, whole)).filter(F.size("ops") > 0)
+def structural(spark, sf_dir):
+    d = R.diff_ops(edited(spark, sf_dir)).filter(F.size("ops") > 0)
     return d.select("id", R.structural(F.col("ops")).alias("structural"))
 
 
 @query("prd_14_strict_pairs", f"""WITH {_ED} SELECT id, bool_and("from" = 'the' OR "from" = 'of') AS strict FROM df GROUP BY id""")
-def strict_pairs(spark, sf_dir, whole=False):
+def strict_pairs(spark, sf_dir):
     lexicon = spark.createDataFrame([("the", "le"), ("of", "de")], "src string, dst string")
-    return R.explained(R.positional_ops(edited(spark, sf_dir, whole)), "id", lexicon)
+    return R.explained(R.positional_ops(edited(spark, sf_dir)), "id", lexicon)
 
 
 @query("jon_16_phenomena", f"WITH {_ED} SELECT DISTINCT id, CASE WHEN list_contains(ta, 'the') THEN 'article' END AS label FROM ed WHERE list_contains(ta, 'the') AND NOT list_contains(tb, 'the') UNION SELECT id, 'preposition' FROM ed WHERE list_contains(ta, 'of') AND NOT list_contains(tb, 'of')")
-def phenomena(spark, sf_dir, whole=False):
-    e = edited(spark, sf_dir, whole).select("id", F.array_join("ta", " ").alias("a"), F.array_join("tb", " ").alias("b"))
+def phenomena(spark, sf_dir):
+    e = edited(spark, sf_dir).select("id", F.array_join("ta", " ").alias("a"), F.array_join("tb", " ").alias("b"))
     lexicon = spark.createDataFrame([("the", "le", "article"), ("of", "de", "preposition")], "src string, dst string, label string")
     return R.phenomena(e, lexicon)
 
 
 @query("jon_17_text_phenomena", f"WITH {_ED} SELECT DISTINCT id, 'article' AS label FROM ed WHERE list_contains(ta, 'the') UNION SELECT id, 'preposition' FROM ed WHERE list_contains(ta, 'of')")
-def text_phenomena(spark, sf_dir, whole=False):
+def text_phenomena(spark, sf_dir):
     lexicon = spark.createDataFrame([("the", "article"), ("of", "preposition")], "form string, label string")
-    return edited(spark, sf_dir, whole).select("id", F.explode("ta").alias("form")).join(lexicon, "form").select("id", "label").distinct()
+    return edited(spark, sf_dir).select("id", F.explode("ta").alias("form")).join(lexicon, "form").select("id", "label").distinct()
 
 
 @query("jon_23_confirmed", f"WITH {_ED} SELECT DISTINCT id, 'the' AS form, 'le' AS put FROM ed WHERE list_contains(ta, 'the') AND NOT list_contains(ta, 'le')")
-def confirmed(spark, sf_dir, whole=False):
-    e = edited(spark, sf_dir, whole)
+def confirmed(spark, sf_dir):
+    e = edited(spark, sf_dir)
     grams = lambda c: e.select("id", F.explode(F.array_distinct(c)).alias("gram"))
     proposals = grams("ta").filter("gram = 'the'").select("id", F.col("gram").alias("form"), F.lit("le").alias("put"))
     return R.confirmed(proposals, grams("ta"), grams("tb"))
@@ -147,8 +146,8 @@ def alignment_quality(spark, sf_dir):
 
 
 @query("agg_29_rule_outcome", f"""WITH {_ED}, t AS (SELECT x, y FROM po WHERE x IN ('the', 'of', 'and') OR ends_with(x, 'tion')) SELECT CASE WHEN ends_with(x, 'tion') THEN 'tion' ELSE x END AS rule, CASE WHEN x = y THEN 'kept' ELSE 'changed' END AS outcome, count(*) AS n FROM t GROUP BY ALL""")
-def rule_outcome(spark, sf_dir, whole=False):
-    p = edited(spark, sf_dir, whole).select(F.explode(F.arrays_zip("ta", "tb")).alias("p")).select("p.ta", "p.tb")
+def rule_outcome(spark, sf_dir):
+    p = edited(spark, sf_dir).select(F.explode(F.arrays_zip("ta", "tb")).alias("p")).select("p.ta", "p.tb")
     rule = F.when(F.col("ta").endswith("tion"), "tion").when(F.col("ta").isin("the", "of", "and"), F.col("ta"))
     return p.select(rule.alias("rule"), F.when(F.col("ta") == F.col("tb"), "kept").otherwise("changed").alias("outcome")).filter("rule is not null").groupBy("rule", "outcome").agg(F.count("*").alias("n"))
 

@@ -158,16 +158,14 @@ def running_counts(spark, sf_dir):
     return J.last_counts(spark, ["source"], out).select("source", F.col("count").alias("n"))
 
 
-@query("src_11_frequency_table", f"WITH t AS (SELECT unnest({sql.tokens('text')}) AS form FROM documents WHERE lang = 'es') SELECT form, count(*) AS n FROM t GROUP BY form")
-def frequency_table(spark, sf_dir, whole=False):
-    """Spanish documents, as the SQL states, or a table for each language."""
+@query("src_11_frequency_table", f"WITH t AS (SELECT lang, unnest({sql.tokens('text')}) AS form FROM documents) SELECT lang, form, count(*) AS n FROM t GROUP BY lang, form")
+def frequency_table(spark, sf_dir):
+    """A table for each language, written as maps and read again."""
     path = scratch(spark) + "/freq"
-    d = table(spark, sf_dir, "documents")
-    d = d if whole else d.filter("lang = 'es'")
-    n = d.select("lang", F.explode(T.tokens(F.col("text"))).alias("form")).groupBy("lang", "form").agg(F.count("*").alias("n"))
+    n = table(spark, sf_dir, "documents").select("lang", F.explode(T.tokens(F.col("text"))).alias("form")).groupBy("lang", "form").agg(F.count("*").alias("n"))
     # A map for each first letter, as a file of one map would not fit everywhere.
     n.groupBy("lang", F.substring("form", 1, 1).alias("text")).agg(F.map_from_entries(F.collect_list(F.struct("form", "n"))).alias("freq")).write.json(path)
-    return spark.read.schema("lang string, text string, freq map<string,long>").json(path).select(*(["lang"] if whole else []), F.explode("freq").alias("form", "n"))
+    return spark.read.schema("lang string, text string, freq map<string,long>").json(path).select("lang", F.explode("freq").alias("form", "n"))
 
 
 @query("snk_01_json_lines", "SELECT item_id, text FROM benchmark UNION ALL SELECT doc_id, text FROM documents")
