@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
+# How list items and dotted leaders look.
 LIST_START = r"^\s*(?:\d+[.\)º]|[a-zA-Z]\s?\)|[-–—•·*]|[IVXLC]+\.)\s"
 LEADERS = r"\.\s*\.\s*\.\s*\."
 

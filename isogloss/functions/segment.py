@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Where sentences end, all patterns and the abbreviations.
 #: A closing mark, blanks, and a capital letter or an opening quote.
 BREAK = r'(?<=[.!?])\s+(?=[«"“A-ZÀ-Ý])'
 #: Also before a digit or a parenthesis.
 WIDE_BREAK = r'(?<=[.!?])\s+(?=[A-ZÀÈÉÍÒÓÚÜÇ«"(0-9])'
 PLAIN_BREAK = r"(?<=[.!?])\s+"
-#: Abbreviations after which a sentence goes on.
+#: Also after an ellipsis and before single quotes and parentheses.
+QUOTE_BREAK = r"""(?<=[.!?…])\s+(?=[A-ZÀÈÉÍÒÓÚÜÇ«"'(‘“])"""
+#: Abbreviations after which a sentence goes on.
 ABBREVIATIONS = [
     "sr", "sra", "sres", "dr", "dra", "d", "dna", "núm", "num", "art", "pàg", "pag", "p", "ex", "etc", "aprox", "vol", "ed", "coord", "tel", "c", "av", "prof", "cf", "ibid", "op", "cit", "s",
 ]
@@ -40,12 +43,12 @@ def explode_sentences(docs: DataFrame, text: str = "text", pattern: str = BREAK)
     return docs.select(*rest, F.posexplode(sentences(F.col(text), pattern)).alias("sent_no", text))
 
 
-def explode_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A row per line with text: par_no from 0, trimmed."""
+def explode_paragraphs(docs: DataFrame, text: str = "text", between: str = "\n") -> DataFrame:
+    """A row per line (or what else is parted) with text: par_no from 0, trimmed."""
     rest = [c for c in docs.columns if c != text]
-    return docs.select(*rest, F.posexplode(F.filter(F.transform(F.split(F.col(text), "\n"), F.trim), lambda x: x != "")).alias("par_no", text))
+    return docs.select(*rest, F.posexplode(F.filter(F.transform(F.split(F.col(text), between), F.trim), lambda x: x != "")).alias("par_no", text))
 
 
-def line_sentences(docs: DataFrame, text: str = "text", pattern: str = WIDE_BREAK) -> DataFrame:
+def line_sentences(docs: DataFrame, text: str = "text", pattern: str = WIDE_BREAK, between: str = "\n") -> DataFrame:
     """Paragraphs first, then their sentences: par_no and sent_no."""
-    return explode_sentences(explode_paragraphs(docs, text), text, pattern)
+    return explode_sentences(explode_paragraphs(docs, text, between), text, pattern)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values, all patterns down to ENCLITIC: what counts as a token, a number, an apostrophe or an elision must match.
 #: Words of letters; the middle dot and the hyphen hold parts together, an apostrophe parts them.
 WORDS = r"[\p{L}\p{M}]+(?:[·\-][\p{L}\p{M}]+)*"
 LETTERS = r"[\p{L}\p{M}]+"
@@ -18,7 +19,9 @@ APOSTROPHES = "´‘’ʼ`"
 #: Units of language-model text: word with the apostrophe after it, number, or one other mark.
 LM_UNITS = r"[\p{L}\p{M}]+(?:[·\-][\p{L}\p{M}]+)*'?|[0-9]+(?:[.,][0-9]+)*|[^\s\p{L}\p{M}0-9]"
 ELIDED = r"(?i)^([dlsmtn])['’ʼ](.+)$"
-ENCLITIC = r"(?i)^(.+?)((?:['’-](?:me|te|se|nos|vos|lo|la|los|les|li|ne|en|hi|ho|m|t|s|l|n))+)$"
+#: Pronouns behind a verb; several may follow one another.
+ENCLITICS = ["me", "te", "se", "nos", "vos", "los", "les", "la", "lo", "li", "ho", "hi", "ne", "ls", "ns", "m", "t", "s", "n", "l", "en"]
+ENCLITIC = rf"(?i)^(.+?)((?:['’ʼ-](?:{'|'.join(ENCLITICS)}))+)$"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -136,7 +139,7 @@ def drop_lines(text: Column, patterns: list[str]) -> Column:
 
 def keep_case(original: Column, new: Column) -> Column:
     """new in the case of original: all capitals (of two letters or more), a capital first, or as it is."""
-    capital = F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, 2, 10_000))
+    capital = F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.length(new)))
     return F.when((F.length(original) > 1) & original.rlike(r"^[^\p{Ll}]*$") & original.rlike(r"\p{Lu}"), F.upper(new)).when(original.rlike(r"^\p{Lu}"), capital).otherwise(new)
 
 

@@ -22,11 +22,10 @@ def exact(hyp: Column, ref: Column) -> Column:
 
 
 def word_edits(a: Column, b: Column) -> Column:
-    """Levenshtein distance of blank-separated words: each distinct word of the pair becomes one character of a private alphabet."""
+    """Levenshtein distance of blank-separated words: each distinct word of the pair becomes one character, of a million that there are beyond U+FFFF."""
     ua, ub = _units(a), _units(b)
     vocab = F.array_distinct(F.concat(ua, ub))
-    # From U+4E00 on there are over 20,000 characters in one plane.
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(19968) + F.array_position(vocab, w)), 4, "0")), "UTF-16BE")
+    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(65535) + F.array_position(vocab, w)), 8, "0")), "UTF-32")
     return F.levenshtein(F.array_join(F.transform(ua, code), ""), F.array_join(F.transform(ub, code), ""))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from .lineage import cut
 
 START, END = "<s>", "</s>"
 
@@ -14,13 +14,92 @@ def marked_words(lm_text: Column) -> Column:
     return F.concat(F.array(F.lit(START)), F.filter(F.split(lm_text, " "), lambda w: w != ""), F.array(F.lit(END)))
 
 
+def _sized_grams(words: Column, order: int) -> Column:
+    """n and gram of all n-grams of 1 to order words."""
+    none = F.expr("cast(array() as array<struct<n:int,gram:string>>)")
+
+    def grams(w: Column) -> Column:
+        one = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(w, i, n), " ").alias("gram")))).otherwise(none)
+        return F.concat(*[one(n) for n in range(1, order + 1)])
+
+    return F.transform(F.array(words), grams)[0]
+
+
+def _counted(sentences: DataFrame, text: str, order: int, *by: str) -> DataFrame:
+    grams = sentences.select(*by, F.explode(_sized_grams(marked_words(F.col(text)), order)).alias("g"))
+    return grams.groupBy(*by, "g.n", "g.gram").agg(F.count("*").alias("count"))
+
+
 def ngram_counts(sentences: DataFrame, text: str, order: int, *by: str) -> DataFrame:
     """by, n, gram, count of n-grams with sentence marks; single ones of order two and more are pruned."""
-    w = marked_words(F.col(text))
-    grams = sentences.select(*by, F.explode(T.ngrams(w, order)).alias("gram"))
-    counts = grams.groupBy(*by, "gram").agg(F.count("*").alias("count"))
-    n = F.size(F.split("gram", " "))
-    return counts.withColumn("n", n).filter("n = 1 or count > 1").select(*by, "n", "gram", "count")
+    return _counted(sentences, text, order, *by).filter("n = 1 or count > 1").select(*by, "n", "gram", "count")
+
+
+def kneser_ney(sentences: DataFrame, text: str, order: int, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Interpolated Kneser-Ney model with three discounts an order, for each `by`, which may not be null.
+
+    Grams (by, n, gram, a): the discounted share of a gram's last word after its
+    history. Histories (by, n, hist, gamma, size): the weight of the next lower
+    order after a history; of order one, of all words alike (size of them, one
+    unknown). Grams below the highest order that don't begin a sentence count the
+    different words before them. Grams of two words and more that occur once are
+    pruned, and what they had goes to gamma. A discount that small tables don't
+    settle is the single one, or a half.
+    """
+    raw = cut(_counted(sentences, text, order, *by))
+    after = F.expr("substring(gram, locate(' ', gram) + 1, length(gram))")
+    before = raw.filter("n > 1").groupBy(*by, (F.col("n") - 1).alias("n"), after.alias("gram")).agg(F.count("*").alias("k"))
+    hist = F.when(F.col("n") > 1, F.expr("substring_index(gram, ' ', n - 1)")).otherwise("")
+    adjusted = raw.filter(f"not (n = 1 and gram = '{START}')").join(before, [*by, "n", "gram"], "left")
+    adjusted = cut(adjusted.select(*by, "n", "gram", hist.alias("hist"), (F.col("count") > 1).alias("twice"), F.when((F.col("n") == order) | F.col("gram").startswith(f"{START} "), F.col("count")).otherwise(F.col("k")).alias("c")))
+    t = adjusted.groupBy(*by, "n").agg(*[F.count_if(F.col("c") == k).alias(f"t{k}") for k in (1, 2, 3, 4)])
+    single = F.when(F.col("t1") > 0, F.col("t1") / (F.col("t1") + 2 * F.col("t2"))).otherwise(0.5)
+
+    def discount(k: int) -> Column:
+        settled = (F.col("t1") > 0) & (F.col("t2") > 0) & (F.col(f"t{k}") > 0) & (F.col(f"t{k + 1}") > 0)
+        return F.when(settled, F.greatest(F.lit(0.0), k - (k + 1) * single * F.col(f"t{k + 1}") / F.col(f"t{k}"))).otherwise(single)
+
+    t = t.select(*by, "n", *[discount(k).alias(f"d{k}") for k in (1, 2, 3)])
+    sums = adjusted.groupBy(*by, "n", "hist").agg(F.sum("c").alias("s"), F.count("*").alias("kinds"))
+    d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    grams = adjusted.filter("n = 1 or twice").join(t, [*by, "n"]).join(sums, [*by, "n", "hist"])
+    grams = cut(grams.select(*by, "n", "gram", "hist", ((F.col("c") - d) / F.col("s")).alias("a")))
+    used = grams.groupBy(*by, "n", "hist").agg(F.sum("a").alias("used"))
+    histories = sums.join(used, [*by, "n", "hist"], "left").select(*by, "n", "hist", (1 - F.coalesce("used", F.lit(0.0))).alias("gamma"), F.when(F.col("n") == 1, F.col("kinds") + 1).alias("size"))
+    return grams.drop("hist"), histories
+
+
+def scored_places(rows: DataFrame, keys: list[str], model: tuple[DataFrame, DataFrame], order: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """keys, by, words, logprob (natural log, six places) of the words from lo to hi (from 1, both in) of w, a sentence with its marks."""
+    grams, histories = model
+    at = lambda i, n: F.array_join(F.slice("w", i, n), " ")
+    one = lambda i, n: F.struct(i.alias("place"), n.alias("n"), at(i - n + 1, n).alias("gram"), F.when(n > 1, at(i - n + 1, n - 1)).otherwise("").alias("hist"))
+    spans = F.flatten(F.transform(F.sequence("lo", "hi"), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(order), i)), lambda n: one(i, n))))
+    each = rows.select(*keys, *by, F.explode(spans).alias("s")).select(*keys, *by, "s.*")
+    got = each.join(grams, [*by, "n", "gram"], "left").join(histories, [*by, "n", "hist"], "left")
+    orders = got.groupBy(*keys, *by, "place").agg(F.sort_array(F.collect_list(F.struct("n", F.coalesce("a", F.lit(0.0)).alias("a"), "gamma", "size"))).alias("o"))
+    p = F.aggregate("o", F.lit(0.0), lambda p, x: F.when(x["n"] == 1, x["a"] + x["gamma"] / x["size"]).when(x["gamma"].isNull(), p).otherwise(x["a"] + x["gamma"] * p))
+    return orders.groupBy(*keys, *by).agg(F.count("*").alias("words"), F.round(F.sum(F.log(p)), 6).alias("logprob"))
+
+
+def scored_sentences(sentences: DataFrame, keys: list[str], text: str, model: tuple[DataFrame, DataFrame], order: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """keys, by, words, logprob of whole sentences, the end mark included."""
+    rows = sentences.select(*keys, *by, marked_words(F.col(text)).alias("w")).withColumns({"lo": F.lit(2), "hi": F.size("w")})
+    return scored_places(rows, keys, model, order, by)
+
+
+def scored_candidates(tokens: DataFrame, points: DataFrame, keys: list[str], model: tuple[DataFrame, DataFrame], order: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """keys, by, i, form, candidate, words, logprob of each candidate of each ambiguous word of tokens (keys, by, w: array).
+
+    Only the words whose probability the candidate changes are scored: itself and
+    the order - 1 after it. The rest of the sentence is the same for all candidates.
+    """
+    marked = F.concat(F.array(F.lit(START)), F.col("w"), F.array(F.lit(END)))
+    place = lambda x, i: F.struct(i.alias("i"), x.alias("form"), F.slice("m", F.greatest(F.lit(1), i + 3 - order), F.least(i + 1, F.lit(order - 1))).alias("left"), F.slice("m", i + 3, F.lit(order - 1)).alias("right"))
+    # Contexts are cut inside the array, so a place doesn't carry its sentence on.
+    at = tokens.withColumn("m", marked).select(*keys, *by, F.explode(F.transform("w", place)).alias("p")).select(*keys, *by, "p.*").join(points, "form")
+    rows = at.select(*keys, *by, "i", "form", "candidate", F.concat("left", F.array("candidate"), "right").alias("w"), (F.size("left") + 1).alias("lo"), (F.size("left") + 1 + F.size("right")).alias("hi"))
+    return scored_places(rows, [*keys, "i", "form", "candidate"], model, order, by)
 
 
 def log_probability(sentences: DataFrame, key: str, text: str, counts: DataFrame, order: int, backoff: float = 0.4, by: tuple[str, ...] = ()) -> DataFrame:

@@ -69,12 +69,15 @@ def corpus_index(counts: DataFrame, *by: str) -> DataFrame:
 
 
 def phrase_hits(texts: DataFrame, keys: list[str], phrases: DataFrame, longest: int, text: str = "text") -> DataFrame:
-    """keys, i, n, phrase, side: every occurrence of every phrase, overlaps too."""
+    """keys, i, n, phrase, side: every occurrence of every phrase of `longest` words or fewer, overlaps too.
+
+    Tokens meet the phrases that they begin, and only then are the next words compared.
+    """
     t = texts.select(*keys, T.tokens(F.col(text)).alias("t"))
-    sizes = F.array(*[F.lit(n) for n in range(1, longest + 1)])
-    spans = t.select(*keys, "t", F.explode(sizes).alias("n")).filter(F.size("t") >= F.col("n"))
-    grams = spans.select(*keys, "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("n") + 1), lambda i: F.array_join(F.slice("t", i, F.col("n")), " "))).alias("i", "phrase"))
-    return grams.join(phrases, "phrase")
+    place = lambda x, i: F.struct(i.alias("i"), x.alias("first"), F.slice("t", i + 1, F.lit(longest)).alias("ahead"))
+    places = t.select(*keys, F.explode(F.transform("t", place)).alias("p")).select(*keys, "p.*")
+    p = phrases.withColumn("first", F.substring_index("phrase", " ", 1)).withColumn("n", F.size(F.split("phrase", " "))).filter(F.col("n") <= longest)
+    return places.join(p, "first").filter(F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ") == F.col("phrase")).drop("first", "ahead")
 
 
 def longest_hits(hits: DataFrame, keys: list[str]) -> DataFrame:

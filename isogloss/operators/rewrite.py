@@ -41,8 +41,8 @@ FULL_TO_SHORT = {"-lo": "'l", "-los": "'ls", "-ne": "'n", "-me": "'m", "-te": "'
 
 def fitted_enclitics(core: Column, tail: Column) -> Column:
     """tail, whose first enclitic takes the form that the end of core asks for."""
-    first = F.regexp_extract(tail, "^(['’-][^'’-]+)", 1)
-    key, rest = F.lower(F.replace(first, F.lit("’"), F.lit("'"))), F.substring(tail, F.length(first) + 1, F.length(tail))
+    first = F.regexp_extract(tail, "^(['’ʼ-][^'’ʼ-]+)", 1)
+    key, rest = F.lower(F.translate(first, "’ʼ", "\'\'")), F.substring(tail, F.length(first) + 1, F.length(tail))
     table = lambda m: F.try_element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), key)
     vowel = F.lower(core).rlike("[aeioàèéíòó]$")
     put = F.when(vowel, table(FULL_TO_SHORT)).otherwise(table({b: a for a, b in FULL_TO_SHORT.items()}))

@@ -54,28 +54,42 @@ def split_by_group(rows: DataFrame, group: str, seed: str, test: float, dev: flo
 
 
 def balanced_split(rows: DataFrame, label: str, key: str, seed: str, n_valid: int) -> DataFrame:
-    """rows with split: n_valid of each class to validation, then as many of each class to train as the smallest has left."""
-    w = Window.partitionBy(label).orderBy(seeded(seed, key), key)
-    ranked = rows.withColumn("_r", F.row_number().over(w))
+    """rows with split: n_valid of each class to validation, then as many of each class to train as the smallest has left.
+
+    A row's place in the shuffle of its class is its place in a slice of the
+    shuffle and the sizes of the slices before, so no task orders a class.
+    """
+    order = rows.withColumn("_h", seeded(seed, key)).withColumn("_s", F.substring("_h", 1, 3))
+    sizes = order.groupBy(label, "_s").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(label).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(label, "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     least = rows.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("_least"))
-    return ranked.crossJoin(least).filter(F.col("_r") <= F.col("_least")).withColumn("split", F.when(F.col("_r") <= n_valid, "valid").otherwise("train")).drop("_r", "_least")
+    inside = F.row_number().over(Window.partitionBy(label, "_s").orderBy("_h", key))
+    ranked = order.withColumn("_i", inside).join(sizes.withColumnsRenamed({label: "_l", "_s": "_t"}), F.col(label).eqNullSafe(F.col("_l")) & (F.col("_s") == F.col("_t"))).crossJoin(least).withColumn("_r", F.col("_before") + F.col("_i"))
+    return ranked.filter(F.col("_r") <= F.col("_least")).withColumn("split", F.when(F.col("_r") <= n_valid, "valid").otherwise("train")).select(*rows.columns, "split")
 
 
-def near_evaluation(rows: DataFrame, evaluation: DataFrame, key: str, words: str, at_least: float = 0.6, least: int = 4, rarest: int = 3) -> DataFrame:
-    """key, item, jaccard of rows near an evaluation text.
+def near_evaluation(rows: DataFrame, evaluation: DataFrame, key: str, words: str, at_least: float = 0.6, least: int = 4) -> DataFrame:
+    """key, item, jaccard of all rows near an evaluation text; both sides have word sets (`words`) of `least` words or more.
 
-    Both sides have word sets (`words`) of `least` words or more. Candidates
-    share one of an evaluation text's `rarest` words (rare among the evaluation
-    texts); a near pair that shares none of these isn't found.
+    Two sets that reach the index share a word among the rarest n - ceil(at_least
+    * n) + 1 of an evaluation text of n words, and neither is smaller than
+    at_least times the other, so only such are compared and no pair is lost.
     """
-    items = evaluation.filter(F.size(words) >= least)
-    w = items.select("item", F.col(words).alias("set"), F.explode(words).alias("word"))
-    freq = w.groupBy("word").agg(F.count("*").alias("f"))
-    rare = w.join(freq, "word").withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("f", "word"))).filter(F.col("r") <= rarest).select("item", "word")
-    cand = rows.filter(F.size(words) >= least).select(key, F.explode(words).alias("word")).join(rare, "word").select(key, "item").distinct()
-    both = cand.join(rows.select(key, F.col(words).alias("a")), key).join(items.select("item", F.col(words).alias("b")), "item")
-    j = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
-    return both.withColumn("jaccard", j).filter(F.col("jaccard") >= at_least).select(key, "item", "jaccard")
+    items = evaluation.filter(F.size(words) >= least).select("item", F.col(words).alias("b"))
+    prefix = _rarest(items, at_least)
+    left = rows.filter(F.size(words) >= least).select(key, F.col(words).alias("a"))
+    # The set goes along with its words, so that rows are made once; all but those that meet an item are dropped at the join.
+    met = left.select(key, "a", F.explode("a").alias("word")).join(prefix, "word").filter((F.size("a") >= at_least * F.col("n")) & (F.col("n") >= at_least * F.size("a")))
+    cand = met.groupBy(key, "item").agg(F.first("a").alias("a"))
+    return cand.join(items, "item").withColumn("jaccard", F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).filter(F.col("jaccard") >= at_least).select(key, "item", "jaccard")
+
+
+def _rarest(items: DataFrame, at_least: float) -> DataFrame:
+    """item, n, word: the rarest words (among items) of each set b of n words that any set that near has one of."""
+    w = items.select("item", F.size("b").alias("n"), F.explode("b").alias("word"))
+    ranked = w.join(w.groupBy("word").agg(F.count("*").alias("f")), "word").withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("f", "word")))
+    return ranked.filter(F.col("r") <= F.col("n") - F.ceil(at_least * F.col("n") - 1e-9) + 1).select("item", "n", "word")
 
 
 def zero_filled(forms: DataFrame, counts: DataFrame) -> DataFrame:
@@ -110,19 +124,6 @@ def coverage(pool: DataFrame, key: str, labels: str, n: int, quota: int, rounds:
 
 
 def near_evaluation_exact(rows: DataFrame, evaluation: DataFrame, key: str, words: str, at_least: float = 0.6, letters: int = 3) -> DataFrame:
-    """key, item, jaccard of all pairs that near, over words of `letters` letters or more.
-
-    Two sets that reach the index share a word among the rarest n - ceil(at_least
-    * n) + 1 of an evaluation text of n words, so only these are joined and no
-    pair is lost.
-    """
-    long_ = lambda c: F.filter(c, lambda w: F.length(w) >= letters)
-    items = evaluation.select("item", long_(F.col(words)).alias("b")).filter(F.size("b") > 0)
-    w = items.select("item", F.size("b").alias("n"), F.explode("b").alias("word"))
-    freq = w.groupBy("word").agg(F.count("*").alias("f"))
-    ranked = w.join(freq, "word").withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("f", "word")))
-    prefix = ranked.filter(F.col("r") <= F.col("n") - F.ceil(at_least * F.col("n") - 1e-9) + 1).select("item", "word")
-    left = rows.select(key, long_(F.col(words)).alias("a"))
-    cand = left.select(key, F.explode("a").alias("word")).join(prefix, "word").select(key, "item").distinct()
-    both = cand.join(left, key).join(items, "item").withColumn("jaccard", F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")))
-    return both.filter(F.col("jaccard") >= at_least).select(key, "item", "jaccard")
+    """As near_evaluation, over words of `letters` letters or more and sets of any size."""
+    long_ = lambda df, name: df.select(name, F.filter(words, lambda w: F.length(w) >= letters).alias(words))
+    return near_evaluation(long_(rows, key), long_(evaluation, "item"), key, words, at_least, 1)

@@ -326,14 +326,25 @@ def repeats(spark, sf_dir):
     return g.crossJoin(d)
 
 
+_RK = sql.repeat_text("text")
+
+
 @query(
     "agg_27_document_selection",
-    f"""WITH {SC}, {DC}, keep AS (SELECT doc_id FROM dc WHERE {_INDEX} >= 0.5) SELECT doc_id, sent_no FROM sc JOIN keep USING (doc_id) WHERE occ >= other AND words >= 5""",
+    f"""WITH {SC}, {DC}, keep AS (SELECT doc_id FROM dc WHERE {_INDEX} >= 0.5), k AS (SELECT doc_id, sent_no, {_RK} AS k FROM sent), lk AS (SELECT DISTINCT {_RK} AS k FROM (SELECT unnest({sql.sentences('text')}) AS text FROM benchmark)),
+f AS (SELECT doc_id, sent_no FROM sc JOIN keep USING (doc_id) JOIN k USING (doc_id, sent_no) WHERE occ >= other AND words >= 5 AND k NOT IN (SELECT k FROM lk) QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, sent_no) = 1) SELECT * FROM f""",
 )
 def document_selection(spark, sf_dir):
-    c = sentence_counts(spark, sf_dir)
+    """Sentences of leaning documents that lean so themselves, are no benchmark's and occur first; each different text is scored once."""
+    from .selection import benchmark_keys
+
+    k = T.repeat_text(F.col("text")).alias("k")
+    s = sentences(spark, sf_dir).select("doc_id", "sent_no", "text", k)
+    texts = s.select("text").distinct()
+    c = s.join(M.counted(texts.withColumn("one", F.col("text")), ["one"], forms(spark)), F.col("text") == F.col("one")).drop("text", "one")
     keep = c.groupBy("doc_id").agg(F.sum("occ").alias("o"), F.sum("other").alias("e")).filter(M.index(F.col("o"), F.col("e")) >= 0.5)
-    return c.join(keep, "doc_id", "left_semi").filter("occ >= other and words >= 5").select("doc_id", "sent_no")
+    good = c.join(keep, "doc_id", "left_semi").filter("occ >= other and words >= 5").join(benchmark_keys(spark, sf_dir), "k", "left_anti")
+    return good.groupBy("k").agg(F.min(F.struct("doc_id", "sent_no")).alias("m")).select("m.doc_id", "m.sent_no")
 
 
 @query("agg_41_net_share", f"WITH {SC} SELECT round(count(*) FILTER (WHERE occ >= 2 AND {_INDEX} > 0.6) / count(*), 6) AS net, round(count(*) FILTER (WHERE occ + other = 1) / count(*), 6) AS single FROM sc WHERE words >= 8")
@@ -342,19 +353,21 @@ def net_share(spark, sf_dir):
     return c.agg(F.round(F.count_if((F.col("occ") >= 2) & (F.col("ix") > 0.6)) / F.count("*"), 6).alias("net"), F.round(F.count_if(F.col("occ") + F.col("other") == 1) / F.count("*"), 6).alias("single"))
 
 
-#: Rules with a normative and another variant, each a form before a word.
-RULES = [("article", "the", "a"), ("relative", "that", "which")]
+#: Rules with a normative and another variant, each a form before a word of a kind.
+RULES = [("article", "the", "a", "^[^aeiou]"), ("relative", "that", "which", "^[a-z]{2,3}$")]
 
 
 @query(
     "agg_28_rule_compliance",
-    f"""WITH {DTOK}, r(rule, good, bad) AS (VALUES ('article', 'the', 'a'), ('relative', 'that', 'which')), h AS (SELECT rule, form = good AS ok FROM dt JOIN r ON form IN (good, bad)) SELECT rule, count(*) AS n, round(count(*) FILTER (WHERE ok) / count(*), 6) AS share FROM h GROUP BY rule""",
+    f"""WITH {DTOK}, r(rule, good, bad, nxt) AS (VALUES ('article', 'the', 'a', '^[^aeiou]'), ('relative', 'that', 'which', '^[a-z]{{2,3}}$')), w AS (SELECT form, t[i + 2] AS after FROM dt), h AS (SELECT rule, form = good AS ok FROM w JOIN r ON form IN (good, bad) WHERE regexp_matches(after, nxt)) SELECT rule, count(*) AS n, round(count(*) FILTER (WHERE ok) / count(*), 6) AS share FROM h GROUP BY rule""",
 )
 def rule_compliance(spark, sf_dir):
-    r = spark.createDataFrame(RULES, "rule string, good string, bad string")
-    variants = r.select("rule", F.explode(F.array(F.struct(F.col("good").alias("form"), F.lit(True).alias("ok")), F.struct(F.col("bad").alias("form"), F.lit(False).alias("ok")))).alias("v")).select("rule", "v.*")
-    t = documents(spark, sf_dir).select(F.explode(T.tokens(F.col("text"))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
-    return t.join(variants, "form").groupBy("rule").agg(F.sum("n").alias("n"), F.round(F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("share"))
+    r = spark.createDataFrame(RULES, "rule string, good string, bad string, next string")
+    variants = r.select("rule", "next", F.explode(F.array(F.struct(F.col("good").alias("form"), F.lit(True).alias("ok")), F.struct(F.col("bad").alias("form"), F.lit(False).alias("ok")))).alias("v")).select("rule", "next", "v.*")
+    t = documents(spark, sf_dir).select(T.tokens(F.col("text")).alias("t"))
+    pairs = t.select(F.explode(F.transform("t", lambda x, i: F.struct(x.alias("form"), F.try_element_at("t", i + 2).alias("after")))).alias("p")).select("p.*")
+    n = pairs.join(variants.select("form").distinct(), "form", "left_semi").groupBy("form", "after").agg(F.count("*").alias("n")).join(variants, "form").filter("after rlike next")
+    return n.groupBy("rule").agg(F.sum("n").alias("n"), F.round(F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("share"))
 
 
 @query("agg_13_specific_forms", f"WITH {DTOK}, {FORM_SQL} SELECT form, count(*) FILTER (WHERE lang = 'en') AS own, count(*) FILTER (WHERE lang <> 'en') AS other FROM dt JOIN forms USING (form) WHERE side = 'or' GROUP BY form")

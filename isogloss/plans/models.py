@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import language_model as M
+from ..operators import selection as S
 from . import sql
 from .common import sentences
 from .registry import query
+from .selection import _NEAR, evaluation_items, word_sets
 
 
 def lm_sentences(spark, sf_dir):
@@ -44,6 +46,38 @@ def log_probability(spark, sf_dir):
     return named(M.log_probability(s, "id", "text", M.ngram_counts(s, "text", 3, "model"), 3, by=("model",)).withColumn("logprob", F.round("logprob", 6)))
 
 
+def _model_sql(order: int) -> str:
+    """The Kneser-Ney model over mk (model, w): kk (model, n, gram, a) and kh (model, n, hist, gamma, size)."""
+    d = lambda k: f"CASE WHEN t1 > 0 AND t2 > 0 AND t{k} > 0 AND t{k + 1} > 0 THEN greatest(0.0, {k} - {k + 1} * y * t{k + 1} / t{k}) ELSE y END"
+    return f"""kg AS (SELECT model, n, unnest([w[i:i + n - 1] FOR i IN range(1, len(w) - n + 2)]) AS g FROM (SELECT model, w, unnest(range(1, {order + 1})) AS n FROM mk)),
+kr AS (SELECT model, n, array_to_string(g, ' ') AS gram, coalesce(array_to_string(g[1:n - 1], ' '), '') AS hist, coalesce(array_to_string(g[2:], ' '), '') AS suf, g[1] = '<s>' AS st, count(*) AS c FROM kg GROUP BY ALL),
+kb AS (SELECT model, n - 1 AS n, suf AS gram, count(*) AS k FROM kr WHERE n > 1 GROUP BY ALL),
+kc AS (SELECT r.model, r.n, r.gram, r.hist, r.c > 1 AS twice, CASE WHEN r.n = {order} OR r.st THEN r.c ELSE k END AS c FROM kr r LEFT JOIN kb ON r.model = kb.model AND r.n = kb.n AND r.gram = kb.gram WHERE NOT (r.n = 1 AND r.st)),
+kt AS (SELECT *, CASE WHEN t1 > 0 THEN t1 / (t1 + 2 * t2) ELSE 0.5 END AS y FROM (SELECT model, n, count(*) FILTER (WHERE c = 1) AS t1, count(*) FILTER (WHERE c = 2) AS t2, count(*) FILTER (WHERE c = 3) AS t3, count(*) FILTER (WHERE c = 4) AS t4 FROM kc GROUP BY model, n)),
+ks AS (SELECT model, n, hist, sum(c) AS s, count(*) AS kinds FROM kc GROUP BY model, n, hist),
+kk AS (SELECT kc.model, kc.n, kc.gram, kc.hist, (c - CASE WHEN c = 1 THEN {d(1)} WHEN c = 2 THEN {d(2)} ELSE {d(3)} END) / s AS a FROM kc JOIN kt USING (model, n) JOIN ks USING (model, n, hist) WHERE n = 1 OR twice),
+kh AS (SELECT ks.model, ks.n, ks.hist, 1 - coalesce(used, 0) AS gamma, CASE WHEN ks.n = 1 THEN kinds + 1 END AS size FROM ks LEFT JOIN (SELECT model, n, hist, sum(a) AS used FROM kk GROUP BY model, n, hist) USING (model, n, hist))"""
+
+
+def _score_sql(order: int, rows: str, keys: str) -> str:
+    """kp (keys, model, words, logprob) of the words from lo to hi of w in rows."""
+    p = "p1"
+    for n in range(2, order + 1):
+        p = f"CASE WHEN g{n} IS NULL THEN {p} ELSE a{n} + g{n} * ({p}) END"
+    of = ", ".join(f"max(CASE WHEN n = {n} THEN a END) AS a{n}, max(CASE WHEN n = {n} THEN gamma END) AS g{n}" for n in range(2, order + 1))
+    return f"""k0 AS (SELECT {keys}, model, w, unnest(range(lo, hi + 1)) AS j FROM {rows}),
+k1 AS (SELECT {keys}, model, j, n, array_to_string(w[j - n + 1:j], ' ') AS gram, CASE WHEN n > 1 THEN array_to_string(w[j - n + 1:j - 1], ' ') ELSE '' END AS hist FROM k0, (SELECT unnest(range(1, {order + 1})) AS n) WHERE n <= j),
+k2 AS (SELECT k1.*, coalesce(kk.a, 0) AS a, kh.gamma, kh.size FROM k1 LEFT JOIN kk ON k1.model = kk.model AND k1.n = kk.n AND k1.gram = kk.gram LEFT JOIN kh ON k1.model = kh.model AND k1.n = kh.n AND k1.hist = kh.hist),
+k3 AS (SELECT {keys}, model, j, max(CASE WHEN n = 1 THEN a + gamma / size END) AS p1, {of} FROM k2 GROUP BY {keys}, model, j),
+kp AS (SELECT {keys}, model, count(*) AS words, round(sum(ln({p})), 6) AS logprob FROM k3 GROUP BY {keys}, model)"""
+
+
+@query("lmd_02_kneser_ney", f"WITH {_LM}, {_model_sql(5)}, ks0 AS (SELECT id, model, w, 2 AS lo, len(w) AS hi FROM mk), {_score_sql(5, 'ks0', 'id')} SELECT id, model.lang AS lang, words, logprob FROM kp")
+def kneser_ney(spark, sf_dir):
+    s = lm_sentences(spark, sf_dir)
+    return named(M.scored_sentences(s, ["id"], "text", M.kneser_ney(s, "text", 5, ("model",)), 5, ("model",)))
+
+
 @query("lmd_03_prior", f"WITH {_LM}, t AS (SELECT model, sum(count) AS total FROM ct WHERE n = 1 GROUP BY model) SELECT model.lang AS lang, gram AS form, round(ln((count + 1) / total), 6) AS prior FROM ct JOIN t USING (model) WHERE n = 1 AND gram IN ('the', 'of', 'and')")
 def prior(spark, sf_dir):
     u = M.ngram_counts(lm_sentences(spark, sf_dir), "text", 1, "model")
@@ -61,7 +95,7 @@ POINTS = [("the", "the"), ("the", "thee"), ("of", "of"), ("of", "off")]
 
 
 def token_arrays(spark, sf_dir):
-    return lm_sentences(spark, sf_dir).select("id", F.split("text", " ").alias("w"))
+    return lm_sentences(spark, sf_dir).select("id", "model", F.split("text", " ").alias("w"))
 
 
 @query("lmd_08_detected", f"WITH {_LM}, x AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) - 1 AS i FROM lm) SELECT id, i, form FROM x WHERE form IN ('the', 'of')")
@@ -76,16 +110,26 @@ def candidate_texts(spark, sf_dir):
     return M.candidate_texts(token_arrays(spark, sf_dir), points, "id").select("id", "i", "candidate", "text")
 
 
-def scored_candidates(spark, sf_dir):
-    """Scores that any engine can repeat stand for a model's."""
-    points = spark.createDataFrame(POINTS, "form string, candidate string")
-    c = M.candidate_texts(token_arrays(spark, sf_dir), points, "id")
-    score = -(F.col("id") + 7 * F.col("i") + 13 * F.length("candidate")) % 101 / 10
-    return c.select("id", "i", "candidate", score.alias("logprob"), (-F.length("candidate")).cast("double").alias("prior"), (F.col("candidate") == F.col("form")).alias("is_default"))
+#: Words that a decision's model looks at.
+ORDER = 3
 
 
-_DEC = f"""{_LM}, x AS (SELECT id, unnest(t) AS form, generate_subscripts(t, 1) - 1 AS i FROM lm), p(form, candidate) AS (VALUES ('the', 'the'), ('the', 'thee'), ('of', 'of'), ('of', 'off')),
-sc AS (SELECT id, i, candidate, -(id + 7 * i + 13 * length(candidate)) % 101 / 10 + 0.5 * length(candidate) AS score, candidate = form AS d FROM x JOIN p USING (form)),
+def scored_candidates(spark, sf_dir):
+    """Candidates of all ambiguous words with the model's score of the words that they change, and their own priors."""
+    s = lm_sentences(spark, sf_dir)
+    points = spark.createDataFrame(POINTS, "form string, candidate string")
+    c = M.scored_candidates(token_arrays(spark, sf_dir), points, ["id"], M.kneser_ney(s, "text", ORDER, ("model",)), ORDER, ("model",))
+    n = M.ngram_counts(s, "text", 1, "model")
+    total = n.groupBy("model").agg(F.sum("count").alias("total"))
+    known = n.join(points.select(F.col("candidate").alias("gram")).distinct(), "gram", "left_semi").select("model", F.col("gram").alias("candidate"), "count")
+    c = c.join(known, ["model", "candidate"], "left").join(total, "model")
+    return c.select("id", "i", "candidate", "words", "logprob", F.round(M.prior(F.coalesce("count", F.lit(0)), F.col("total")), 6).alias("prior"), (F.col("candidate") == F.col("form")).alias("is_default"))
+
+
+_DEC = f"""{_LM}, {_model_sql(ORDER)}, p(form, candidate) AS (VALUES ('the', 'the'), ('the', 'thee'), ('of', 'of'), ('of', 'off')), x AS (SELECT id, model, w, unnest(w) AS form, generate_subscripts(w, 1) AS j FROM mk),
+cd AS (SELECT id, j - 2 AS i, model, form, candidate, list_concat(w[1:j - 1], [candidate], w[j + 1:]) AS w, j AS lo, least(j + {ORDER - 1}, len(w)) AS hi FROM x JOIN p USING (form)), {_score_sql(ORDER, 'cd', 'id, i, form, candidate')},
+tl AS (SELECT model, sum(count) AS total FROM ct WHERE n = 1 GROUP BY model),
+sc AS (SELECT id, i, candidate, words, logprob, prior, logprob - 0.5 * prior AS score, candidate = form AS d FROM (SELECT kp.*, round(ln((coalesce(ct.count, 0) + 1) / total), 6) AS prior FROM kp JOIN tl ON kp.model = tl.model LEFT JOIN ct ON ct.model = kp.model AND ct.n = 1 AND ct.gram = kp.candidate)),
 dg AS (SELECT id, i, arg_max(candidate, (score, candidate)) AS best, max(score) AS top, max(CASE WHEN d THEN candidate END) AS "default", max(CASE WHEN d THEN score END) AS base FROM sc GROUP BY id, i)"""
 
 
@@ -162,10 +206,13 @@ def log_contrast(spark, sf_dir):
 
 @query(
     "nbc_02_labelled_examples",
-    f"WITH {_EX}, o AS (SELECT id, model FROM ft GROUP BY id, model HAVING count(DISTINCT cls) = 1) SELECT id, i - 1 AS i, cls FROM ft JOIN o USING (id, model) QUALIFY row_number() OVER (PARTITION BY model, cls ORDER BY md5('e:' || id || ':' || (i - 1)), id, i) <= 500",
+    f"WITH {_EX}, {_NEAR}, o AS (SELECT id, model FROM ft GROUP BY id, model HAVING count(DISTINCT cls) = 1) SELECT id, i - 1 AS i, cls FROM ft JOIN o USING (id, model) WHERE id NOT IN (SELECT id FROM nr WHERE jaccard >= 0.6) QUALIFY row_number() OVER (PARTITION BY model, cls ORDER BY md5('e:' || id || ':' || (i - 1)), id, i) <= 500",
 )
 def labelled_examples(spark, sf_dir):
-    return M.labelled_examples(examples(spark, sf_dir).drop("features"), "id", 500, "e").select("id", "i", "cls")
+    """Sentences near the evaluation are left out first."""
+    near = S.near_evaluation(word_sets(spark, sf_dir), evaluation_items(spark, sf_dir), "id", "words").select("id").distinct()
+    e = examples(spark, sf_dir).drop("features").join(near, "id", "left_anti")
+    return M.labelled_examples(e, "id", 500, "e").select("id", "i", "cls")
 
 
 @query("nbc_07_choices", f"WITH {_EX}, fl AS (SELECT id, model, i - 1 AS i, unnest(f) AS feature FROM ft), lo AS (SELECT id, i, round(sum(ln((n0 + 0.5) / (t0 + 0.5 * v)) - ln((n1 + 0.5) / (t1 + 0.5 * v))), 6) AS o FROM fl JOIN md USING (model, feature) JOIN mt USING (model) GROUP BY id, i) SELECT id, i, CASE WHEN o > 0 THEN 'the' ELSE 'of' END AS choice FROM lo")
@@ -187,11 +234,12 @@ def lemmatised(spark, sf_dir):
     return M.lemmatised(t, "id", spark.createDataFrame([("the",), ("of",)], "form string"))
 
 
-@query("lmd_14_mixed_scores", f"WITH {_DEC} SELECT id, i, candidate, round(0.75 * (score - 0.5 * length(candidate)) + 0.25 * length(candidate), 6) AS score FROM sc")
+@query("lmd_14_mixed_scores", f"WITH {_DEC} SELECT id, i, candidate, round(0.75 * logprob + 0.25 * prior, 9) AS score FROM sc")
 def mixed_scores(spark, sf_dir):
+    """The model of ORDER words mixed with that of one word."""
     c = scored_candidates(spark, sf_dir)
-    other = c.select("id", "i", "candidate", F.length("candidate").cast("double").alias("logprob"))
-    return M.mixed_scores([(c, 0.75), (other, 0.25)], ["id", "i", "candidate"]).withColumn("score", F.round("score", 6))
+    other = c.select("id", "i", "candidate", F.col("prior").alias("logprob"))
+    return M.mixed_scores([(c, 0.75), (other, 0.25)], ["id", "i", "candidate"]).withColumn("score", F.round("score", 9))
 
 
 @query("lmd_15_fusion", f"""WITH {_DEC}, cs AS (SELECT id % 2 AS grp, top - base AS gap, (id % 7 - 3)::DOUBLE AS o, id % 3 = 0 AS r FROM dg),
@@ -215,11 +263,11 @@ def pos_veto(spark, sf_dir):
     return t.select("id", "i", M.pos_veto(pos, F.lit(None).cast("string"), F.lit("noun"), F.lit("verb")).alias("reading"))
 
 
-@query("lmd_05_scores", f"WITH {_DEC} SELECT id, i, candidate, round((score - 0.5 * length(candidate)) / length(candidate) + CASE WHEN d THEN 0.25 ELSE 0.75 END * length(candidate), 6) AS score FROM sc")
+@query("lmd_05_scores", f"WITH {_DEC} SELECT id, i, candidate, round(logprob / words - CASE WHEN d THEN 0.25 ELSE 0.75 END * prior, 9) AS score FROM sc")
 def candidate_scores(spark, sf_dir):
-    """Types of points and words are stood in for by columns of the candidates."""
-    c = scored_candidates(spark, sf_dir).withColumn("type", F.when(F.col("is_default"), "collision").otherwise("unresolvable")).withColumn("words", F.length("candidate"))
-    return M.candidate_scores(c, {"collision": 0.25, "unresolvable": 0.75}, 0.5, True).select("id", "i", "candidate", F.round("score", 6).alias("score"))
+    """Types of points are stood in for by whether a candidate is the default."""
+    c = scored_candidates(spark, sf_dir).withColumn("type", F.when(F.col("is_default"), "collision").otherwise("unresolvable"))
+    return M.candidate_scores(c, {"collision": 0.25, "unresolvable": 0.75}, 0.5, True).select("id", "i", "candidate", F.round("score", 9).alias("score"))
 
 
 @query("lmd_12_prior_swapped", f"WITH {_DEC}, fr AS (SELECT form, count(*) AS n FROM (SELECT unnest({sql.tokens('text')}) AS form FROM documents) GROUP BY form) SELECT id, i, candidate, round(ln((coalesce(n, 0) + 1) / (SELECT sum(n) FROM fr)), 6) AS prior FROM sc LEFT JOIN fr ON candidate = form")

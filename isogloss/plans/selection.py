@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import segment
 from ..functions import text as T
 from ..operators import markers as M
 from ..operators import selection as S
@@ -119,12 +120,20 @@ def hand_out(spark, sf_dir):
     return pool.select("doc_id", F.pmod(F.row_number().over(Window.orderBy("source", "doc_id")) - 1, F.lit(2)).cast("long").alias("reviewer"))
 
 
-@query("smp_10_context_blocks", f"WITH {sql.SENT}, s AS (SELECT doc_id, sent_no, text, {sql.tokens('text')} AS t FROM sent), g AS (SELECT doc_id, sent_no, text, t FROM s WHERE len(t) BETWEEN 6 AND 30 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sent_no) <= 3), b AS (SELECT doc_id, string_agg(text, ' ' ORDER BY sent_no) AS block, sum(len(t)) AS n, bool_or(list_contains(t, 'of')) AS bad FROM g GROUP BY doc_id) SELECT doc_id, block FROM b WHERE n BETWEEN 20 AND 60 AND NOT bad")
+#: Sentences of the benchmark as keys, and sentences of documents outside it.
+_LEAK = f"lk AS (SELECT DISTINCT {_RK} AS k FROM (SELECT unnest({sql.sentences('text')}) AS text FROM benchmark))"
+
+
+def benchmark_keys(spark, sf_dir):
+    return segment.explode_sentences(table(spark, sf_dir, "benchmark").select("text")).select(T.repeat_text(F.col("text")).alias("k")).distinct()
+
+
+@query("smp_10_context_blocks", f"WITH {sql.SENT}, {_LEAK}, s AS (SELECT doc_id, sent_no, text, {sql.tokens('text')} AS t FROM sent WHERE {_RK} NOT IN (SELECT k FROM lk)), g AS (SELECT doc_id, sent_no, text, t FROM s WHERE len(t) BETWEEN 6 AND 30 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sent_no) <= 3), b AS (SELECT doc_id, string_agg(text, ' ' ORDER BY sent_no) AS block, sum(len(t)) AS n, bool_or(list_contains(t, 'of')) AS bad FROM g GROUP BY doc_id) SELECT doc_id, block FROM b WHERE n BETWEEN 30 AND 60 AND NOT bad")
 def context_blocks(spark, sf_dir):
-    s = sentences(spark, sf_dir).select("doc_id", "sent_no", "text", T.tokens(F.col("text")).alias("t")).filter(F.size("t").between(6, 30))
-    g = S.at_most(s, ["doc_id"], 3, F.col("sent_no"))
+    s = sentences(spark, sf_dir).select("doc_id", "sent_no", "text", T.tokens(F.col("text")).alias("t"), T.repeat_text(F.col("text")).alias("k")).filter(F.size("t").between(6, 30))
+    g = S.at_most(s.join(benchmark_keys(spark, sf_dir), "k", "left_anti"), ["doc_id"], 3, F.col("sent_no"))
     b = g.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_no", "text"))), lambda x: x["text"]), " ").alias("block"), F.sum(F.size("t")).alias("n"), F.max(F.array_contains("t", "of")).alias("bad"))
-    return b.filter(F.col("n").between(20, 60) & ~F.col("bad")).select("doc_id", "block")
+    return b.filter(F.col("n").between(30, 60) & ~F.col("bad")).select("doc_id", "block")
 
 
 @query("ord_01_top_k", f"WITH t AS (SELECT unnest({sql.tokens('text')}) AS form FROM documents) SELECT form, count(*) AS n FROM t GROUP BY form ORDER BY n DESC, form LIMIT 50")
@@ -171,11 +180,11 @@ def document_match(spark, sf_dir):
     return a.join(b, "doc_id", "full_outer").select(F.col("doc_id").alias("id"), F.coalesce("in_a", F.lit(False)).alias("in_a"), F.coalesce("in_b", F.lit(False)).alias("in_b"))
 
 
-def _word_sets(spark, sf_dir):
+def word_sets(spark, sf_dir):
     return sentences(spark, sf_dir).select((F.col("doc_id") * 100_000 + F.col("sent_no")).alias("id"), "doc_id", T.word_set(F.col("text")).alias("words"))
 
 
-def _items(spark, sf_dir):
+def evaluation_items(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     return b.select((F.col("item_id") * 1000).alias("item0"), F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("k", "text")).select((F.col("item0") + F.col("k")).alias("item"), T.word_set(F.col("text")).alias("words"))
 
@@ -183,20 +192,18 @@ def _items(spark, sf_dir):
 _NEAR = f"""sw AS (SELECT doc_id * 100000 + sent_no AS id, doc_id, list_sort(list_distinct({sql.bare('text')})) AS w FROM sent),
 ew AS (SELECT item_id * 1000 + generate_subscripts(p, 1) - 1 AS item, unnest(p) AS text FROM (SELECT item_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM benchmark)),
 iw AS (SELECT item, list_distinct({sql.bare('text')}) AS w FROM ew WHERE len(list_distinct({sql.bare('text')})) >= 4),
-ex AS (SELECT item, unnest(w) AS word FROM iw), fr AS (SELECT word, count(*) AS f FROM ex GROUP BY word),
-ra AS (SELECT item, word FROM ex JOIN fr USING (word) QUALIFY row_number() OVER (PARTITION BY item ORDER BY f, word) <= 3),
-sx AS (SELECT id, unnest(w) AS word FROM sw WHERE len(w) >= 4), ca AS (SELECT DISTINCT id, item FROM sx JOIN ra USING (word)),
-nr AS (SELECT id, item, len(list_intersect(sw.w, iw.w)) / len(list_distinct(list_concat(sw.w, iw.w))) AS jaccard FROM ca JOIN sw USING (id) JOIN iw USING (item))"""
+ex AS (SELECT item, len(w) AS n, unnest(w) AS word FROM iw), sx AS (SELECT id, len(w) AS n, unnest(w) AS word FROM sw WHERE len(w) >= 4),
+sh AS (SELECT id, item, sx.n AS a, ex.n AS b, count(*) AS common FROM sx JOIN ex USING (word) WHERE sx.n >= 0.6 * ex.n AND ex.n >= 0.6 * sx.n GROUP BY ALL), nr AS (SELECT id, item, common / (a + b - common) AS jaccard FROM sh)"""
 
 
 @query("jon_08_near_evaluation", f"WITH {sql.SENT}, {_NEAR} SELECT id, item, jaccard FROM nr WHERE jaccard >= 0.6")
 def near_evaluation(spark, sf_dir):
-    return S.near_evaluation(_word_sets(spark, sf_dir), _items(spark, sf_dir), "id", "words")
+    return S.near_evaluation(word_sets(spark, sf_dir), evaluation_items(spark, sf_dir), "id", "words")
 
 
 @query("jon_12_banned_documents", f"WITH {sql.SENT}, {_NEAR} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT id // 100000 FROM nr WHERE jaccard >= 0.6)")
 def banned_documents(spark, sf_dir):
-    near = S.near_evaluation(_word_sets(spark, sf_dir), _items(spark, sf_dir), "id", "words")
+    near = S.near_evaluation(word_sets(spark, sf_dir), evaluation_items(spark, sf_dir), "id", "words")
     return documents(spark, sf_dir).select("doc_id").join(near.select(F.floor(F.col("id") / 100_000).alias("doc_id")).distinct(), "doc_id", "left_anti")
 
 
@@ -290,4 +297,4 @@ b AS (SELECT item, [x FOR x IN list_distinct({sql.bare('text')}) IF length(x) >=
 SELECT id, item, i / u AS jaccard FROM j WHERE i / u >= 0.6""",
 )
 def all_near(spark, sf_dir):
-    return S.near_evaluation_exact(_word_sets(spark, sf_dir), _items(spark, sf_dir), "id", "words")
+    return S.near_evaluation_exact(word_sets(spark, sf_dir), evaluation_items(spark, sf_dir), "id", "words")

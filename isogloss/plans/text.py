@@ -151,15 +151,19 @@ def seg_sentences(spark, sf_dir):
 _LINES = "lines AS (SELECT doc_id, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS par_no FROM (SELECT doc_id, [trim(x) FOR x IN string_split(text, chr(10)) IF trim(x) <> ''] AS p FROM documents))"
 
 
-@query("seg_02_paragraph_sentences", f"WITH {_LINES} SELECT doc_id, par_no, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS sent_no FROM (SELECT doc_id, par_no, {sql.marked('text', '[A-ZÀÈÉÍÒÓÚÜÇ«\"(0-9]')} AS p FROM lines)")
+_BLANK = "paras AS (SELECT doc_id, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS par_no FROM (SELECT doc_id, [trim(x) FOR x IN string_split(text, chr(10) || chr(10)) IF trim(x) <> ''] AS p FROM documents))"
+
+
+@query("seg_02_paragraph_sentences", f"WITH {_BLANK} SELECT doc_id, par_no, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS sent_no FROM (SELECT doc_id, par_no, {sql.marked('text', '[A-ZÀÈÉÍÒÓÚÜÇ«\"(0-9]')} AS p FROM paras)")
 def seg_wide(spark, sf_dir):
-    return S.line_sentences(documents(spark, sf_dir).select("doc_id", "text"))
+    """Paragraphs are parted by blank lines."""
+    return S.line_sentences(documents(spark, sf_dir).select("doc_id", "text"), between="\n\n")
 
 
 @query("seg_03_rejoined_sentences")
 def seg_rejoined(spark, sf_dir):
     d = S.explode_paragraphs(documents(spark, sf_dir).select("doc_id", "text"))
-    return d.select("doc_id", "par_no", F.posexplode(S.rejoined(S.sentences(F.col("text")))).alias("sent_no", "text"))
+    return d.select("doc_id", "par_no", F.posexplode(S.rejoined(S.sentences(F.col("text"), S.QUOTE_BREAK))).alias("sent_no", "text"))
 
 
 @query("seg_04_plain_sentences", f"SELECT doc_id, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS sent_no FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM documents)")
