@@ -169,12 +169,19 @@ def equal_windows(before: list[bytes], after: list[bytes], reach: list[tuple[int
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most, where rows become Python objects."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def packed_texts(texts: DataFrame) -> DataFrame:
     """texts with text compressed (z), as it goes through shuffles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in _slices(batches):
             z = pa.array([press.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), z], [*rest, "z"])
 
@@ -201,7 +208,7 @@ def _bodies(texts: DataFrame, reps: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = None  # copies of a text lie side by side; one of them is enough
-        for b in batches:
+        for b in _slices(batches):
             out: list[tuple] = []
             held = 0
             for th, tl, z, phrases in zip(*(b.column(c).to_pylist() for c in ("th", "tl", "z", "phrases"))):
@@ -231,7 +238,7 @@ def _divided(phrases: DataFrame, length: int, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = [*_NAMES, "same"], [*_TYPES, pa.int64()]
-        for b in batches:
+        for b in _slices(batches):
             out: list[tuple] = []
             for g, e, many, th, tl, q, lo, hi, body in zip(*(b.column(c).to_pylist() for c in _NAMES)):
                 for part in range(lo // size, hi // size + 1):
@@ -265,7 +272,7 @@ def _settled(bodies: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = ["th", "tl", "a", "b"], [pa.int64()] * 4
         trigger, group = None, []
-        for b in batches:
+        for b in _slices(batches):
             out: list[tuple] = []
             for k, *rest in zip(*(b.column(c).to_pylist() for c in _NAMES)):
                 if k != trigger:
@@ -323,7 +330,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, grou
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
-        for b in batches:
+        for b in _slices(batches):
             cols: list[list] = [[] for _ in names[1:]]
             for z, runs in zip(b.column("z").to_pylist(), b.column("runs").to_pylist()):
                 raw, spans = zstandard.decompress(z), []
