@@ -44,7 +44,8 @@ def kneser_ney(sentences: DataFrame, text: str, order: int, by: tuple[str, ...]
     unknown). Grams below the highest order that don't begin a sentence count the
     different words before them. Grams of two words and more that occur once are
     pruned, and what they had goes to gamma. A discount that small tables don't
-    settle is the single one, or a half.
+    settle, or that is no more than 0 by them, is the single one, or a half, so no
+    word has a probability of 0.
     """
     raw = cut(_counted(sentences, text, order, *by))
     after = F.expr("substring(gram, locate(' ', gram) + 1, length(gram))")
@@ -57,7 +58,8 @@ def kneser_ney(sentences: DataFrame, text: str, order: int, by: tuple[str, ...]
 
     def discount(k: int) -> Column:
         settled = (F.col("t1") > 0) & (F.col("t2") > 0) & (F.col(f"t{k}") > 0) & (F.col(f"t{k + 1}") > 0)
-        return F.when(settled, F.greatest(F.lit(0.0), k - (k + 1) * single * F.col(f"t{k + 1}") / F.col(f"t{k}"))).otherwise(single)
+        value = k - (k + 1) * single * F.col(f"t{k + 1}") / F.col(f"t{k}")
+        return F.when(settled & (value > 0), value).otherwise(single)
 
     t = t.select(*by, "n", *[discount(k).alias(f"d{k}") for k in (1, 2, 3)])
     sums = adjusted.groupBy(*by, "n", "hist").agg(F.sum("c").alias("s"), F.count("*").alias("kinds"))

@@ -48,7 +48,7 @@ def log_probability(spark, sf_dir):
 
 def _model_sql(order: int) -> str:
     """The Kneser-Ney model over mk (model, w): kk (model, n, gram, a) and kh (model, n, hist, gamma, size)."""
-    d = lambda k: f"CASE WHEN t1 > 0 AND t2 > 0 AND t{k} > 0 AND t{k + 1} > 0 THEN greatest(0.0, {k} - {k + 1} * y * t{k + 1} / t{k}) ELSE y END"
+    d = lambda k: f"CASE WHEN t1 > 0 AND t2 > 0 AND t{k} > 0 AND t{k + 1} > 0 AND {k} - {k + 1} * y * t{k + 1} / t{k} > 0 THEN {k} - {k + 1} * y * t{k + 1} / t{k} ELSE y END"
     return f"""kg AS (SELECT model, n, unnest([w[i:i + n - 1] FOR i IN range(1, len(w) - n + 2)]) AS g FROM (SELECT model, w, unnest(range(1, {order + 1})) AS n FROM mk)),
 kr AS (SELECT model, n, array_to_string(g, ' ') AS gram, coalesce(array_to_string(g[1:n - 1], ' '), '') AS hist, coalesce(array_to_string(g[2:], ' '), '') AS suf, g[1] = '<s>' AS st, count(*) AS c FROM kg GROUP BY ALL),
 kb AS (SELECT model, n - 1 AS n, suf AS gram, count(*) AS k FROM kr WHERE n > 1 GROUP BY ALL),
