@@ -57,6 +57,21 @@ def counted(texts: DataFrame, keys: list[str], forms: DataFrame, text: str = "te
     return hits.groupBy(*keys).agg(F.count("form").alias("words"), F.count_if(F.col("side") == "occ").alias("occ"), F.count_if(F.col("side") == "or").alias("other"))
 
 
+def could_pass(texts: DataFrame, keys: list[str], forms: DataFrame, homographs: DataFrame, at_least: int = 1, over: float = 0.5, text: str = "text") -> DataFrame:
+    """keys of the texts whose index may exceed `over`, by bounds, so that a costly exact score is left for these alone.
+
+    Parts of speech can only take western markers away, so all western forms of
+    a text are the most it can have; eastern forms that are neither homographs
+    nor verbs are the fewest of the other side. No text that passes is lost.
+    """
+    certain = (F.col("side") == "occ") | F.col("_homograph").isNull()
+    if "kind" in forms.columns:
+        certain &= (F.col("side") == "occ") | (F.coalesce("kind", F.lit("simple")) != "verb")
+    known = forms.join(homographs.select("form").distinct().withColumn("_homograph", F.lit(True)), "form", "left").filter(certain)
+    n = counted(texts, keys, known.select("form", "side"), text)
+    return n.filter((F.col("occ") >= at_least) & (index(F.col("occ"), F.col("other")) > over)).select(*keys)
+
+
 def corpus_index(counts: DataFrame, *by: str) -> DataFrame:
     """Of counted(): texts, sums, the index of the sums, and the mean of the texts' indices (those that have one).
 

@@ -176,3 +176,33 @@ def agreed(tokens: DataFrame, key: str, determiners: list[tuple[str, str]], gend
     for m, f in determiners:
         put = F.when((F.lower("translated") == m) & (wanted == "f"), f).when((F.lower("translated") == f) & (wanted == "m"), m).otherwise(put)
     return tokens.withColumn("translated", F.coalesce(T.keep_case(F.col("translated"), put), "translated"))
+
+
+def agreeing_numeral(tokens: DataFrame, key: str, masculine: str, feminine: str, markers: list[str], name: str, pos: str = "pos", gender: str = "gender") -> DataFrame:
+    """tokens with proposal `name`: masculine becomes feminine after a marker, or before a feminine noun or adjective.
+
+    Neighbours are the next tokens that aren't blanks. Columns pos and gender
+    ('m', 'f' or null) may be null: then only markers count.
+    """
+    solid = Window.partitionBy(key, F.col("surface").rlike(r"^\s+$")).orderBy("i")
+    after = F.coalesce(F.lead(pos).over(solid).isin("NOUN", "ADJ") & (F.lead(gender).over(solid) == "f"), F.lit(False))
+    before = F.coalesce(F.lower(F.lag("surface").over(solid)).isin(list(markers)), F.lit(False))
+    return tokens.withColumn(name, F.when((F.lower("surface") == masculine) & (before | after), T.keep_case(F.col("surface"), F.lit(feminine))))
+
+
+def phrase_agreed(tokens: DataFrame, key: str, morphology: DataFrame, gender: str = "gender", head: str = "head") -> DataFrame:
+    """Where a word was rewritten: the words that depend on it take its gender ('m' or 'f' in column gender; null changes nothing).
+
+    head holds the place i of the word that a token depends on, null for none.
+    morphology: form, lemma, cat ('adj' or 'participle'), gender and number. A
+    dependent that wasn't rewritten itself takes the form of the same lemma,
+    category and number; adjectives come first, then lemmas and forms in order.
+    """
+    m = morphology.select("form", "lemma", "cat", "gender", "number").distinct()
+    other = m.select("lemma", "cat", "number", F.col("gender").alias("wanted"), F.col("form").alias("put"))
+    turns = m.join(other, ["lemma", "cat", "number"]).filter("gender <> wanted").groupBy("form", "wanted").agg(F.min(F.struct(F.when(F.col("cat") == "adj", 0).otherwise(1).alias("c"), "lemma", "put")).alias("best"))
+    turns = turns.select(F.col("form").alias("_form"), F.col("wanted").alias("_turn"), F.col("best.put").alias("_put"))
+    heads = tokens.filter(F.col("rule").isNotNull() & F.col(gender).isNotNull()).select(F.col(key).alias("_key"), F.col("i").alias("_i"), F.col(gender).alias("_wanted"))
+    t = tokens.join(heads, (tokens[key] == heads["_key"]) & (tokens[head] == heads["_i"]), "left")
+    t = t.join(turns, (F.lower("translated") == F.col("_form")) & (F.col("_wanted") == F.col("_turn")) & F.col("rule").isNull(), "left")
+    return t.withColumn("translated", F.coalesce(T.keep_case(F.col("translated"), F.col("_put")), "translated")).drop("_key", "_i", "_wanted", "_form", "_turn", "_put")

@@ -97,29 +97,56 @@ def zero_filled(forms: DataFrame, counts: DataFrame) -> DataFrame:
     return forms.join(counts, "form", "left").select("form", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def coverage(pool: DataFrame, key: str, labels: str, n: int, quota: int, rounds: int = 8) -> DataFrame:
-    """n rows of a pool that cover labels evenly, chosen in rounds.
-
-    In each round a row scores the sum of quota gaps of its labels (gap = what
-    the label still lacks, rare labels weigh more); of each label the rows of
-    largest score (ties by key) fill what it lacks. Rounds stop at n rows.
+def coverage(pool: DataFrame, key: str, labels: str, n: int, quota: int, rounds: int = 8, pairs: str | None = None, per_pair: int = 3, caps: dict[str, int] | None = None) -> DataFrame:
+    """n rows of a pool that cover labels up to a quota, chosen in rounds.
+
+    A row scores 10 / sqrt(frequency) for each of its labels that is still below
+    quota, and one for each of its pairs (an array column, if given) that nothing
+    chosen has. In each round the rows of largest score (ties by key) fill half
+    of what each label lacks; once none lacks, and there are pairs, scores alone
+    decide. A row goes when all of its pairs were chosen per_pair times, or when
+    one of its caps (column: most rows of a value; null is a value) is reached.
+    Within a round, rows count against caps in the order of their scores.
     """
-    pool = cut(pool.select(key, F.array_distinct(labels).alias(labels)))
+    caps = caps or {}
+    pool = cut(pool.select(key, F.array_distinct(labels).alias(labels), *([F.array_distinct(pairs).alias(pairs)] if pairs else []), *caps))
     freq = pool.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count("*").alias("freq"))
-    chosen = pool.limit(0).select(key, labels)
+    chosen = pool.limit(0)
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), key))
     for _ in range(rounds):
         left = n - chosen.count()
         if left <= 0:
             break
         have = chosen.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count("*").alias("have"))
         gaps = freq.join(have, "label", "left").select("label", "freq", F.greatest(F.lit(0), F.least(F.lit(quota), F.col("freq")) - F.coalesce("have", F.lit(0))).alias("gap")).filter("gap > 0")
-        rest = pool.join(chosen.select(key), key, "left_anti").select(key, labels, F.explode(labels).alias("label")).join(gaps, "label")
-        if rest.isEmpty():
+        rest = pool.join(chosen.select(key), key, "left_anti")
+        for c, most in caps.items():
+            used = chosen.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n"))
+            rest = rest.join(used, rest[c].eqNullSafe(used["_v"]), "left").withColumn(f"_room_{c}", most - F.coalesce("_n", F.lit(0))).filter(F.col(f"_room_{c}") > 0).drop("_v", "_n")
+        lacking = rest.select(key, F.explode(labels).alias("label")).join(gaps, "label")
+        score = lacking.groupBy(key).agg(F.sum(10 / F.sqrt("freq")).alias("_lacks"))
+        if pairs is None:
+            scored = rest.join(score, key).withColumn("score", F.round("_lacks", 9))
+        else:
+            used = chosen.select(F.explode(pairs).alias("_pair")).groupBy("_pair").agg(F.count("*").alias("_n"))
+            each = rest.select(key, F.explode(pairs).alias("_pair")).join(used, "_pair", "left").groupBy(key)
+            each = each.agg(F.count_if(F.col("_n").isNull()).alias("_new"), F.count_if(F.coalesce("_n", F.lit(0)) < per_pair).alias("_open")).filter("_open > 0")
+            scored = rest.join(each, key).join(score, key, "left").withColumn("score", F.round(F.coalesce("_lacks", F.lit(0.0)) + F.col("_new"), 9))
+        scored = cut(scored)
+        # The first filter is a constant, so that no task keeps more than these rows of a label.
+        ranked = scored.select(key, "score", F.explode(labels).alias("label")).join(gaps, "label").withColumn("_r", first("label")).filter(F.col("_r") <= (quota + 1) // 2)
+        best = cut(scored.join(ranked.filter(F.col("_r") <= F.ceil(F.col("gap") / 2)).select(key).distinct(), key, "left_semi"))
+        fresh = best if pairs is None or not best.isEmpty() else scored
+        fresh = fresh.orderBy(F.desc("score"), key).limit(left)
+        for c in caps:
+            fresh = fresh.withColumn("_r", first(c)).filter(F.col("_r") <= F.col(f"_room_{c}"))
+        if pairs is not None:
+            ahead = fresh.select(key, "score", F.explode(pairs).alias("_pair")).withColumn("_r", first("_pair")).join(used, "_pair", "left")
+            fresh = fresh.join(ahead.filter(F.coalesce("_n", F.lit(0)) + F.col("_r") <= per_pair).select(key).distinct(), key, "left_semi")
+        fresh = cut(fresh.select(*pool.columns))
+        if fresh.isEmpty():
             break
-        scored = rest.withColumn("score", F.sum(F.col("gap") / F.col("freq")).over(Window.partitionBy(key)))
-        best = scored.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), key))).filter(F.col("r") <= F.ceil(F.col("gap") / 2))
-        fresh = best.groupBy(key).agg(F.first(labels).alias(labels), F.max("score").alias("score")).orderBy(F.desc("score"), key).limit(left)
-        chosen = cut(chosen.union(fresh.select(key, labels)))
+        chosen = cut(chosen.union(fresh))
     return chosen
 
 

@@ -149,13 +149,18 @@ def lexicon_usage(spark, sf_dir):
     return M.phrase_hits(documents(spark, sf_dir), ["doc_id", "lang"], phrases(spark), 3).groupBy("phrase").agg(F.count("*").alias("n_all"), F.count_if(F.col("lang") == "en").alias("n_good"))
 
 
+#: Forms of FORMS that are words of both sides.
+HOMOGRAPHS = ["de", "le", "en"]
+_SURE = "(" + ", ".join(sql.lit(f) for f, s in FORMS if s == "or" and f not in HOMOGRAPHS) + ")"
+
+
 @query(
     "prd_15_prefilter",
-    f"WITH {SC} SELECT doc_id, sent_no FROM sc WHERE occ >= 1 AND occ / (occ + other) > 0.4",
+    f"WITH {SC}, b AS (SELECT doc_id, lang, source, sent_no, occ, len([x FOR x IN t IF x IN {_SURE}]) AS least FROM sc) SELECT doc_id, sent_no FROM b WHERE occ >= 1 AND occ / (occ + least) > 0.4",
 )
 def prefilter(spark, sf_dir):
-    c = sentence_counts(spark, sf_dir)
-    return c.filter((F.col("occ") >= 1) & (M.index(F.col("occ"), F.col("other")) > 0.4)).select("doc_id", "sent_no")
+    both = spark.createDataFrame([(f,) for f in HOMOGRAPHS], "form string")
+    return M.could_pass(sentences(spark, sf_dir), KEYS, forms(spark), both, over=0.4).select("doc_id", "sent_no")
 
 
 @query("prd_16_index_filter", f"WITH {SC} SELECT doc_id, sent_no, occ > 0 AS western FROM sc WHERE (occ >= 2 AND {_INDEX} > 0.8) OR ({_INDEX} = 0 AND other >= 2)")

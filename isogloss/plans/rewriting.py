@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -110,19 +111,39 @@ def rewritten_words(spark, sf_dir):
     return job(spark, sf_dir).filter("rule is not null").groupBy("rule", "surface", "translated").agg(F.count("*").alias("n"))
 
 
-@query("rwt_04_agreeing", f"WITH {_TK} SELECT id, i, {_CASE.format(p=sql.lit('des'))} AS put FROM tk WHERE lower(surface) = 'les'")
+def learned(spark, sf_dir):
+    """A lexicon of the corpus's own size: each token with the least other token that follows it; det marks short ones."""
+    t = sentences(spark, sf_dir).select(T.tokens(F.col("text")).alias("t"))
+    next_ = F.arrays_zip(F.slice("t", F.lit(1), F.greatest(F.lit(0), F.size("t") - 1)).alias("form"), F.slice("t", F.lit(2), F.size("t")).alias("put"))
+    return t.select(F.inline(next_)).filter("form <> put").groupBy("form").agg(F.min("put").alias("put")).withColumn("det", F.length("form") <= 4)
+
+
+_LX = f"lx AS (SELECT form, min(put) AS put, length(form) <= 4 AS det FROM (SELECT unnest(t[1:len(t) - 1]) AS form, unnest(t[2:]) AS put FROM (SELECT {sql.tokens('text')} AS t FROM sent)) WHERE form <> put GROUP BY form)"
+# Upper case of ß is SS in Spark; DuckDB writes ẞ, which ps puts right.
+_ELID = f"regexp_extract(surface, {sql.lit(T.ELIDED)}, {{}})"
+_LOOKED = (
+    f"el AS (SELECT *, {_ELID.format(1)} AS p, lower({_ELID.format(2)}) AS r FROM tk), lk AS (SELECT e.id, e.i, e.surface, w.put AS wp, CASE WHEN e.p <> '' THEN e.p || substr(e.surface, length(e.p) + 1, 1) || x.put END AS xp FROM el e LEFT JOIN use w ON w.form = lower(e.surface) LEFT JOIN use x ON x.form = e.r),"
+    f" pt AS (SELECT id, i, surface, CASE WHEN wp IS NOT NULL THEN {_CASE.format(p='wp')} ELSE xp END AS put FROM lk), ps AS (SELECT id, i, surface, replace(put, 'ẞ', 'SS') AS put FROM pt WHERE put IS NOT NULL)"
+)
+
+
+@query("rwt_04_agreeing", f"WITH {_TK}, {_LX}, use AS (SELECT form, put FROM lx), {_LOOKED} SELECT id, i, put FROM ps WHERE ends_with(lower(surface), 'es') = ends_with(lower(put), 'es')")
 def agreeing(spark, sf_dir):
-    return W.agreeing(tokens(spark, sf_dir), lexicon(spark, [("les", "des"), ("the", "thes")]), "put").filter("put is not null").select("id", "i", "put")
+    return W.agreeing(tokens(spark, sf_dir), learned(spark, sf_dir), "put").filter("put is not null").select("id", "i", "put")
 
 
-@query("rwt_06_demonstratives", f"WITH {_TK} SELECT id, i, {_CASE.format(p=sql.lit('aquest'))} AS put FROM tk WHERE lower(surface) = 'this'")
+@query("rwt_06_demonstratives", f"WITH {_TK}, {_LX}, use AS (SELECT form, put FROM lx WHERE det), {_LOOKED} SELECT id, i, put FROM ps")
 def demonstratives(spark, sf_dir):
-    return W.by_lookup(tokens(spark, sf_dir), lexicon(spark, [("this", "aquest")]), "put").filter("put is not null").select("id", "i", "put")
+    """Determiners are stood in for by short words of a lexicon of the corpus's size."""
+    return W.by_lookup(tokens(spark, sf_dir), learned(spark, sf_dir).filter("det"), "put").filter("put is not null").select("id", "i", "put")
 
 
-@query("rwt_07_gender_of_next", f"WITH {_NEI} SELECT id, i, {_CASE.format(p=sql.lit('dues'))} AS put FROM nb WHERE lower(surface) = 'to' AND regexp_matches(lower(nx), 'es$')")
+@query("rwt_07_gender_of_next", f"WITH {_TK}, nb AS (SELECT *, lower(lead(surface) OVER w) AS nx, lower(lag(surface) OVER w) AS pv FROM tk WHERE NOT regexp_matches(surface, '^\\s+$') WINDOW w AS (PARTITION BY id ORDER BY i)) SELECT id, i, {_CASE.format(p=sql.lit('dues'))} AS put FROM nb WHERE lower(surface) = 'to' AND (pv IN ('of', 'and') OR ends_with(nx, 'es') AND length(nx) > 3)")
 def gender_of_next(spark, sf_dir):
-    return W.by_neighbour(tokens(spark, sf_dir), "id", "to", "dues", "es$", None, "put").filter("put is not null").select("id", "i", "put")
+    """Part of speech and gender are stood in for by length and end."""
+    low = F.lower("surface")
+    t = tokens(spark, sf_dir).withColumn("pos", F.when(F.length("surface") > 3, "NOUN")).withColumn("gender", F.when(low.endswith("es"), "f"))
+    return W.agreeing_numeral(t, "id", "to", "dues", ["of", "and"], "put").filter("put is not null").select("id", "i", "put")
 
 
 @query("rwt_12_swapped", f"WITH {_NEI} SELECT id, i, {_CASE.format(p=sql.lit('the'))} AS put FROM nb WHERE lower(surface) = 'of' AND lower(nx) = 'the' UNION ALL SELECT id, i, {_CASE.format(p=sql.lit('of'))} FROM nb WHERE lower(surface) = 'the' AND lower(pv) = 'of'")
@@ -157,3 +178,17 @@ def agreement(spark, sf_dir):
     t = job(spark, sf_dir).withColumn("gender", F.when(F.col("translated").endswith("cio"), "f"))
     out = W.agreed(t, "id", [("le", "la"), ("a", "una")], "gender")
     return out.filter(F.lower("translated").isin("la", "una") & F.lower("surface").isin("the", "le", "a")).select("id", "i", F.col("translated").alias("put"))
+
+
+@query(
+    "rwt_13_phrase_agreement",
+    f"WITH {_RW}, {_LX}, ad AS (SELECT form, left(form, -1) AS lemma, CASE right(form, 1) WHEN 's' THEN 'm' ELSE 'f' END AS g FROM lx WHERE length(form) > 2 AND right(form, 1) IN ('s', 'd')), tn AS (SELECT a.form, b.g AS wanted, b.form AS p FROM ad a JOIN ad b USING (lemma) WHERE a.g <> b.g), wd AS (SELECT *, lag(rule) OVER w AS hr, lag(i) OVER w AS hi FROM rw WHERE regexp_matches(surface, '^[\\p{{L}}\\p{{M}}·]') WINDOW w AS (PARTITION BY id ORDER BY i)) SELECT id, i, {_VCASE.format(w='translated', p='p')} AS put FROM wd JOIN tn ON tn.form = lower(translated) WHERE rule IS NULL AND hr IS NOT NULL AND wanted = CASE WHEN hi % 4 < 2 THEN 'f' ELSE 'm' END",
+)
+def phrase_agreement(spark, sf_dir):
+    """Heads, genders and morphology are stood in for: a word depends on the one before it, and words that differ in a last s or d are one adjective."""
+    words = Window.partitionBy("id", W.is_word(F.col("surface"))).orderBy("i")
+    t = job(spark, sf_dir).withColumn("head", F.when(W.is_word(F.col("surface")), F.lag("i").over(words)))
+    t = t.withColumn("gender", F.when(F.col("i") % 4 < 2, "f").otherwise("m")).withColumn("old", F.col("translated"))
+    end = F.substring("form", -1, 1)
+    m = learned(spark, sf_dir).filter((F.length("form") > 2) & end.isin("s", "d")).select("form", F.expr("left(form, length(form) - 1)").alias("lemma"), F.lit("adj").alias("cat"), F.when(end == "s", "m").otherwise("f").alias("gender"), F.lit("sg").alias("number"))
+    return W.phrase_agreed(t, "id", m).filter("translated <> old").select("id", "i", F.col("translated").alias("put"))

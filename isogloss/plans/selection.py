@@ -109,9 +109,12 @@ def rule_quota(spark, sf_dir):
 
 @query("smp_08_coverage")
 def coverage(spark, sf_dir):
+    """Sentences that cover seven words, each with the word after it as a pair; two of a document and twenty of a source at most."""
     rules = F.array(*[F.lit(x) for x in ("ti", "sh", "wh", "the", "of", "est", "mi")])
-    pool = documents(spark, sf_dir).select("doc_id", F.array_intersect(rules, T.tokens(F.col("text"))).alias("labels")).filter(F.size("labels") > 0)
-    return S.coverage(pool, "doc_id", "labels", 60, 15)
+    s = sentences(spark, sf_dir).select(F.concat_ws(":", F.col("doc_id").cast("string"), "sent_no").alias("id"), "doc_id", "source", T.tokens(F.col("text")).alias("t"))
+    after = F.transform("t", lambda x, i: F.when(F.array_contains(rules, x), F.concat_ws(" ", x, F.try_element_at("t", i + 2))))
+    pool = s.select("id", "doc_id", "source", F.array_intersect(rules, "t").alias("labels"), F.filter(after, lambda x: x.isNotNull()).alias("pairs")).filter(F.size("labels") > 0)
+    return S.coverage(pool, "id", "labels", 60, 15, pairs="pairs", caps={"doc_id": 2, "source": 20})
 
 
 @query("smp_09_hand_out", "SELECT doc_id, (row_number() OVER (ORDER BY source, doc_id) - 1) % 2 AS reviewer FROM (SELECT doc_id, source FROM documents ORDER BY md5('h:' || doc_id), doc_id LIMIT 200)")

@@ -12,7 +12,7 @@ from ..sources import readers as R
 from ..sources import writers as W
 from ..streaming import jobs as J
 from . import sql
-from .common import sentences
+from .common import sentences, turn_pairs
 from .index import DC, SC, forms
 from .registry import query, table
 
@@ -59,11 +59,14 @@ def tsv(spark, sf_dir):
     return R.tsv(spark, path, "text")
 
 
-@query("src_07_lines", r"WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) SELECT count(*) AS lines, count(DISTINCT line) AS kinds FROM l WHERE trim(line) <> ''")
+@query("src_07_lines", r"WITH l AS (SELECT regexp_replace(unnest(string_split(text, chr(10))), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS line FROM documents), n AS (SELECT count(*) AS n FROM l WHERE line <> '') SELECT unnest(generate_series(1, n)) AS number, NULL AS text, 0 AS n FROM n UNION ALL SELECT 0, line, count(*) FROM l WHERE line <> '' GROUP BY line")
 def lines(spark, sf_dir):
+    """The numbers of all lines, and how often each line is there; lines of files written in parallel have no order of their own."""
     path = scratch(spark) + "/lines"
     table(spark, sf_dir, "documents").select("text").write.text(path)
-    return R.lines(spark, path).agg(F.count("*").alias("lines"), F.count_distinct("text").alias("kinds"))
+    got = R.lines(spark, path)
+    numbers = got.select(F.substring("id", F.lit(2), F.length("id")).cast("long").alias("number"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("n"))
+    return numbers.union(got.groupBy("text").agg(F.count("*").alias("n")).select(F.lit(0).cast("long"), "text", "n"))
 
 
 _HIDE = sql.lit(R._HIDDEN.replace("(?is)", ""))
@@ -92,14 +95,12 @@ def chapters(spark, sf_dir):
     return R.page_chapters(table(spark, sf_dir, "pages"))
 
 
-@query("snk_03_aligned_sides", f"WITH {sql.PAIR} SELECT count(*) AS a, count(*) AS b FROM pair")
+@query("snk_03_aligned_sides", rf"WITH {sql.PAIR} SELECT regexp_replace(a, '[\r\n]+', ' ', 'g') AS a, regexp_replace(b, '[\r\n]+', ' ', 'g') AS b, count(*) AS n FROM pair GROUP BY ALL")
 def aligned_sides(spark, sf_dir):
-    from .common import turn_pairs
-
+    """Both sides, read again line by line."""
     path = scratch(spark) + "/sides"
     W.aligned_sides(turn_pairs(spark, sf_dir), path, "id", ("a", "b"))
-    n = lambda s: spark.read.text(f"{path}/{s}").agg(F.count("*").alias(s))
-    return n("a").crossJoin(n("b"))
+    return R.aligned_lines(spark, path, ("a", "b")).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 @query("snk_04_classifier_lines", r"SELECT '__label__' || l.quality || ' ' || regexp_replace(text, '\s+', ' ', 'g') AS value FROM documents JOIN labels l USING (doc_id)")
@@ -142,12 +143,12 @@ def score_new(spark, sf_dir):
     return spark.read.parquet(f"{out}/scores").select("doc_id", "words", "occ", "other")
 
 
-@query("str_02_keep_first_new", f"SELECT count(DISTINCT {sql.repeat_text('text')}) AS kept FROM documents")
+@query("str_02_keep_first_new", f"SELECT DISTINCT {sql.repeat_text('text')} AS kept FROM documents")
 def keep_first_new(spark, sf_dir):
     path, schema = _files(spark, sf_dir)
     out = scratch(spark)
     J.keep_first_new(J.new_documents(spark, path, schema, 2), "text", f"{out}/first", f"{out}/state").awaitTermination()
-    return spark.read.parquet(f"{out}/first").agg(F.count("*").alias("kept"))
+    return spark.read.parquet(f"{out}/first").select(T.repeat_text(F.col("text")).alias("kept"))
 
 
 @query("str_03_running_counts", "SELECT source, count(*) AS n FROM documents GROUP BY source")
@@ -189,21 +190,26 @@ def routed(spark, sf_dir):
     return final.select("doc_id", F.lit(True).alias("final")).union(pending.select("doc_id", F.lit(False)))
 
 
-@query("src_12_cms_documents", r"SELECT url, 'T ' || page_id AS title, '2020-01-02' AS date FROM pages")
+@query("src_12_cms_documents", f"""SELECT url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS title, date '2020-01-01' + (page_id % 365)::INT || '' AS date, {_visible('html')} AS text FROM pages""")
 def cms_documents(spark, sf_dir):
+    """Pages as items, with the host as title; pages have no dates, so items get one by their number."""
     path = scratch(spark) + "/cms"
     p = table(spark, sf_dir, "pages")
     rendered = lambda c: F.struct(c.alias("rendered"))
-    p.select(F.col("url").alias("link"), F.lit("2020-01-02T03:04:05").alias("date"), rendered(F.concat(F.lit("T "), F.col("page_id").cast("string"))).alias("title"), rendered(F.col("html")).alias("content")).write.json(path)
-    return R.cms_documents(spark, path).select("url", "title", F.col("date").cast("string").alias("date"))
+    day = F.concat(F.date_add(F.lit("2020-01-01").cast("date"), F.pmod("page_id", F.lit(365)).cast("int")).cast("string"), F.lit("T03:04:05"))
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
+    p.select(F.col("url").alias("link"), day.alias("date"), rendered(F.concat(F.lit("<b>"), host, F.lit("</b>"))).alias("title"), rendered(F.col("html")).alias("content")).write.json(path)
+    return R.cms_documents(spark, path).select("url", "title", F.col("date").cast("string").alias("date"), "text")
 
 
-@query("str_04_stop_after", "SELECT count(*) >= 100 OR count(*) = (SELECT count(*) FROM documents WHERE length(text) > 500) AS enough FROM documents WHERE length(text) > 500")
+@query("str_04_stop_after", "SELECT doc_id FROM documents WHERE length(text) > 50")
 def stop_after(spark, sf_dir):
+    """As many rows as there are, so that no file may be left out; where it stops sooner is tested on made files."""
     path, schema = _files(spark, sf_dir)
     out = scratch(spark)
-    J.stop_after(J.new_documents(spark, path, schema, 1), F.length("text") > 500, 100, f"{out}/kept", f"{out}/state").awaitTermination()
-    return spark.read.parquet(f"{out}/kept").agg((F.count("*") >= 100).alias("enough"))
+    whole = spark.read.schema(schema).parquet(path).count()
+    J.stop_after(J.new_documents(spark, path, schema, 1), F.length("text") > 50, whole, f"{out}/kept", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/kept").select("doc_id")
 
 
 @query("src_02_compressed_lines", "WITH l AS (SELECT unnest(string_split(text, chr(10))) AS value FROM documents) SELECT value, count(*) AS n FROM l GROUP BY value")

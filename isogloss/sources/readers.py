@@ -108,10 +108,34 @@ def tsv(spark: SparkSession, path: str, text: str) -> DataFrame:
     return df.withColumn(text, F.replace(text, F.lit("\\n"), F.lit("\n")))
 
 
+def _in_file(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, o, value: lines of text files; o grows by one from line to line inside a block of a file."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("o"), "value")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """id (L and the byte order of the line) and text of lines that aren't empty."""
-    raw = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("o"), "value").filter(F.trim("value") != "")
-    return raw.select(F.concat(F.lit("L"), F.col("o").cast("string")).alias("id"), F.col("value").alias("text"))
+    """id and text of lines that aren't empty, trimmed: L1, L2 and so on, through all files in the order of their names.
+
+    Only the counts of blocks are put in order in one place; lines stay where they are read.
+    """
+    raw = _in_file(spark, path).withColumn("value", F.regexp_replace("value", r"^\s+|\s+$", "")).filter("value <> ''")
+    # Lines are numbered after the filter, so that places have no gaps in a block.
+    raw = raw.withColumn("o", F.monotonically_increasing_id())
+    blocks = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("o").alias("start"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(F.col("file").alias("f"), F.col("block").alias("b"), "start", before.alias("before"))
+    placed = raw.join(blocks, (raw["file"] == blocks["f"]) & (raw["block"] == blocks["b"]))
+    return placed.select(F.concat(F.lit("L"), (F.col("o") - F.col("start") + F.col("before") + 1).cast("string")).alias("id"), F.col("value").alias("text"))
+
+
+def aligned_lines(spark: SparkSession, path: str, sides: tuple[str, str]) -> DataFrame:
+    """part, line and the sides: what writers.aligned_sides() wrote, line by line."""
+
+    def side(s: str) -> DataFrame:
+        at = _in_file(spark, f"{path}/{s}").withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("int"))
+        return at.select("part", F.row_number().over(Window.partitionBy("part").orderBy("block", "o")).alias("line"), F.col("value").alias(s))
+
+    return side(sides[0]).join(side(sides[1]), ["part", "line"], "full")
 
 
 def frequency_table(spark: SparkSession, path: str) -> DataFrame:

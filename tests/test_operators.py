@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import re
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +19,7 @@ from isogloss.operators import pairs as R
 from isogloss.operators import rewrite as W
 from isogloss.operators import selection as L
 from isogloss.plans import registry
-from isogloss.sources import readers
+from isogloss.sources import readers, writers
 from isogloss.streaming import jobs
 
 
@@ -242,3 +245,82 @@ def test_running_counts_are_kept_in_a_table(spark, tmp_path):
     jobs.running_counts(stream, ["source"], f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").select("batch").distinct().count() == 3
     assert {(r.source, r["count"]) for r in jobs.last_counts(spark, ["source"], f"{tmp_path}/out").collect()} == {("a", 3), ("b", 1), (None, 2)}
+
+
+def test_no_text_that_passes_is_left_out_by_bounds(spark):
+    rnd = random.Random(5)
+    forms = [("a", "occ", "simple"), ("b", "occ", "verb"), ("x", "or", "simple"), ("y", "or", "simple"), ("v", "or", "verb")]
+    words = ["a", "b", "x", "y", "v", "other"]
+    texts = [(i, [(rnd.choice(words), rnd.choice(["NOUN", "VERB", "PROPN"])) for _ in range(rnd.randint(0, 6))]) for i in range(400)]
+    # Homographs count only as nouns in the exact score; western forms not as names, verbs as verbs alone.
+    real = {f: (side, kind) for f, side, kind in forms}
+    exact = set()
+    for i, t in texts:
+        n = {"occ": 0, "or": 0}
+        for w, pos in t:
+            side, kind = real.get(w, (None, None))
+            if side == "or" and (w == "x" or pos == "VERB" and kind == "verb" or w == "y" and pos == "NOUN") or side == "occ" and pos != "PROPN" and (kind != "verb" or pos == "VERB"):
+                n[side] += 1
+        if n["occ"] and n["occ"] / (n["occ"] + n["or"]) > 0.5:
+            exact.add(i)
+    df = spark.createDataFrame([(i, " ".join(w for w, _ in t)) for i, t in texts], "id int, text string")
+    both = spark.createDataFrame([("y",)], "form string")
+    got = {r.id for r in M.could_pass(df, ["id"], spark.createDataFrame(forms, "form string, side string, kind string"), both).collect()}
+    bound = {i for i, t in texts if (o := sum(w in "ab" for w, _ in t)) and o / (o + sum(w == "x" for w, _ in t)) > 0.5}
+    assert exact < got == bound
+
+
+def test_coverage_keeps_to_its_caps(spark):
+    rnd = random.Random(6)
+    rows = [(i, [rnd.choice("abcd")], rnd.sample(["p", "q", "r", "s", "t"] + [f"u{i}"] * (i % 9 == 0), 1), rnd.choice([None, 1, 2, 3, 4, 5, 6, 7])) for i in range(300)]
+    pool = spark.createDataFrame(rows, "id int, labels array<string>, pairs array<string>, doc int")
+    got = L.coverage(pool, "id", "labels", 60, 4, pairs="pairs", per_pair=3, caps={"doc": 4}).collect()
+    assert len({r.id for r in got}) == len(got)
+    assert max(Counter(r.doc for r in got).values()) <= 4 and max(Counter(p for r in got for p in r.pairs).values()) <= 3
+    # Eight documents with four rows each hold 32; every label has its quota, and every cap leaves room for this.
+    assert 25 <= len(got) <= 32 and min(Counter(x for r in got for x in r.labels).values()) >= 4
+    again = L.coverage(pool.repartition(5), "id", "labels", 60, 4, pairs="pairs", per_pair=3, caps={"doc": 4}).collect()
+    assert {r.id for r in again} == {r.id for r in got}
+    assert L.coverage(pool.limit(0), "id", "labels", 5, 4, pairs="pairs", caps={"doc": 1}).count() == 0
+
+
+def test_lines_are_numbered_through_all_files(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    for k in range(3):
+        (tmp_path / "t" / f"{k}.txt").write_text("".join(f"  {k}-{i} \n\n" for i in range(k + 1)) + " \n")
+    got = {r.id: r.text for r in readers.lines(spark, str(tmp_path / "t")).collect()}
+    assert got == {"L1": "0-0", "L2": "1-0", "L3": "1-1", "L4": "2-0", "L5": "2-1", "L6": "2-2"}
+
+
+def test_sides_stay_aligned(spark, tmp_path):
+    rows = [(i, f"a {i % 7}\nx", f"b {i}") for i in range(500)]
+    writers.aligned_sides(spark.createDataFrame(rows, "id int, a string, b string").repartition(5), str(tmp_path / "s"), "id", ("a", "b"))
+    got = readers.aligned_lines(spark, str(tmp_path / "s"), ("a", "b")).orderBy("part", "line").collect()
+    assert [(r.a, r.b) for r in got] == [(a.replace("\n", " "), b) for _, a, b in rows]
+
+
+def test_numerals_agree(spark):
+    t = [("Les dos cases", ["les"], {}), ("dos noves", [], {"noves": ("ADJ", "f")}), ("Dos verbs", ["les"], {"verbs": ("NOUN", "m")}), ("dos veu", [], {"veu": ("VERB", "f")}), ("dos", ["les"], {})]
+    rows = [(k, i, w, *tags.get(w, (None, None))) for k, (text, _, tags) in enumerate(t) for i, w in enumerate(re.findall(r"\w+|\s+", text))]
+    got = W.agreeing_numeral(spark.createDataFrame(rows, "k int, i int, surface string, pos string, gender string"), "k", "dos", "dues", ["les", "estes"], "put").filter("put is not null")
+    assert {(r.k, r.i, r.put) for r in got.collect()} == {(0, 2, "dues"), (1, 0, "dues")}
+
+
+def test_dependents_agree_with_a_rewritten_noun(spark):
+    morphology = spark.createDataFrame(
+        [("plena", "ple", "adj", "f", "sg"), ("ple", "ple", "adj", "m", "sg"), ("plens", "ple", "adj", "m", "pl"), ("rebuda", "rebre", "participle", "f", "sg"), ("rebut", "rebre", "participle", "m", "sg"), ("gran", "gran", "adj", "f", "sg")],
+        "form string, lemma string, cat string, gender string, number string",
+    )
+    # The bucket (1) was rewritten to a masculine noun: what depends on it changes, what depends on another word does not.
+    words = [("Plena", None, 1, None), ("poal", "lexicon", None, "m"), ("gran", None, 1, None), ("rebuda", None, 1, None), ("taula", None, None, "f"), ("plena", None, 4, None), ("plena", "lexicon", 1, None)]
+    t = spark.createDataFrame([("k", i, w, w, rule, head, g) for i, (w, rule, head, g) in enumerate(words)], "k string, i int, surface string, translated string, rule string, head int, gender string")
+    got = [r.translated for r in W.phrase_agreed(t, "k", morphology).orderBy("i").collect()]
+    assert got == ["Ple", "poal", "gran", "rebut", "taula", "plena", "plena"]
+
+
+def test_stop_after_a_number_of_rows(spark, tmp_path):
+    for k in range(5):
+        spark.createDataFrame([(k * 10 + i,) for i in range(10)], "id int").coalesce(1).write.mode("append").parquet(str(tmp_path / "f"))
+    stream = jobs.new_documents(spark, str(tmp_path / "f"), "id int", 1)
+    jobs.stop_after(stream, F.col("id") % 2 == 0, 8, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
