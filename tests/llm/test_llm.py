@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from isogloss.llm import decontaminate, language_id, mixing, near_dups, privacy, quality_model, quality_rules, substrings, token_counts, warc
@@ -92,6 +94,82 @@ def test_privacy_edges(edge, empty):
     assert privacy.sanitised(edge).count() == 11 and near_dups.keep_one(edge).count() < 11
 
 
+def disclosed(docs):
+    """The docstring of the operator written out, document by document: base spans, and (s, e, action) of terms."""
+    letters = regex.compile(r"\p{L}+")
+    base = [spans_of(t) for _, t in docs]
+
+    def entity(t, b):
+        v = t[b[0] : b[2]]
+        return f"{b[3]}:{re.sub('[^0-9]', '', v) if b[3] in ('card', 'phone') else v.lower()}"
+
+    near, df_e, df_t, df_et = [], Counter(), Counter(), Counter()
+    for (_, t), bs in zip(docs, base):
+        here = []
+        for b in bs:
+            lo, hi = max(0, b[0] - privacy.CONTEXT), min(len(t), b[2] + privacy.CONTEXT)
+            words = [(m.start() + lo, m.end() + lo) for m in letters.finditer(t[lo : b[0]]) if m.start() > 0 or lo == 0]
+            words += [(m.start() + b[2], m.end() + b[2]) for m in letters.finditer(t[b[2] : hi]) if m.end() + b[2] < hi or hi == len(t)]
+            here += [(entity(t, b), t[s:e].lower(), s, e) for s, e in words if e - s >= privacy.TERM and not any(x[0] < e and s < x[2] for x in bs)]
+        near.append(here)
+        df_et.update({(e, w) for e, w, _, _ in here})
+        df_e.update({entity(t, b) for b in bs})
+        df_t.update({w for w in letters.findall(t.lower()) if len(w) >= privacy.TERM})
+    act = {}
+    for (e, w), n in df_et.items():
+        if min(n, df_e[e], df_t[w]) >= privacy.SUPPORT and df_e[e] < len(docs):
+            d = math.log2(len(docs) * n / (df_e[e] * df_t[w])) / math.log2(len(docs) / df_e[e])
+            if d >= privacy.GENERALISE:
+                act[e, w] = "drop" if d >= privacy.REMOVE else "term"
+    out = []
+    for bs, here in zip(base, near):
+        extra = {}
+        for e, w, s, z in here:
+            if a := act.get((e, w)):
+                extra[s, z] = min(a, extra.get((s, z), a))
+        out.append((bs, sorted(bs + [(s, 4, z, a) for (s, z), a in extra.items()])))
+    return out
+
+
+def listed(spans):
+    return ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in spans)
+
+
+def test_privacy_brute_force(spark, docs, sf):
+    """All output columns of the query, and the stage's texts, on whole documents."""
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    exp = {d: x for (d, _), x in zip(rows, disclosed(rows))}
+    assert any(k == 4 for _, all_ in exp.values() for _, k, _, _ in all_)
+    for r in privacy.op1(spark, sf).collect():
+        base, all_ = exp[r.doc_id]
+        n = Counter(b[3] for b in base)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (n["email"], n["ip"], n["card"], n["phone"])
+        assert r.base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest() and r.spans == listed(all_)
+    texts = dict(rows)
+    for r in privacy.sanitised(docs).collect():
+        t, out, pos = texts[r.doc_id], [], 0
+        for s, _, e, kind in exp[r.doc_id][1]:
+            if s >= pos:
+                out += [t[pos:s], privacy.MARKS[kind]]
+            pos = max(pos, e)
+        assert (r.text or "") == "".join(out) + t[pos:]
+
+
+def test_stages_keep_columns(edge, empty):
+    """Clashing names, nulls, repeated rows and empty tables pass through the last two stages."""
+    clean = privacy.sanitised(edge)
+    assert clean.columns == edge.columns and ids(clean) == ids(edge)
+    assert clean.filter("h = 'x' and row = 'y' and n_words = 1").count() == 2
+    assert clean.toDF(*[f"c{i}" for i in range(len(clean.columns))]).filter("c1 like '%a.b@c.org%'").isEmpty()
+    assert privacy.sanitised(empty).count() == 0
+    mixed = mixing.mixed(edge)
+    assert mixed.columns == [*edge.columns, "mix_size", "mix_target", "mix_taken"]
+    assert mixed.agg(F.sum("mix_taken")).first()[0] == mixing.mix(edge).agg(F.sum("taken")).first()[0]
+    # Repeated rows are one row of the mix; what has no words isn't taken.
+    assert mixed.filter("doc_id = 1").count() == 1 and mixed.filter("mix_size = 0").isEmpty()
+    assert mixing.mixed(empty).count() == 0
+
+
 # --- op2 ---
 
 
