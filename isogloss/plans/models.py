@@ -15,7 +15,7 @@ from .selection import _NEAR, evaluation_items, word_sets
 
 def lm_sentences(spark, sf_dir):
     """Sentences of all languages; model is the struct of lang, which unlike a null lang joins with itself."""
-    return sentences(spark, sf_dir).select((F.col("doc_id") * 100_000 + F.col("sent_no")).alias("id"), "doc_id", F.struct("lang").alias("model"), T.lm_text(F.col("text")).alias("text"))
+    return sentences(spark, sf_dir).select((F.col("doc_id") * 10_000_000 + F.col("sent_no")).alias("id"), "doc_id", F.struct("lang").alias("model"), T.lm_text(F.col("text")).alias("text"))
 
 
 def named(df, model="model"):
@@ -23,7 +23,7 @@ def named(df, model="model"):
     return df.withColumn("lang", F.col(f"{model}.lang")).drop(model)
 
 
-_LM = f"""{sql.SENT}, lm AS (SELECT doc_id * 100000 + sent_no AS id, doc_id, {{'lang': lang}} AS model, [CASE WHEN regexp_matches(x, '^[0-9]') THEN '0' ELSE x END FOR x IN {sql.find('lower(' + sql.fold('text') + ')', T.LM_UNITS)}] AS t FROM sent),
+_LM = f"""{sql.SENT}, lm AS (SELECT doc_id * 10000000 + sent_no AS id, doc_id, {{'lang': lang}} AS model, [CASE WHEN regexp_matches(x, '^[0-9]') THEN '0' ELSE x END FOR x IN {sql.find('lower(' + sql.fold('text') + ')', T.LM_UNITS)}] AS t FROM sent),
 mk AS (SELECT id, doc_id, model, list_concat(['<s>'], t, ['</s>']) AS w FROM lm), nn AS (SELECT model, w, unnest([1, 2, 3]) AS n FROM mk), gg AS (SELECT model, n, unnest([array_to_string(w[i:i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS gram FROM nn),
 ct AS (SELECT model, n, gram, count(*) AS count FROM gg GROUP BY model, n, gram HAVING n = 1 OR count(*) > 1)"""
 

@@ -20,13 +20,13 @@ def tokens(spark, sf_dir):
 
 def edited(spark, sf_dir):
     """All sentences of documents that have a word, and a version of each in which some words are changed."""
-    s = segment.explode_sentences(documents(spark, sf_dir).select("doc_id", "text")).withColumn("id", F.col("doc_id") * 100_000 + F.col("sent_no"))
+    s = segment.explode_sentences(documents(spark, sf_dir).select("doc_id", "text")).withColumn("id", F.col("doc_id") * 10_000_000 + F.col("sent_no"))
     t = s.select("id", "doc_id", T.tokens(F.col("text")).alias("ta")).filter(F.size("ta") > 0)
     return t.withColumn("tb", F.transform("ta", lambda w: F.when(w == "the", "le").when(w.endswith("tion"), F.regexp_replace(w, "tion$", "cio")).when(w == "of", "de").otherwise(w)))
 
 
 _TK = f"tk AS (SELECT id, {sql.pair_tokens('a')} AS ta, {sql.pair_tokens('b')} AS tb FROM pair)"
-_ED = f"""{sql.SENT}, ed0 AS (SELECT doc_id * 100000 + sent_no AS id, doc_id, {sql.tokens('text')} AS ta FROM sent), ed AS (SELECT id, doc_id, ta, [CASE WHEN w = 'the' THEN 'le' WHEN ends_with(w, 'tion') THEN regexp_replace(w, 'tion$', 'cio') WHEN w = 'of' THEN 'de' ELSE w END FOR w IN ta] AS tb FROM ed0 WHERE len(ta) > 0),
+_ED = f"""{sql.SENT}, ed0 AS (SELECT doc_id * 10000000 + sent_no AS id, doc_id, {sql.tokens('text')} AS ta FROM sent), ed AS (SELECT id, doc_id, ta, [CASE WHEN w = 'the' THEN 'le' WHEN ends_with(w, 'tion') THEN regexp_replace(w, 'tion$', 'cio') WHEN w = 'of' THEN 'de' ELSE w END FOR w IN ta] AS tb FROM ed0 WHERE len(ta) > 0),
 po AS (SELECT id, doc_id, generate_subscripts(ta, 1) - 1 AS i, unnest(ta) AS x, unnest(tb) AS y FROM ed), df AS (SELECT id, doc_id, i, x AS "from", y AS "to" FROM po WHERE x <> y)"""
 
 

@@ -17,7 +17,7 @@ SUFFIXES = [("tion", "cio"), ("ing", "ant")]
 
 def texts(spark, sf_dir):
     s = sentences(spark, sf_dir)
-    return s.select((F.col("doc_id") * 100_000 + F.col("sent_no")).alias("id"), "text")
+    return s.select((F.col("doc_id") * 10_000_000 + F.col("sent_no")).alias("id"), "text")
 
 
 def tokens(spark, sf_dir):
@@ -28,7 +28,7 @@ def lexicon(spark, entries=LEXICON):
     return spark.createDataFrame(entries, "form string, put string")
 
 
-_TK = f"{sql.SENT}, tk AS (SELECT doc_id * 100000 + sent_no AS id, unnest(t) AS surface, generate_subscripts(t, 1) - 1 AS i FROM (SELECT doc_id, sent_no, {sql.find('text', T.LOSSLESS)} AS t FROM sent))"
+_TK = f"{sql.SENT}, tk AS (SELECT doc_id * 10000000 + sent_no AS id, unnest(t) AS surface, generate_subscripts(t, 1) - 1 AS i FROM (SELECT doc_id, sent_no, {sql.find('text', T.LOSSLESS)} AS t FROM sent))"
 _CASE = "CASE WHEN length(surface) > 1 AND NOT regexp_matches(surface, '\\p{{Ll}}') AND regexp_matches(surface, '\\p{{Lu}}') THEN upper({p}) WHEN regexp_matches(surface, '^\\p{{Lu}}') THEN upper(substr({p}, 1, 1)) || substr({p}, 2) ELSE {p} END"
 _PUT = "CASE lower(surface) WHEN 'the' THEN 'le' WHEN 'of' THEN 'de' WHEN 'and' THEN 'i' END"
 _LOOK = f"CASE WHEN {_PUT} IS NOT NULL THEN {_CASE.format(p=chr(40) + _PUT + chr(41))} END"
@@ -41,7 +41,7 @@ def by_lexicon(spark, sf_dir):
     return W.by_lookup(tokens(spark, sf_dir), lexicon(spark), "put").filter("put is not null").select("id", "i", "put")
 
 
-@query("rwt_02_phrases", f"WITH {sql.SENT} SELECT doc_id * 100000 + sent_no AS id, regexp_replace(regexp_replace(text, '(^|[^\\p{{L}}])of the([^\\p{{L}}]|$)', '\\1del\\2', 'g'), '(^|[^\\p{{L}}])in the([^\\p{{L}}]|$)', '\\1al\\2', 'g') AS text FROM sent")
+@query("rwt_02_phrases", f"WITH {sql.SENT} SELECT doc_id * 10000000 + sent_no AS id, regexp_replace(regexp_replace(text, '(^|[^\\p{{L}}])of the([^\\p{{L}}]|$)', '\\1del\\2', 'g'), '(^|[^\\p{{L}}])in the([^\\p{{L}}]|$)', '\\1al\\2', 'g') AS text FROM sent")
 def phrases(spark, sf_dir):
     return W.phrase_substitution(texts(spark, sf_dir), "id", [("of the", "del"), ("in the", "al")])
 
@@ -95,7 +95,7 @@ def rules_fired(spark, sf_dir):
     return W.rewritten(job(spark, sf_dir), "id").select("id", "rules")
 
 
-@query("rwt_16_regex_pairs", f"WITH {sql.SENT} SELECT doc_id * 100000 + sent_no AS id, replace(replace(text, 'tion', 'cio'), 'the', 'le') AS text FROM sent")
+@query("rwt_16_regex_pairs", f"WITH {sql.SENT} SELECT doc_id * 10000000 + sent_no AS id, replace(replace(text, 'tion', 'cio'), 'the', 'le') AS text FROM sent")
 def regex_pairs(spark, sf_dir):
     rules = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (("tion", "cio"), ("the", "le"))])
     return texts(spark, sf_dir).select("id", F.aggregate(rules, F.col("text"), lambda acc, r: F.replace(acc, r["a"], r["b"])).alias("text"))

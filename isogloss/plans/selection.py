@@ -184,7 +184,7 @@ def document_match(spark, sf_dir):
 
 
 def word_sets(spark, sf_dir):
-    return sentences(spark, sf_dir).select((F.col("doc_id") * 100_000 + F.col("sent_no")).alias("id"), "doc_id", T.word_set(F.col("text")).alias("words"))
+    return sentences(spark, sf_dir).select((F.col("doc_id") * 10_000_000 + F.col("sent_no")).alias("id"), "doc_id", T.word_set(F.col("text")).alias("words"))
 
 
 def evaluation_items(spark, sf_dir):
@@ -192,7 +192,7 @@ def evaluation_items(spark, sf_dir):
     return b.select((F.col("item_id") * 1000).alias("item0"), F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("k", "text")).select((F.col("item0") + F.col("k")).alias("item"), T.word_set(F.col("text")).alias("words"))
 
 
-_NEAR = f"""sw AS (SELECT doc_id * 100000 + sent_no AS id, doc_id, list_sort(list_distinct({sql.bare('text')})) AS w FROM sent),
+_NEAR = f"""sw AS (SELECT doc_id * 10000000 + sent_no AS id, doc_id, list_sort(list_distinct({sql.bare('text')})) AS w FROM sent),
 ew AS (SELECT item_id * 1000 + generate_subscripts(p, 1) - 1 AS item, unnest(p) AS text FROM (SELECT item_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM benchmark)),
 iw AS (SELECT item, list_distinct({sql.bare('text')}) AS w FROM ew WHERE len(list_distinct({sql.bare('text')})) >= 4),
 ex AS (SELECT item, len(w) AS n, unnest(w) AS word FROM iw), sx AS (SELECT id, len(w) AS n, unnest(w) AS word FROM sw WHERE len(w) >= 4),
@@ -204,10 +204,10 @@ def near_evaluation(spark, sf_dir):
     return S.near_evaluation(word_sets(spark, sf_dir), evaluation_items(spark, sf_dir), "id", "words")
 
 
-@query("jon_12_banned_documents", f"WITH {sql.SENT}, {_NEAR} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT id // 100000 FROM nr WHERE jaccard >= 0.6)")
+@query("jon_12_banned_documents", f"WITH {sql.SENT}, {_NEAR} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT id // 10000000 FROM nr WHERE jaccard >= 0.6)")
 def banned_documents(spark, sf_dir):
     near = S.near_evaluation(word_sets(spark, sf_dir), evaluation_items(spark, sf_dir), "id", "words")
-    return documents(spark, sf_dir).select("doc_id").join(near.select(F.floor(F.col("id") / 100_000).alias("doc_id")).distinct(), "doc_id", "left_anti")
+    return documents(spark, sf_dir).select("doc_id").join(near.select(F.expr("id div 10000000").alias("doc_id")).distinct(), "doc_id", "left_anti")
 
 
 @query("jon_10_exact_leaks", f"WITH {sql.SENT} SELECT doc_id, sent_no FROM sent WHERE {_RK} NOT IN (SELECT {_RK} FROM (SELECT unnest({sql.sentences('text')}) AS text FROM benchmark))")
@@ -294,7 +294,7 @@ def integrity(spark, sf_dir):
 
 @query(
     "jon_09_all_near",
-    f"""WITH {sql.SENT}, a AS (SELECT doc_id * 100000 + sent_no AS id, [x FOR x IN list_distinct({sql.bare('text')}) IF length(x) >= 3] AS w FROM sent),
+    f"""WITH {sql.SENT}, a AS (SELECT doc_id * 10000000 + sent_no AS id, [x FOR x IN list_distinct({sql.bare('text')}) IF length(x) >= 3] AS w FROM sent),
 e AS (SELECT item_id * 1000 + generate_subscripts(p, 1) - 1 AS item, unnest(p) AS text FROM (SELECT item_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM benchmark)),
 b AS (SELECT item, [x FOR x IN list_distinct({sql.bare('text')}) IF length(x) >= 3] AS w FROM e), j AS (SELECT id, item, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS u FROM a JOIN b ON list_has_any(a.w, b.w))
 SELECT id, item, i / u AS jaccard FROM j WHERE i / u >= 0.6""",

@@ -205,9 +205,9 @@ def test_long_and_short_sentences_are_edited(spark, small):
     long_ = " ".join(["word"] * 80 + ["the"])
     sf = small(documents=[(1, "en", "s1", long_), (2, "en", "s1", "The dog")])
     q = lambda name: registry.QUERIES[name](spark, sf)
-    assert {(r["id"], r["i"]) for r in q("dif_01_positional_ops_whole").collect()} == {(100_000, 80), (200_000, 0)}
+    assert {(r["id"], r["i"]) for r in q("dif_01_positional_ops_whole").collect()} == {(10_000_000, 80), (20_000_000, 0)}
     assert {(r["from"], r["to"], r["n"]) for r in q("dif_03_mined").collect()} == {("the", "le", 2)}
-    assert {(r["id"], r["ref_words"]) for r in q("met_02_word_edits").collect()} == {(100_000, 81), (200_000, 2)}
+    assert {(r["id"], r["ref_words"]) for r in q("met_02_word_edits").collect()} == {(10_000_000, 81), (20_000_000, 2)}
     assert q("met_03_bleu").count() == q("met_04_chrf").count() == q("met_01_exact_whole").count() == 2
 
 
@@ -217,8 +217,8 @@ def test_each_language_has_its_model(spark, small):
     q = lambda name: registry.QUERIES[name](spark, sf)
     assert {(r.lang, r["count"]) for r in q("lmd_01_ngram_counts_whole").filter("gram = 'the'").collect()} == {("en", 1), ("es", 2), (None, 1)}
     got = {r.id: (r.lang, r.words, r.logprob) for r in q("lmd_02_log_probability_whole").collect()}
-    assert {k: v[:2] for k, v in got.items()} == {100_000: ("en", 4), 200_000: ("es", 5), 300_000: (None, 4)}
-    assert got[100_000][2] == got[300_000][2]  # like texts in models of their own
+    assert {k: v[:2] for k, v in got.items()} == {10_000_000: ("en", 4), 20_000_000: ("es", 5), 30_000_000: (None, 4)}
+    assert got[10_000_000][2] == got[30_000_000][2]  # like texts in models of their own
     assert {(r.lang, r.n) for r in q("src_11_frequency_table_whole").filter("form = 'of'").collect()} == {("en", 1), ("es", 1), (None, 1)}
     assert {r.lang for r in q("nbc_03_train_whole").collect()} == {"en", "es", None}
     assert q("nbc_04_logodds_whole").count() == 7 and q("lmd_04_lm_export_whole").count() == 3
