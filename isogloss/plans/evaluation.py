@@ -32,17 +32,31 @@ def exact(spark, sf_dir):
     return scored(spark, sf_dir).select("id", "exact")
 
 
-@query("met_02_word_edits")
+# No word that a reference has changed is left in any reference, so places that differ are all there is to edit.
+@query("met_02_word_edits", f"WITH {_RW} SELECT id, edits, ref_words FROM ev")
 def word_edits(spark, sf_dir):
     return scored(spark, sf_dir).select("id", "edits", "ref_words")
 
 
-@query("met_03_bleu")
+@query(
+    "met_03_bleu",
+    f"""WITH {_RW}, gr AS (SELECT id, n, unnest([array_to_string(h[i:i + n - 1], ' ') FOR i IN range(1, len(h) - n + 2)]) AS g, 1 AS hyp FROM rw, (SELECT unnest([1, 2, 3, 4]) AS n) UNION ALL SELECT id, n, unnest([array_to_string(tb[i:i + n - 1], ' ') FOR i IN range(1, len(tb) - n + 2)]), 0 FROM rw, (SELECT unnest([1, 2, 3, 4]) AS n)),
+ct AS (SELECT id, n, g, sum(hyp) AS h, sum(1 - hyp) AS r FROM gr GROUP BY id, n, g), od AS (SELECT id, n, sum(least(h, r)) AS m, sum(h) AS hyp, sum(r) AS ref FROM ct GROUP BY id, n HAVING sum(h) > 0),
+lp AS (SELECT *, ln(CASE WHEN m > 0 THEN m / hyp ELSE 1 / (2 ** (sum(CASE WHEN m = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY n)) * hyp) END) AS l FROM od)
+SELECT id, round(100 * CASE WHEN max(hyp) < max(ref) THEN exp(1 - max(ref) / max(hyp)) ELSE 1 END * exp(avg(l)), 6) AS bleu FROM lp GROUP BY id""",
+)
 def bleu(spark, sf_dir):
     return E.bleu(scored(spark, sf_dir), "id", "hypothesis", "reference").withColumn("bleu", F.round("bleu", 6))
 
 
-@query("met_04_chrf")
+@query(
+    "met_04_chrf",
+    f"""WITH {_RW}, sd AS (SELECT id, 1 AS hyp, array_to_string(h, '') AS c, h AS w FROM rw WHERE h <> tb UNION ALL SELECT id, 0, array_to_string(tb, ''), tb FROM rw WHERE h <> tb),
+gr AS (SELECT id, n, hyp, unnest([substr(c, i, n) FOR i IN range(1, length(c) - n + 2)]) AS g FROM sd, (SELECT unnest(range(1, 7)) AS n) UNION ALL SELECT id, 6 + n, hyp, unnest([array_to_string(w[i:i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) FROM sd, (SELECT unnest([1, 2]) AS n)),
+ct AS (SELECT id, n, g, sum(hyp) AS h, sum(1 - hyp) AS r FROM gr GROUP BY id, n, g), od AS (SELECT id, n, sum(least(h, r)) AS m, sum(h) AS nh, sum(r) AS nr FROM ct GROUP BY id, n),
+fs AS (SELECT id, n, CASE WHEN m > 0 THEN 5 * (m / nh) * (m / nr) / (4 * (m / nh) + m / nr) ELSE 0.0 END AS f FROM od), sc AS (SELECT id, 100 * avg(f) FILTER (WHERE n <= 6) AS chrf, 100 * avg(f) AS chrf_pp FROM fs GROUP BY id)
+SELECT id, round(coalesce(chrf, 100.0), 6) AS chrf, round(coalesce(chrf_pp, 100.0), 6) AS chrf_pp FROM rw LEFT JOIN sc USING (id)""",
+)
 def chrf(spark, sf_dir):
     s = scored(spark, sf_dir)
     plus = E.chrf(s, "id", "hypothesis", "reference", 2).withColumnRenamed("chrf", "chrf_pp")

@@ -138,7 +138,14 @@ def phrase_hits(spark, sf_dir):
     return M.phrase_hits(documents(spark, sf_dir), ["doc_id"], phrases(spark), 3).groupBy("doc_id", "phrase", "side").agg(F.count("*").alias("n"))
 
 
-@query("jon_03_longest_hits")
+@query(
+    "jon_03_longest_hits",
+    f"""WITH {PHRASE_SQL}, ph AS (SELECT *, string_split(phrase, ' ')[1] AS head, len(string_split(phrase, ' ')) AS n FROM phrases), pl AS (SELECT doc_id, unnest([{{'i': i, 'g': t[i:i + 2]}} FOR i IN range(1, len(t) + 1)]) AS p FROM (SELECT doc_id, {sql.tokens('text')} AS t FROM documents)),
+ht AS (SELECT doc_id, p.i AS i, n, phrase, side, max(n) OVER (PARTITION BY doc_id, p.i) AS most FROM pl JOIN ph ON p.g[1] = head WHERE array_to_string(p.g[1:n], ' ') = phrase), bs AS (SELECT * FROM ht WHERE n = most),
+st AS (SELECT doc_id, list_sort(list(DISTINCT {{'i': i, 'n': n, 'kept': []::BIGINT[]}})) AS s FROM bs GROUP BY doc_id),
+kp AS (SELECT doc_id, unnest(list_reduce(s, lambda a, x: CASE WHEN x.i >= a.i THEN {{'i': x.i + x.n, 'n': 0, 'kept': list_append(a.kept, x.i)}} ELSE a END, {{'i': 0, 'n': 0, 'kept': []::BIGINT[]}}).kept) AS i FROM st)
+SELECT doc_id, phrase, side, count(*) AS n FROM bs JOIN kp USING (doc_id, i) GROUP BY doc_id, phrase, side""",
+)
 def longest_hits(spark, sf_dir):
     hits = M.phrase_hits(documents(spark, sf_dir), ["doc_id"], phrases(spark), 3)
     return M.longest_hits(hits, ["doc_id"]).groupBy("doc_id", "phrase", "side").agg(F.count("*").alias("n"))

@@ -55,7 +55,20 @@ def positional_alignment(spark, sf_dir):
     return R.align_by_position(_paragraphs(spark, sf_dir, 0), _paragraphs(spark, sf_dir, 1))
 
 
-@query("jon_06_content_alignment")
+_SETS = f"list_sort(list_distinct({sql.pair_tokens('text')}))"
+
+
+@query(
+    "jon_06_content_alignment",
+    f"""WITH {sql.SENT}, x AS (SELECT doc_id AS doc, sent_no AS i, {_SETS} AS s FROM sent), y AS (SELECT doc_id AS doc, row_number() OVER (PARTITION BY doc_id ORDER BY sent_no) - 1 AS j, {_SETS} AS s FROM sent WHERE sent_no % 7 <> 3),
+na AS (SELECT doc, count(*) AS n FROM x GROUP BY doc), nb AS (SELECT doc, count(*) AS m FROM y GROUP BY doc),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc, s ORDER BY i) AS k, min(i) OVER (PARTITION BY doc, s) AS a FROM x WHERE len(s) > 0), r AS (SELECT *, row_number() OVER (PARTITION BY doc, s ORDER BY j) AS k, min(j) OVER (PARTITION BY doc, s) AS b FROM y WHERE len(s) > 0),
+lw AS (SELECT doc, a, len(s) AS p, unnest(s) AS w FROM l WHERE k = 1), rw AS (SELECT doc, b, len(s) AS q, unnest(s) AS w FROM r WHERE k = 1),
+sm AS (SELECT doc, a, b, count(*) / (any_value(p) + any_value(q) - count(*)) AS similarity FROM lw JOIN rw USING (doc, w) GROUP BY doc, a, b), sn AS (SELECT * FROM sm WHERE similarity >= 0.2),
+mu AS (SELECT * FROM sn QUALIFY similarity = max(similarity) OVER (PARTITION BY doc, a) AND similarity = max(similarity) OVER (PARTITION BY doc, b)),
+rs AS (SELECT mu.doc, i, j, similarity, abs(j - floor(i * m / n)) AS off FROM mu JOIN l ON l.doc = mu.doc AND l.a = mu.a JOIN r ON r.doc = mu.doc AND r.b = mu.b AND r.k = l.k JOIN na ON na.doc = mu.doc JOIN nb ON nb.doc = mu.doc)
+SELECT doc, i, j, similarity FROM rs QUALIFY row_number() OVER (PARTITION BY doc, i ORDER BY off, j) = 1 AND row_number() OVER (PARTITION BY doc, j ORDER BY off, i) = 1""",
+)
 def content_alignment(spark, sf_dir):
     """Sentences of each document against those of a copy without every seventh."""
     s = segment.explode_sentences(documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), "text")).withColumnRenamed("sent_no", "no")
@@ -79,7 +92,13 @@ def substitutions(spark, sf_dir):
     return R.positional_ops(edited(spark, sf_dir)).groupBy("from", "to").agg(F.count("*").alias("n"), F.min("id").alias("example"))
 
 
-@query("dif_03_mined")
+@query(
+    "dif_03_mined",
+    f"""WITH {_ED}, ru AS (SELECT id, i - row_number() OVER (PARTITION BY id ORDER BY i) AS k, i, "from" AS x, "to" AS y FROM df), rn AS (SELECT id, count(*) AS k, string_agg(x, ' ' ORDER BY i) AS x, string_agg(y, ' ' ORDER BY i) AS y FROM ru GROUP BY id, k),
+sn AS (SELECT id, sum(k) AS gone, count(*) AS ops FROM rn GROUP BY id), g AS (SELECT x, y, count(*) AS n, round(avg((2 * len(ta) - 2 * gone) / (2 * len(ta))), 6) AS mean_ratio, round(avg(CASE WHEN ops = 1 THEN 1 ELSE 0 END), 6) AS isolated FROM rn JOIN sn USING (id) JOIN ed USING (id) WHERE k <= 4 GROUP BY x, y),
+r AS (SELECT *, CASE WHEN ends_with(x, 'tion') AND ends_with(y, 'cio') AND left(x, -4) = left(y, -3) THEN 1 WHEN ends_with(x, 'ion') AND ends_with(y, 'io') AND left(x, -3) = left(y, -2) THEN 2 END AS rule FROM g)
+SELECT x AS "from", y AS "to", n, mean_ratio, isolated, rule, CASE WHEN x = 'the' AND y = 'le' THEN 'known' WHEN rule IS NOT NULL THEN 'rule' ELSE 'new' END AS kind FROM r""",
+)
 def mined(spark, sf_dir):
     subs = R.substitutions(R.diff_ops(edited(spark, sf_dir)))
     known = spark.createDataFrame([("the", "le")], "src string, dst string")

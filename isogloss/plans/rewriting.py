@@ -79,12 +79,6 @@ def job(spark, sf_dir):
     return W.first_proposal(t, ["lexicon", "suffix"])
 
 
-@query("rwt_13_elision")
-def elision(spark, sf_dir):
-    t = W.repair_elision(job(spark, sf_dir), "id", {"le": "l'", "de": "d'"})
-    return W.rewritten(t, "id").select("id", "text")
-
-
 @query("rwt_14_rewritten", f"WITH {_RW} SELECT id, string_agg(translated, '' ORDER BY i) AS text, count(rule) AS n_changed FROM rw GROUP BY id")
 def rewritten(spark, sf_dir):
     return W.rewritten(job(spark, sf_dir), "id").select("id", "text", "n_changed")
@@ -166,6 +160,15 @@ def verb_forms(spark, sf_dir):
 _AT = ", near AS (SELECT *, lead(translated, 1) OVER w AS n1, lower(lead(translated, 2) OVER w) AS n2, lead(translated, 3) OVER w AS n3, lead(rule, 2) OVER w AS r2, lead(rule, 4) OVER w AS r4, lead(translated, 2) OVER w AS t2 FROM rw WINDOW w AS (PARTITION BY id ORDER BY i))"
 
 
+@query(
+    "rwt_13_elision",
+    f"WITH {_RW}{_AT}, e AS (SELECT *, coalesce(r2 IS NOT NULL AND n1 = ' ' AND regexp_matches(n2, '^[aeiouàèéíòóúh]') AND lower(translated) IN ('le', 'de'), false) AS el, CASE lower(translated) WHEN 'le' THEN 'l' || chr(39) ELSE 'd' || chr(39) END AS p FROM near), g AS (SELECT *, coalesce(lag(el) OVER (PARTITION BY id ORDER BY i), false) AS gl FROM e) SELECT id, string_agg(CASE WHEN el THEN {_VCASE.format(w='translated', p='p')} WHEN gl THEN '' ELSE translated END, '' ORDER BY i) AS text FROM g GROUP BY id",
+)
+def elision(spark, sf_dir):
+    t = W.repair_elision(job(spark, sf_dir), "id", {"le": "l'", "de": "d'"})
+    return W.rewritten(t, "id").select("id", "text")
+
+
 @query("rwt_13_contraction", f"WITH {_RW}{_AT}, c AS (SELECT *, CASE lower(translated) WHEN 'in' THEN 'al' ELSE 'as' END AS p FROM near WHERE lower(translated) IN ('in', 'to') AND n1 = ' ' AND n2 = 'le' AND n3 = ' ' AND r4 IS NOT NULL) SELECT id, i, {_VCASE.format(w='translated', p='p')} AS put FROM c")
 def contraction(spark, sf_dir):
     t = W.contracted(job(spark, sf_dir), "id", [("in", "le", "al"), ("to", "le", "as")])

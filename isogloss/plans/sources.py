@@ -90,7 +90,7 @@ def page_links(spark, sf_dir):
     return R.page_links(table(spark, sf_dir, "pages"), "^https?://")
 
 
-@query("src_10_chapters")
+@query("src_10_chapters", rf"WITH c AS (SELECT page_id, unnest(p) AS part, generate_subscripts(p, 1) - 1 AS chapter FROM (SELECT page_id, regexp_split_to_array(html, '(?i)<p\b[^>]*>') AS p FROM pages)), t AS (SELECT page_id, chapter, {_visible('part')} AS text FROM c) SELECT page_id, chapter, text FROM t WHERE text <> ''")
 def chapters(spark, sf_dir):
     return R.page_chapters(table(spark, sf_dir, "pages"))
 

@@ -48,7 +48,19 @@ def pair_key(spark, sf_dir):
     return turn_pairs(spark, sf_dir).select("id", F.concat_ws("|", k["a"], k["b"]).alias("key"))
 
 
-@query("txt_12_repair_breaks")
+_BLANKS = r"[ \t\n\x0B\f\r]"
+_OUTER = f"'^{_BLANKS}+|{_BLANKS}+$', '', 'g'"
+
+
+@query(
+    "txt_12_repair_breaks",
+    rf"""WITH ln AS (SELECT doc_id, list_append([regexp_replace(x, {_OUTER}) FOR x IN regexp_split_to_array(regexp_replace(text, '^\[\d{{2}}/\d{{2}}/\d{{4}}\]{_BLANKS}*', ''), '\r\n|\r|\n')], '') AS l FROM documents),
+st AS (SELECT doc_id, [{{'out': []::VARCHAR[], 'line': x, 'n': 0}} FOR x IN l] AS s FROM ln),
+fd AS (SELECT doc_id, list_reduce(s, lambda a, x: CASE WHEN a.line <> '' AND x.line <> '' AND a.n < 5 AND (length(a.line) < 45 AND NOT regexp_matches(a.line, '[.?!:;"»]$') OR regexp_matches(x.line, '^[,:;.!?)»]'))
+THEN {{'out': a.out, 'line': a.line || CASE WHEN regexp_matches(x.line, '^[,:;.!?)»]') THEN '' ELSE ' ' END || x.line, 'n': a.n + 1}}
+ELSE {{'out': CASE WHEN a.line <> '' THEN list_append(a.out, a.line) WHEN len(a.out) > 0 AND a.out[-1] <> '' THEN list_append(a.out, '') ELSE a.out END, 'line': x.line, 'n': 0}} END, {{'out': []::VARCHAR[], 'line': '', 'n': 0}}).out AS o FROM st)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(array_to_string(o, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ([,:;.!?])', '\1', 'g'), {_OUTER}) AS text FROM fd""",
+)
 def repair_breaks(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.repair_breaks(F.col("text")).alias("text"))
 
@@ -160,7 +172,16 @@ def seg_wide(spark, sf_dir):
     return S.line_sentences(documents(spark, sf_dir).select("doc_id", "text"), between="\n\n")
 
 
-@query("seg_03_rejoined_sentences")
+_QUOTED = "regexp_replace(text, '([.!?…])[ \\t\\n\\x0B\\f\\r]+([A-ZÀÈÉÍÒÓÚÜÇ«\"''(‘“])', '\\1' || chr(1) || '\\2', 'g')"
+_ABBREVIATED = "(lower(regexp_extract(a[-1], '([A-Za-zÀ-ÿ]+)\\.?$', 1)) IN (" + ", ".join(sql.lit(a) for a in S.ABBREVIATIONS) + ") OR length(regexp_extract(a[-1], '([A-Za-zÀ-ÿ]+)\\.?$', 1)) <= 1 AND ends_with(a[-1], '.'))"
+
+
+@query(
+    "seg_03_rejoined_sentences",
+    f"""WITH {_LINES}, cut AS (SELECT doc_id, par_no, [[trim(x)] FOR x IN string_split({_QUOTED}, chr(1)) IF trim(x) <> ''] AS p FROM lines),
+joined AS (SELECT doc_id, par_no, list_reduce(p, lambda a, x: CASE WHEN {_ABBREVIATED} THEN list_append(a[1:len(a) - 1], a[-1] || ' ' || x[1]) ELSE list_concat(a, x) END) AS s FROM cut WHERE len(p) > 0)
+SELECT doc_id, par_no, unnest(s) AS text, generate_subscripts(s, 1) - 1 AS sent_no FROM joined""",
+)
 def seg_rejoined(spark, sf_dir):
     d = S.explode_paragraphs(documents(spark, sf_dir).select("doc_id", "text"))
     return d.select("doc_id", "par_no", F.posexplode(S.rejoined(S.sentences(F.col("text"), S.QUOTE_BREAK))).alias("sent_no", "text"))
