@@ -23,10 +23,15 @@ def exact(hyp: Column, ref: Column) -> Column:
 
 def word_edits(a: Column, b: Column) -> Column:
     """Levenshtein distance of blank-separated words: each distinct word of the pair becomes one character, of a million that there are beyond U+FFFF."""
-    ua, ub = _units(a), _units(b)
-    vocab = F.array_distinct(F.concat(ua, ub))
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(65535) + F.array_position(vocab, w)), 8, "0")), "UTF-32")
-    return F.levenshtein(F.array_join(F.transform(ua, code), ""), F.array_join(F.transform(ub, code), ""))
+
+    def edits(p: Column) -> Column:
+        code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(65535) + F.array_position(p["v"], w)), 8, "0")), "UTF-32")
+        text = lambda words: F.array_join(F.transform(words, code), "")
+        return F.when(p["a"] == p["b"], 0).otherwise(F.levenshtein(text(p["a"]), text(p["b"])))
+
+    # Words and vocabulary are bound to variables, else they would be made anew for every word.
+    units = F.transform(F.array(F.struct(_units(a).alias("a"), _units(b).alias("b"))), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.array_distinct(F.concat(p["a"], p["b"])).alias("v")))
+    return F.transform(units, edits)[0]
 
 
 def _overlap(df: DataFrame, key: str, hyp: Column, ref: Column) -> DataFrame:
