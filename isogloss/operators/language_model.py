@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, running_sums
 
 START, END = "<s>", "</s>"
 
@@ -162,6 +164,82 @@ def decided(candidates: DataFrame, by: list[str], lam: float, margin: float) ->
     return g.select(*by, "default", "best", (F.col("top") - F.col("base")).alias("gap")).withColumn("chosen", F.when(F.col("gap") > margin, F.col("best")).otherwise(F.col("default")))
 
 
+@dataclass(frozen=True)
+class Criteria:
+    """How ambiguous words are decided.
+
+    lam weighs the prior, by type of point or for all others. Scores are divided
+    by words if `mean`. The classifier decides where the best leads the second by
+    less than `tie` (None: never). What stands by default, the engine's candidate
+    or the word of the source ('engine', 'source'), gives way only to a lead of
+    more than `margin`. The part of speech decides first for the types in `veto`;
+    the model is asked for the types in `model` (None: all).
+    """
+
+    lam: float = 0.0
+    lams: dict[str, float] = field(default_factory=dict)
+    mean: bool = False
+    tie: float | None = None
+    margin: float = 0.0
+    default: str = "engine"
+    veto: tuple[str, ...] = ()
+    model: tuple[str, ...] | None = None
+
+
+def cascade(slots: DataFrame, candidates: DataFrame, by: list[str], criteria: Criteria) -> DataFrame:
+    """by, chosen, decided ('pos', 'engine', 'classifier', 'source' or 'model'), best, gap, lead of each slot.
+
+    slots: by, type, form, engine, reading (what the part of speech decides for,
+    or null), sense (the classifier's choice, or null). candidates: by,
+    candidate, logprob, words, prior. gap is what the best leads the second by,
+    lead what it leads the default by, without division by words. Of equal
+    scores the smaller candidate is the better. A slot without candidates keeps
+    the engine's; a classifier's choice that is no candidate doesn't count.
+    """
+    lam: Column = F.lit(criteria.lam)
+    for kind, x in criteria.lams.items():
+        lam = F.when(F.col("type") == kind, F.lit(x)).otherwise(lam)
+    raw = F.col("logprob") - lam * F.col("prior")
+    score = raw / F.greatest(F.col("words"), F.lit(1)) if criteria.mean else raw
+    c = candidates.join(slots.select(*by, "type"), by).select(*by, (-score).alias("cost"), "candidate", raw.alias("raw"))
+    # Candidates of one point are few: all of a slot lie in one small array, the best first.
+    found = c.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cost", "candidate", "raw"))).alias("c"))
+    s = slots.join(found, by, "left")
+    at = lambda name: F.filter("c", lambda x: x["candidate"].eqNullSafe(F.col(name)))
+    source = F.filter("c", lambda x: F.lower(x["candidate"]) == F.lower(F.col("form")))
+    none = F.lit(None).cast("string")
+    own = F.coalesce(F.when(F.col("engine").isNotNull(), F.try_element_at(source, F.lit(1))["candidate"]), none) if criteria.default == "source" else none
+    s = s.withColumn("best", F.col("c")[0]["candidate"]).withColumn("gap", F.try_element_at("c", F.lit(2))["cost"] - F.col("c")[0]["cost"])
+    s = s.withColumn("_own", own).withColumn("_default", F.coalesce("_own", "engine"))
+    s = s.withColumn("lead", F.col("c")[0]["raw"] - F.try_element_at(at("_default"), F.lit(1))["raw"])
+    asked = F.col("c").isNotNull() & (F.lit(True) if criteria.model is None else F.col("type").isin(*criteria.model))
+    tied = (F.col("gap") < F.lit(criteria.tie)) & (F.size(at("sense")) > 0) & F.col("sense").isNotNull() if criteria.tie is not None else F.lit(False)
+    kept = (F.size(at("_default")) > 0) & (F.col("best") != F.col("_default")) & (F.col("lead") <= criteria.margin)
+    stage = (
+        F.when(F.col("type").isin(*criteria.veto) & F.col("reading").isNotNull(), "pos").when(~asked, "engine").when(F.coalesce(tied, F.lit(False)), "classifier")
+        .when(F.coalesce(kept, F.lit(False)), F.when(F.col("_own").isNotNull(), "source").otherwise("engine")).otherwise("model")
+    )
+    chosen = {"pos": F.col("reading"), "classifier": F.col("sense"), "source": F.col("_default"), "model": F.col("best")}
+    pick: Column = F.col("engine")
+    for name, value in chosen.items():
+        pick = F.when(F.col("decided") == name, value).otherwise(pick)
+    return s.withColumn("decided", stage).withColumn("chosen", pick).select(*by, "chosen", "decided", "best", "gap", "lead")
+
+
+def reversed_words(text: Column) -> Column:
+    """The words of a text in reverse order, for a model that looks at what follows."""
+    return F.array_join(F.reverse(F.split(text, " ")), " ")
+
+
+def combined_scores(parts: dict[str, DataFrame], key: list[str], sums: dict[str, dict[str, float]]) -> DataFrame:
+    """key, a column for each part (tables with a column logprob), and weighted sums of them: a mean, a mix, or a difference where a weight is below 0."""
+    out = None
+    for name, df in parts.items():
+        part = df.select(*key, F.col("logprob").alias(name))
+        out = part if out is None else out.join(part, key)
+    return out.withColumns({total: sum((w * F.col(name) for name, w in weights.items()), F.lit(0.0)) for total, weights in sums.items()})
+
+
 def applied(tokens: DataFrame, key: str, choices: DataFrame) -> DataFrame:
     """key, text: tokens (key, w) with the choices (key, i, chosen) put in."""
     m = choices.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "chosen"))).alias("m"))
@@ -169,9 +247,46 @@ def applied(tokens: DataFrame, key: str, choices: DataFrame) -> DataFrame:
     return tokens.join(m, key, "left").select(key, F.array_join(F.when(F.col("m").isNull(), F.col("w")).otherwise(put), " ").alias("text"))
 
 
+def margin_sweep(candidates: DataFrame, by: list[str], settings: dict[str, dict[str, float]], expected: str = "expected", digits: int = 9) -> DataFrame:
+    """setting, margin, hits, serious of every margin at which a decision changes, for each setting (lam by type).
+
+    candidates: by, type, candidate, logprob, prior, is_default, and the
+    expected candidate of the slot. A default gives way to the best if the best
+    leads it by more than the margin. Serious: a default is given up for a wrong
+    candidate. Margins are leads themselves, rounded, and 0; nothing between two of them changes a decision.
+    Sums over all leads above a margin run through slices of a range sort.
+    """
+    rows = F.array(*[F.struct(F.lit(name).alias("setting"), F.coalesce(*[F.when(F.col("type") == t, F.lit(float(x))) for t, x in lams.items()], F.lit(0.0)).alias("lam")) for name, lams in settings.items()])
+    c = candidates.select("*", F.explode(rows).alias("s")).withColumn("score", F.col("logprob") - F.col("s.lam") * F.col("prior"))
+    slot = c.groupBy("s.setting", *by).agg(
+        F.min_by("candidate", F.struct(-F.col("score"), "candidate")).alias("best"), F.max("score").alias("top"),
+        F.max(F.when(F.col("is_default"), F.col("candidate"))).alias("default"), F.max(F.when(F.col("is_default"), F.col("score"))).alias("base"), F.max(expected).alias("want"),
+    )
+    is_ = lambda c: F.col(c).eqNullSafe(F.col("want"))
+    slot = slot.withColumn("lead", F.round(F.col("top") - F.col("base"), digits))
+    # What a slot adds where the default is kept, and by how much that changes where it is given up.
+    kept = is_("default").cast("int")
+    other = F.col("best") != F.col("default")
+    each = slot.groupBy("setting", F.greatest("lead", F.lit(0.0)).alias("margin")).agg(
+        F.sum(kept).alias("kept"), F.sum(F.when(other, is_("best").cast("int") - kept).otherwise(0)).alias("gain"), F.count_if(other & ~is_("best")).alias("wrong"),
+    )
+    zero = each.select("setting").distinct().select("setting", F.lit(0.0).alias("margin"), *[F.lit(0).cast("long").alias(n) for n in ("kept", "gain", "wrong")])
+    each = each.unionByName(zero).groupBy("setting", "margin").agg(*[F.sum(n).alias(n) for n in ("kept", "gain", "wrong")])
+    run = running_sums(each, ["setting"], [F.col("margin").desc()], {"gained": F.col("gain"), "serious": F.col("wrong")})
+    total = each.groupBy("setting").agg(F.sum("kept").alias("all_kept"))
+    run = run.join(total, "setting")
+    return run.select("setting", "margin", (F.col("all_kept") + F.col("gained") - F.col("gain")).alias("hits"), (F.col("serious") - F.col("wrong")).alias("serious"))
+
+
+def best_margins(sweep: DataFrame, most_serious: int, top: int = 1) -> DataFrame:
+    """The `top` rows of a sweep of each setting: most hits among margins with `most_serious` serious errors at most, then fewest of these, then the least margin."""
+    w = Window.partitionBy("setting").orderBy(F.desc("hits"), "serious", "margin")
+    return sweep.filter(F.col("serious") <= most_serious).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+
+
 def grid(decisions: DataFrame, parameters: DataFrame) -> DataFrame:
-    """margin, lam, hits, serious of decisions (default, best, expected, gap0, dprior) for each row of parameters; at most a few hundred of these."""
-    x = decisions.crossJoin(F.broadcast(parameters.limit(1000)))
+    """margin, lam, hits, serious of decisions (default, best, expected, gap0, dprior) for each row of parameters, a small table: each decision is taken once for each."""
+    x = decisions.crossJoin(parameters)
     chosen = F.when(F.col("gap0") - F.col("lam") * F.col("dprior") > F.col("margin"), F.col("best")).otherwise(F.col("default"))
     x = x.withColumn("chosen", chosen)
     return x.groupBy("margin", "lam").agg(F.count_if(F.col("chosen") == F.col("expected")).alias("hits"), F.count_if((F.col("chosen") != F.col("expected")) & (F.col("expected") == F.col("default"))).alias("serious"))
@@ -206,9 +321,14 @@ def bayes_logodds(slots: DataFrame, key: list[str], model: DataFrame, alpha: flo
 
 
 def informative(model: DataFrame, least: int = 20, top: int = 10, alpha: float = 0.5) -> DataFrame:
-    m = model.filter(F.col("n0") + F.col("n1") >= least).withColumn("odds", F.round(_odds(alpha), 6))
-    w = lambda o: F.row_number().over(Window.partitionBy("group").orderBy(o, "feature"))
-    return m.withColumn("a", w(F.desc("odds"))).withColumn("b", w(F.asc("odds"))).filter((F.col("a") <= top) | (F.col("b") <= top)).select("group", "feature", "odds")
+    """group, feature, odds of the `top` features of each class and group; each end is a window of its own, so that partial sorts keep only `top` rows before the shuffle."""
+    m = model.filter(F.col("n0") + F.col("n1") >= least).select("group", "feature", F.round(_odds(alpha), 6).alias("odds"))
+
+    def end(order: Column) -> DataFrame:
+        w = Window.partitionBy("group").orderBy(order, "feature")
+        return m.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top).drop("_r")
+
+    return end(F.desc("odds")).union(end(F.asc("odds"))).distinct()
 
 
 def balanced_accuracy(scored: DataFrame, *by: str) -> DataFrame:

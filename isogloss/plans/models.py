@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -114,25 +116,29 @@ def candidate_texts(spark, sf_dir):
 ORDER = 3
 
 
-def scored_candidates(spark, sf_dir):
+def scored_candidates(spark, sf_dir, points=POINTS):
     """Candidates of all ambiguous words with the model's score of the words that they change, and their own priors."""
     s = lm_sentences(spark, sf_dir)
-    points = spark.createDataFrame(POINTS, "form string, candidate string")
+    points = spark.createDataFrame(points, "form string, candidate string")
     c = M.scored_candidates(token_arrays(spark, sf_dir), points, ["id"], M.kneser_ney(s, "text", ORDER, ("model",)), ORDER, ("model",))
     n = M.ngram_counts(s, "text", 1, "model")
     total = n.groupBy("model").agg(F.sum("count").alias("total"))
     known = n.join(points.select(F.col("candidate").alias("gram")).distinct(), "gram", "left_semi").select("model", F.col("gram").alias("candidate"), "count")
     c = c.join(known, ["model", "candidate"], "left").join(total, "model")
-    return c.select("id", "i", "candidate", "words", "logprob", F.round(M.prior(F.coalesce("count", F.lit(0)), F.col("total")), 6).alias("prior"), (F.col("candidate") == F.col("form")).alias("is_default"))
+    return c.select("id", "i", "candidate", "form", "words", "logprob", F.round(M.prior(F.coalesce("count", F.lit(0)), F.col("total")), 6).alias("prior"), (F.col("candidate") == F.col("form")).alias("is_default"))
 
 
-_DEC = f"""{_LM}, {_model_sql(ORDER)}, p(form, candidate) AS (VALUES ('the', 'the'), ('the', 'thee'), ('of', 'of'), ('of', 'off')), x AS (SELECT id, model, w, unnest(w) AS form, generate_subscripts(w, 1) AS j FROM mk),
+def _decisions(points: list[tuple[str, str]]) -> str:
+    return f"""{_LM}, {_model_sql(ORDER)}, p(form, candidate) AS (VALUES {', '.join(map(str, points))}), x AS (SELECT id, model, w, unnest(w) AS form, generate_subscripts(w, 1) AS j FROM mk),
 cd AS (SELECT id, j - 2 AS i, model, form, candidate, list_concat(w[1:j - 1], [candidate], w[j + 1:]) AS w, j AS lo, least(j + {ORDER - 1}, len(w)) AS hi FROM x JOIN p USING (form)), {_score_sql(ORDER, 'cd', 'id, i, form, candidate')},
 tl AS (SELECT model, sum(count) AS total FROM ct WHERE n = 1 GROUP BY model),
-sc AS (SELECT id, i, candidate, words, logprob, prior, logprob - 0.5 * prior AS score, candidate = form AS d FROM (SELECT kp.*, round(ln((coalesce(ct.count, 0) + 1) / total), 6) AS prior FROM kp JOIN tl ON kp.model = tl.model LEFT JOIN ct ON ct.model = kp.model AND ct.n = 1 AND ct.gram = kp.candidate)),
+sc AS (SELECT id, i, candidate, form, words, logprob, prior, logprob - 0.5 * prior AS score, candidate = form AS d FROM (SELECT kp.*, round(ln((coalesce(ct.count, 0) + 1) / total), 6) AS prior FROM kp JOIN tl ON kp.model = tl.model LEFT JOIN ct ON ct.model = kp.model AND ct.n = 1 AND ct.gram = kp.candidate)),
 dg AS (SELECT id, i, arg_max(candidate, (score, candidate)) AS best, max(score) AS top, max(CASE WHEN d THEN candidate END) AS "default", max(CASE WHEN d THEN score END) AS base FROM sc GROUP BY id, i)"""
 
 
+_DEC = _decisions(POINTS)
+
+
 @query("lmd_06_decided", f'WITH {_DEC} SELECT id, i, "default", best, round(top - base, 6) AS gap, CASE WHEN top - base > 2 THEN best ELSE "default" END AS chosen FROM dg')
 def decided(spark, sf_dir):
     return M.decided(scored_candidates(spark, sf_dir), ["id", "i"], 0.5, 2.0).withColumn("gap", F.round("gap", 6))
@@ -160,10 +166,11 @@ def examples(spark, sf_dir):
     return s.select(F.col("model").alias("group"), "id", "i", F.when(F.col("form") == "the", 0).otherwise(1).alias("cls"), "features")
 
 
-_EX = f"""{_LM}, sl AS (SELECT id, model, t, unnest(t) AS form, generate_subscripts(t, 1) AS i FROM lm),
+_EXAMPLES = f"""sl AS (SELECT id, model, t, unnest(t) AS form, generate_subscripts(t, 1) AS i FROM lm),
 ft AS (SELECT id, model, i, CASE WHEN form = 'the' THEN 0 ELSE 1 END AS cls, list_concat(['L1=' || coalesce(CASE WHEN i > 1 THEN t[i - 1] END, '_'), 'L2=' || coalesce(CASE WHEN i > 2 THEN t[i - 2] END, '_'), 'R1=' || coalesce(t[i + 1], '_'), 'R2=' || coalesce(t[i + 2], '_'),
  'LL=' || coalesce(CASE WHEN i > 2 THEN t[i - 2] END, '_') || ' ' || coalesce(CASE WHEN i > 1 THEN t[i - 1] END, '_'), 'RR=' || coalesce(t[i + 1], '_') || ' ' || coalesce(t[i + 2], '_')], ['B=' || x FOR x IN list_distinct(list_concat(t[greatest(1, i - 8):i - 1], t[i + 1:i + 8]))]) AS f FROM sl WHERE form IN ('the', 'of')),
 fe AS (SELECT model, cls, unnest(f) AS feature FROM ft), md AS (SELECT model, feature, count(*) FILTER (WHERE cls = 0) AS n0, count(*) FILTER (WHERE cls = 1) AS n1 FROM fe GROUP BY model, feature HAVING count(*) >= 2), mt AS (SELECT model, sum(n0) AS t0, sum(n1) AS t1, count(*) AS v FROM md GROUP BY model)"""
+_EX = f"{_LM}, {_EXAMPLES}"
 
 
 @query("nbc_01_slot_features", f"WITH {_EX} SELECT id, i - 1 AS i, cls, len(f) AS n FROM ft")
@@ -242,14 +249,6 @@ def mixed_scores(spark, sf_dir):
     return M.mixed_scores([(c, 0.75), (other, 0.25)], ["id", "i", "candidate"]).withColumn("score", F.round("score", 9))
 
 
-@query("lmd_15_fusion", f"""WITH {_DEC}, cs AS (SELECT id % 2 AS grp, top - base AS gap, (id % 7 - 3)::DOUBLE AS o, id % 3 = 0 AS r FROM dg),
-fu AS (SELECT 'sum' AS rule, w AS value, grp, gap + w * o > 0 AS says, r FROM cs, (SELECT unnest([0.5, 1.0]) AS w) UNION ALL SELECT 'below', 2.0, grp, CASE WHEN abs(gap) < 2.0 THEN o > 0 ELSE gap > 0 END, r FROM cs) SELECT rule, value::DOUBLE AS value, grp, round(avg(CASE WHEN says = r THEN 1 ELSE 0 END), 6) AS accuracy FROM fu GROUP BY ALL""")
-def fusion(spark, sf_dir):
-    d = M.decided(scored_candidates(spark, sf_dir), ["id", "i"], 0.5, 2.0)
-    cases = d.select((F.col("id") % 2).alias("grp"), "gap", (F.col("id") % 7 - 3).cast("double").alias("logodds"), (F.col("id") % 3 == 0).alias("first_right"))
-    return M.fusion(cases, [0.5, 1.0], [2.0])
-
-
 @query("lmd_16_labelled_benchmark", f"WITH {_LM}, x AS (SELECT id, t, unnest(t) AS form, generate_subscripts(t, 1) AS i FROM lm) SELECT id, i - 1 AS i, array_to_string(list_concat(t[1:i - 1], ['thee'], t[i + 1:]), ' ') AS text FROM x WHERE form = 'the'")
 def labelled_benchmark(spark, sf_dir):
     points = spark.createDataFrame([("the", "thee")], "form string, candidate string")
@@ -276,3 +275,104 @@ def prior_swapped(spark, sf_dir):
 
     n = documents(spark, sf_dir).select(F.explode(T.tokens(F.col("text"))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
     return M.prior_swapped(scored_candidates(spark, sf_dir), n).select("id", "i", "candidate", F.round("prior", 6).alias("prior"))
+
+
+#: Two words that stand for each other: what the text has is right, so decisions can be judged.
+CONFUSED = [("the", "the"), ("the", "of"), ("of", "of"), ("of", "the")]
+_ODDS = f"{_EXAMPLES}, fl AS (SELECT id, model, i - 1 AS i, unnest(f) AS feature FROM ft), lo AS (SELECT id, i, round(sum(ln((n0 + 0.5) / (t0 + 0.5 * v)) - ln((n1 + 0.5) / (t1 + 0.5 * v))), 6) AS o FROM fl JOIN md USING (model, feature) JOIN mt USING (model) GROUP BY id, i)"
+_SLOTS = """st AS (SELECT id, j - 2 AS i, form, CASE WHEN j % 2 = 0 THEN 'collision' ELSE 'unresolvable' END AS type, CASE right(w[j + 1], 1) WHEN 's' THEN 'the' WHEN 't' THEN 'of' END AS reading FROM x WHERE form IN ('the', 'of'))"""
+
+
+def slots(spark, sf_dir):
+    """Slots of both words. The engine writes `the` everywhere; types go by place, and the part of speech is stood in for by the end of the next word."""
+    place = lambda x, i: F.struct(i.alias("i"), x.alias("form"), F.substring(F.try_element_at("w", i + 2), -1, 1).alias("end"))
+    s = token_arrays(spark, sf_dir).select("id", F.explode(F.filter(F.transform("w", place), lambda p: p["form"].isin("the", "of"))).alias("p")).select("id", "p.*")
+    return s.select(
+        "id", "i", "form", F.when(F.col("i") % 2 == 0, "collision").otherwise("unresolvable").alias("type"), F.lit("the").alias("engine"),
+        F.when(F.col("end") == "s", "the").when(F.col("end") == "t", "of").alias("reading"),
+    )
+
+
+def senses(spark, sf_dir):
+    """The classifier's log-odds and choice for each slot."""
+    e = examples(spark, sf_dir)
+    return M.bayes_choice(M.bayes_logodds(e, ["id", "i"], M.bayes_train(e)), F.lit("the"), F.lit("of")).withColumnRenamed("choice", "sense")
+
+
+@query(
+    "lmd_06_cascade",
+    f"""WITH {_decisions(CONFUSED)}, {_ODDS}, {_SLOTS},
+cv AS (SELECT id, i, st.type, reading, candidate, logprob - CASE st.type WHEN 'collision' THEN 0.25 ELSE 0.5 END * prior AS raw FROM sc JOIN st USING (id, i)),
+cw AS (SELECT *, row_number() OVER (PARTITION BY id, i ORDER BY raw DESC, candidate) AS r FROM cv),
+cx AS (SELECT id, i, any_value(type) AS type, any_value(reading) AS reading, max(CASE WHEN r = 1 THEN candidate END) AS best, max(CASE WHEN r = 1 THEN raw END) - max(CASE WHEN r = 2 THEN raw END) AS gap, max(CASE WHEN r = 1 THEN raw END) - max(CASE WHEN candidate = 'the' THEN raw END) AS lead FROM cw GROUP BY id, i),
+cy AS (SELECT cx.*, CASE WHEN o > 0 THEN 'the' WHEN o IS NOT NULL THEN 'of' END AS sense FROM cx LEFT JOIN lo USING (id, i)),
+cz AS (SELECT *, CASE WHEN type = 'unresolvable' AND reading IS NOT NULL THEN 'pos' WHEN gap < 1 AND sense IS NOT NULL THEN 'classifier' WHEN best <> 'the' AND lead <= 2 THEN 'engine' ELSE 'model' END AS decided FROM cy)
+SELECT id, i, decided, CASE decided WHEN 'pos' THEN reading WHEN 'classifier' THEN sense WHEN 'engine' THEN 'the' ELSE best END AS chosen, best, round(gap, 9) AS gap, round(lead, 9) AS lead FROM cz""",
+)
+def cascade(spark, sf_dir):
+    """Part of speech, model, classifier and default of all slots, each from its own model."""
+    s = slots(spark, sf_dir).join(senses(spark, sf_dir).select("id", "i", "sense"), ["id", "i"], "left")
+    criteria = M.Criteria(lam=0.5, lams={"collision": 0.25}, tie=1.0, margin=2.0, veto=("unresolvable",))
+    out = M.cascade(s, scored_candidates(spark, sf_dir, CONFUSED).drop("form"), ["id", "i"], criteria)
+    return out.withColumns({n: F.round(n, 9) for n in ("gap", "lead")})
+
+
+@query(
+    "lmd_11_sweep",
+    f"""WITH {_decisions(CONFUSED)}, sg(setting, l) AS (VALUES ('plain', 0.0), ('half', 0.5), ('whole', 1.0)),
+gs AS (SELECT setting, id, i, form, arg_max(candidate, (logprob - l * prior, CASE candidate WHEN 'of' THEN 1 ELSE 0 END)) AS best, round(max(logprob - l * prior) - max(CASE WHEN candidate = 'the' THEN logprob - l * prior END), 9) AS lead FROM sc, sg GROUP BY ALL),
+ge AS (SELECT setting, lead AS margin, count(*) FILTER (WHERE form = 'the') AS kept, sum(CASE WHEN best <> 'the' THEN (best = form)::INT - (form = 'the')::INT ELSE 0 END) AS gain, count(*) FILTER (WHERE best <> 'the' AND best <> form) AS wrong FROM gs GROUP BY ALL UNION ALL SELECT setting, 0.0, 0, 0, 0 FROM sg),
+gm AS (SELECT setting, margin, sum(kept) AS kept, sum(gain) AS gain, sum(wrong) AS wrong FROM ge GROUP BY ALL),
+gr AS (SELECT setting, margin, (sum(kept) OVER (PARTITION BY setting) + coalesce(sum(gain) OVER w, 0))::BIGINT AS hits, coalesce(sum(wrong) OVER w, 0)::BIGINT AS serious FROM gm WINDOW w AS (PARTITION BY setting ORDER BY margin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT setting, margin, hits, serious, (row_number() OVER (PARTITION BY setting ORDER BY hits DESC, serious, margin))::INT AS rank FROM gr WHERE serious <= 100 QUALIFY rank <= 3""",
+)
+def sweep(spark, sf_dir):
+    """The three best margins of each weight of the prior, with a hundred serious errors at most; the engine writes `the`, and the text is right."""
+    c = scored_candidates(spark, sf_dir, CONFUSED).select("id", "i", "candidate", "logprob", "prior", F.lit("all").alias("type"), (F.col("candidate") == "the").alias("is_default"), F.col("form").alias("expected"))
+    found = M.margin_sweep(c, ["id", "i"], {"plain": {"all": 0.0}, "half": {"all": 0.5}, "whole": {"all": 1.0}})
+    return M.best_margins(found, 100, 3)
+
+
+def _renamed(text: str, mark: str) -> str:
+    """SQL of a model or its scores with tables of its own."""
+    return re.sub(r"\b(k[grbctskhp0-3]|mk|cd)\b", rf"\g<1>{mark}", text)
+
+
+def _candidates_of(mark: str, place: str) -> str:
+    rows = f"cd AS (SELECT id, {place} AS i, model, form, candidate, list_concat(w[1:j - 1], [candidate], w[j + 1:]) AS w, j AS lo, least(j + {ORDER - 1}, len(w)) AS hi FROM (SELECT id, model, w, unnest(w) AS form, generate_subscripts(w, 1) AS j FROM mk) JOIN p USING (form))"
+    return _renamed(f"{_model_sql(ORDER)}, {rows}, {_score_sql(ORDER, 'cd', 'id, i, form, candidate')}", mark)
+
+
+@query(
+    "lmd_14_combined",
+    f"""WITH {_decisions(CONFUSED)}, mkb AS (SELECT id, model, list_concat(['<s>'], list_reverse(t), ['</s>']) AS w FROM lm), {_candidates_of('b', 'len(w) - 1 - j')},
+mka AS (SELECT id, 0 AS model, w FROM mk), {_candidates_of('a', 'j - 2')}
+SELECT id, i, candidate, f.logprob AS forward, b.logprob AS backward, a.logprob AS general, round((f.logprob + b.logprob) / 2, 9) AS bidirectional, round(f.logprob + 0.5 * a.logprob, 9) AS mixed, round(f.logprob - a.logprob, 9) AS difference
+FROM kp f JOIN kpb b USING (id, i, candidate) JOIN kpa a USING (id, i, candidate)""",
+)
+def combined(spark, sf_dir):
+    """Candidates under models of what stands before and of what stands after, and under one of all languages: their mean, a mix, and a difference."""
+    s, w = lm_sentences(spark, sf_dir), token_arrays(spark, sf_dir)
+    points = spark.createDataFrame(CONFUSED, "form string, candidate string")
+    forward = M.scored_candidates(w, points, ["id"], M.kneser_ney(s, "text", ORDER, ("model",)), ORDER, ("model",))
+    # Places are counted from the other end there.
+    turned = w.select("id", "model", F.reverse("w").alias("w"), F.size("w").alias("length"))
+    backward = M.scored_candidates(turned, points, ["id", "length"], M.kneser_ney(s.withColumn("text", M.reversed_words(F.col("text"))), "text", ORDER, ("model",)), ORDER, ("model",))
+    backward = backward.withColumn("i", F.col("length") - 1 - F.col("i"))
+    general = M.scored_candidates(w.drop("model"), points, ["id"], M.kneser_ney(s.drop("model"), "text", ORDER), ORDER)
+    sums = {"bidirectional": {"forward": 0.5, "backward": 0.5}, "mixed": {"forward": 1.0, "general": 0.5}, "difference": {"forward": 1.0, "general": -1.0}}
+    out = M.combined_scores({"forward": forward, "backward": backward, "general": general}, ["id", "i", "candidate"], sums)
+    return out.withColumns({n: F.round(n, 9) for n in sums})
+
+
+@query(
+    "lmd_15_fusion",
+    f"""WITH {_decisions(CONFUSED)}, {_ODDS}, cs AS (SELECT id % 2 AS grp, max(CASE WHEN candidate = 'the' THEN score END) - max(CASE WHEN candidate = 'of' THEN score END) AS gap, any_value(o) AS o, any_value(sc.form) = 'the' AS r FROM sc JOIN lo USING (id, i) GROUP BY id, i),
+fu AS (SELECT 'sum' AS rule, w AS value, grp, gap + w * o > 0 AS says, r FROM cs, (SELECT unnest([0.5, 1.0]) AS w) UNION ALL SELECT 'below', 2.0, grp, CASE WHEN abs(gap) < 2.0 THEN o > 0 ELSE gap > 0 END, r FROM cs) SELECT rule, value::DOUBLE AS value, grp, round(avg(CASE WHEN says = r THEN 1 ELSE 0 END), 6) AS accuracy FROM fu GROUP BY ALL""",
+)
+def fusion(spark, sf_dir):
+    """The model's gap and the classifier's log-odds of all slots, in two groups by sentence."""
+    c = scored_candidates(spark, sf_dir, CONFUSED).withColumn("score", F.col("logprob") - 0.5 * F.col("prior"))
+    of = lambda word: F.max(F.when(F.col("candidate") == word, F.col("score")))
+    cases = c.groupBy("id", "i").agg((of("the") - of("of")).alias("gap"), F.max("form").alias("form")).join(senses(spark, sf_dir), ["id", "i"])
+    return M.fusion(cases.select((F.col("id") % 2).alias("grp"), "gap", "logodds", (F.col("form") == "the").alias("first_right")), [0.5, 1.0], [2.0])
