@@ -7,6 +7,8 @@ original surface. Neighbour repairs run as later passes over the result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,16 +25,23 @@ def is_word(c: Column) -> Column:
     return c.rlike(r"^[\p{L}\p{M}·]")
 
 
-def by_lookup(tokens: DataFrame, lexicon: DataFrame, name: str) -> DataFrame:
-    """tokens with proposal `name` from lexicon (form, put): by the word, else by the part after an elided prefix; case kept."""
+def by_lookup(tokens: DataFrame, lexicon: DataFrame, name: str, pos: str | None = None) -> DataFrame:
+    """tokens with proposal `name` from lexicon (form, put): by the word, else by the part after an elided prefix; case kept.
+
+    If the lexicon has readings (parts of speech, null for any) and pos names a
+    column, a homograph gives way unless the token's part of speech is one of
+    them or not known.
+    """
+    gate = pos is not None and "readings" in lexicon.columns
     prefix, rest = T.elided(F.col("surface"))
     t = tokens.withColumn("_w", F.lower("surface")).withColumn("_p", prefix).withColumn("_r", F.lower(rest))
-    whole = lexicon.select(F.col("form").alias("_w"), F.col("put").alias("_put"))
-    part = lexicon.select(F.col("form").alias("_r"), F.col("put").alias("_part"))
-    j = t.join(whole, "_w", "left").join(part, "_r", "left")
+    side = lambda of, put, read: lexicon.select(F.col("form").alias(of), F.col("put").alias(put), *([F.col("readings").alias(read)] if gate else []))
+    j = t.join(side("_w", "_put", "_read"), "_w", "left").join(side("_r", "_part", "_part_read"), "_r", "left")
+    free = lambda read: F.col(read).isNull() | F.col(pos).isNull() | F.array_contains(read, F.col(pos)) if gate else F.lit(True)
     mark = F.substring(F.col("surface"), F.length("_p") + 1, F.lit(1))
-    proposal = F.when(F.col("_put").isNotNull(), T.keep_case(F.col("surface"), F.col("_put"))).when((F.col("_p") != "") & F.col("_part").isNotNull(), F.concat("_p", mark, F.col("_part")))
-    return j.withColumn(name, proposal).drop("_w", "_p", "_r", "_put", "_part")
+    whole, part = F.col("_put").isNotNull(), (F.col("_p") != "") & F.col("_part").isNotNull()
+    proposal = F.when(whole, F.when(free("_read"), T.keep_case(F.col("surface"), F.col("_put")))).when(part & free("_part_read"), F.concat("_p", mark, F.col("_part")))
+    return j.withColumn(name, proposal).drop("_w", "_p", "_r", "_put", "_part", "_read", "_part_read")
 
 
 # Enclitics after a consonant or u, and after another vowel.
@@ -84,7 +93,7 @@ def by_suffix(tokens: DataFrame, rules: list[tuple[str, str]], name: str, except
     free = is_word(w) & (F.upper(w) != w) & ~F.lower(w).isin(list(exceptions))
     out: Column = F.lit(None).cast("string")
     for suffix, put in reversed(rules):
-        out = F.when(w.endswith(suffix), F.regexp_replace(w, f"{suffix}$", put)).otherwise(out)
+        out = F.when(w.endswith(suffix), F.concat(F.substring(w, F.lit(1), F.length(w) - len(suffix)), F.lit(put))).otherwise(out)
     return tokens.withColumn(name, F.when(free, out))
 
 
@@ -117,10 +126,10 @@ def repair_elision(tokens: DataFrame, key: str, articles: dict[str, str], vowel:
 
 
 def phrase_substitution(texts: DataFrame, key: str, phrases: list[tuple[str, str]], text: str = "text") -> DataFrame:
-    """Two- and three-word phrases become one, longest first, in a fold over the rules."""
+    """A few phrases become one word each, longest first, one after another; a table of any size is for edits.by_phrase."""
     out: Column = F.col(text)
     for phrase, put in sorted(phrases, key=lambda p: (-len(p[0].split()), p[0])):
-        out = F.regexp_replace(out, rf"(?<![\p{{L}}]){phrase}(?![\p{{L}}])", put)
+        out = F.regexp_replace(out, rf"(?<![\p{{L}}])\Q{phrase}\E(?![\p{{L}}])", re.sub(r"([\\$])", r"\\\1", put))
     return texts.withColumn(text, out)
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import edits as D
 from ..operators import rewrite as W
+from ..operators.cleaning import ordered_text
 from . import sql
 from .common import sentences
 from .registry import query
@@ -195,3 +197,93 @@ def phrase_agreement(spark, sf_dir):
     end = F.substring("form", -1, 1)
     m = learned(spark, sf_dir).filter((F.length("form") > 2) & end.isin("s", "d")).select("form", F.expr("left(form, length(form) - 1)").alias("lemma"), F.lit("adj").alias("cat"), F.when(end == "s", "m").otherwise("f").alias("gender"), F.lit("sg").alias("number"))
     return W.phrase_agreed(t, "id", m).filter("translated <> old").select("id", "i", F.col("translated").alias("put"))
+
+
+def learned_phrases(spark, sf_dir):
+    """Phrases of two to four words that the corpus has three times or more. What stands for one joins its ends; every third length fits nouns only."""
+    t = sentences(spark, sf_dir).select(T.tokens(F.col("text")).alias("t"))
+    grams = t.select(F.explode(T.ngrams(F.col("t"), 4, 2)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).filter("n >= 3")
+    ends = F.concat(F.substring_index("phrase", " ", 1), F.lit("_"), F.substring_index("phrase", " ", -1))
+    return grams.select("phrase", ends.alias("put"), F.when(F.length("phrase") % 3 == 0, F.array(F.lit("NOUN"))).alias("readings"))
+
+
+def tagged(spark, sf_dir):
+    """Tokens with a part of speech stood in for by their end."""
+    end = F.lower(F.substring("surface", -1, 1))
+    return tokens(spark, sf_dir).withColumn("pos", F.when(end == "s", "NOUN").when(end == "e", "VERB"))
+
+
+_POS = "CASE lower(right(surface, 1)) WHEN 's' THEN 'NOUN' WHEN 'e' THEN 'VERB' END"
+_PHRASED = f"""{_TK}, pg AS (SELECT unnest([array_to_string(t[k:k + n - 1], ' ') FOR k IN range(1, len(t) - n + 2)]) AS phrase FROM (SELECT {sql.tokens('text')} AS t FROM sent), (SELECT unnest([2, 3, 4]) AS n)),
+pl AS (SELECT phrase, string_split(phrase, ' ')[1] || '_' || string_split(phrase, ' ')[-1] AS put, length(phrase) % 3 = 0 AS noun FROM pg GROUP BY phrase HAVING count(*) >= 3),
+sd AS (SELECT id, list({{'i': i, 'w': lower(surface), 'pos': {_POS}}} ORDER BY i) AS s FROM tk WHERE NOT regexp_matches(surface, '^\\s+$') GROUP BY id),
+pp AS (SELECT id, n, s[k].i AS i, s[k].pos AS pos, array_to_string([x.w FOR x IN s[k:k + n - 1]], ' ') AS phrase, s[k + n - 1].i AS last FROM (SELECT id, s, unnest(range(1, len(s) + 1)) AS k FROM sd), (SELECT unnest([2, 3, 4]) AS n) WHERE k + n - 1 <= len(s)),
+ht AS (SELECT pp.*, put FROM pp JOIN pl USING (phrase) WHERE NOT noun OR pos IS NULL OR pos = 'NOUN' QUALIFY row_number() OVER (PARTITION BY id, i ORDER BY n DESC) = 1),
+hl AS (SELECT id, list({{'i': i, 'last': last, 'kept': []::BIGINT[]}} ORDER BY i) AS s FROM ht GROUP BY id),
+kt AS (SELECT id, unnest(list_reduce(s, lambda a, x: CASE WHEN x.i > a.last THEN {{'i': x.i, 'last': x.last, 'kept': list_append(a.kept, x.i)}} ELSE a END, {{'i': -1, 'last': -1, 'kept': []::BIGINT[]}}).kept) AS i FROM hl),
+cv AS (SELECT id, i AS first, last, put FROM ht JOIN kt USING (id, i)),
+ph AS (SELECT tk.id, tk.i, surface, CASE WHEN first IS NULL THEN NULL WHEN tk.i = first THEN replace({_CASE.format(p='put')}, 'ẞ', 'SS') ELSE '' END AS phrase FROM tk LEFT JOIN cv ON cv.id = tk.id AND tk.i BETWEEN first AND last)"""
+
+
+@query("rwt_02_phrase_trie", f"WITH {_PHRASED} SELECT id, string_agg(coalesce(phrase, surface), '' ORDER BY i) AS text, count(phrase) AS n_taken FROM ph GROUP BY id")
+def phrase_trie(spark, sf_dir):
+    """All sentences against phrases learned from all of them."""
+    t = D.by_phrase(tagged(spark, sf_dir), "id", learned_phrases(spark, sf_dir), "phrase", "pos")
+    t = t.withColumn("translated", F.coalesce("phrase", "surface")).withColumn("rule", F.when(F.col("phrase").isNotNull(), "phrase"))
+    return W.rewritten(t, "id").select("id", "text", F.col("n_changed").alias("n_taken"))
+
+
+@query("rwt_01_gated", f"WITH {_TK}, {_LX}, use AS (SELECT form, put FROM lx), {_LOOKED}, gt AS (SELECT id, i, surface, put, {_POS} AS pos, CASE WHEN lk.wp IS NOT NULL THEN lower(surface) ELSE lower({_ELID.format(2)}) END AS hit FROM ps JOIN lk USING (id, i, surface)) SELECT id, i, put FROM gt WHERE length(hit) % 2 = 1 OR pos IS NULL OR pos = 'NOUN'")
+def gated(spark, sf_dir):
+    """A lexicon of the corpus's size, in which forms of an even length are homographs that stand for nouns only."""
+    lexicon_ = learned(spark, sf_dir).withColumn("readings", F.when(F.length("form") % 2 == 0, F.array(F.lit("NOUN"))))
+    return W.by_lookup(tagged(spark, sf_dir), lexicon_, "put", pos="pos").filter("put is not null").select("id", "i", "put")
+
+
+_SOLID = _TK + ", sl AS (SELECT *, lead(surface) OVER w AS nx, lead(i) OVER w AS ni, lag(surface) OVER w AS pv, lag(i) OVER w AS pi FROM tk WHERE NOT regexp_matches(surface, '^\\s+$') WINDOW w AS (PARTITION BY id ORDER BY i))"
+_BARE = f"CASE WHEN regexp_extract(r, {sql.lit(T.ENCLITIC)}, 1) <> '' THEN regexp_extract(r, {sql.lit(T.ENCLITIC)}, 1) ELSE r END"
+
+
+@query(
+    "rwt_10_inserted",
+    f"WITH {_SOLID}, bn AS (SELECT *, CASE WHEN regexp_extract(nx, {sql.lit(T.ELIDED)}, 2) <> '' THEN regexp_extract(nx, {sql.lit(T.ELIDED)}, 2) ELSE nx END AS r FROM sl WHERE lower(surface) = 'of' AND ends_with(nx, 'ing')), ia AS (SELECT id, i FROM bn WHERE lower({_BARE}) NOT IN ('oning')) SELECT id, string_agg(CASE WHEN ia.yes IS NULL THEN surface ELSE surface || ' a' END, '' ORDER BY tk.i) AS text FROM tk LEFT JOIN (SELECT id, i, true AS yes FROM ia) ia USING (id, i) GROUP BY id",
+)
+def inserted(spark, sf_dir):
+    """A word is inserted after `of` before infinitives, stood in for by words in -ing; `oning` is the auxiliary."""
+    t = tokens(spark, sf_dir).withColumn("verb_form", F.when(F.col("surface").endswith("ing"), "Inf"))
+    out = D.edited(t.select("id", "i", "surface"), "id", D.insertions_before_infinitives(t, "id", "of", "a", ["oning"]))
+    return ordered_text(out, "id", "i", "surface", "").withColumnRenamed("surface", "text")
+
+
+@query(
+    "rwt_11_deleted",
+    f"WITH {_SOLID}, dl AS (SELECT id, i, ni, CASE WHEN lower(surface) <> 'of' THEN regexp_extract(surface, {sql.lit(T.ELIDED)}, 1) || substr(surface, 2, 1) END AS lead FROM sl WHERE lower(nx) = 'the' AND (lower(surface) = 'of' OR lower(regexp_extract(surface, {sql.lit(T.ELIDED)}, 2)) = 'of')) SELECT tk.id, string_agg(CASE WHEN a.i IS NOT NULL OR b.i IS NOT NULL THEN '' WHEN c.lead IS NOT NULL THEN c.lead || surface ELSE surface END, '' ORDER BY tk.i) AS text FROM tk LEFT JOIN dl a ON a.id = tk.id AND a.i = tk.i LEFT JOIN dl b ON b.id = tk.id AND b.i + 1 = tk.i AND regexp_matches(surface, '^\\s+$') LEFT JOIN dl c ON c.id = tk.id AND c.ni = tk.i GROUP BY tk.id",
+)
+def deleted(spark, sf_dir):
+    """`of` goes before `the`, with its blank."""
+    t = tokens(spark, sf_dir)
+    return ordered_text(D.edited(t, "id", D.deletions_before(t, "id", "of", "the")), "id", "i", "surface", "").withColumnRenamed("surface", "text")
+
+
+CLUSTERS = [("dative", "of", None, None, "pending"), ("pending", "the", None, "the", "hi"), ("pending", "in", None, "hi", "no"), ("start", "and", None, "i", None), ("tail", "ing", True, "'nt", None), ("tail", "ing", False, "-ant", None)]
+
+
+@query(
+    "rwt_12_clusters",
+    f"WITH {_SOLID}, cp AS (SELECT id, i, surface, CASE WHEN lower(surface) = 'of' AND lower(nx) = 'the' THEN {_CASE.format(p=sql.lit('the'))} WHEN lower(surface) = 'of' AND lower(nx) = 'in' THEN {_CASE.format(p=sql.lit('hi'))} WHEN lower(pv) = 'of' AND lower(surface) = 'the' THEN 'hi' WHEN lower(pv) = 'of' AND lower(surface) = 'in' THEN 'no' WHEN lower(surface) = 'and' THEN {_CASE.format(p=sql.lit('i'))} WHEN ends_with(lower(surface), 'ing') AND length(surface) > 3 THEN left(surface, -3) || CASE WHEN regexp_matches(lower(left(surface, -3)), '[aeiouàèéíòóú]$') THEN chr(39) || 'nt' ELSE '-ant' END END AS put FROM sl) SELECT id, i, put FROM cp WHERE put IS NOT NULL",
+)
+def clusters(spark, sf_dir):
+    """Clusters of a table: `of` waits for `the` or `in`, `and` is one by itself, and words in -ing end in one."""
+    rules = spark.createDataFrame(CLUSTERS, "state string, sees string, vowel boolean, put string, next string")
+    return D.by_cluster(tokens(spark, sf_dir), "id", rules, "put").filter("put is not null").select("id", "i", "put")
+
+
+@query(
+    "rwt_08_infinitives",
+    f"WITH {_TK}, {_LX}, wd AS (SELECT id, i, surface AS stem, surface || 'eix' AS surface FROM tk WHERE regexp_matches(surface, '^[\\p{{L}}\\p{{M}}·]+$')) SELECT id, i, surface, stem || CASE WHEN upper(stem || 'eix') = stem || 'eix' THEN 'IX' WHEN regexp_matches(lower(stem), '[aeiouàèéíòóúïü]$') AND NOT regexp_matches(lower(stem), '[gq]u$') THEN 'ïx' ELSE 'ix' END AS put FROM wd JOIN lx ON form = lower(stem) WHERE det",
+)
+def infinitives(spark, sf_dir):
+    """Inchoative forms are made of all words, as the tables hold none, and infinitives of a lexicon of the corpus's size."""
+    t = tokens(spark, sf_dir).filter(F.col("surface").rlike(r"^[\p{L}\p{M}·]+$")).withColumn("surface", F.concat("surface", F.lit("eix")))
+    verbs = learned(spark, sf_dir).filter("det").select(F.concat("form", F.lit("ir")).alias("form"))
+    return D.by_infinitive(t, verbs, "put").filter("put is not null").select("id", "i", "surface", "put")
