@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import agreement as A
 from ..operators import edits as D
 from ..operators import rewrite as W
 from ..operators.cleaning import ordered_text
@@ -287,3 +288,46 @@ def infinitives(spark, sf_dir):
     t = tokens(spark, sf_dir).filter(F.col("surface").rlike(r"^[\p{L}\p{M}·]+$")).withColumn("surface", F.concat("surface", F.lit("eix")))
     verbs = learned(spark, sf_dir).filter("det").select(F.concat("form", F.lit("ir")).alias("form"))
     return D.by_infinitive(t, verbs, "put").filter("put is not null").select("id", "i", "surface", "put")
+
+
+def parsed(spark, sf_dir):
+    """The rewritten tokens with a parse that is stood in for: each word hangs on the one before it, by a relation that its length tells."""
+    words = Window.partitionBy("id", W.is_word(F.col("surface"))).orderBy("i")
+    n = F.length("surface") % 5
+    dep = F.when(n == 0, "amod").when(n == 1, "nsubj").when(n == 2, "acl").when(n == 3, "obj").otherwise("conj")
+    t = job(spark, sf_dir).withColumn("is_word", W.is_word(F.col("surface"))).withColumn("head", F.when(F.col("is_word"), F.lag("i").over(words)))
+    return t.withColumns({
+        "dep": F.when(F.col("is_word"), dep), "agrees": F.col("is_word") & (n != 3) & F.col("rule").isNull(), "participle": F.col("is_word") & (n == 2), "lemma": F.lower("surface"), "relative": F.lit(False),
+        "gender": F.when(F.col("i") % 4 < 2, "f").otherwise("m"), "old": F.col("translated"),
+    }).drop("is_word")
+
+
+@query(
+    "rwt_13_controlled",
+    f"""WITH RECURSIVE {_RW}, {_LX}, ad AS (SELECT form, left(form, -1) AS lemma, CASE right(form, 1) WHEN 's' THEN 'm' ELSE 'f' END AS g FROM lx WHERE length(form) > 2 AND right(form, 1) IN ('s', 'd')), tn AS (SELECT a.form, b.g AS wanted, b.form AS p FROM ad a JOIN ad b USING (lemma) WHERE a.g <> b.g),
+wd AS (SELECT *, length(surface) % 5 AS n, lag(i) OVER w AS hi, lead(i) OVER w AS ci, lead(length(surface) % 5) OVER w AS cn FROM rw WHERE regexp_matches(surface, '^[\\p{{L}}\\p{{M}}·]') WINDOW w AS (PARTITION BY id ORDER BY i)),
+st AS (SELECT id, i, n <> 3 AND rule IS NULL AS agrees, CASE WHEN n = 3 OR rule IS NOT NULL THEN NULL WHEN n = 2 AND cn = 3 THEN NULL WHEN cn = 1 THEN ci WHEN n IN (0, 2, 4) THEN hi END AS nx FROM wd),
+re(id, i, tt, k) AS (SELECT id, i, nx, 1 FROM st WHERE nx IS NOT NULL UNION ALL SELECT re.id, re.i, st.nx, k + 1 FROM re JOIN st ON st.id = re.id AND st.i = re.tt WHERE st.nx IS NOT NULL AND k < 1000),
+en AS (SELECT re.id, re.i, re.tt FROM re JOIN st ON st.id = re.id AND st.i = re.tt WHERE st.nx IS NULL AND NOT st.agrees)
+SELECT id, wd.i, {_VCASE.format(w='wd.translated', p='p')} AS put FROM en JOIN wd USING (id, i) JOIN rw h ON h.id = en.id AND h.i = en.tt JOIN tn ON tn.form = lower(wd.translated) WHERE wd.rule IS NULL AND h.rule IS NOT NULL AND tn.wanted = CASE WHEN en.tt % 4 < 2 THEN 'f' ELSE 'm' END""".replace("SELECT id, wd.i", "SELECT en.id, wd.i"),
+)
+def controlled(spark, sf_dir):
+    """Agreement over paths of any length, with a lexicon of forms of the corpus's size."""
+    end = F.substring("form", -1, 1)
+    m = learned(spark, sf_dir).filter((F.length("form") > 2) & end.isin("s", "d")).select("form", F.expr("left(form, length(form) - 1)").alias("lemma"), F.lit("adj").alias("cat"), F.when(end == "s", "m").otherwise("f").alias("gender"), F.lit("sg").alias("number"))
+    return A.path_agreed(parsed(spark, sf_dir), "id", m).filter("translated <> old").select("id", "i", F.col("translated").alias("put"))
+
+
+@query(
+    "rwt_13_undone",
+    f"""WITH {_RW}, un AS (SELECT *, regexp_extract(translated, {sql.lit(T.ELIDED)}, 1) AS p, regexp_extract(translated, {sql.lit(T.ELIDED)}, 2) AS r FROM (SELECT id, i, CASE WHEN rule = 'suffix' AND i % 2 = 0 THEN 'd' || chr(39) || translated ELSE translated END AS translated, rule FROM rw)),
+uf AS (SELECT id, i, rule, CASE WHEN rule IS NOT NULL AND lower(p) = 'd' AND NOT regexp_matches(lower(r), '^h?[aeiouàèéíòóúïü]') THEN CASE WHEN regexp_matches(r, '^\\P{{Ll}}*$') AND length(r) > 1 THEN 'DE' ELSE 'de' END || ' ' || r ELSE translated END AS translated FROM un),
+uo AS (SELECT *, coalesce(lower(translated) = 'in' AND lead(translated) OVER w = ' ' AND lead(rule, 2) OVER w IS NOT NULL AND regexp_matches(lower(lead(translated, 2) OVER w), '^h?[aeiouàèéíòóúïü]'), false) AS op FROM uf WINDOW w AS (PARTITION BY id ORDER BY i)),
+ug AS (SELECT *, coalesce(lag(op) OVER (PARTITION BY id ORDER BY i), false) AS gone FROM uo)
+SELECT id, string_agg(CASE WHEN op THEN {_VCASE.format(w='translated', p=sql.lit("i n'"))} WHEN gone THEN '' ELSE translated END, '' ORDER BY i) AS text FROM ug GROUP BY id""",
+)
+def undone(spark, sf_dir):
+    """Rewritten words of every second place get an elided article first, as the tables hold few."""
+    t = job(spark, sf_dir)
+    t = t.withColumn("translated", F.when((F.col("rule") == "suffix") & (F.col("i") % 2 == 0), F.concat(F.lit("d'"), "translated")).otherwise(F.col("translated"))).withColumn("gender", F.lit(None).cast("string"))
+    return W.rewritten(A.undone_elision(t, "id", {"d": "de"}, {"in": "i n'"}), "id").select("id", "text")
