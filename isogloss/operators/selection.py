@@ -97,14 +97,15 @@ def zero_filled(forms: DataFrame, counts: DataFrame) -> DataFrame:
     return forms.join(counts, "form", "left").select("form", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def coverage(pool: DataFrame, key: str, labels: str, n: int, quota: int, rounds: int = 8, pairs: str | None = None, per_pair: int = 3, caps: dict[str, int] | None = None) -> DataFrame:
+def coverage(pool: DataFrame, key: str, labels: str, n: int, quota: int, pairs: str | None = None, per_pair: int = 3, caps: dict[str, int] | None = None) -> DataFrame:
     """n rows of a pool that cover labels up to a quota, chosen in rounds.
 
     A row scores 10 / sqrt(frequency) for each of its labels that is still below
     quota, and one for each of its pairs (an array column, if given) that nothing
     chosen has. In each round the rows of largest score (ties by key) fill half
-    of what each label lacks; once none lacks, and there are pairs, scores alone
-    decide. A row goes when all of its pairs were chosen per_pair times, or when
+    of what each label lacks, so that a quota takes some log2(quota) rounds;
+    rounds go on until no label lacks anything, no row is left, or n are chosen.
+    Once none lacks, and there are pairs, scores alone decide. A row goes when all of its pairs were chosen per_pair times, or when
     one of its caps (column: most rows of a value; null is a value) is reached.
     Within a round, rows count against caps in the order of their scores.
     """
@@ -113,7 +114,7 @@ def coverage(pool: DataFrame, key: str, labels: str, n: int, quota: int, rounds:
     freq = pool.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count("*").alias("freq"))
     chosen = pool.limit(0)
     first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), key))
-    for _ in range(rounds):
+    while True:  # a round that chooses nothing is the last: its best row would be within all caps
         left = n - chosen.count()
         if left <= 0:
             break

@@ -164,8 +164,10 @@ def frequency_table(spark, sf_dir):
     """A table for each language, written as maps and read again."""
     path = scratch(spark) + "/freq"
     n = table(spark, sf_dir, "documents").select("lang", F.explode(T.tokens(F.col("text"))).alias("form")).groupBy("lang", "form").agg(F.count("*").alias("n"))
-    # A map for each first letter, as a file of one map would not fit everywhere.
-    n.groupBy("lang", F.substring("form", 1, 1).alias("text")).agg(F.map_from_entries(F.collect_list(F.struct("form", "n"))).alias("freq")).write.json(path)
+    # Forms are dealt by hash to maps of a few hundred entries, so no map grows with a language or a first letter.
+    parts = n.groupBy("lang").agg(F.ceil(F.count("*") / 256).alias("parts")).withColumn("l", F.struct("lang")).select("l", "parts")
+    dealt = n.withColumn("l", F.struct("lang")).join(parts, "l").withColumn("text", F.pmod(F.xxhash64("form"), F.col("parts")).cast("string"))
+    dealt.groupBy("lang", "text").agg(F.map_from_entries(F.collect_list(F.struct("form", "n"))).alias("freq")).write.json(path)
     return spark.read.schema("lang string, text string, freq map<string,long>").json(path).select("lang", F.explode("freq").alias("form", "n"))
 
 
@@ -245,3 +247,43 @@ def resumed(spark, sf_dir):
         J.same_parameters(spark, f"{out}/parameters", {"key": "doc_id", "text": "text"})
         J.score_new(J.new_documents(spark, f"{out}/files", "doc_id long, source string, text string"), ["doc_id"], forms(spark), f"{out}/scores", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/scores").select("doc_id", "words", "occ", "other")
+
+
+@query("src_02_zipped", "WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS value, generate_subscripts(string_split(regexp_replace(text, '\n$', ''), chr(10)), 1) - 1 AS line_no FROM documents WHERE text <> '') SELECT doc_id, line_no, value FROM l")
+def zipped(spark, sf_dir):
+    """Documents as members of zip files, and their lines as read again, a member at a time."""
+    path = scratch(spark) + "/zipped"
+    d = table(spark, sf_dir, "documents")
+    W.zipped(d.repartition(4, "doc_id").withColumn("name", F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt"))), path, "name", "text")
+    return R.zipped_lines(spark, path).select(F.regexp_extract("member", r"(\d+)", 1).cast("long").alias("doc_id"), "line_no", "value")
+
+
+@query("str_02_keep_first_by_table", f"SELECT {sql.repeat_text('text')} AS kept, 1::BIGINT AS n FROM documents GROUP BY 1")
+def keep_first_by_table(spark, sf_dir):
+    """Keys in a table, a file to a batch, with a base every third; n tells that each text was kept once."""
+    out = scratch(spark)
+    table(spark, sf_dir, "documents").select("doc_id", "text").repartition(8, "doc_id").write.parquet(f"{out}/files")
+    stream = J.new_documents(spark, f"{out}/files", "doc_id long, text string", 1)
+    J.keep_first_by_table(stream, "text", ["doc_id"], f"{out}/first", f"{out}/seen", f"{out}/state", 3).awaitTermination()
+    return spark.read.parquet(f"{out}/first").groupBy(T.repeat_text(F.col("text")).alias("kept")).agg(F.count("*").alias("n"))
+
+
+@query("str_04_stopped", "SELECT count(*) < (SELECT count(*) FROM documents) AS stopped, count(*) > 0 AS wrote FROM (SELECT doc_id FROM documents LIMIT 1)")
+def stopped(spark, sf_dir):
+    """A limit that bites: a third of the rows; the batches after it are skipped."""
+    path, schema = _files(spark, sf_dir)
+    out = scratch(spark)
+    whole = spark.read.schema(schema).parquet(path).count()
+    J.stop_after(J.new_documents(spark, path, schema, 1), F.col("doc_id").isNotNull(), whole // 3, f"{out}/kept", f"{out}/state").awaitTermination()
+    n = spark.read.parquet(f"{out}/kept").agg(F.count("*").alias("n"))
+    return n.select((F.col("n") < whole).alias("stopped"), (F.col("n") > whole // 3 - 1).alias("wrote"))
+
+
+_HEADED = rf"""hs AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<nav\b.*?</nav\s*>|<!--.*?-->', ' ', 'g') AS h FROM pages),
+hp AS (SELECT page_id, unnest(p) AS part, generate_subscripts(p, 1) - 1 AS chapter, regexp_matches(p[1], '(?i)^<h[1-6]\b') AS headed FROM (SELECT page_id, list_filter(string_split(regexp_replace(h, '(?i)(<h[1-6]\b[^>]*>)', chr(1) || '\1', 'g'), chr(1)), lambda x, i: i > 1 OR x <> '') AS p FROM hs))"""
+
+
+@query("src_10_headed_chapters", rf"""WITH {_HEADED}, hx AS (SELECT page_id, chapter + headed::INT AS chapter, part, regexp_extract(part, '(?is)^<h([1-6])\b[^>]*>(.*?)</h[1-6]\s*>(.*)$', 1) AS lv, regexp_extract(part, '(?is)^<h([1-6])\b[^>]*>(.*?)</h[1-6]\s*>(.*)$', 2) AS hd, regexp_extract(part, '(?is)^<h([1-6])\b[^>]*>(.*?)</h[1-6]\s*>(.*)$', 3) AS bd FROM hp)
+SELECT page_id, chapter::INT AS chapter, CASE WHEN lv <> '' THEN lv::INT END AS level, CASE WHEN lv <> '' THEN {_visible('hd')} END AS heading, {_visible("CASE WHEN lv = '' THEN part ELSE bd END")} AS text FROM hx WHERE lv <> '' OR {_visible("CASE WHEN lv = '' THEN part ELSE bd END")} <> ''""")
+def headed_chapters(spark, sf_dir):
+    return R.headed_chapters(table(spark, sf_dir, "pages"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import html
-import io
-import zipfile
+import struct
+import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -49,23 +51,86 @@ def prevert(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, member, line_no, value of text members of zip files; a file is one task's, read line by line."""
+_HEADER = b"PK\x03\x04"
+
+
+def _member(piece: bytes) -> tuple[str, int, int, int, int, int]:
+    """Name, method, start of the data, and the sizes and checksum that a local header (without its signature) states; -1 where they stand behind the data."""
+    flags, method, _, _, crc, packed, _, n, m = struct.unpack("<xxHHHHIIIHH", piece[:26])
+    name = piece[26 : 26 + n].decode("utf-8" if flags & 0x800 else "cp437", "replace")
+    if flags & 1:
+        raise ValueError(f"{name} is encrypted")
+    if flags & 8:
+        return name, method, 26 + n + m, -1, -1, flags
+    if packed == 0xFFFFFFFF:  # eight bytes each, in the extra field
+        extra, at = piece[26 + n : 26 + n + m], 0
+        while at + 4 <= len(extra):
+            kind, size = struct.unpack("<HH", extra[at : at + 4])
+            if kind == 1:
+                packed = struct.unpack("<Q", extra[at + 12 : at + 20])[0]
+            at += 4 + size
+    return name, method, 26 + n + m, packed, crc, flags
+
+
+def _unpacked(pieces: Iterator[bytes]) -> Iterator[tuple[str, Iterator[bytes]]]:
+    """Members of the pieces of a zip file between signatures. A signature inside of a member's data is put back."""
+    held: bytes | None = None
+    for piece in pieces:
+        held = piece if held is None else held + _HEADER + piece
+        if len(held) < 26:
+            held = None
+            continue
+        name, method, start, packed, crc, flags = _member(held)
+        if method == 8:
+            z = zlib.decompressobj(-15)
+            body = z.decompress(held[start:])
+            if not z.eof:
+                continue  # more of it behind the next signature
+            crc = struct.unpack("<I", z.unused_data[4:8] if z.unused_data[:4] == b"PK\x07\x08" else z.unused_data[:4])[0] if crc < 0 else crc
+        elif method == 0 and packed >= 0:
+            if len(held) < start + packed:
+                continue
+            body = held[start : start + packed]
+        else:
+            raise ValueError(f"{name} is packed in a way that isn't known (method {method}, flags {flags})")
+        if zlib.crc32(body) != crc:
+            raise ValueError(f"{name} doesn't match its checksum")
+        held = None
+        yield name, body
+    if held is not None:
+        raise ValueError(f"{_member(held)[0]} isn't whole in its part of the file; read larger parts (spark.sql.files.maxPartitionBytes)")
+
+
+def zipped_members(spark: SparkSession, path: str) -> DataFrame:
+    """file, member, content (binary) of the members of zip files, stored or deflated, with checksums compared.
+
+    Files are split like lines, at the signature that stands before each member,
+    so the members of one file are read by many tasks and none holds the file.
+    Members are those that have a header in the file, folders left out.
+    """
+    raw = spark.read.option("lineSep", _HEADER.decode()).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[str, int, bytes]]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    yield b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py()
+
+        for (file, block), part in groupby(rows(), key=lambda r: r[:2]):
+            pieces = (r[2] for r in part)
+            if block == 0:
+                next(pieces)  # what stands before the first signature
+            for name, body in _unpacked(pieces):
+                if not name.endswith("/"):
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([name]), pa.array([body], pa.binary())], ["file", "member", "content"])
+
+    return raw.mapInArrow(run, "file string, member string, content binary")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for file, content in zip(b["path"], b["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in z.namelist():
-                        rows: list[tuple] = []
-                        for i, line in enumerate(io.TextIOWrapper(z.open(member), "utf-8")):
-                            rows.append((file, member, i, line.rstrip("\n")))
-                            if len(rows) == 10_000:
-                                yield pd.DataFrame(rows, columns=["file", "member", "line_no", "value"])
-                                rows = []
-                        yield pd.DataFrame(rows, columns=["file", "member", "line_no", "value"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, member string, line_no long, value string")
+def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, member, line_no, value of text members of zip files (zipped_members); a last line break ends no line."""
+    lines_ = F.split(F.regexp_replace(F.col("content").cast("string"), r"\n\z", ""), "\n")
+    return zipped_members(spark, path).filter(F.octet_length("content") > 0).select("file", "member", F.posexplode(lines_).alias("line_no", "value")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 def corpus_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -173,10 +238,30 @@ def page_links(pages: DataFrame, pattern: str) -> DataFrame:
 
 
 def page_chapters(pages: DataFrame, heading: str = r"(?i)<p\b[^>]*>") -> DataFrame:
-    """page_id, chapter, text: a page split at its headings; what stands before the first is chapter 0."""
+    """page_id, chapter, text: a page split at a mark; what stands before the first is chapter 0."""
     return pages.select("page_id", F.posexplode(F.split("html", heading)).alias("chapter", "part")).select("page_id", "chapter", visible_text(F.col("part")).alias("text")).filter("text <> ''")
 
 
+def headed_chapters(pages: DataFrame, levels: str = "1-6") -> DataFrame:
+    """page_id, chapter, level, heading, text: a page split at its headings of some levels; what stands before the first is chapter 0, without a heading.
+
+    A chapter without text stays if it has a heading. Headings in hidden parts don't count.
+    """
+    shown = F.regexp_replace("html", _HIDDEN, " ")
+    parts = F.split(shown, rf"(?i)(?=<h[{levels}]\b[^>]*>)")
+    c = pages.select("page_id", F.posexplode(parts).alias("chapter", "part"))
+    pattern = rf"(?is)^<h([{levels}])\b[^>]*>(.*?)</h\1\s*>(.*)$"
+    # A page that begins with a heading has no chapter 0, and a split there leaves none.
+    first = F.when(F.col("part").rlike(rf"(?i)^<h[{levels}]\b"), 1).otherwise(0)
+    level = F.regexp_extract("part", pattern, 1)
+    c = c.withColumn("level", F.when(level != "", level.cast("int")))
+    body = F.when(F.col("level").isNull(), F.col("part")).otherwise(F.regexp_extract("part", pattern, 3))
+    c = c.select("page_id", "chapter", "level", F.when(F.col("level").isNotNull(), visible_text(F.regexp_extract("part", pattern, 2))).alias("heading"), visible_text(body).alias("text"), first.alias("_headed"))
+    w = Window.partitionBy("page_id").orderBy("chapter")
+    c = c.withColumn("chapter", F.col("chapter") + F.first("_headed").over(w)).drop("_headed")
+    return c.filter((F.col("text") != "") | F.col("heading").isNotNull())
+
+
 def cms_documents(spark: SparkSession, path: str) -> DataFrame:
     """url, title, date, text of items with rendered title and content."""
     items = spark.read.schema("link string, date string, title struct<rendered:string>, content struct<rendered:string>").json(path)
