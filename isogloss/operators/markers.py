@@ -83,16 +83,19 @@ def corpus_index(counts: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("index", index(F.col("occ"), F.col("other"))).withColumn("gdv", share(F.col("other"), F.col("words"), None)).withColumn("gdc", share(F.col("occ"), F.col("words"), None))
 
 
-def phrase_hits(texts: DataFrame, keys: list[str], phrases: DataFrame, longest: int, text: str = "text") -> DataFrame:
-    """keys, i, n, phrase, side: every occurrence of every phrase of `longest` words or fewer, overlaps too.
+def phrase_hits(texts: DataFrame, keys: list[str], phrases: DataFrame, longest: int | None = None, text: str = "text") -> DataFrame:
+    """keys, i, n, phrase, side: every occurrence of every phrase, overlaps too; of `longest` words or fewer, if given, else of any length.
 
-    Tokens meet the phrases that they begin, and only then are the next words compared.
+    Tokens meet the phrases that they begin, and only then are the next words
+    compared, as many as the longest phrase of the table has.
     """
+    p = phrases.withColumn("first", F.substring_index("phrase", " ", 1)).withColumn("n", F.size(F.split("phrase", " ")))
+    if longest is None:
+        longest = p.agg(F.max("n")).first()[0] or 1
     t = texts.select(*keys, T.tokens(F.col(text)).alias("t"))
     place = lambda x, i: F.struct(i.alias("i"), x.alias("first"), F.slice("t", i + 1, F.lit(longest)).alias("ahead"))
     places = t.select(*keys, F.explode(F.transform("t", place)).alias("p")).select(*keys, "p.*")
-    p = phrases.withColumn("first", F.substring_index("phrase", " ", 1)).withColumn("n", F.size(F.split("phrase", " "))).filter(F.col("n") <= longest)
-    return places.join(p, "first").filter(F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ") == F.col("phrase")).drop("first", "ahead")
+    return places.join(p.filter(F.col("n") <= longest), "first").filter(F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ") == F.col("phrase")).drop("first", "ahead")
 
 
 def longest_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
@@ -110,15 +113,22 @@ def longest_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
     return best.drop("most").join(kept, [*keys, "i"])
 
 
-def collocations(hits: DataFrame, tokens: DataFrame, keys: list[str], stop: DataFrame, width: int = 3, top: int = 20) -> DataFrame:
-    """marker, word, n: the `top` words most often within `width` tokens of each marker, stop words out.
+def collocations(texts: DataFrame, markers: DataFrame, stop: DataFrame, width: int = 3, top: int = 20, text: str = "text") -> DataFrame:
+    """marker, word, n: the `top` words most often within `width` tokens of each marker (markers: form), stop words out.
 
-    hits: keys, i, marker; tokens: keys, i, form.
+    Neighbours are cut inside a text's array, so no place is joined to a token;
+    pairs are counted before they are shuffled.
     """
-    around = hits.select(*keys, "marker", F.explode(F.sequence(F.col("i") - width, F.col("i") + width)).alias("j"), "i").filter("i <> j").drop("i")
-    near = around.join(tokens.select(*keys, F.col("i").alias("j"), F.col("form").alias("word")), [*keys, "j"]).join(stop.select("word"), "word", "left_anti")
-    n = near.groupBy("marker", "word").agg(F.count("*").alias("n"))
-    return n.withColumn("r", F.row_number().over(Window.partitionBy("marker").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= top).drop("r")
+    t = texts.select(T.tokens(F.col(text)).alias("t"))
+
+    def place(form: Column, i: Column) -> Column:
+        left = F.slice("t", F.greatest(F.lit(1), i + 1 - width), F.least(i, F.lit(width)))
+        return F.struct(form.alias("form"), F.concat(left, F.slice("t", i + 2, F.lit(width))).alias("near"))
+
+    places = t.select(F.explode(F.transform("t", place)).alias("p")).select("p.*").join(markers.select("form").distinct(), "form")
+    n = places.select(F.col("form").alias("marker"), F.explode("near").alias("word")).groupBy("marker", "word").agg(F.count("*").alias("n"))
+    n = n.join(stop.select("word"), "word", "left_anti")
+    return n.withColumn("r", F.row_number().over(Window.partitionBy("marker").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= top).drop("r").select("marker", "word", "n")
 
 
 def new_markers(tokens: DataFrame, subset: Column, least: int = 50, ratio: float = 1.5, top: int = 100) -> DataFrame:

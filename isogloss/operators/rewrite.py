@@ -133,6 +133,36 @@ def phrase_substitution(texts: DataFrame, key: str, phrases: list[tuple[str, str
     return texts.withColumn(text, out)
 
 
+def word_substitutions(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """text after substitutions of whole words or phrases in any case, the longest key first, each over what those before it left; the case is kept.
+
+    For a few pairs, as those of a morphology; a lexicon is for edits.by_phrase.
+    """
+    out = text
+    for old, put in sorted(pairs, key=lambda p: (-len(p[0]), p[0])):
+        quoted = lambda s: re.sub(r"([\\$])", r"\\\1", s)
+        word = lambda s, flags="": rf"{flags}(?<![\p{{L}}\p{{M}}])\Q{s}\E(?![\p{{L}}\p{{M}}])"
+        if len(old) > 1 and old.upper() != old:
+            out = F.regexp_replace(out, word(old.upper()), quoted(put.upper()))
+        out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{M}}])\Q{old[:1].upper()}\E(?iu:\Q{old[1:]}\E)(?![\p{{L}}\p{{M}}])", quoted(put[:1].upper() + put[1:]))
+        out = F.regexp_replace(out, word(old, "(?iu)"), quoted(put))
+    return out
+
+
+def job_output(tokens: DataFrame, key: str, forms: DataFrame) -> DataFrame:
+    """key, text, n_changed, rules, changes and the marker counts words, occ, other of the rewritten texts.
+
+    changes: `surface>translated` of each rewritten token in order, joined by |.
+    forms: form, side, the markers by which the output is scored.
+    """
+    from . import markers
+
+    text = rewritten(tokens, key)
+    changed = tokens.filter(F.col("rule").isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", F.concat_ws(">", "surface", "translated").alias("c")))).alias("c"))
+    changed = changed.select(key, F.array_join(F.transform("c", lambda x: x["c"]), "|").alias("changes"))
+    return text.join(changed, key, "left").withColumn("changes", F.coalesce("changes", F.lit(""))).join(markers.counted(text, [key], forms), key)
+
+
 def rewritten(tokens: DataFrame, key: str) -> DataFrame:
     """key, text, n_changed and rules (sorted, distinct) of rewritten tokens."""
     text = ordered_text(tokens, key, "i", "translated", "").withColumnRenamed("translated", "text")

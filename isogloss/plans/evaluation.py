@@ -68,9 +68,9 @@ def evaluated(spark, sf_dir):
     return scored(spark, sf_dir).select("id", "failed", "exact")
 
 
-@query("agg_34_summary", f"WITH {_RW} SELECT count(*) AS n, count(*) FILTER (WHERE failed) AS failed, count(*) FILTER (WHERE exact) AS exact FROM ev")
+@query("agg_34_summary", f"WITH {_RW} SELECT count(*) AS n, count(*) FILTER (WHERE failed) AS failed, count(*) FILTER (WHERE exact) AS exact, round(100 * sum(edits) / sum(ref_words), 6) AS wer FROM ev")
 def summary(spark, sf_dir):
-    return E.summary(scored(spark, sf_dir)).drop("wer")
+    return E.summary(scored(spark, sf_dir))
 
 
 @query("agg_35_by_group", f"WITH {_RW} SELECT doc_id % 4 AS category, ref_words // 10 AS difficulty, count(*) AS n, count(*) FILTER (WHERE exact) AS exact FROM ev GROUP BY GROUPING SETS ((category), (difficulty), ())")
@@ -146,6 +146,6 @@ def layer_bookkeeping(spark, sf_dir):
     return o.agg(F.count("*").alias("points"), F.count_if(F.col("h") != F.col("ta")).alias("changed"), F.count_if(F.col("ta") == F.col("tb")).alias("default_hits"), F.count_if(F.col("h") == F.col("tb")).alias("layer_hits"))
 
 
-@query("met_06_metric_rows", f"WITH {_RW}, s AS (SELECT count(*)::DOUBLE AS n, (count(*) FILTER (WHERE failed))::DOUBLE AS failed, (count(*) FILTER (WHERE exact))::DOUBLE AS exact FROM ev) SELECT 'changed' AS system, metric, value FROM (UNPIVOT s ON n, failed, exact INTO NAME metric VALUE value)")
+@query("met_06_metric_rows", f"WITH {_RW}, s AS (SELECT count(*)::DOUBLE AS n, (count(*) FILTER (WHERE failed))::DOUBLE AS failed, (count(*) FILTER (WHERE exact))::DOUBLE AS exact, round(100 * sum(edits) / sum(ref_words), 6)::DOUBLE AS wer FROM ev) SELECT 'changed' AS system, metric, value FROM (UNPIVOT s ON n, failed, exact, wer INTO NAME metric VALUE value)")
 def metric_rows(spark, sf_dir):
-    return E.metric_rows(E.summary(scored(spark, sf_dir)).drop("wer").withColumn("system", F.lit("changed")), ["system"])
+    return E.metric_rows(E.summary(scored(spark, sf_dir)).withColumn("system", F.lit("changed")), ["system"])

@@ -135,7 +135,7 @@ gr AS (SELECT doc_id, lang, n, unnest([array_to_string(t[i:i + n - 1], ' ') FOR
 
 @query("jon_02_phrase_hits", f"WITH {_GRAMS}, {PHRASE_SQL} SELECT doc_id, phrase, side, count(*) AS n FROM gr JOIN phrases USING (phrase) GROUP BY doc_id, phrase, side")
 def phrase_hits(spark, sf_dir):
-    return M.phrase_hits(documents(spark, sf_dir), ["doc_id"], phrases(spark), 3).groupBy("doc_id", "phrase", "side").agg(F.count("*").alias("n"))
+    return M.phrase_hits(documents(spark, sf_dir), ["doc_id"], phrases(spark)).groupBy("doc_id", "phrase", "side").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -147,7 +147,7 @@ kp AS (SELECT doc_id, unnest(list_reduce(s, lambda a, x: CASE WHEN x.i >= a.i TH
 SELECT doc_id, phrase, side, count(*) AS n FROM bs JOIN kp USING (doc_id, i) GROUP BY doc_id, phrase, side""",
 )
 def longest_hits(spark, sf_dir):
-    hits = M.phrase_hits(documents(spark, sf_dir), ["doc_id"], phrases(spark), 3)
+    hits = M.phrase_hits(documents(spark, sf_dir), ["doc_id"], phrases(spark))
     return M.longest_hits(hits, ["doc_id"]).groupBy("doc_id", "phrase", "side").agg(F.count("*").alias("n"))
 
 
@@ -273,10 +273,8 @@ c AS (SELECT marker, word, count(*) AS n FROM n WHERE word NOT IN ('the', 'of',
 SELECT marker, word, n FROM c QUALIFY row_number() OVER (PARTITION BY marker ORDER BY n DESC, word) <= 20""",
 )
 def collocations(spark, sf_dir):
-    tokens = M.token_rows(documents(spark, sf_dir), ["doc_id"]).filter("form is not null")
-    hits = tokens.join(forms(spark), "form").select("doc_id", "i", F.col("form").alias("marker"))
     stop = spark.createDataFrame([("the",), ("of",), ("and",), ("to",)], "word string")
-    return M.collocations(hits, tokens, ["doc_id"], stop)
+    return M.collocations(documents(spark, sf_dir), forms(spark), stop)
 
 
 @query(

@@ -12,6 +12,8 @@ from ..operators import rewrite as W
 from ..operators.cleaning import ordered_text
 from . import sql
 from .common import sentences
+from .index import FORM_SQL
+from .index import forms as marker_forms
 from .registry import query
 
 LEXICON = [("the", "le"), ("of", "de"), ("and", "i")]
@@ -331,3 +333,40 @@ def undone(spark, sf_dir):
     t = job(spark, sf_dir)
     t = t.withColumn("translated", F.when((F.col("rule") == "suffix") & (F.col("i") % 2 == 0), F.concat(F.lit("d'"), "translated")).otherwise(F.col("translated"))).withColumn("gender", F.lit(None).cast("string"))
     return W.rewritten(A.undone_elision(t, "id", {"d": "de"}, {"in": "i n'"}), "id").select("id", "text")
+
+
+#: Longest first: `of the` goes before `of`, and what one puts may be another's key.
+MORPHOLOGY = [("of", "de"), ("of the", "del"), ("the", "el"), ("an", "un"), ("and", "i"), ("in the", "al"), ("it", "an")]
+
+
+def _substituted(expr: str) -> str:
+    """One substitution after another in SQL: words in capitals, with a capital, and others; a mark on each side parts neighbours."""
+    out = f"regexp_replace({expr}, '([\\p{{L}}\\p{{M}}]+)', chr(2) || '\\1' || chr(3), 'g')"
+    for old, put in sorted(MORPHOLOGY, key=lambda p: (-len(p[0]), p[0])):
+        inner = lambda w: w.replace(" ", "\x03 \x02")
+        marked = lambda w: f"\x02{inner(w)}\x03"
+        out = f"replace({out}, {sql.lit(marked(old.upper()))}, {sql.lit(marked(put.upper()))})"
+        out = f"regexp_replace({out}, {sql.lit(chr(2) + old[:1].upper() + '(?i:' + inner(old[1:]) + ')' + chr(3))}, {sql.lit(marked(put[:1].upper() + put[1:]))}, 'g')"
+        out = f"regexp_replace({out}, {sql.lit('(?i)' + marked(old))}, {sql.lit(marked(put))}, 'g')"
+    return f"replace(replace({out}, chr(2), ''), chr(3), '')"
+
+
+@query("rwt_16_substituted", f"WITH {sql.SENT} SELECT doc_id * 10000000 + sent_no AS id, {_substituted('text')} AS text FROM sent")
+def substituted(spark, sf_dir):
+    return texts(spark, sf_dir).select("id", W.word_substitutions(F.col("text"), MORPHOLOGY).alias("text"))
+
+
+@query(
+    "rwt_14_whole_job",
+    f"""WITH {_PHRASED}, {_LX}, use AS (SELECT form, put FROM lx), {_LOOKED}, gt AS (SELECT id, i, put FROM (SELECT ps.*, {_POS} AS pos, CASE WHEN lk.wp IS NOT NULL THEN lower(surface) ELSE lower({_ELID.format(2)}) END AS hit FROM ps JOIN lk USING (id, i, surface)) WHERE length(hit) % 2 = 1 AND hit > 'm' AND (length(hit) % 2 = 1 OR pos IS NULL OR pos = 'NOUN')),
+wj AS (SELECT ph.id, ph.i, ph.surface, coalesce(ph.phrase, gt.put, {_SUF.replace('surface', 'ph.surface')}, ph.surface) AS translated, CASE WHEN ph.phrase IS NOT NULL THEN 'phrase' WHEN gt.put IS NOT NULL THEN 'lexicon' WHEN {_SUF.replace('surface', 'ph.surface')} IS NOT NULL THEN 'suffix' END AS rule FROM ph LEFT JOIN gt USING (id, i)),
+wt AS (SELECT id, string_agg(translated, '' ORDER BY i) AS text, count(rule) AS n_changed, coalesce(string_agg(DISTINCT rule, ',' ORDER BY rule), '') AS rules, coalesce(string_agg(CASE WHEN rule IS NOT NULL THEN surface || '>' || translated END, '|' ORDER BY i), '') AS changes FROM wj GROUP BY id),
+{FORM_SQL}, wc AS (SELECT id, count(form) AS words, count(*) FILTER (WHERE side = 'occ') AS occ, count(*) FILTER (WHERE side = 'or') AS other FROM (SELECT id, unnest(CASE WHEN len({sql.tokens('text')}) = 0 THEN [NULL] ELSE {sql.tokens('text')} END) AS form FROM wt) LEFT JOIN forms USING (form) GROUP BY id)
+SELECT id, text, n_changed, rules, changes, words, occ, other FROM wt JOIN wc USING (id)""",
+)
+def whole_job(spark, sf_dir):
+    """Phrases, a gated lexicon and suffixes in their order, with the list of changes and the output's score."""
+    lexicon_ = learned(spark, sf_dir).filter((F.length("form") % 2 == 1) & (F.col("form") > "m")).withColumn("readings", F.when(F.length("form") % 2 == 0, F.array(F.lit("NOUN"))))
+    t = D.by_phrase(tagged(spark, sf_dir), "id", learned_phrases(spark, sf_dir), "phrase", "pos")
+    t = W.by_suffix(W.by_lookup(t, lexicon_, "lexicon", pos="pos"), SUFFIXES, "suffix")
+    return W.job_output(W.first_proposal(t, ["phrase", "lexicon", "suffix"]), "id", marker_forms(spark))

@@ -175,10 +175,10 @@ def difference(spark, sf_dir):
 
 @query(
     "jon_04_document_match",
-    "SELECT coalesce(c.doc_id, l.doc_id) AS id, c.doc_id IS NOT NULL AS in_a, l.doc_id IS NOT NULL AS in_b FROM (SELECT doc_id FROM documents WHERE lang = 'en') c FULL JOIN labels l ON c.doc_id = l.doc_id",
+    "SELECT coalesce(c.doc_id, l.doc_id) AS id, c.doc_id IS NOT NULL AS in_a, l.doc_id IS NOT NULL AS in_b FROM documents c FULL JOIN labels l ON c.doc_id = l.doc_id",
 )
 def document_match(spark, sf_dir):
-    a = documents(spark, sf_dir).filter("lang = 'en'").select("doc_id", F.lit(True).alias("in_a"))
+    a = documents(spark, sf_dir).select("doc_id", F.lit(True).alias("in_a"))
     b = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("in_b"))
     return a.join(b, "doc_id", "full_outer").select(F.col("doc_id").alias("id"), F.coalesce("in_a", F.lit(False)).alias("in_a"), F.coalesce("in_b", F.lit(False)).alias("in_b"))
 
@@ -255,10 +255,16 @@ def zero_filled(spark, sf_dir):
     return S.zero_filled(spark.createDataFrame([("the",), ("of",), ("qqqq",)], "form string"), counts)
 
 
-@query("jon_22_missing_forms", f"WITH b AS (SELECT DISTINCT unnest({sql.tokens('text')}) AS form FROM benchmark), t AS (SELECT DISTINCT unnest({sql.tokens('text')}) AS form FROM documents WHERE lang = 'en') SELECT form FROM b WHERE form NOT IN (SELECT form FROM t)")
+@query("jon_22_missing_forms", f"WITH b AS (SELECT DISTINCT unnest({sql.tokens('text')}) AS form FROM benchmark), t AS (SELECT DISTINCT lang, unnest({sql.tokens('text')}) AS form FROM documents), l AS (SELECT DISTINCT lang FROM t) SELECT l.lang, form FROM b, l WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.form = b.form AND t.lang IS NOT DISTINCT FROM l.lang)")
 def missing_forms(spark, sf_dir):
+    """Forms of the benchmark that the documents of a language lack, for every language."""
+    forms = documents(spark, sf_dir).select(F.struct("lang").alias("l"), F.explode(T.tokens(F.col("text"))).alias("form"))
+    known = forms.distinct()
     b = table(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("form")).distinct()
-    return b.join(_vocab(spark, sf_dir, "en").distinct(), "form", "left_anti")
+    # A form has as many languages as there are at most; the list of all is one row.
+    have = b.join(known, "form", "left").groupBy("form").agg(F.collect_set("l").alias("have"))
+    every = known.agg(F.collect_set("l").alias("every"))
+    return have.join(every).select("form", F.explode(F.array_except("every", "have")).alias("l")).select("l.lang", "form")
 
 
 _REASON = "CASE WHEN words < 8 THEN 'short' WHEN words > 40 THEN 'long' WHEN occ + other = 0 THEN 'unmarked' WHEN occ < other THEN 'eastern' ELSE 'kept' END"
