@@ -24,4 +24,4 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, a, b: each turn of a conversation with the next."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
-    return c.join(nxt, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("a"), "b")
+    return c.join(nxt, ["conv_id", "turn"]).select((F.col("conv_id") * 1_000_000_000 + F.col("turn")).alias("id"), F.col("text").alias("a"), "b")

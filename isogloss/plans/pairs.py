@@ -157,7 +157,7 @@ def confirmed(spark, sf_dir):
 
 @query(
     "agg_17_alignment_quality",
-    f"WITH {sql.PAIR}, {_TK}, s AS (SELECT id // 1000 AS doc, CASE WHEN len(ta) > 0 AND len(tb) > 0 THEN len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) ELSE 0.0 END AS s FROM tk) SELECT least(floor(s * 10), 9)::BIGINT AS decile, count(*) AS n, round(avg(s), 6) AS mean, round(median(s), 6) AS median FROM s GROUP BY decile",
+    f"WITH {sql.PAIR}, {_TK}, s AS (SELECT id // 1000000000 AS doc, CASE WHEN len(ta) > 0 AND len(tb) > 0 THEN len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) ELSE 0.0 END AS s FROM tk) SELECT least(floor(s * 10), 9)::BIGINT AS decile, count(*) AS n, round(avg(s), 6) AS mean, round(median(s), 6) AS median FROM s GROUP BY decile",
 )
 def alignment_quality(spark, sf_dir):
     s = tokens(spark, sf_dir).select(P.jaccard(F.col("ta"), F.col("tb")).alias("s"))

@@ -189,11 +189,11 @@ def word_sets(spark, sf_dir):
 
 def evaluation_items(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    return b.select((F.col("item_id") * 1000).alias("item0"), F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("k", "text")).select((F.col("item0") + F.col("k")).alias("item"), T.word_set(F.col("text")).alias("words"))
+    return b.select((F.col("item_id") * 1_000_000_000).alias("item0"), F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("k", "text")).select((F.col("item0") + F.col("k")).alias("item"), T.word_set(F.col("text")).alias("words"))
 
 
 _NEAR = f"""sw AS (SELECT doc_id * 10000000 + sent_no AS id, doc_id, list_sort(list_distinct({sql.bare('text')})) AS w FROM sent),
-ew AS (SELECT item_id * 1000 + generate_subscripts(p, 1) - 1 AS item, unnest(p) AS text FROM (SELECT item_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM benchmark)),
+ew AS (SELECT item_id * 1000000000 + generate_subscripts(p, 1) - 1 AS item, unnest(p) AS text FROM (SELECT item_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM benchmark)),
 iw AS (SELECT item, list_distinct({sql.bare('text')}) AS w FROM ew WHERE len(list_distinct({sql.bare('text')})) >= 4),
 ex AS (SELECT item, len(w) AS n, unnest(w) AS word FROM iw), sx AS (SELECT id, len(w) AS n, unnest(w) AS word FROM sw WHERE len(w) >= 4),
 sh AS (SELECT id, item, sx.n AS a, ex.n AS b, count(*) AS common FROM sx JOIN ex USING (word) WHERE sx.n >= 0.6 * ex.n AND ex.n >= 0.6 * sx.n GROUP BY ALL), nr AS (SELECT id, item, common / (a + b - common) AS jaccard FROM sh)"""
@@ -301,7 +301,7 @@ def integrity(spark, sf_dir):
 @query(
     "jon_09_all_near",
     f"""WITH {sql.SENT}, a AS (SELECT doc_id * 10000000 + sent_no AS id, [x FOR x IN list_distinct({sql.bare('text')}) IF length(x) >= 3] AS w FROM sent),
-e AS (SELECT item_id * 1000 + generate_subscripts(p, 1) - 1 AS item, unnest(p) AS text FROM (SELECT item_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM benchmark)),
+e AS (SELECT item_id * 1000000000 + generate_subscripts(p, 1) - 1 AS item, unnest(p) AS text FROM (SELECT item_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM benchmark)),
 b AS (SELECT item, [x FOR x IN list_distinct({sql.bare('text')}) IF length(x) >= 3] AS w FROM e), j AS (SELECT id, item, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS u FROM a JOIN b ON list_has_any(a.w, b.w))
 SELECT id, item, i / u AS jaccard FROM j WHERE i / u >= 0.6""",
 )

@@ -54,4 +54,4 @@ def trim(expr: str) -> str:
 #: Sentences of documents: doc_id, lang, source, sent_no, text.
 SENT = f"sent AS (SELECT doc_id, lang, source, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS sent_no FROM (SELECT doc_id, lang, source, {sentences('text')} AS p FROM documents))"
 #: Distinct turn pairs of conversations: id, a, b.
-PAIR = "pair AS (SELECT conv_id * 1000 + x.turn AS id, x.text AS a, y.text AS b FROM conversations x JOIN conversations y USING (conv_id) WHERE y.turn = x.turn + 1)"
+PAIR = "pair AS (SELECT conv_id * 1000000000 + x.turn AS id, x.text AS a, y.text AS b FROM conversations x JOIN conversations y USING (conv_id) WHERE y.turn = x.turn + 1)"
