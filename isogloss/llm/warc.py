@@ -10,13 +10,19 @@ so a block may hold that line.
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import re
+import uuid
+import zlib
 from collections.abc import Iterator
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import pick, shared_folder, table
 
 VERSION, MARK = "WARC/1.0", "WARC/1."
 #: Date of records whose source has none.
@@ -31,10 +37,34 @@ _TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 _LANG = r"(?i)<html\b[^>]*\blang=[\"']?([A-Za-z-]+)"
 
 
+#: A reference that isn't one of these.
+_OTHER = "&(?!(?:" + "|".join(e[1:] for e, _ in ENTITIES) + "))(?:#[0-9]|#[xX][0-9A-Fa-f]|[A-Za-z])"
+_REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});"
+
+
 def _unescape(c: Column) -> Column:
+    """Text with its character references (numeric, or named and closed by a semicolon) replaced; a blank that doesn't break becomes a blank."""
+    plain = c
     for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    named = {k[:-1]: v for k, v in html5.items() if k.endswith(";")} | {"nbsp": " "}
+    # Numbers of control characters mean what they do in the common eight-bit set; other numbers without a character stand for none.
+    odd = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)} | {0xA0: " "}
+    table = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+
+    def piece(x: Column) -> Column:
+        name = F.regexp_extract(x, _REFERENCE, 1)
+        hexa = name.rlike("^#[xX]")
+        number = F.when(hexa, F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).otherwise(F.substring(name, F.lit(2), F.length(name))).try_cast("int")
+        valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        char = F.when(number.between(0x80, 0xA0), F.try_element_at(table(odd), number)).when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        value = F.when(name.startswith("#"), char).when(name != "", F.try_element_at(table(named), name))
+        return F.when(value.isNull(), F.concat(F.lit("&"), x)).otherwise(F.concat(value, F.substring(x, F.length(name) + 2, F.length(x))))
+
+    parts = F.split(c, "&")
+    # The common ones are quickly replaced; pages with any other go through all references once, from left to right.
+    every = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece), ""))
+    return F.when(c.rlike(_OTHER), every).otherwise(plain)
 
 
 def plain_text(html: Column) -> Column:
@@ -154,7 +184,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     A record has the bytes that its Content-Length states, whatever they hold.
     whole is false where a file ends before that, something follows, or there is
     no length; the block is then what there is. Bytes that aren't UTF-8 are
-    replaced in block. A file is read in one task.
+    replaced in block; content has them as they are. digest_ok tells whether they
+    have the block digest that the record states (sha1, sha256 or md5, in base 32
+    or hexadecimal); null where it states none, or one of another kind. A file is
+    read in one task.
     """
     raw = spark.read.option("lineSep", MARK).text(path).select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("piece"))
     # What stands before a file's first version line is no record.
@@ -163,33 +196,125 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((f, p) for b in batches for f, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         for headers, block, whole in _records(rows):
-            yield pa.RecordBatch.from_arrays([pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([block.decode("utf-8", "replace")]), pa.array([whole])], ["headers", "block", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary()), pa.array([whole]), pa.array([_has_digest(block, headers.get("warc-block-digest")) if whole else None], pa.bool_())], ["headers", "content", "whole", "digest_ok"])
 
-    rows = pieces.mapInArrow(run, "headers map<string,string>, block string, whole boolean")
+    rows = pieces.mapInArrow(run, "headers map<string,string>, content binary, whole boolean, digest_ok boolean")
     get = lambda k: F.try_element_at("headers", F.lit(k))
     return rows.select(
         get("warc-type").alias("record_type"), get("warc-record-id").alias("record_id"), get("warc-refers-to").alias("refers_to"), get("warc-target-uri").alias("target_uri"), get("warc-date").alias("date"),
-        get("content-type").alias("content_type"), get("warc-block-digest").alias("block_digest"), get("warc-payload-digest").alias("payload_digest"), "headers", "block", "whole",
+        get("content-type").alias("content_type"), get("warc-block-digest").alias("block_digest"), get("warc-payload-digest").alias("payload_digest"), "headers", F.expr("make_valid_utf8(cast(content AS string))").alias("block"), "content", "whole", "digest_ok",
     )
 
 
-def responses_of(records: DataFrame) -> DataFrame:
-    """The whole response records of read() as responses(): HTTP headers split from the payload.
-
-    The payload digest is the source's where it states one, else one of ours. Records that
-    aren't whole are left to broken().
+def _has_digest(block: bytes, stated: str | None) -> bool | None:
+    kind, _, value = (stated or "").partition(":")
+    if kind.lower() not in ("sha1", "sha256", "md5"):
+        return None
+    found = hashlib.new(kind.lower(), block, usedforsecurity=False)
+    return value.strip().lower() in (found.hexdigest(), base64.b32encode(found.digest()).decode().lower())
+
+
+def _dechunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = body.index(b"\r\n", at)
+        size = int(body[at:end].partition(b";")[0], 16)
+        if not size:
+            return b"".join(out)
+        if end + 2 + size > len(body):
+            raise ValueError("a chunk is cut")
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def _http(content: bytes) -> tuple[str, bytes, str]:
+    """Header lines, the payload's bytes (without chunks), and its text: content encodings undone, decoded by the charset of the header, of a mark at its start, or of the page, else as UTF-8 or what old browsers took it for."""
+    head, blank, body = content.partition(b"\r\n\r\n") if content.startswith(b"HTTP/") or b"\r\n\r\n" in content else (b"", b"", content)
+    if not blank:
+        head, body = b"", content
+    headers = head.decode("utf-8", "replace")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in headers.split("\r\n"))}
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        body = _dechunked(body)
+    plain = body
+    for kind in reversed([k.strip().lower() for k in fields.get("content-encoding", "").split(",") if k.strip()]):
+        if kind in ("gzip", "x-gzip"):
+            plain = zlib.decompress(plain, 31)
+        elif kind == "deflate":
+            try:
+                plain = zlib.decompress(plain)
+            except zlib.error:
+                plain = zlib.decompress(plain, -15)
+        elif kind != "identity":
+            raise ValueError(f"content encoding {kind}")
+    named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", fields.get("content-type", ""), re.I) or re.search(r"<meta\b[^>]*?charset\s*=\s*[\"']?([\w.:-]+)", plain[:4096].decode("latin-1"), re.I)
+    marks = [(b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")]
+    charset = next((c for m, c in marks if plain.startswith(m)), named[1] if named else "utf-8")
+    try:
+        text = plain.decode("cp1252" if charset.lower() in ("iso-8859-1", "latin-1", "latin1", "us-ascii", "ascii") else charset, "strict" if not named and charset == "utf-8" else "replace")
+    except (UnicodeDecodeError, LookupError):
+        text = plain.decode("cp1252", "replace")
+    return headers, body, text
+
+
+#: Named fields of a record that go on to its derivatives as source headers.
+_KEPT = ("warc-ip-address", "warc-warcinfo-id", "warc-concurrent-to", "warc-identified-payload-type")
+
+
+def http_responses(records: DataFrame) -> DataFrame:
+    """The whole response records of read() as responses(), with problem: what keeps a payload from being read, or null.
+
+    Chunks, gzip and deflate are undone and the text is decoded by its charset,
+    on the record's own bytes. The payload digest is the source's where it states
+    one, else one of the bytes between the HTTP headers and the end, chunks put
+    together. headers are the HTTP headers, and of the record's own fields
+    address, warcinfo, concurrent records and the payload's identified type. A
+    record without HTTP headers is all payload.
     """
-    at = F.instr("block", "\r\n\r\n")
-    r = records.filter((F.lower("record_type") == "response") & F.col("whole"))
-    payload = F.when(at > 0, F.substring(F.col("block"), at + 4, F.length("block"))).otherwise(F.col("block"))
-    headers = F.when(at > 0, F.substring(F.col("block"), F.lit(1), at - 1)).otherwise(F.lit(""))
-    r = r.select(F.lit(None).cast("long").alias("page_id"), "record_id", F.coalesce("target_uri", F.lit("")).alias("target_uri"), F.coalesce("date", F.lit(NO_DATE)).alias("date"), payload.alias("payload"), headers.alias("headers"), "payload_digest")
-    return r.select("page_id", "record_id", "target_uri", "date", "payload", F.coalesce("payload_digest", digest(F.col("payload"))).alias("payload_digest"), "headers")
+    r = records.filter((F.lower("record_type") == "response") & F.col("whole") & F.coalesce("digest_ok", F.lit(True)))
+    fields = F.array_join(F.filter(F.array(*[F.concat(F.lit(f"{k}: "), F.try_element_at("headers", F.lit(k))) for k in _KEPT]), lambda x: x.isNotNull()), "\r\n")
+    r = r.select("record_id", F.coalesce("target_uri", F.lit("")).alias("target_uri"), F.coalesce("date", F.lit(NO_DATE)).alias("date"), fields.alias("fields"), "payload_digest", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):  # a page at a time, as payloads can be large
+                row = b.slice(i, 1)
+                problem = None
+                try:
+                    headers, body, text = _http(row.column("content")[0].as_py())
+                except (ValueError, zlib.error) as e:
+                    headers, body, text, problem = "", b"", "", str(e) or "unreadable"
+                ours = f"sha256:{hashlib.sha256(body).hexdigest()}"
+                yield pa.RecordBatch.from_arrays([*(row.column(n) for n in ("record_id", "target_uri", "date", "fields", "payload_digest")), *(pa.array([x], pa.string()) for x in (text, headers, ours, problem))], ["record_id", "target_uri", "date", "fields", "stated", "payload", "http", "ours", "problem"])
+
+    found = r.mapInArrow(run, "record_id string, target_uri string, date string, fields string, stated string, payload string, http string, ours string, problem string")
+    headers = F.concat_ws("\r\n", F.nullif("http", F.lit("")), F.nullif("fields", F.lit("")))
+    return found.select(F.lit(None).cast("long").alias("page_id"), "record_id", "target_uri", "date", "payload", F.coalesce("stated", "ours").alias("payload_digest"), headers.alias("headers"), "problem")
+
+
+def responses_of(records: DataFrame) -> DataFrame:
+    """The responses of read() whose payload could be read (http_responses), as responses()."""
+    return http_responses(records).filter("problem IS NULL").drop("problem")
 
 
 def broken(records: DataFrame) -> DataFrame:
-    """The records of read() that aren't whole, to be counted or mended."""
-    return records.filter(~F.col("whole"))
+    """The records of read() that aren't whole or don't have the digest that they state, to be counted or mended."""
+    return records.filter(~F.col("whole") | ~F.coalesce("digest_ok", F.lit(True)))
+
+
+def response_records(found: DataFrame) -> DataFrame:
+    """responses() as records for write(): HTTP headers and payload in a block."""
+    block = F.concat(F.lit("HTTP/1.1 200 OK\r\n"), "headers", F.lit("\r\n\r\n"), "payload")
+    none = F.lit(None).cast("string")
+    r = found.select(F.lit("response").alias("record_type"), "record_id", none.alias("refers_to"), "target_uri", "date", F.lit("application/http; msgtype=response").alias("content_type"), none.alias("source_headers"), none.alias("source_digest"), block.alias("block"))
+    return r.withColumns({"block_digest": digest(F.col("block")), "content_length": F.octet_length("block").cast("long")})
+
+
+def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as WARC responses in files, read again, and their derivatives."""
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write(response_records(responses(table(spark, sf_dir, "pages"))), path)
+    return derivatives(responses_of(read(spark, path))).drop("page_id", "source_headers")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,5 +360,5 @@ FROM u
 """
 
 
-QUERIES = {"op2_warc": op2}
-ORACLE_SQL = {"op2_warc": _sql()}
+QUERIES = {"op2_warc": op2, "warc_read_back": read_back}
+ORACLE_SQL = {"op2_warc": _sql(), "warc_read_back": f"SELECT * EXCLUDE (page_id, source_headers) FROM ({_sql()})"}
