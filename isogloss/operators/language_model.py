@@ -115,15 +115,21 @@ def log_probability(sentences: DataFrame, key: str, text: str, counts: DataFrame
     """
     total = counts.filter(f"n = 1 and gram <> '{START}'").groupBy(*by).agg(F.sum("count").alias("total"))
     w = sentences.select(key, *by, marked_words(F.col(text)).alias("w"))
-    # Each position with its histories; grams are joined here, so tokens carry no array on.
-    at = lambda i, n: F.array_join(F.slice("w", i - n + 1, n), " ")
-    spans = F.flatten(F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(order), i)), lambda n: F.struct(i.alias("i"), n.alias("n"), at(i, n).alias("gram"), F.when(n > 1, F.array_join(F.slice("w", i - n + 1, n - 1), " ")).alias("history")))))
-    rows = w.select(key, *by, F.explode(spans).alias("s")).select(key, *by, "s.*")
-    got = rows.join(counts.select(*by, "gram", F.col("count").alias("c")), [*by, "gram"], "left").join(counts.select(*by, F.col("gram").alias("history"), F.col("count").alias("ch")), [*by, "history"], "left")
-    best = got.groupBy(key, *by, "i").agg(F.max("n").alias("longest"), F.max(F.when(F.col("c").isNotNull() & ((F.col("n") == 1) | F.col("ch").isNotNull()), F.struct("n", "c", "ch"))).alias("b"))
+    # A place is a row with the words that its score depends on; each distinct such text is scored once.
+    last = lambda i: F.array_join(F.slice("w", F.greatest(F.lit(1), i - order + 1), F.least(i, F.lit(order))), " ")
+    places = w.select(key, *by, F.explode(F.transform(F.sequence(F.lit(2), F.size("w")), last)).alias("seen"))
+    distinct = places.select(*by, "seen").distinct().withColumn("p", F.split("seen", " "))
+    tail = lambda n: F.struct(n.alias("n"), F.array_join(F.slice("p", F.size("p") - n + 1, n), " ").alias("gram"))
+    tails = distinct.select(*by, "seen", F.size("p").alias("longest"), F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), tail)).alias("t")).select(*by, "seen", "longest", "t.*")
+    # Counts get their history's beside them first: a gram whose history was not counted says nothing.
+    history = counts.select(*by, F.col("gram").alias("history"), F.col("count").alias("ch"))
+    longer = counts.filter("n > 1").select(*by, "n", "gram", F.col("count").alias("c"), F.expr("substring_index(gram, ' ', n - 1)").alias("history")).join(history, [*by, "history"])
+    known = longer.select(*by, "n", "gram", "c", "ch").unionByName(counts.filter("n = 1").select(*by, "n", "gram", F.col("count").alias("c"), F.lit(None).cast("long").alias("ch")))
+    best = tails.join(known, [*by, "n", "gram"], "left").groupBy(*by, "seen", "longest").agg(F.max(F.when(F.col("c").isNotNull(), F.struct("n", "c", "ch"))).alias("b"))
     p = F.when(F.col("b").isNull(), 0.5 / F.col("total")).when(F.col("b.n") == 1, F.col("b.c") / F.col("total")).otherwise(F.col("b.c") / F.col("b.ch"))
     given_up = F.col("longest") - F.coalesce(F.col("b.n"), F.lit(1))
-    return (best.join(total, list(by)) if by else best.crossJoin(total)).groupBy(key, *by).agg(F.count("*").alias("words"), F.sum(F.log(p) + given_up * F.log(F.lit(backoff))).alias("logprob"))
+    scored = (best.join(total, list(by)) if by else best.crossJoin(total)).select(*by, "seen", (F.log(p) + given_up * F.log(F.lit(backoff))).alias("lp"))
+    return places.join(scored, [*by, "seen"]).groupBy(key, *by).agg(F.count("*").alias("words"), F.sum("lp").alias("logprob"))
 
 
 def prior(n: Column, tokens: Column) -> Column:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,16 +13,65 @@ from ..functions import text as T
 _OPS = Y.ArrayType(Y.StructType([Y.StructField("op", Y.StringType()), *(Y.StructField(n, Y.IntegerType()) for n in ("i1", "i2", "j1", "j2"))]))
 
 
+def common_blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """i, j, size of the common blocks of two arrays of codes, in order: the longest (of equal ones the first in a, then in b), and so on to its left and its right.
+
+    Of a part of a and b the run of equal tokens that ends at each place of b is
+    kept for one token of a at a time, so memory follows b alone.
+    """
+    found, parts = [], [(0, len(a), 0, len(b))]
+    while parts:
+        i0, i1, j0, j1 = parts.pop()
+        part, best, at = b[j0:j1], 0, (0, 0)
+        run = np.zeros(j1 - j0 + 1, np.int64)
+        for i in range(i0, i1):
+            run[1:] = np.where(part == a[i], run[:-1] + 1, 0)
+            if (top := run.max()) > best:
+                best, end = int(top), int(run.argmax())
+                at = (i + 1 - best, j0 + end - best)
+        if best:
+            i, j = at
+            found.append((i, j, best))
+            parts += [(i0, i, j0, j), (i + best, i1, j + best, j1)]
+    return sorted(found)
+
+
+def _gaps(a: np.ndarray, b: np.ndarray) -> list[dict]:
+    """What lies between common blocks: replaced, deleted from a, or inserted from b."""
+    out, i, j = [], 0, 0
+    for x, y, size in [*common_blocks(a, b), (len(a), len(b), 0)]:
+        if i < x or j < y:
+            out.append({"op": "replace" if i < x and j < y else "delete" if i < x else "insert", "i1": i, "i2": x, "j1": j, "j2": y})
+        i, j = x + size, y + size
+    return out
+
+
 @F.pandas_udf(_OPS)
 def _opcodes(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest-match blocks are recursive, so this one step runs in Arrow batches, only on pairs of unequal length."""
-    names = ("op", "i1", "i2", "j1", "j2")
-    return pd.Series([[dict(zip(names, o)) for o in difflib.SequenceMatcher(None, list(x), list(y), autojunk=False).get_opcodes() if o[0] != "equal"] for x, y in zip(a, b)])
+    """Blocks are sought inside of what other blocks leave, which no expression says; tokens are numbered once for a batch."""
+    asked = a.notna() & b.notna()
+    flat = pd.Series([w for side in (a[asked], b[asked]) for words in side for w in words], dtype=object)
+    codes = pd.factorize(flat, use_na_sentinel=False)[0]
+    bound = np.concatenate([[0], np.cumsum([len(w) for side in (a[asked], b[asked]) for w in side])]).astype(np.int64)
+    n = int(asked.sum())
+    ops = iter([_gaps(codes[bound[k] : bound[k + 1]], codes[bound[n + k] : bound[n + k + 1]]) for k in range(n)])
+    return pd.Series([next(ops) if x else None for x in asked], dtype=object)
 
 
 def diff_ops(pairs: DataFrame, a: str = "ta", b: str = "tb") -> DataFrame:
-    """pairs (token arrays a, b) with ops: where they differ, and ratio, 2 * equal / all."""
-    return pairs.withColumn("ops", _opcodes(a, b)).withColumn("ratio", _ratio(F.col("ops"), F.size(a), F.size(b)))
+    """pairs (token arrays a, b) with ops: where they differ, and ratio, 2 * equal / all; both null if a side is.
+
+    Equal pairs, and those of which a side has no word of the other, are done by
+    expressions; the others' blocks are sought in Arrow batches.
+    """
+    x, y = F.col(a), F.col(b)
+    none = F.expr("cast(array() as array<struct<op:string,i1:int,i2:int,j1:int,j2:int>>)")
+    whole = F.when(F.size(x) == 0, "insert").when(F.size(y) == 0, "delete").otherwise("replace")
+    one = F.array(F.struct(whole.alias("op"), F.lit(0).alias("i1"), F.size(x).alias("i2"), F.lit(0).alias("j1"), F.size(y).alias("j2")))
+    apart = ~F.arrays_overlap(x, y)
+    sought = ~((x == y) | apart)
+    ops = F.when(x == y, none).when(apart, one).otherwise(_opcodes(F.when(sought, x), F.when(sought, y)))
+    return pairs.withColumn("ops", ops).withColumn("ratio", F.when(F.col("ops").isNotNull(), _ratio(F.col("ops"), F.size(a), F.size(b))))
 
 
 def _ratio(ops: Column, na: Column, nb: Column) -> Column:
