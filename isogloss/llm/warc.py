@@ -43,6 +43,11 @@ _REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});"
 
 
 def _unescape(c: Column) -> Column:
+    """_references() of an expression that is worked out once."""
+    return F.transform(F.array(c), _references)[0]
+
+
+def _references(c: Column) -> Column:
     """Text with its character references (numeric, or named and closed by a semicolon) replaced; a blank that doesn't break becomes a blank."""
     plain = c
     for entity, char in ENTITIES:
