@@ -43,37 +43,42 @@ _REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});"
 
 
 def _unescape(c: Column) -> Column:
-    """_references() of an expression that is worked out once."""
-    return F.transform(F.array(c), _references)[0]
+    """The common references replaced."""
+    for entity, char in ENTITIES:
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
 
 
-def _references(c: Column) -> Column:
-    """Text with its character references (numeric, or named and closed by a semicolon) replaced; a blank that doesn't break becomes a blank."""
-    plain = c
-    for entity, char in ENTITIES:
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    named = {k[:-1]: v for k, v in html5.items() if k.endswith(";")} | {"nbsp": " "}
-    # Numbers of control characters mean what they do in the common eight-bit set; other numbers without a character stand for none.
-    odd = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)} | {0xA0: " "}
+def references(page: Column) -> Column:
+    """A page with all character references but the common ones replaced: numeric, or named and closed by a semicolon.
+
+    A number that means a mark of the markup becomes that mark's common
+    reference, so tags stay what they are; a blank that doesn't break becomes a
+    blank. Pages without such references, most of them, are left as they are.
+    """
+    common = {e[1:-1] for e, _ in ENTITIES}
+    named = {k[:-1]: v for k, v in html5.items() if k.endswith(";") and k[:-1] not in common}
+    marks = {"&": "&amp;", "<": "&lt;", ">": "&gt;", "\xa0": " "}
+    named = {k: "".join(marks.get(c, c) for c in v) for k, v in named.items()}
+    # Numbers of control characters mean what they do in the common eight-bit set; others without a character stand for none.
+    odd = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)} | {ord(c): r for c, r in marks.items()}
     table = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
 
     def piece(x: Column) -> Column:
         name = F.regexp_extract(x, _REFERENCE, 1)
-        hexa = name.rlike("^#[xX]")
-        number = F.when(hexa, F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).otherwise(F.substring(name, F.lit(2), F.length(name))).try_cast("int")
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).otherwise(F.substring(name, F.lit(2), F.length(name))).try_cast("int")
         valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
-        char = F.when(number.between(0x80, 0xA0), F.try_element_at(table(odd), number)).when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
-        value = F.when(name.startswith("#"), char).when(name != "", F.try_element_at(table(named), name))
+        char = F.coalesce(F.try_element_at(table(odd), number), F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd"))
+        value = F.when(name.startswith("#") & (name != "#39"), char).when(name != "", F.try_element_at(table(named), name))
         return F.when(value.isNull(), F.concat(F.lit("&"), x)).otherwise(F.concat(value, F.substring(x, F.length(name) + 2, F.length(x))))
 
-    parts = F.split(c, "&")
-    # The common ones are quickly replaced; pages with any other go through all references once, from left to right.
+    parts = F.split(page, "&")
     every = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece), ""))
-    return F.when(c.rlike(_OTHER), every).otherwise(plain)
+    return F.when(page.rlike(_OTHER), every).otherwise(page)
 
 
 def plain_text(html: Column) -> Column:
-    """Visible text, a block to a line; runs of blanks folded, no blank lines."""
+    """Visible text, a block to a line; runs of blanks folded, no blank lines. Only common references are replaced here (see references)."""
     c = F.regexp_replace(html, _DROP, " ")
     c = F.regexp_replace(c, r"[\t\r\n\f ]+", " ")
     # No tag ends after the last ">", where each "<" would be searched to the end.
@@ -116,9 +121,9 @@ def derivatives(found: DataFrame) -> DataFrame:
     (bytes) and block. Every response gives both, also one without text.
     Repeated responses repeat their records; an empty table gives an empty result.
     """
-    text = found.withColumn("text", plain_text(F.col("payload"))).withColumn("text_digest", digest(F.col("text")))
+    text = found.withColumn("shown", references(F.col("payload"))).withColumn("text", plain_text(F.col("shown"))).withColumn("text_digest", digest(F.col("text")))
     ids = text.withColumn("conversion_id", record_id(F.lit("conversion"), F.col("record_id"))).withColumn("metadata_id", record_id(F.lit("metadata"), F.col("record_id")))
-    title = F.trim(F.regexp_replace(_unescape(F.regexp_extract("payload", _TITLE, 1)), r"[\t\r\n\f ]+", " "))
+    title = F.trim(F.regexp_replace(_unescape(F.regexp_extract("shown", _TITLE, 1)), r"[\t\r\n\f ]+", " "))
     fields = F.concat_ws(
         "\r\n",
         F.concat(F.lit("title: "), title), F.concat(F.lit("language: "), F.lower(F.regexp_extract("payload", _LANG, 1))), F.concat(F.lit("source-length: "), F.octet_length("payload").cast("string")),
