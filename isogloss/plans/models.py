@@ -269,7 +269,7 @@ def candidate_scores(spark, sf_dir):
     return M.candidate_scores(c, {"collision": 0.25, "unresolvable": 0.75}, 0.5, True).select("id", "i", "candidate", F.round("score", 9).alias("score"))
 
 
-@query("lmd_12_prior_swapped", f"WITH {_DEC}, fr AS (SELECT form, count(*) AS n FROM (SELECT unnest({sql.tokens('text')}) AS form FROM documents) GROUP BY form) SELECT id, i, candidate, round(ln((coalesce(n, 0) + 1) / (SELECT sum(n) FROM fr)), 6) AS prior FROM sc LEFT JOIN fr ON candidate = form")
+@query("lmd_12_prior_swapped", f"WITH {_DEC}, fr AS (SELECT form, count(*) AS n FROM (SELECT unnest({sql.tokens('text')}) AS form FROM documents) GROUP BY form) SELECT id, i, candidate, round(ln((coalesce(n, 0) + 1) / (SELECT sum(n) FROM fr)), 6) AS prior FROM sc LEFT JOIN fr ON candidate = fr.form")
 def prior_swapped(spark, sf_dir):
     from .common import documents
 
