@@ -40,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("privacy", sanitising), ("mixing", mix)]
 
-#: Language models and fingerprints aren't expressible in SQL; tests hold every stage against brute force.
+#: Language models and fingerprints aren't expressible in SQL; tests hold the operators of the stages against brute force, and see what each stage keeps.
 ORACLE_SQL = None
 
 
