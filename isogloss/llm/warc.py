@@ -37,31 +37,28 @@ _TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 _LANG = r"(?i)<html\b[^>]*\blang=[\"']?([A-Za-z-]+)"
 
 
-#: A reference that isn't one of these.
-_OTHER = "&(?!(?:" + "|".join(e[1:] for e, _ in ENTITIES) + "))(?:#[0-9]|#[xX][0-9A-Fa-f]|[A-Za-z])"
+#: A reference that is still there when these are replaced, &amp; aside.
+_OTHER = "&(?!amp;)(?:#[0-9]|#[xX][0-9A-Fa-f]|[A-Za-z])"
 _REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});"
 
 
 def _unescape(c: Column) -> Column:
-    """The common references replaced."""
-    for entity, char in ENTITIES:
+    """The common references but &amp; replaced; none of them can begin another reference."""
+    for entity, char in ENTITIES[:-1]:
         c = F.replace(c, F.lit(entity), F.lit(char))
     return c
 
 
-def references(page: Column) -> Column:
-    """A page with all character references but the common ones replaced: numeric, or named and closed by a semicolon.
+def references(text: Column) -> Column:
+    """Text with all character references replaced, numeric or named and closed by a semicolon, once and from left to right.
 
-    A number that means a mark of the markup becomes that mark's common
-    reference, so tags stay what they are; a blank that doesn't break becomes a
-    blank. Pages without such references, most of them, are left as they are.
+    A blank that doesn't break becomes a blank. Texts that hold none but &amp;,
+    most of them, take a short way. The text is looked at several times, so it
+    should be a column.
     """
-    common = {e[1:-1] for e, _ in ENTITIES}
-    named = {k[:-1]: v for k, v in html5.items() if k.endswith(";") and k[:-1] not in common}
-    marks = {"&": "&amp;", "<": "&lt;", ">": "&gt;", "\xa0": " "}
-    named = {k: "".join(marks.get(c, c) for c in v) for k, v in named.items()}
+    named = {k[:-1]: v.replace("\xa0", " ") for k, v in html5.items() if k.endswith(";")}
     # Numbers of control characters mean what they do in the common eight-bit set; others without a character stand for none.
-    odd = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)} | {ord(c): r for c, r in marks.items()}
+    odd = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)} | {0xA0: " "}
     table = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
 
     def piece(x: Column) -> Column:
@@ -69,26 +66,38 @@ def references(page: Column) -> Column:
         number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).otherwise(F.substring(name, F.lit(2), F.length(name))).try_cast("int")
         valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
         char = F.coalesce(F.try_element_at(table(odd), number), F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd"))
-        value = F.when(name.startswith("#") & (name != "#39"), char).when(name != "", F.try_element_at(table(named), name))
+        value = F.when(name.startswith("#"), char).when(name != "", F.try_element_at(table(named), name))
         return F.when(value.isNull(), F.concat(F.lit("&"), x)).otherwise(F.concat(value, F.substring(x, F.length(name) + 2, F.length(x))))
 
-    parts = F.split(page, "&")
+    parts = F.split(text, "&")
     every = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece), ""))
-    return F.when(page.rlike(_OTHER), every).otherwise(page)
+    return F.when(text.rlike(_OTHER), every).otherwise(F.replace(text, F.lit("&amp;"), F.lit("&")))
 
 
-def plain_text(html: Column) -> Column:
-    """Visible text, a block to a line; runs of blanks folded, no blank lines. Only common references are replaced here (see references)."""
+#: Runs of blanks that aren't one space, which would only be replaced by itself.
+_RUN, _RUN_IN_LINE = r"[\t\r\n\f ]{2,}|[\t\r\n\f]", r"[\t\r\f ]{2,}|[\t\r\f]"
+
+
+def stripped(html: Column) -> Column:
+    """Visible text before its last references are replaced, a block to a line."""
     c = F.regexp_replace(html, _DROP, " ")
-    c = F.regexp_replace(c, r"[\t\r\n\f ]+", " ")
+    c = F.regexp_replace(c, _RUN, " ")
     # No tag ends after the last ">", where each "<" would be searched to the end.
     rest = F.substring_index(c, ">", -1)
     tagged = F.left(c, F.length(c) - F.length(rest))
-    c = _unescape(F.concat(F.regexp_replace(F.regexp_replace(tagged, _BREAK, "\n"), _TAG, ""), rest))
-    c = F.regexp_replace(c, r"[\t\r\f ]+", " ")
+    return _unescape(F.concat(F.regexp_replace(F.regexp_replace(tagged, _BREAK, "\n"), _TAG, ""), rest))
+
+
+def _folded(c: Column) -> Column:
+    c = F.regexp_replace(c, _RUN_IN_LINE, " ")
     return F.regexp_replace(F.regexp_replace(c, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
+def plain_text(html: Column) -> Column:
+    """Visible text, a block to a line; runs of blanks folded, no blank lines."""
+    return _folded(references(stripped(html)))
+
+
 def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block, 256))
 
@@ -121,9 +130,9 @@ def derivatives(found: DataFrame) -> DataFrame:
     (bytes) and block. Every response gives both, also one without text.
     Repeated responses repeat their records; an empty table gives an empty result.
     """
-    text = found.withColumn("shown", references(F.col("payload"))).withColumn("text", plain_text(F.col("shown"))).withColumn("text_digest", digest(F.col("text")))
+    text = found.withColumn("stripped", stripped(F.col("payload"))).withColumn("text", _folded(references(F.col("stripped")))).withColumn("text_digest", digest(F.col("text")))
     ids = text.withColumn("conversion_id", record_id(F.lit("conversion"), F.col("record_id"))).withColumn("metadata_id", record_id(F.lit("metadata"), F.col("record_id")))
-    title = F.trim(F.regexp_replace(_unescape(F.regexp_extract("shown", _TITLE, 1)), r"[\t\r\n\f ]+", " "))
+    title = F.trim(F.regexp_replace(references(_unescape(F.regexp_extract("payload", _TITLE, 1))), r"[\t\r\n\f ]+", " "))
     fields = F.concat_ws(
         "\r\n",
         F.concat(F.lit("title: "), title), F.concat(F.lit("language: "), F.lower(F.regexp_extract("payload", _LANG, 1))), F.concat(F.lit("source-length: "), F.octet_length("payload").cast("string")),
