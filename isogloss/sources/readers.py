@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions import text as T
 from ..operators.lineage import cut
 
 ATTRIBUTES = r'(\w+)="([^"]*)"'
@@ -43,7 +44,7 @@ def prevert(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", "</doc>").text(path)
     doc = raw.select(_attributes(F.regexp_extract("value", r"<doc ([^>]*)>", 1)).alias("d"), F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<p( [^>]*)?>(.*?)</p>"), F.lit(0))).alias("p"))
     p = doc.select("d", _attributes(F.regexp_extract("p", r"<p( [^>]*)?>", 1)).alias("a"), F.regexp_extract("p", r"(?s)<p(?: [^>]*)?>(.*?)</p>", 1).alias("body"))
-    lines = F.filter(F.transform(F.split("body", "\n"), F.trim), lambda x: x != "")
+    lines = T.filled(F.split("body", "\n"))
     get = lambda m, k: F.try_element_at(F.col(m), F.lit(k))
     return p.select(
         get("d", "id").alias("doc"), get("d", "domain").alias("domain"), get("d", "url").alias("url"), get("a", "id").alias("par_id"), get("a", "quality").alias("quality"), get("a", "lang").alias("lang"),
