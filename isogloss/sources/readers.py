@@ -214,11 +214,20 @@ _BLOCK = r"(?i)</?(?:p|div|br|h[1-6]|li|ul|article|footer|title|section)\b[^>]*>
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 
 
-def visible_text(page: Column) -> Column:
-    """Text without hidden parts and tags, a block to a line."""
+@F.pandas_udf(StringType())
+def _references(s: pd.Series) -> pd.Series:
+    known = dict(ENTITIES)
+    return s.str.replace(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", lambda m: known.get(m[0]) or html.unescape(m[0]), regex=True)
+
+
+def visible_text(page: Column, every: bool = False) -> Column:
+    """Text without hidden parts and tags, a block to a line. References are those of ENTITIES, or `every` one that ends in a semicolon; each is resolved once."""
     c = F.regexp_replace(F.regexp_replace(F.regexp_replace(page, _HIDDEN, " "), _BLOCK, "\n"), "<[^>]*>", "")
-    for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
+    if every:
+        c = F.when(c.contains("&"), _references(c)).otherwise(c)
+    else:
+        for entity, char in ENTITIES:
+            c = F.replace(c, F.lit(entity), F.lit(char))
     c = F.regexp_replace(F.regexp_replace(c, r"[\t\r ]+", " "), r" ?\n[ \n]*", "\n")
     return F.regexp_replace(c, r"^[ \n]+|[ \n]+$", "")
 
@@ -266,4 +275,4 @@ def headed_chapters(pages: DataFrame, levels: str = "1-6") -> DataFrame:
 def cms_documents(spark: SparkSession, path: str) -> DataFrame:
     """url, title, date, text of items with rendered title and content."""
     items = spark.read.schema("link string, date string, title struct<rendered:string>, content struct<rendered:string>").json(path)
-    return items.select(F.col("link").alias("url"), unescape(visible_text(F.col("title.rendered"))).alias("title"), F.to_date(F.substring("date", 1, 10)).alias("date"), unescape(visible_text(F.col("content.rendered"))).alias("text"))
+    return items.select(F.col("link").alias("url"), visible_text(F.col("title.rendered"), True).alias("title"), F.to_date(F.substring("date", 1, 10)).alias("date"), visible_text(F.col("content.rendered"), True).alias("text"))
