@@ -12,7 +12,7 @@ from ..sources import readers as R
 from ..sources import writers as W
 from ..streaming import jobs as J
 from . import sql
-from .common import sentences, turn_pairs
+from .common import documents, sentences, turn_pairs
 from .index import DC, SC, forms
 from .registry import query, table
 
@@ -253,8 +253,8 @@ def resumed(spark, sf_dir):
 def zipped(spark, sf_dir):
     """Documents as members of zip files, and their lines as read again, a member at a time."""
     path = scratch(spark) + "/zipped"
-    d = table(spark, sf_dir, "documents")
-    W.zipped(d.repartition(4, "doc_id").withColumn("name", F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt"))), path, "name", "text")
+    d = documents(spark, sf_dir).select("doc_id", "text")
+    W.zipped(d.withColumn("name", F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt"))), path, "name", "text")
     return R.zipped_lines(spark, path).select(F.regexp_extract("member", r"(\d+)", 1).cast("long").alias("doc_id"), "line_no", "value")
 
 

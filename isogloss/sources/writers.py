@@ -70,8 +70,8 @@ def zipped(df: DataFrame, path: str, name: str, text: str) -> None:
 
     Spark's own text writer puts the signature of a member between the rows that
     it is given and behind the last, where it stands as the archive's comment, so
-    a write is all or nothing in any store. Sizes are of four bytes: a partition
-    holds 4 GB and 65,535 members at most, which is checked.
+    a write is all or nothing in any store. A file of more than 65,534 members or
+    4 GB ends in a directory of eight-byte sizes and places (Zip64).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,16 +89,19 @@ def zipped(df: DataFrame, path: str, name: str, text: str) -> None:
                 z = zlib.compressobj(6, zlib.DEFLATED, -15)
                 packed = z.compress(body) + z.flush()
                 fields = struct.pack("<HHHHHIIIHH", 20, 0x800, 8, 0, 0x21, zlib.crc32(body), len(packed), len(body), len(title), 0)
-                if count == 65_535 or at + len(packed) > 0xFFFF0000:
-                    raise ValueError("a partition is too large for one zip file; write more partitions")
-                directory.append(b"PK\x01\x02" + struct.pack("<H", 20) + fields + struct.pack("<HHHII", 0, 0, 0, 0, at - 4) + title)
+                far = struct.pack("<HHQ", 1, 8, at - 4) if at - 4 >= 0xFFFFFFFF else b""
+                directory.append(b"PK\x01\x02" + struct.pack("<H", 20) + fields[:-2] + struct.pack("<HHHHII", len(far), 0, 0, 0, 0, 0xFFFFFFFF if far else at - 4) + title + far)
                 yield row(held)
                 held = fields + title + packed
                 at += 4 + len(held)
                 count += 1
         if count:
             listed = b"".join(directory)
+            start = at - 4
+            more = b""
+            if count > 0xFFFE or len(listed) >= 0xFFFFFFFF or start >= 0xFFFFFFFF:
+                more = b"PK\x06\x06" + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, count, count, len(listed), start) + b"PK\x06\x07" + struct.pack("<IQI", 0, start + len(listed), 1)
             # The signature that the writer puts behind the last row is the comment, of four bytes.
-            yield row(held + listed + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, count, count, len(listed), at - 4, 4))
+            yield row(held + listed + more + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, *[min(count, 0xFFFF)] * 2, min(len(listed), 0xFFFFFFFF), min(start, 0xFFFFFFFF), 4))
 
     df.select(name, text).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", _HEADER).text(path)
