@@ -148,27 +148,29 @@ def align_by_content(a: DataFrame, b: DataFrame, doc: str = "doc", least: float
     """
 
     def sets(df: DataFrame, no: str, side: str) -> DataFrame:
-        s = df.select(doc, F.col("no").cast("long").alias(no), F.array_sort(F.array_distinct(T.pair_tokens(F.col("text")))).alias(side)).filter(F.size(side) > 0)
-        return s.withColumn("k", F.row_number().over(Window.partitionBy(doc, side).orderBy(no)))
+        s = df.select(doc, F.col("no").cast("long").alias(no), F.array_sort(F.array_distinct(T.pair_tokens(F.col("text")))).alias("words")).filter(F.size("words") > 0)
+        of = Window.partitionBy(doc, "words")
+        return s.withColumn("k", F.row_number().over(of.orderBy(no))).withColumn(side, F.min(no).over(of))
 
-    left, right = sets(a, "i", "sa"), sets(b, "j", "sb")
-    ua, ub = left.filter("k = 1").select(doc, "sa"), right.filter("k = 1").select(doc, "sb")
-    same = ua.join(ub.withColumnRenamed("sb", "sa"), [doc, "sa"], "left_semi").select(doc, "sa", F.col("sa").alias("sb"), F.lit(1.0).alias("similarity"))
-    rest_a, rest_b = ua.join(same, [doc, "sa"], "left_anti"), ub.join(same, [doc, "sb"], "left_anti")
+    # A set goes by the number of its first sentence, so no row of a word or of a pair carries its sentence along.
+    left, right = sets(a, "i", "a"), sets(b, "j", "b")
+    ua, ub = left.filter("k = 1").select(doc, "a", "words"), right.filter("k = 1").select(doc, "b", "words")
+    same = ua.join(ub, [doc, "words"]).select(doc, "a", "b", F.lit(1.0).alias("similarity"))
+    rest_a, rest_b = ua.join(same, [doc, "a"], "left_anti"), ub.join(same, [doc, "b"], "left_anti")
 
     def shared(x: DataFrame, y: DataFrame) -> DataFrame:
-        w = x.select(doc, "sa", F.explode("sa").alias("w")).join(y.select(doc, "sb", F.explode("sb").alias("w")), [doc, "w"])
-        n = w.groupBy(doc, "sa", "sb").agg(F.count("*").alias("n"))
-        return n.withColumn("similarity", F.col("n") / (F.size("sa") + F.size("sb") - F.col("n"))).filter(F.col("similarity") >= least).drop("n")
+        each = lambda df, side, size: df.select(doc, side, F.size("words").alias(size), F.explode("words").alias("w"))
+        n = each(x, "a", "p").join(each(y, "b", "q"), [doc, "w"]).groupBy(doc, "a", "b", "p", "q").agg(F.count("*").alias("n"))
+        return n.select(doc, "a", "b", (F.col("n") / (F.col("p") + F.col("q") - F.col("n"))).alias("similarity")).filter(F.col("similarity") >= least)
 
     # Sets that only one side has; one of theirs may be nearest to a set that both have, which is then no mutual pair.
-    near = shared(rest_a, ub).unionByName(shared(same.select(doc, "sa"), rest_b))
+    near = shared(rest_a, ub).unionByName(shared(ua.join(same, [doc, "a"], "left_semi"), rest_b))
     top = lambda side: F.max("similarity").over(Window.partitionBy(doc, side))
-    near = near.withColumn("ta", top("sa")).withColumn("tb", top("sb"))
+    near = near.withColumn("ta", top("a")).withColumn("tb", top("b"))
     both = near.filter("similarity = ta and similarity = tb").drop("ta", "tb")
-    both = both.join(same.select(doc, "sa"), [doc, "sa"], "left_anti").join(same.select(doc, "sb"), [doc, "sb"], "left_anti").select(doc, "sa", "sb", "similarity").unionByName(same)
+    both = both.join(same.select(doc, "a"), [doc, "a"], "left_anti").join(same.select(doc, "b"), [doc, "b"], "left_anti").select(doc, "a", "b", "similarity").unionByName(same)
     na, nb = (df.groupBy(doc).agg(F.count("*").alias(n)) for df, n in ((a, "n"), (b, "m")))
-    rows = both.join(left, [doc, "sa"]).join(right, [doc, "sb", "k"]).select(doc, "i", "j", "similarity").join(na, doc).join(nb, doc)
+    rows = both.join(left.select(doc, "a", "i", "k"), [doc, "a"]).join(right.select(doc, "b", "j", "k"), [doc, "b", "k"]).select(doc, "i", "j", "similarity").join(na, doc).join(nb, doc)
     off = F.abs(F.col("j") - F.floor(F.col("i") * F.col("m") / F.col("n")))
     best = lambda by, other: F.row_number().over(Window.partitionBy(doc, by).orderBy(off, other))
     return rows.withColumn("ra", best("i", "j")).withColumn("rb", best("j", "i")).filter("ra = 1 and rb = 1").select(doc, "i", "j", "similarity")
@@ -183,8 +185,11 @@ def confirmed(proposals: DataFrame, source_grams: DataFrame, target_grams: DataF
 
 def phenomena(pairs: DataFrame, lexicon: DataFrame, key: str = "id") -> DataFrame:
     """key, label of lexicon pairs (src, dst, label) whose src is in the source only and whose dst is in the target (1- to 3-grams)."""
-    grams = lambda c: pairs.select(key, F.explode(F.array_distinct(T.ngrams(T.tokens(F.col(c)), 3))).alias("gram"))
-    src, dst = grams("a"), grams("b")
-    hit = src.join(lexicon, F.col("gram") == F.col("src")).select(key, "src", "dst", "label")
+    # Where both sides are one text nothing is in the source only.
+    apart = pairs.filter(F.col("a") != F.col("b"))
+    grams = lambda c: apart.select(key, F.explode(F.array_distinct(T.ngrams(T.tokens(F.col(c)), 3))).alias("gram"))
+    hit = grams("a").join(lexicon, F.col("gram") == F.col("src")).select(key, "src", "dst", "label")
+    # Of the target only grams that the lexicon has are shuffled.
+    dst = grams("b").join(lexicon.select(F.explode(F.array("src", "dst")).alias("gram")), "gram", "left_semi")
     hit = hit.join(dst.select(key, F.col("gram").alias("dst")), [key, "dst"], "left_semi")
     return hit.join(dst.select(key, F.col("gram").alias("src")), [key, "src"], "left_anti").select(key, "label").distinct()

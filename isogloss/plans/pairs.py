@@ -10,7 +10,7 @@ from ..functions import segment
 from ..functions import text as T
 from ..operators import pairs as R
 from . import sql
-from .common import documents, turn_pairs
+from .common import documents, small, turn_pairs
 from .registry import query, table
 
 
@@ -101,8 +101,8 @@ SELECT x AS "from", y AS "to", n, mean_ratio, isolated, rule, CASE WHEN x = 'the
 )
 def mined(spark, sf_dir):
     subs = R.substitutions(R.diff_ops(edited(spark, sf_dir)))
-    known = spark.createDataFrame([("the", "le")], "src string, dst string")
-    rules = spark.createDataFrame([("tion", "cio", 1), ("ion", "io", 2)], "cut string, put string, number int")
+    known = small(spark, [("the", "le")], "src string, dst string")
+    rules = small(spark, [("tion", "cio", 1), ("ion", "io", 2)], "cut string, put string, number int")
     return R.mined(subs, known, rules)
 
 
@@ -117,8 +117,8 @@ def context(spark, sf_dir):
 @query("jon_15_explained", f"""WITH {_ED}, g AS (SELECT "from" AS f, "to" AS t, count(*) AS n FROM df GROUP BY ALL) SELECT f AS "from", t AS "to", n, CASE WHEN f = 'the' THEN 'known' WHEN ends_with(f, 'tion') THEN 'rule' ELSE 'new' END AS kind FROM g""")
 def explained(spark, sf_dir):
     s = R.positional_ops(edited(spark, sf_dir)).withColumn("ratio", F.lit(1.0)).withColumn("ops", F.array(F.lit(1)))
-    known = spark.createDataFrame([("the", "le")], "src string, dst string")
-    rules = spark.createDataFrame([("tion", "cio", 1)], "cut string, put string, number int")
+    known = small(spark, [("the", "le")], "src string, dst string")
+    rules = small(spark, [("tion", "cio", 1)], "cut string, put string, number int")
     return R.mined(s, known, rules).select("from", "to", "n", "kind")
 
 
@@ -130,20 +130,20 @@ def structural(spark, sf_dir):
 
 @query("prd_14_strict_pairs", f"""WITH {_ED} SELECT id, bool_and("from" = 'the' OR "from" = 'of') AS strict FROM df GROUP BY id""")
 def strict_pairs(spark, sf_dir):
-    lexicon = spark.createDataFrame([("the", "le"), ("of", "de")], "src string, dst string")
+    lexicon = small(spark, [("the", "le"), ("of", "de")], "src string, dst string")
     return R.explained(R.positional_ops(edited(spark, sf_dir)), "id", lexicon)
 
 
 @query("jon_16_phenomena", f"WITH {_ED} SELECT DISTINCT id, CASE WHEN list_contains(ta, 'the') THEN 'article' END AS label FROM ed WHERE list_contains(ta, 'the') AND NOT list_contains(tb, 'the') UNION SELECT id, 'preposition' FROM ed WHERE list_contains(ta, 'of') AND NOT list_contains(tb, 'of')")
 def phenomena(spark, sf_dir):
     e = edited(spark, sf_dir).select("id", F.array_join("ta", " ").alias("a"), F.array_join("tb", " ").alias("b"))
-    lexicon = spark.createDataFrame([("the", "le", "article"), ("of", "de", "preposition")], "src string, dst string, label string")
+    lexicon = small(spark, [("the", "le", "article"), ("of", "de", "preposition")], "src string, dst string, label string")
     return R.phenomena(e, lexicon)
 
 
 @query("jon_17_text_phenomena", f"WITH {_ED} SELECT DISTINCT id, 'article' AS label FROM ed WHERE list_contains(ta, 'the') UNION SELECT id, 'preposition' FROM ed WHERE list_contains(ta, 'of')")
 def text_phenomena(spark, sf_dir):
-    lexicon = spark.createDataFrame([("the", "article"), ("of", "preposition")], "form string, label string")
+    lexicon = small(spark, [("the", "article"), ("of", "preposition")], "form string, label string")
     return edited(spark, sf_dir).select("id", F.explode("ta").alias("form")).join(lexicon, "form").select("id", "label").distinct()
 
 

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import markers as M
 from ..operators import selection as S
 from . import sql
-from .common import documents, sentences
+from .common import documents, sentences, small
 from .index import SC, forms, sentence_counts
 from .registry import query, table
 
@@ -252,7 +252,7 @@ def review_merge(spark, sf_dir):
 @query("jon_21_zero_filled", f"WITH f(form) AS (VALUES ('the'), ('of'), ('qqqq')), t AS (SELECT unnest({sql.tokens('text')}) AS form FROM documents), c AS (SELECT form, count(*) AS n FROM t GROUP BY form) SELECT form, coalesce(n, 0)::BIGINT AS n FROM f LEFT JOIN c USING (form)")
 def zero_filled(spark, sf_dir):
     counts = documents(spark, sf_dir).select(F.explode(T.tokens(F.col("text"))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
-    return S.zero_filled(spark.createDataFrame([("the",), ("of",), ("qqqq",)], "form string"), counts)
+    return S.zero_filled(small(spark, [("the",), ("of",), ("qqqq",)], "form string"), counts)
 
 
 @query("jon_22_missing_forms", f"WITH b AS (SELECT DISTINCT unnest({sql.tokens('text')}) AS form FROM benchmark), t AS (SELECT DISTINCT lang, unnest({sql.tokens('text')}) AS form FROM documents), l AS (SELECT DISTINCT lang FROM t) SELECT l.lang, form FROM b, l WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.form = b.form AND t.lang IS NOT DISTINCT FROM l.lang)")

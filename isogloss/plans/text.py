@@ -8,7 +8,7 @@ from ..functions import predicates as P
 from ..functions import segment as S
 from ..functions import text as T
 from . import sql
-from .common import documents, sentences, turn_pairs
+from .common import documents, sentences, small, turn_pairs
 from .registry import query, table
 
 _join = lambda c: F.array_join(c, " ")
@@ -250,7 +250,7 @@ def window(spark, sf_dir):
 def min_words(spark, sf_dir):
     from ..operators.cleaning import min_words_by_source
 
-    limits = spark.createDataFrame([("src0", 300), ("src1", 100)], "source string, least int")
+    limits = small(spark, [("src0", 300), ("src1", 100)], "source string, least int")
     marked = min_words_by_source(documents(spark, sf_dir), limits, 50)
     return marked.groupBy("source").agg(F.count_if("ok").alias("kept"), F.count_if(~F.col("ok")).alias("dropped"))
 
@@ -263,7 +263,7 @@ def lm_lines(spark, sf_dir):
 
 @query("prd_08_block_list", "SELECT doc_id FROM documents WHERE source NOT IN ('src0', 'src3')")
 def block_list(spark, sf_dir):
-    blocked = spark.createDataFrame([("src0",), ("src3",)], "source string")
+    blocked = small(spark, [("src0",), ("src3",)], "source string")
     return documents(spark, sf_dir).join(blocked, "source", "left_anti").select("doc_id")
 
 
