@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import text as T
 
@@ -34,23 +35,22 @@ def word_edits(a: Column, b: Column) -> Column:
     return F.transform(units, edits)[0]
 
 
-def _overlap(df: DataFrame, key: str, hyp: Column, ref: Column) -> DataFrame:
-    """key, n, match, hyp, ref: clipped matches and totals of n-grams (structs n, g) of both sides.
+def _matches(hyp: list | str, ref: list | str, n: int) -> tuple[int, int, int]:
+    """Clipped matches of the n-grams of both sides, and how many each has; of texts (characters) or lists of words.
 
-    Rows are dealt by key before their n-grams exist, so only texts are shuffled.
+    What both sides begin and end with is left out of the count: n-grams that lie
+    inside of it are matches on both sides, whatever else there is of them.
     """
-    tag = lambda grams, side: F.transform(grams, lambda g: F.struct(g["n"].alias("n"), g["g"].alias("g"), F.lit(side).alias("h")))
-    both = df.repartition(key).select(key, F.explode(F.concat(tag(hyp, 1), tag(ref, 0))).alias("e")).select(key, "e.*")
-    each = both.groupBy(key, "n", "g").agg(F.sum("h").alias("h"), F.sum(1 - F.col("h")).alias("r"))
-    return each.groupBy(key, "n").agg(F.sum(F.least("h", "r")).alias("match"), F.sum("h").alias("hyp"), F.sum("r").alias("ref"))
-
-
-def _grams(units: Column, orders: range, glue: str) -> Column:
-    def grams(u: Column) -> Column:
-        one = lambda n: F.when(F.size(u) >= n, F.transform(F.sequence(F.lit(1), F.size(u) - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(u, i, n), glue).alias("g")))).otherwise(F.expr("cast(array() as array<struct<n:int,g:string>>)"))
-        return F.concat(*[one(n) for n in orders])
-
-    return F.transform(F.array(units), grams)[0]
+    cut = (lambda x, i: x[i : i + n]) if isinstance(hyp, str) else (lambda x, i: tuple(x[i : i + n]))
+    nh, nr = max(0, len(hyp) - n + 1), max(0, len(ref) - n + 1)
+    if hyp == ref:
+        return nh, nh, nr
+    most = min(len(hyp), len(ref))
+    head = next((i for i in range(most) if hyp[i] != ref[i]), most)
+    tail = next((i for i in range(most - head) if hyp[-1 - i] != ref[-1 - i]), most - head)
+    first, last = max(0, head - n + 1), max(0, tail - n + 1)
+    h, r = (Counter([cut(x, i) for i in range(first, k - last)]) for x, k in ((hyp, nh), (ref, nr)))
+    return first + last + sum(min(c, r[g]) for g, c in h.items() if g in r), nh, nr
 
 
 def bleu(df: DataFrame, key: str, hyp: str, ref: str) -> DataFrame:
@@ -58,45 +58,61 @@ def bleu(df: DataFrame, key: str, hyp: str, ref: str) -> DataFrame:
 
     A precision without a match is 1 / (2^k * total), where k counts such orders
     so far; orders the hypothesis is too short for are left out. The brevity
-    penalty is exp(1 - ref / hyp) for a shorter hypothesis.
+    penalty is exp(1 - ref / hyp) for a shorter hypothesis. A row's n-grams are
+    counted in its own task, so nothing is shuffled.
     """
-    u = lambda c: _units(F.lower(c))
-    o = _overlap(df, key, _grams(u(F.col(hyp)), range(1, 5), " "), _grams(u(F.col(ref)), range(1, 5), " ")).filter("hyp > 0")
-    zeros = F.sum((F.col("match") == 0).cast("int")).over(Window.partitionBy(key).orderBy("n"))
-    p = F.when(F.col("match") > 0, F.col("match") / F.col("hyp")).otherwise(1 / (F.pow(F.lit(2.0), zeros) * F.col("hyp")))
-    g = o.withColumn("lp", F.log(p)).groupBy(key).agg(F.avg("lp").alias("lp"), F.max(F.when(F.col("n") == 1, F.col("hyp"))).alias("nh"), F.max(F.when(F.col("n") == 1, F.col("ref"))).alias("nr"))
-    penalty = F.when(F.col("nh") < F.col("nr"), F.exp(1 - F.col("nr") / F.col("nh"))).otherwise(F.lit(1.0))
-    return df.select(key).join(g, key, "left").select(key, F.coalesce(100 * penalty * F.exp("lp"), F.lit(0.0)).alias("bleu"))
 
+    @F.pandas_udf(DoubleType())
+    def score(h: pd.Series, r: pd.Series) -> pd.Series:
+        def one(x: list[str], y: list[str]) -> float:
+            zeros, logs = 0, []
+            for n in range(1, 5):
+                match, nh, _ = _matches(x, y, n)
+                if nh:
+                    zeros += not match
+                    logs.append(math.log(match / nh if match else 1 / (2.0**zeros * nh)))
+            penalty = math.exp(1 - len(y) / len(x)) if 0 < len(x) < len(y) else 1.0
+            return 100 * penalty * math.exp(sum(logs) / len(logs)) if logs else 0.0
 
-def _f_scores(hyp: list[str], ref: list[str], orders: int, beta: float) -> list[float]:
+        return pd.Series([one(list(x), list(y)) for x, y in zip(h, r)], dtype=float)
+
+    none = F.expr("cast(array() as array<string>)")
+    u = lambda c: F.coalesce(_units(F.lower(c)), none)
+    return df.select(key, score(u(F.col(hyp)), u(F.col(ref))).alias("bleu"))
+
+
+def _f_scores(hyp: list[str] | str, ref: list[str] | str, orders: int, beta: float) -> list[float]:
     """F-beta of the n-grams of each order that either side has."""
     out = []
     for n in range(1, orders + 1):
-        h, r = (Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for x in (hyp, ref))
-        nh, nr, both = h.total(), r.total(), (h & r).total()
+        both, nh, nr = _matches(hyp, ref, n)
         if nh or nr:
             p, c = both / nh if nh else 0.0, both / nr if nr else 0.0
             out.append((1 + beta**2) * p * c / (beta**2 * p + c) if p + c else 0.0)
     return out
 
 
-def chrf(df: DataFrame, key: str, hyp: str, ref: str, words: int = 0, beta: float = 2.0) -> DataFrame:
+def chrf(df: DataFrame, key: str, hyp: str, ref: str, words: int | dict[str, int] = 0, beta: float = 2.0) -> DataFrame:
     """key, chrf: mean F-beta of characters (1 to 6, without blanks) and, for chrF++, of words (1 to `words`).
 
-    A row's counts fit in its own task, and as rows of a table they would be some
-    hundred times the text, so this one is scored in Arrow batches.
+    Of several `words` by name there is a column for each; characters are counted
+    once for all. A row's counts fit in its own task, and as rows of a table they
+    would be some hundred times the text, so this one is scored in Arrow batches.
     """
+    named = words if isinstance(words, dict) else {"chrf": words}
+    most = max(named.values())
 
-    @F.pandas_udf(DoubleType())
+    @F.pandas_udf(ArrayType(DoubleType()))
     def score(h: pd.Series, r: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> float:
-            f = _f_scores(list("".join(x.split())), list("".join(y.split())), 6, beta) + _f_scores(x.split(), y.split(), words, beta)
-            return 100 * sum(f) / len(f) if f else 0.0
+        def one(x: str, y: str) -> list[float]:
+            a, b = x.split(), y.split()
+            chars, of_words = _f_scores("".join(a), "".join(b), 6, beta), _f_scores(a, b, most, beta)
+            each = [chars + of_words[:n] for n in named.values()]
+            return [100 * sum(f) / len(f) if f else 0.0 for f in each]
 
-        return pd.Series([one(x or "", y or "") for x, y in zip(h, r)], dtype=float)
+        return pd.Series([one(x or "", y or "") for x, y in zip(h, r)], dtype=object)
 
-    return df.select(key, score(hyp, ref).alias("chrf"))
+    return df.select(key, score(hyp, ref).alias("s")).select(key, *[F.col("s")[k].alias(n) for k, n in enumerate(named)])
 
 
 def evaluated(benchmark: DataFrame, hypotheses: DataFrame) -> DataFrame:

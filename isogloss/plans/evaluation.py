@@ -58,9 +58,8 @@ fs AS (SELECT id, n, CASE WHEN m > 0 THEN 5 * (m / nh) * (m / nr) / (4 * (m / nh
 SELECT id, round(coalesce(chrf, 100.0), 6) AS chrf, round(coalesce(chrf_pp, 100.0), 6) AS chrf_pp FROM rw LEFT JOIN sc USING (id)""",
 )
 def chrf(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    plus = E.chrf(s, "id", "hypothesis", "reference", 2).withColumnRenamed("chrf", "chrf_pp")
-    return E.chrf(s, "id", "hypothesis", "reference").join(plus, "id").select("id", F.round("chrf", 6).alias("chrf"), F.round("chrf_pp", 6).alias("chrf_pp"))
+    both = E.chrf(scored(spark, sf_dir), "id", "hypothesis", "reference", {"chrf": 0, "chrf_pp": 2})
+    return both.select("id", F.round("chrf", 6).alias("chrf"), F.round("chrf_pp", 6).alias("chrf_pp"))
 
 
 @query("met_05_evaluated", f"WITH {_RW} SELECT id, failed, exact FROM ev")
