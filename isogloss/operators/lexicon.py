@@ -83,6 +83,18 @@ def candidate_forms(points: DataFrame) -> DataFrame:
     return points.select(F.explode("candidates").alias("form")).distinct()
 
 
+def forms_of_ambiguous(pairs: DataFrame, key: str = "dst", value: str = "src") -> DataFrame:
+    """form: values of keys that have two or more, as candidate_forms() of ambiguity_points(), by counts alone.
+
+    A key with one value says nothing of it; a value counts unless such keys are all that it has. Nulls take no part.
+    """
+    p = pairs.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
+    keys = p.groupBy(key).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.count("*").alias("n"))
+    single = keys.filter("least = most").groupBy(F.col("least").alias("form")).agg(F.sum("n").alias("alone"))
+    values = p.groupBy(F.col(value).alias("form")).agg(F.count("*").alias("n"))
+    return values.join(single, "form", "left").filter(F.col("n") > F.coalesce("alone", F.lit(0))).select("form")
+
+
 def flag_within_file(entries: DataFrame) -> DataFrame:
     """entries (source, form, partner) with ambiguous: several partners in one source."""
     n = entries.groupBy("source", "form").agg(F.coalesce(F.min("partner") < F.max("partner"), F.lit(False)).alias("ambiguous"))

@@ -89,7 +89,7 @@ def ambiguity_points(spark, sf_dir):
 
 @query("lex_14_candidate_forms", f"WITH {P} SELECT DISTINCT src AS form FROM p WHERE dst IN (SELECT dst FROM p GROUP BY dst HAVING count(DISTINCT src) > 1)")
 def candidate_forms(spark, sf_dir):
-    return L.candidate_forms(L.ambiguity_points(pairs(spark, sf_dir)))
+    return L.forms_of_ambiguous(pairs(spark, sf_dir))
 
 
 @query("lex_15_mood_pairs", f"WITH {P}, x AS (SELECT DISTINCT src, x.v AS dst FROM p, (SELECT unnest(['i', 'o']) AS s) y, LATERAL (SELECT dst || y.s AS v) x), g AS (SELECT src, list_sort(list(dst)) AS l FROM x GROUP BY src HAVING count(*) = 2) SELECT src, l[1] AS in_i, l[2] AS in_o FROM g")
