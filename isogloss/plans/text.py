@@ -151,8 +151,10 @@ g AS (SELECT doc_id, unnest([array_to_string(t[i:i + n - 1], ' ') FOR i IN range
 SELECT doc_id, count(*) AS grams, count(DISTINCT gram) AS kinds FROM g GROUP BY doc_id""",
 )
 def ngrams(spark, sf_dir):
-    g = documents(spark, sf_dir).select("doc_id", F.explode(T.ngrams(T.tokens(F.col("text")), 3)).alias("gram"))
-    return g.groupBy("doc_id").agg(F.count("*").alias("grams"), F.count_distinct("gram").alias("kinds"))
+    """Texts are shuffled by id, as an id may stand more than once; their n-grams are not."""
+    d = documents(spark, sf_dir).groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    g = d.select("doc_id", F.flatten(F.transform("texts", lambda x: T.ngrams(T.tokens(x), 3))).alias("g"))
+    return g.select("doc_id", F.size("g").cast("long").alias("grams"), F.size(F.array_distinct("g")).cast("long").alias("kinds")).filter("grams > 0")
 
 
 @query("seg_01_sentences", f"WITH {sql.SENT} SELECT doc_id, sent_no, text FROM sent")
