@@ -13,26 +13,82 @@ from ..functions import text as T
 _OPS = Y.ArrayType(Y.StructType([Y.StructField("op", Y.StringType()), *(Y.StructField(n, Y.IntegerType()) for n in ("i1", "i2", "j1", "j2"))]))
 
 
+#: Pairs of tokens of a part that are compared one by one.
+SMALL = 512
+
+
 def common_blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     """i, j, size of the common blocks of two arrays of codes, in order: the longest (of equal ones the first in a, then in b), and so on to its left and its right.
 
-    Of a part of a and b the run of equal tokens that ends at each place of b is
-    kept for one token of a at a time, so memory follows b alone.
+    Runs of 1, 2, 4 ... tokens are numbered over both arrays, so any two runs of
+    one length are compared by two numbers. In a part all blocks of its greatest
+    length are found in one pass; what they leave has shorter ones only. Small
+    parts are compared token by token.
     """
-    found, parts = [], [(0, len(a), 0, len(b))]
-    while parts:
-        i0, i1, j0, j1 = parts.pop()
-        part, best, at = b[j0:j1], 0, (0, 0)
-        run = np.zeros(j1 - j0 + 1, np.int64)
+    la, lb = a.tolist(), b.tolist()
+
+    def small(i0: int, i1: int, j0: int, j1: int) -> tuple[int, int, int]:
+        best, at, ended, where = 0, (0, 0), {}, {}
+        for j in range(j0, j1):
+            where.setdefault(lb[j], []).append(j)
         for i in range(i0, i1):
-            run[1:] = np.where(part == a[i], run[:-1] + 1, 0)
-            if (top := run.max()) > best:
-                best, end = int(top), int(run.argmax())
-                at = (i + 1 - best, j0 + end - best)
-        if best:
-            i, j = at
-            found.append((i, j, best))
-            parts += [(i0, i, j0, j), (i + best, i1, j + best, j1)]
+            here = {}
+            for j in where.get(la[i], ()):
+                here[j] = n = ended.get(j - 1, 0) + 1
+                if n > best:
+                    best, at = n, (i + 1 - n, j + 1 - n)
+            ended = here
+        return *at, best
+
+    codes = np.concatenate([a, b]).astype(np.int64)
+    ranks: list[np.ndarray] = []
+
+    def runs(lo: int, hi: int, size: int) -> np.ndarray:
+        """A number for each run of `size` tokens inside codes[lo:hi]."""
+        k = size.bit_length() - 1
+        while len(ranks) <= k:
+            step = 1 << len(ranks) >> 1
+            pairs = ranks[-1][:-step] * len(codes) + ranks[-1][step:] if step else codes
+            ranks.append(np.unique(pairs, return_inverse=True)[1].astype(np.int64))
+        n = hi - lo - size + 1
+        return ranks[k][lo : lo + n] * len(codes) + ranks[k][lo + size - (1 << k) :][:n]
+
+    found, parts = [], [(0, len(a), 0, len(b), min(len(a), len(b)))]
+    while parts:
+        i0, i1, j0, j1, most = parts.pop()
+        if (i1 - i0) * (j1 - j0) <= SMALL:
+            i, j, size = small(i0, i1, j0, j1)
+            if size:
+                found.append((i, j, size))
+                parts += [(i0, i, j0, j, size), (i + size, i1, j + size, j1, size)]
+            continue
+        most = min(most, i1 - i0, j1 - j0)
+        sides = lambda size: (runs(i0, i1, size), runs(len(a) + j0, len(a) + j1, size))  # noqa: B023, E731
+        least, size = 0, min(most, 1)
+        while least < most:  # the greatest length of a common run: doubled first, as most are short, then halved in
+            if np.isin(*sides(size)).any():
+                least, size = size, min(2 * size, most) if most - size > size else (size + most + 1) // 2
+            else:
+                most, size = size - 1, (least + size) // 2
+            size = max(size, least + 1)
+        if not least:
+            continue
+        x, y = sides(least)
+        order = np.argsort(y, kind="stable")
+        ordered = y[order]
+        at = np.flatnonzero(np.isin(x, y))
+        first, last = np.searchsorted(ordered, x[at]), np.searchsorted(ordered, x[at], "right")
+        i, j = 0, 0  # where the next block may begin
+        for k, lo, hi in zip(at.tolist(), first.tolist(), last.tolist()):
+            if k < i:
+                continue
+            lo += int(np.searchsorted(order[lo:hi], j))
+            if lo < hi:
+                to = int(order[lo])
+                found.append((i0 + k, j0 + to, least))
+                parts.append((i0 + i, i0 + k, j0 + j, j0 + to, least - 1))
+                i, j = k + least, to + least
+        parts.append((i0 + i, i1, j0 + j, j1, least - 1))
     return sorted(found)
 
 

@@ -124,7 +124,8 @@ def explained(spark, sf_dir):
 
 @query("prd_13_structural", f"WITH {_ED}, g AS (SELECT id, i, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM df), h AS (SELECT id, i - r AS k, count(*) AS n FROM g GROUP BY id, k) SELECT id, max(n) <= 2 AS structural FROM h GROUP BY id")
 def structural(spark, sf_dir):
-    d = R.diff_ops(edited(spark, sf_dir)).filter(F.size("ops") > 0)
+    # Pairs that are the same have no operations.
+    d = R.diff_ops(edited(spark, sf_dir).filter(F.col("ta") != F.col("tb")))
     return d.select("id", R.structural(F.col("ops")).alias("structural"))
 
 
