@@ -72,11 +72,20 @@ def noun_only(pairs: DataFrame, form: str = "src", noun: str = "n") -> DataFrame
     return pairs.groupBy(form).agg(F.every(F.col("category") == noun).alias("c")).filter("c").select(F.col(form).alias("form"))
 
 
-def ambiguity_points(pairs: DataFrame, key: str = "dst", value: str = "src") -> DataFrame:
-    """key and candidates in first-seen order, where there are two or more."""
-    first = pairs.groupBy(key, value).agg(F.min("seq").alias("seq"))
-    g = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", value))), lambda x: x[value]).alias("candidates"))
-    return g.filter(F.size("candidates") > 1)
+def _first_seen(pairs: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """key, values: the different values of each key in first-seen order."""
+    first = pairs.groupBy(key, value).agg(F.min(order).alias("_o"))
+    # sort_array() compares by compiled code, array_sort() by an expression for each comparison.
+    return first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_o", value))), lambda x: x[value]).alias("values"))
+
+
+def ambiguity_points(pairs: DataFrame, key: str = "dst", value: str = "src", order: str = "seq") -> DataFrame:
+    """key and candidates in first-seen order, where there are two or more.
+
+    order: the column that says which comes first. The least of a number is kept
+    in a hash table; for the least of a struct all rows are sorted.
+    """
+    return _first_seen(pairs, key, value, order).withColumnRenamed("values", "candidates").filter(F.size("candidates") > 1)
 
 
 def candidate_forms(points: DataFrame) -> DataFrame:
@@ -112,10 +121,9 @@ def difference(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.exceptAll(old).withColumn("change", F.lit("added")).unionByName(old.exceptAll(new).withColumn("change", F.lit("removed")))
 
 
-def alternatives(pairs: DataFrame, key: str = "src", value: str = "dst") -> DataFrame:
-    """All alternatives of each key, in first-seen order."""
-    first = pairs.groupBy(key, value).agg(F.min("seq").alias("seq"))
-    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", value))), lambda x: x[value]).alias("alternatives"))
+def alternatives(pairs: DataFrame, key: str = "src", value: str = "dst", order: str = "seq") -> DataFrame:
+    """All alternatives of each key, in first-seen order (order as for ambiguity_points)."""
+    return _first_seen(pairs, key, value, order).withColumnRenamed("values", "alternatives")
 
 
 def labelled(pairs: DataFrame, priority: DataFrame) -> DataFrame:

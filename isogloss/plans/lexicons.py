@@ -12,11 +12,13 @@ from .registry import query
 
 
 def pairs(spark, sf_dir):
-    """src, dst, category, canonical, seq, topic, source: all neighbouring tokens of all sentences; seq is document, sentence and place."""
+    """src, dst, category, canonical, seq, place, topic, source: all neighbouring tokens of all sentences; seq is document, sentence and place, and place the same as one number."""
     s = sentences(spark, sf_dir).select("doc_id", "lang", "source", "sent_no", T.tokens(F.col("text")).alias("t"))
     both = F.zip_with(F.slice("t", F.lit(1), F.size("t") - 1), F.slice("t", F.lit(2), F.size("t") - 1), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))
     e = s.filter(F.size("t") >= 2).select("doc_id", "lang", "source", "sent_no", F.posexplode(both).alias("k", "p"))
-    return e.select("p.src", "p.dst", F.when(F.col("doc_id") % 3 == 0, "n").otherwise("v").alias("category"), (F.col("doc_id") % 5 == 0).alias("canonical"), F.struct("doc_id", "sent_no", "k").alias("seq"), F.col("lang").alias("topic"), "source")
+    # Sentence and place are below 2^31, so the product holds for any doc_id and keeps the order.
+    place = F.col("doc_id").cast("decimal(19,0)") * F.lit(2**62).cast("decimal(19,0)") + (F.shiftleft(F.col("sent_no").cast("long"), 31) + F.col("k")).cast("decimal(19,0)")
+    return e.select("p.src", "p.dst", F.when(F.col("doc_id") % 3 == 0, "n").otherwise("v").alias("category"), (F.col("doc_id") % 5 == 0).alias("canonical"), F.struct("doc_id", "sent_no", "k").alias("seq"), place.alias("place"), F.col("lang").alias("topic"), "source")
 
 
 P = f"""{sql.SENT}, w AS (SELECT doc_id, lang, source, sent_no, {sql.tokens('text')} AS t FROM sent), e AS (SELECT doc_id, lang, source, sent_no, unnest(range(0, len(t) - 1)) AS k, unnest(t[1:len(t) - 1]) AS src, unnest(t[2:]) AS dst FROM w WHERE len(t) >= 2),
@@ -84,7 +86,7 @@ _ALT = "SELECT {k}, array_to_string(list(v ORDER BY s), ',') AS c, count(*) AS n
 
 @query("lex_13_ambiguity_points", f"WITH {P}, a AS ({_ALT.format(k='dst', v='src')}) SELECT dst, c AS candidates FROM a WHERE n > 1")
 def ambiguity_points(spark, sf_dir):
-    return L.ambiguity_points(pairs(spark, sf_dir)).select("dst", F.array_join("candidates", ",").alias("candidates"))
+    return L.ambiguity_points(pairs(spark, sf_dir), order="place").select("dst", F.array_join("candidates", ",").alias("candidates"))
 
 
 @query("lex_14_candidate_forms", f"WITH {P} SELECT DISTINCT src AS form FROM p WHERE dst IN (SELECT dst FROM p GROUP BY dst HAVING count(DISTINCT src) > 1)")
@@ -118,7 +120,7 @@ def difference(spark, sf_dir):
 
 @query("lex_19_alternatives", f"WITH {P}, a AS ({_ALT.format(k='src', v='dst')}) SELECT src, c AS alternatives FROM a")
 def alternatives(spark, sf_dir):
-    return L.alternatives(pairs(spark, sf_dir)).select("src", F.array_join("alternatives", ",").alias("alternatives"))
+    return L.alternatives(pairs(spark, sf_dir), order="place").select("src", F.array_join("alternatives", ",").alias("alternatives"))
 
 
 @query("lex_20_labels", f"WITH {P}, r(label, rank) AS (VALUES ('fr', 1), ('de', 2), ('en', 3), ('es', 4)) SELECT src, dst, arg_min(label, rank) AS label FROM p JOIN r ON topic = label GROUP BY src, dst")
