@@ -22,6 +22,6 @@ def test_as_by_tables_of_a_model(spark, order):
 
 
 def test_places_are_shuffled_once(spark, sf):
-    s = models.lm_sentences(spark, sf)
-    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
-    assert shuffles(models.kneser_ney(spark, sf)) < shuffles(M.scored_sentences(s, ["id"], "text", M.kneser_ney(s, "text", 5, ("model",)), 5, ("model",))) / 2
+    # Down to where places are dealt, only sums of sentences are shuffled.
+    plan = models.kneser_ney(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("REPARTITION_BY_COL")[0].count("Exchange hashpartitioning") == 2
