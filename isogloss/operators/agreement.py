@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from ..functions import text as T
 from .lineage import cut
-from .rewrite import phrase_agreed
+from .rewrite import dependents_changed, phrase_agreed
 
 # The relations by which a word agrees with its head, and a subject with its predicate.
 UP = ("det", "amod", "acl", "flat", "conj")
@@ -65,6 +68,66 @@ def path_agreed(tokens: DataFrame, key: str, morphology: DataFrame, gender: str
     return phrase_agreed(controllers(tokens, key), key, morphology, gender, "controller").drop("controller")
 
 
+# What controllers() asks of a word, a bit each.
+_CASE, _COMPLEMENT, _COMPOUND, _COPULA, _SUBJECT, _RELATIVE, _PARTICIPLE, _AGREES, _HANGS = (1 << k for k in range(9))
+
+
+@F.pandas_udf(Y.ArrayType(Y.IntegerType()))
+def _ends(heads: pd.Series, bits: pd.Series) -> pd.Series:
+    """Paths are followed over heads of any order, which no expression says; all texts of a batch go together, as one array."""
+    n = np.array([len(x) for x in heads], dtype=np.int64)
+    if not n.sum():
+        return pd.Series([[]] * len(n), dtype=object)
+    start = np.repeat(np.cumsum(n) - n, n)
+    head, b = np.concatenate(list(heads)).astype(np.int64), np.concatenate(list(bits)).astype(np.int64)
+    me = np.arange(len(head))
+    there = (head >= 0) & (head < np.repeat(n, n))
+    to = np.where(there, head + start, me)
+    is_ = lambda bit: (b & bit) > 0
+
+    def of(children: np.ndarray) -> np.ndarray:
+        """Whether a word has one of these children."""
+        out = np.zeros(len(head), dtype=bool)
+        out[to[children & there]] = True
+        return out
+
+    own = of(is_(_COMPLEMENT) & ~of(is_(_CASE)))
+    tense = is_(_PARTICIPLE) & of(is_(_COMPOUND)) & ~of(is_(_COPULA))
+    subject = np.full(len(head), len(head))
+    first = is_(_SUBJECT) & there
+    np.minimum.at(subject, to[first], me[first])
+    has = subject < len(head)
+    stops = tense | (is_(_PARTICIPLE) & own & ~has) | ~is_(_AGREES)
+    at = np.where(stops, me, np.where(has, subject, np.where((is_(_HANGS) | of(is_(_RELATIVE))) & there, to, me)))
+    for _ in range(int(n.max()).bit_length()):
+        far = at[at]
+        if (far == at).all():
+            break
+        at = far
+    end = np.where((at != me) & (at[at] == at) & ~is_(_AGREES)[at], at - start, -1).astype(np.int32)
+    return pd.Series(np.split(end, np.cumsum(n)[:-1]), dtype=object)
+
+
+def text_controllers(words: Column, up: tuple[str, ...] = UP, subject: tuple[str, ...] = SUBJECT, complement: tuple[str, ...] = COMPLEMENT) -> Column:
+    """As controllers(), of the words of a text in one array (head, dep, agrees, participle, lemma, relative).
+
+    Heads and the controllers that come out are positions in the array (from 0; below 0: none).
+    """
+
+    def bits(x: Column) -> Column:
+        relative, lemma = F.coalesce(x["relative"], F.lit(False)), F.lower(x["lemma"])
+        held = [(_CASE, x["dep"] == "case"), (_COMPLEMENT, x["dep"].isin(*complement) & ~relative), (_COMPOUND, (x["dep"] == "aux") & lemma.isin(*COMPOUND)), (_COPULA, lemma.isin(*COPULAS)), (_SUBJECT, x["dep"].isin(*subject) & ~relative),
+                (_RELATIVE, x["dep"].isin(*subject) & relative), (_PARTICIPLE, x["participle"]), (_AGREES, x["agrees"]), (_HANGS, x["dep"].isin(*up))]
+        return sum((F.when(c, bit).otherwise(0) for bit, c in held), F.lit(0))
+
+    return _ends(F.transform(words, lambda x: F.coalesce(x["head"], F.lit(-1))), F.transform(words, bits))
+
+
+def path_changes(texts: DataFrame, key: str, morphology: DataFrame, words: str = "t") -> DataFrame:
+    """key, i, put: what path_agreed() changes, of texts whose words lie in one array each (text_controllers, dependents_changed), so no token is shuffled to meet its head."""
+    return dependents_changed(texts.withColumn("_controller", text_controllers(F.col(words))), key, morphology, words, "_controller")
+
+
 def undone_elision(tokens: DataFrame, key: str, full: dict[str, str | tuple[str, str]], contracted: dict[str, str], gender: str = "gender", vowel: str = r"^h?[aeiouàèéíòóúïü]") -> DataFrame:
     """Where a word was rewritten: what is elided before it stands in full before a consonant, and a contraction before it is undone before a vowel.
 
