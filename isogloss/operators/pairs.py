@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
@@ -13,8 +14,8 @@ from ..functions import text as T
 _OPS = Y.ArrayType(Y.StructType([Y.StructField("op", Y.StringType()), *(Y.StructField(n, Y.IntegerType()) for n in ("i1", "i2", "j1", "j2"))]))
 
 
-#: Pairs of tokens of a part that are compared one by one.
-SMALL = 512
+#: Pairs of tokens of a part that are compared one by one; below it arrays cost more than they save.
+SMALL = 8192
 
 
 def common_blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
@@ -92,26 +93,32 @@ def common_blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _gaps(a: np.ndarray, b: np.ndarray) -> list[dict]:
-    """What lies between common blocks: replaced, deleted from a, or inserted from b."""
+def _gaps(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """i1, i2, j1, j2 of what lies between common blocks."""
     out, i, j = [], 0, 0
     for x, y, size in [*common_blocks(a, b), (len(a), len(b), 0)]:
         if i < x or j < y:
-            out.append({"op": "replace" if i < x and j < y else "delete" if i < x else "insert", "i1": i, "i2": x, "j1": j, "j2": y})
+            out.append((i, x, j, y))
         i, j = x + size, y + size
     return out
 
 
-@F.pandas_udf(_OPS)
-def _opcodes(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Blocks are sought inside of what other blocks leave, which no expression says; tokens are numbered once for a batch."""
-    asked = a.notna() & b.notna()
-    flat = pd.Series([w for side in (a[asked], b[asked]) for words in side for w in words], dtype=object)
-    codes = pd.factorize(flat, use_na_sentinel=False)[0]
-    bound = np.concatenate([[0], np.cumsum([len(w) for side in (a[asked], b[asked]) for w in side])]).astype(np.int64)
-    n = int(asked.sum())
-    ops = iter([_gaps(codes[bound[k] : bound[k + 1]], codes[bound[n + k] : bound[n + k + 1]]) for k in range(n)])
-    return pd.Series([next(ops) if x else None for x in asked], dtype=object)
+@F.arrow_udf(_OPS)
+def _opcodes(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Blocks are sought inside of what other blocks leave, which no expression says; tokens are numbered once for a batch, and never become Python's."""
+    ends = lambda x: np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+    asked = pc.and_(a.is_valid(), b.is_valid()).to_numpy(zero_copy_only=False)
+    at, to = ends(a), ends(b)
+    encoded = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode(null_encoding="encode")
+    codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    left, right = codes[: at[-1]], codes[at[-1] :]
+    gaps = [_gaps(left[at[k] : at[k + 1]], right[to[k] : to[k + 1]]) if asked[k] else None for k in range(len(a))]
+    flat = np.array([g for row in gaps if row for g in row], dtype=np.int32).reshape(-1, 4)
+    gone, new = flat[:, 0] < flat[:, 1], flat[:, 2] < flat[:, 3]
+    # Replaced, deleted from a, or inserted from b.
+    op = pa.DictionaryArray.from_arrays(pa.array(np.where(gone & new, 0, np.where(gone, 1, 2)).astype(np.int32)), ["replace", "delete", "insert"]).cast(pa.string())
+    bounds = pa.array([*np.cumsum([0, *[len(row or ()) for row in gaps]])[:-1], len(flat)], pa.int32(), mask=np.append(~asked, False))
+    return pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([op, *map(pa.array, flat.T)], ["op", "i1", "i2", "j1", "j2"]))
 
 
 def diff_ops(pairs: DataFrame, a: str = "ta", b: str = "tb") -> DataFrame:
@@ -144,22 +151,29 @@ def positional_ops(pairs: DataFrame, a: str = "ta", b: str = "tb") -> DataFrame:
 
 
 def substitutions(diffed: DataFrame, most: int = 4, a: str = "ta", b: str = "tb") -> DataFrame:
-    """Rows of replaced spans with words on both sides, of `most` tokens or fewer: from, to, and what the row has."""
-    o = diffed.withColumn("o", F.explode("ops")).filter("o.op = 'replace'")
-    span = lambda t, x, y: F.array_join(F.slice(F.col(t), F.col(f"o.{x}") + 1, F.col(f"o.{y}") - F.col(f"o.{x}")), " ")
-    short = (F.col("o.i2") - F.col("o.i1") <= most) & (F.col("o.j2") - F.col("o.j1") <= most)
-    return o.filter(short).withColumn("from", span(a, "i1", "i2")).withColumn("to", span(b, "j1", "j2")).drop("o")
+    """Rows of replaced spans with words on both sides, of `most` tokens or fewer: from, to, isolated (whether nothing else differs), and what the row has.
+
+    Spans are cut inside the array, so the tokens of a row don't go along with each of them.
+    """
+    span = lambda t, x, y: F.array_join(F.slice(F.col(t), x + 1, y - x), " ")
+    short = F.filter("ops", lambda o: (o["op"] == "replace") & (o["i2"] - o["i1"] <= most) & (o["j2"] - o["j1"] <= most))
+    spans = F.transform(short, lambda o: F.struct(span(a, o["i1"], o["i2"]).alias("from"), span(b, o["j1"], o["j2"]).alias("to")))
+    rest = [c for c in diffed.columns if c not in ("from", "to", "isolated")]
+    o = diffed.withColumn("isolated", F.size("ops") == 1).select(*rest, "isolated", F.explode(spans).alias("_o"))
+    return o.select(*rest, "_o.from", "_o.to", "isolated")
 
 
 def mined(subs: DataFrame, known: DataFrame, rules: DataFrame) -> DataFrame:
     """from, to, n, mean_ratio, isolated and kind: known (pairs src, dst), rule (suffixes cut, put, number) or new."""
-    g = subs.groupBy("from", "to").agg(F.count("*").alias("n"), F.round(F.avg("ratio"), 6).alias("mean_ratio"), F.round(F.avg((F.size("ops") == 1).cast("int")), 6).alias("isolated"))
-    g = g.join(known.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.lit(True).alias("known")), ["from", "to"], "left")
+    isolated = F.col("isolated") if "isolated" in subs.columns else F.size("ops") == 1
+    g = subs.groupBy("from", "to").agg(F.count("*").alias("n"), F.round(F.avg("ratio"), 6).alias("mean_ratio"), F.round(F.avg(isolated.cast("int")), 6).alias("isolated"))
     # A rule explains a pair if both sides without their suffixes are the same stem.
     stem = lambda w, s: F.substring(w, F.lit(1), F.length(w) - F.length(s))
     fits = F.col("from").endswith(F.col("cut")) & F.col("to").endswith(F.col("put")) & (stem("from", "cut") == stem("to", "put"))
-    first = g.select("from", "to").join(rules, fits).groupBy("from", "to").agg(F.min("number").alias("rule"))
-    out = g.join(first, ["from", "to"], "left")
+    # Rules come to the pairs where these are, as a second table of pairs would be made of the text anew.
+    own = ["n", "mean_ratio", "isolated"]
+    out = g.join(rules, fits, "left").groupBy("from", "to").agg(*[F.max(c).alias(c) for c in own], F.min("number").alias("rule"))
+    out = out.join(known.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.lit(True).alias("known")), ["from", "to"], "left")
     return out.withColumn("kind", F.when(F.col("known"), "known").when(F.col("rule").isNotNull(), "rule").otherwise("new")).drop("known")
 
 
