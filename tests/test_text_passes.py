@@ -19,6 +19,11 @@ def test_two_passes(spark, sf):
     assert plan(models.scored_candidates(spark, sf)).count("Generate posexplode(split(text") == 2
 
 
+def test_joins_leave_places_alone(spark, sf):
+    """Filters for keys that aren't null went below the sums, and places that were asked differed from those answered."""
+    assert plan(models.combined(spark, sf)).count("Generate posexplode(split(text") == 6
+
+
 def test_counts_are_those_of_words(spark):
     s = spark.createDataFrame([(1, "a b a"), (2, ""), (3, "b")], "id int, text string").withColumn("m", F.lit("x"))
     for order in (1, 2, 3):
