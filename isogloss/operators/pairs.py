@@ -217,30 +217,30 @@ def align_by_content(a: DataFrame, b: DataFrame, doc: str = "doc", least: float
     are equally good, that nearest the diagonal is taken, then the smaller number.
     """
 
-    def sets(df: DataFrame, no: str, side: str) -> DataFrame:
-        s = df.select(doc, F.col("no").cast("long").alias(no), F.array_sort(F.array_distinct(T.pair_tokens(F.col("text")))).alias("words")).filter(F.size("words") > 0)
-        of = Window.partitionBy(doc, "words")
-        return s.withColumn("k", F.row_number().over(of.orderBy(no))).withColumn(side, F.min(no).over(of))
-
-    # A set goes by the number of its first sentence, so no row of a word or of a pair carries its sentence along.
-    left, right = sets(a, "i", "a"), sets(b, "j", "b")
-    ua, ub = left.filter("k = 1").select(doc, "a", "words"), right.filter("k = 1").select(doc, "b", "words")
-    same = ua.join(ub, [doc, "words"]).select(doc, "a", "b", F.lit(1.0).alias("similarity"))
-    rest_a, rest_b = ua.join(same, [doc, "a"], "left_anti"), ub.join(same, [doc, "b"], "left_anti")
-
-    def shared(x: DataFrame, y: DataFrame) -> DataFrame:
-        each = lambda df, side, size: df.select(doc, side, F.size("words").alias(size), F.explode("words").alias("w"))
-        n = each(x, "a", "p").join(each(y, "b", "q"), [doc, "w"]).groupBy(doc, "a", "b", "p", "q").agg(F.count("*").alias("n"))
-        return n.select(doc, "a", "b", (F.col("n") / (F.col("p") + F.col("q") - F.col("n"))).alias("similarity")).filter(F.col("similarity") >= least)
-
+    # Sentences are shuffled once, to their document; sets, what they share and who is best are grouped there, so neither words nor pairs of sets are shuffled.
+    side = lambda df, k: df.select(doc, F.lit(k).alias("side"), F.col("no").cast("long").alias("no"), F.array_join(F.array_sort(F.array_distinct(T.pair_tokens(F.col("text")))), " ").alias("words"))
+    rows = side(a, 0).unionByName(side(b, 1)).filter(F.col(doc).isNotNull()).repartition(doc)
+    of = lambda k: F.sort_array(F.collect_list(F.when(F.col("side") == k, F.col("no"))))
+    sets = rows.groupBy(doc, "words").agg(of(0).alias("la"), of(1).alias("lb"))
+    all_ = lambda c: F.sum(F.size(c)).over(Window.partitionBy(doc))
+    sets = sets.withColumns({"n": all_("la"), "m": all_("lb"), "a": F.get("la", F.lit(0)), "b": F.get("lb", F.lit(0))})
+    # The numbers keep filters for words behind the grouping, else sentences would be dealt for each use anew.
+    words = F.when(F.size("la") + F.size("lb") > 0, F.col("words"))
+    sets = sets.filter(words != "").withColumn("shared", F.col("a").isNotNull() & F.col("b").isNotNull())
     # Sets that only one side has; one of theirs may be nearest to a set that both have, which is then no mutual pair.
-    near = shared(rest_a, ub).unionByName(shared(ua.join(same, [doc, "a"], "left_semi"), rest_b))
+    each = sets.select(doc, "a", "b", "shared", F.split(words, " ").alias("w")).select(doc, "a", "b", "shared", F.size("w").alias("size"), F.explode("w").alias("w"))
+    listed = lambda s: F.collect_list(F.when(F.col(s).isNotNull(), F.struct(F.col(s).alias("set"), "size", "shared")))
+    met = each.groupBy(doc, "w").agg(listed("a").alias("x"), listed("b").alias("y")).select(doc, F.explode("x").alias("x"), "y")
+    met = met.select(doc, "x", F.explode(F.when(F.col("x.shared"), F.filter("y", lambda y: ~y["shared"])).otherwise(F.col("y"))).alias("y"))
+    one = lambda c: F.max(c).alias(c.replace(".", "_"))
+    near = met.groupBy(doc, F.col("x.set").alias("a"), F.col("y.set").alias("b")).agg(F.count("*").alias("both"), *map(one, ["x.size", "y.size", "x.shared", "y.shared"]))
+    near = near.withColumn("similarity", F.col("both") / (F.col("x_size") + F.col("y_size") - F.col("both"))).filter(F.col("similarity") >= least)
     top = lambda side: F.max("similarity").over(Window.partitionBy(doc, side))
-    near = near.withColumn("ta", top("a")).withColumn("tb", top("b"))
-    both = near.filter("similarity = ta and similarity = tb").drop("ta", "tb")
-    both = both.join(same.select(doc, "a"), [doc, "a"], "left_anti").join(same.select(doc, "b"), [doc, "b"], "left_anti").select(doc, "a", "b", "similarity").unionByName(same)
-    na, nb = (df.groupBy(doc).agg(F.count("*").alias(n)) for df, n in ((a, "n"), (b, "m")))
-    rows = both.join(left.select(doc, "a", "i", "k"), [doc, "a"]).join(right.select(doc, "b", "j", "k"), [doc, "b", "k"]).select(doc, "i", "j", "similarity").join(na, doc).join(nb, doc)
+    near = near.withColumn("ta", top("a")).withColumn("tb", top("b")).filter("similarity = ta AND similarity = tb AND NOT x_shared AND NOT y_shared").select(doc, "a", "b", "similarity")
+    near = near.join(sets.select(doc, "a", "la", "n", "m"), [doc, "a"]).join(sets.select(doc, "b", "lb"), [doc, "b"])
+    found = near.select(doc, "la", "lb", "similarity", "n", "m").unionByName(sets.filter("shared").select(doc, "la", "lb", F.lit(1.0).alias("similarity"), "n", "m"))
+    matched = F.slice(F.arrays_zip(F.col("la").alias("i"), F.col("lb").alias("j")), F.lit(1), F.least(F.size("la"), F.size("lb")))
+    rows = found.select(doc, "similarity", "n", "m", F.explode(matched).alias("p")).select(doc, "p.i", "p.j", "similarity", "n", "m")
     off = F.abs(F.col("j") - F.floor(F.col("i") * F.col("m") / F.col("n")))
     best = lambda by, other: F.row_number().over(Window.partitionBy(doc, by).orderBy(off, other))
     return rows.withColumn("ra", best("i", "j")).withColumn("rb", best("j", "i")).filter("ra = 1 and rb = 1").select(doc, "i", "j", "similarity")
